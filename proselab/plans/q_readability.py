@@ -1,3 +1,71 @@
-"""Registered queries."""
+"""Registered readability queries (J8-J11, I15) and their oracles."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import readability as RD
+from ..sources.tables import read_table
+from .registry import register
+
+_COUNTS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS ws FROM documents),
+c AS (
+  SELECT doc_id,
+         CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(greatest(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?]+'),
+                                       lambda s: regexp_matches(s, '[^ \t\n\x0B\f\r]'))), 1) AS BIGINT) AS n_sentences,
+         CAST(coalesce(list_sum(list_transform(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')), 1))), 0) AS BIGINT) AS n_syllables,
+         CAST(len(list_filter(ws, lambda x: greatest(len(regexp_extract_all(x, '[aeiouy]+')), 1) >= 3)) AS BIGINT) AS n_complex
+  FROM w),
+s AS (
+  SELECT *,
+         CASE WHEN n_words > 0 THEN 206.835 - 1.015 * (n_words / n_sentences) - 84.6 * (n_syllables / n_words) END AS fre,
+         CASE WHEN n_words > 0 THEN 0.4 * ((n_words / n_sentences) + 100.0 * (n_complex / n_words)) END AS fog,
+         CASE WHEN n_words > 0 THEN CASE WHEN n_sentences >= 3 THEN 1.043 * sqrt(n_complex * (30.0 / n_sentences)) + 3.1291 ELSE 0.0 END END AS smog
+  FROM c)"""
+
+
+def _r(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+@register(
+    "readability",
+    _COUNTS_SQL
+    + """
+SELECT doc_id, n_words, n_sentences, n_syllables, n_complex,
+       CAST(round(fre, 6) AS DOUBLE) AS flesch_reading_ease, CAST(round(fog, 6) AS DOUBLE) AS gunning_fog,
+       CAST(round(smog, 6) AS DOUBLE) AS smog_index
+FROM s""",
+)
+def q_readability(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    s = RD.scores(docs, "text")
+    return s.select(
+        "doc_id", "n_words", "n_sentences", "n_syllables", "n_complex",
+        _r("flesch_reading_ease"), _r("gunning_fog"), _r("smog_index"),
+    )
+
+
+@register(
+    "readability_levels",
+    _COUNTS_SQL
+    + """,
+b AS (SELECT doc_id, (least(greatest(fre, 0), 100) + least(greatest((20 - fog) * 5, 0), 100)
+                      + least(greatest((20 - smog) * 5, 0), 100)) / 3.0 AS beg FROM s),
+l AS (SELECT doc_id, least(greatest(beg, 0), 100) AS beginner,
+             least(greatest(100 - abs(50 - beg) * 2, 0), 100) AS intermediate,
+             least(greatest(100 - beg, 0), 100) AS advanced FROM b)
+SELECT doc_id, CAST(round(beginner, 6) AS DOUBLE) AS beginner, CAST(round(intermediate, 6) AS DOUBLE) AS intermediate,
+       CAST(round(advanced, 6) AS DOUBLE) AS advanced,
+       CASE WHEN beginner IS NULL THEN NULL
+            WHEN beginner >= intermediate AND beginner >= advanced THEN 'Beginner'
+            WHEN intermediate >= advanced THEN 'Intermediate' ELSE 'Advanced' END AS level
+FROM l""",
+)
+def q_readability_levels(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    lv = RD.levels(docs, "text")
+    return lv.select("doc_id", _r("beginner"), _r("intermediate"), _r("advanced"), "level")
