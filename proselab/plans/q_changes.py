@@ -1,3 +1,259 @@
-"""Registered queries."""
+"""Registered change-application and audit queries."""
 
 from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import changes as CH
+from ..sources import views as V
+from ..sources.views import with_views
+from .registry import register
+
+
+@register(
+    "constraint_audit",
+    with_views(
+        ["users", "user_texts", "user_feedback", "login_history"],
+        """
+, r AS (
+  SELECT 'user_texts' AS table_name, rule, violations FROM (
+    SELECT count(*) FILTER (WHERE user_id IS NULL) AS not_null_user_id,
+           count(*) FILTER (WHERE input_text IS NULL) AS not_null_input_text,
+           count(*) FILTER (WHERE content_text IS NULL) AS not_null_content_text,
+           count(*) FILTER (WHERE content_type IS NULL) AS not_null_content_type,
+           count(*) FILTER (WHERE length(content_type) > 20) AS len_content_type,
+           count(*) FILTER (WHERE length(model_used) > 100) AS len_model_used
+    FROM user_texts) UNPIVOT (violations FOR rule IN (not_null_user_id, not_null_input_text, not_null_content_text,
+                                                    not_null_content_type, len_content_type, len_model_used))
+  UNION ALL
+  SELECT 'user_feedback', rule, violations FROM (
+    SELECT count(*) FILTER (WHERE user_id IS NULL) AS not_null_user_id,
+           count(*) FILTER (WHERE feedback_type IS NULL) AS not_null_feedback_type,
+           count(*) FILTER (WHERE NOT (feedback_type IN ('like', 'dislike'))) AS enum_feedback_type
+    FROM user_feedback) UNPIVOT (violations FOR rule IN (not_null_user_id, not_null_feedback_type, enum_feedback_type))
+  UNION ALL
+  SELECT 'user_texts', 'duplicate_pk', count(*) FROM (SELECT id FROM user_texts GROUP BY id HAVING count(*) > 1) d
+  UNION ALL
+  SELECT 'user_feedback', 'duplicate_pk', count(*) FROM (SELECT id FROM user_feedback GROUP BY id HAVING count(*) > 1) d
+  UNION ALL
+  SELECT 'login_history', 'duplicate_pk', count(*) FROM (SELECT id FROM login_history GROUP BY id HAVING count(*) > 1) d
+  UNION ALL
+  SELECT 'user_texts', 'fk_user_id', count(*) FROM user_texts t WHERE t.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id)
+  UNION ALL
+  SELECT 'user_feedback', 'fk_user_id', count(*) FROM user_feedback t WHERE t.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id)
+  UNION ALL
+  SELECT 'login_history', 'fk_user_id', count(*) FROM login_history t WHERE t.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id))
+SELECT table_name, rule, CAST(violations AS BIGINT) AS violations FROM r""",
+    ),
+)
+def q_constraint_audit(spark, d):
+    return CH.constraint_audit(V.users(spark, d), V.user_texts(spark, d), V.user_feedback(spark, d), V.login_history(spark, d))
+
+
+@register(
+    "fk_orphans",
+    with_views(
+        ["users", "profiles", "user_texts", "user_feedback", "login_history"],
+        """
+SELECT 'profiles' AS table_name, user_id AS row_key, user_id FROM profiles p WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = p.user_id)
+UNION ALL SELECT 'user_texts', id, user_id FROM user_texts t WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id)
+UNION ALL SELECT 'user_feedback', id, user_id FROM user_feedback t WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id)
+UNION ALL SELECT 'login_history', id, user_id FROM login_history t WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM users u WHERE u.id = t.user_id)""",
+    ),
+)
+def q_fk_orphans(spark, d):
+    """Rows of every child table whose user no longer exists."""
+    users = V.users(spark, d)
+    parts = [
+        CH.fk_orphans(V.profiles(spark, d), "user_id", users, "id").select(
+            F.lit("profiles").alias("table_name"), F.col("user_id").alias("row_key"), "user_id"
+        )
+    ]
+    for name, fn in (("user_texts", V.user_texts), ("user_feedback", V.user_feedback), ("login_history", V.login_history)):
+        parts.append(
+            CH.fk_orphans(fn(spark, d), "user_id", users, "id").select(
+                F.lit(name).alias("table_name"), F.col("id").alias("row_key"), "user_id"
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register(
+    "register_batch",
+    with_views(
+        ["registrations", "users"],
+        f"""
+, cand AS (
+  SELECT r.ord, r.username, r.email, coalesce(r.language_preference, 'English') AS language_preference
+  FROM registrations r
+  WHERE coalesce(regexp_matches(r.email, '{CH.EMAIL_PATTERN}'), false)
+    AND NOT EXISTS (SELECT 1 FROM users u WHERE u.email = r.email)
+    AND NOT EXISTS (SELECT 1 FROM users u WHERE u.username = r.username))
+SELECT ord, username, email, language_preference, 'user' AS role
+FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY ord) AS rn FROM cand) z WHERE rn = 1""",
+    ),
+)
+def q_register_batch(spark, d):
+    """H7 + C5: accepted registrations as new user rows (e-mails in this
+    batch are unique, so the SQL oracle can use first-per-username; the
+    general two-key rule is exercised in pytest)."""
+    return CH.register_batch(V.registrations(spark, d), V.users(spark, d))
+
+
+_ROLE_CH = """
+, ch AS (SELECT user_id AS id,
+                CASE WHEN count(*) FILTER (WHERE feedback_type = 'like') > count(*) FILTER (WHERE feedback_type = 'dislike')
+                     THEN 'admin' ELSE 'user' END AS role
+         FROM user_feedback GROUP BY user_id)"""
+
+
+def _role_changes(spark, d):
+    fb = V.user_feedback(spark, d)
+    return fb.groupBy(F.col("user_id").alias("id")).agg(
+        F.when(
+            F.count_if(F.col("feedback_type") == "like") > F.count_if(F.col("feedback_type") == "dislike"), "admin"
+        ).otherwise("user").alias("role")
+    )
+
+
+@register(
+    "role_update",
+    with_views(
+        ["users", "user_feedback"],
+        _ROLE_CH
+        + """
+SELECT u.id, u.username, CASE WHEN ch.id IS NOT NULL THEN ch.role ELSE u.role END AS role
+FROM users u LEFT JOIN ch ON ch.id = u.id""",
+    ),
+)
+def q_role_update(spark, d):
+    """H2: promote users whose feedback is mostly 'like', demote the rest
+    of the users who left feedback."""
+    out = CH.set_role(V.users(spark, d), _role_changes(spark, d))
+    return out.select("id", "username", "role")
+
+
+@register(
+    "update_affected",
+    with_views(
+        ["users", "user_feedback"],
+        _ROLE_CH + "\nSELECT CAST(count(*) AS BIGINT) AS affected FROM users u WHERE u.id IN (SELECT id FROM ch)",
+    ),
+)
+def q_update_affected(spark, d):
+    """H1: rows an update-by-key touches (the 'affected > 0' report)."""
+    return CH.affected_count(V.users(spark, d), _role_changes(spark, d), "id")
+
+
+@register(
+    "text_update",
+    with_views(
+        ["user_texts", "user_feedback"],
+        """
+SELECT t.id, CASE WHEN f.id IS NOT NULL THEN '[removed]' ELSE t.content_text END AS content_text, f.id IS NOT NULL AS changed
+FROM user_texts t LEFT JOIN (SELECT DISTINCT id FROM user_feedback WHERE comment = 'flagged') f ON f.id = t.id""",
+    ),
+)
+def q_text_update(spark, d):
+    """H3: replace the content of every flagged record by id."""
+    flagged = V.user_feedback(spark, d).filter(F.col("comment") == "flagged").select("id").distinct()
+    changes = flagged.withColumn("content_text", F.lit("[removed]"))
+    t = V.user_texts(spark, d)
+    return CH.update_by_key(t, changes, "id", ["content_text"], "changed").select("id", "content_text", "changed")
+
+
+@register(
+    "text_delete",
+    with_views(
+        ["user_texts", "user_feedback"],
+        "SELECT id, user_id FROM user_texts WHERE id NOT IN (SELECT id FROM user_feedback WHERE feedback_type = 'dislike')",
+    ),
+)
+def q_text_delete(spark, d):
+    """H4: delete every disliked record by id."""
+    keys = V.user_feedback(spark, d).filter(F.col("feedback_type") == "dislike")
+    return CH.delete_by_key(V.user_texts(spark, d), keys, "id").select("id", "user_id")
+
+
+@register(
+    "user_cascade_delete",
+    with_views(
+        ["users", "profiles", "user_texts", "user_feedback", "login_history"],
+        """
+, gone AS (SELECT id FROM users WHERE role = 'admin')
+SELECT 'login_history' AS table_name, CAST(count(*) AS BIGINT) AS rows_left FROM login_history WHERE user_id IS NULL OR user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'profiles', count(*) FROM profiles WHERE user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'user_feedback', count(*) FROM user_feedback WHERE user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'user_texts', count(*) FROM user_texts WHERE user_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'users', count(*) FROM users WHERE id NOT IN (SELECT id FROM gone)""",
+    ),
+)
+def q_user_cascade_delete(spark, d):
+    """H5: delete all admin accounts everywhere; report rows left per table."""
+    tables = {
+        "users": V.users(spark, d),
+        "profiles": V.profiles(spark, d),
+        "user_texts": V.user_texts(spark, d),
+        "user_feedback": V.user_feedback(spark, d),
+        "login_history": V.login_history(spark, d),
+    }
+    gone = tables["users"].filter(F.col("role") == "admin").select("id")
+    out = CH.delete_users_cascade(tables, gone)
+    parts = [
+        out[t].agg(F.count(F.lit(1)).cast("long").alias("rows_left")).select(F.lit(t).alias("table_name"), "rows_left")
+        for t in ("login_history", "profiles", "user_feedback", "user_texts", "users")
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register(
+    "profile_upsert",
+    with_views(
+        ["profiles", "profile_changes"],
+        """
+, last AS (SELECT user_id, age_group, language_preference FROM (
+             SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS rn FROM profile_changes) z WHERE rn = 1)
+SELECT coalesce(p.user_id, l.user_id) AS user_id,
+       CASE WHEN l.user_id IS NOT NULL THEN l.age_group ELSE p.age_group END AS age_group,
+       CASE WHEN l.user_id IS NOT NULL THEN l.language_preference ELSE p.language_preference END AS language_preference
+FROM profiles p FULL OUTER JOIN last l ON l.user_id = p.user_id""",
+    ),
+)
+def q_profile_upsert(spark, d):
+    """H6: latest change per user updates or inserts the profile; a NULL
+    age in the change is applied (not skipped)."""
+    return CH.upsert_profiles(V.profiles(spark, d), V.profile_changes(spark, d), "seq")
+
+
+def _rerun_batch(t):
+    """The UI re-insert defect: every summary saved a second time, later."""
+    return t.filter(F.col("content_type") == "summary").select(
+        (F.col("id") + 1000000).alias("id"),
+        "user_id", "input_text", "content_text", "content_type", "model_used",
+        (F.col("created_at") + F.expr("INTERVAL 1 SECOND")).alias("created_at"),
+    )
+
+
+@register(
+    "dedup_append",
+    with_views(
+        ["user_texts"],
+        """
+, batch AS (SELECT id + 1000000 AS id, user_id, input_text, content_text, content_type, model_used,
+                   created_at + INTERVAL 1 SECOND AS created_at FROM user_texts WHERE content_type = 'summary'),
+u AS (SELECT * FROM user_texts UNION ALL SELECT * FROM batch)
+SELECT id, user_id, content_type, model_used, created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, input_text, content_text, content_type, model_used
+                               ORDER BY created_at, id) AS rn FROM u) z
+WHERE rn = 1""",
+    ),
+)
+def q_dedup_append(spark, d):
+    """H8: idempotent append — re-saved rows collapse onto the earliest."""
+    t = V.user_texts(spark, d)
+    keys = ["user_id", "input_text", "content_text", "content_type", "model_used"]
+    out = CH.dedup_append(t, _rerun_batch(t), keys, ["created_at", "id"])
+    return out.select("id", "user_id", "content_type", "model_used", "created_at")
