@@ -316,11 +316,11 @@ def fill_levels(rows: DataFrame, key: str, text_col: str = "original", generator
     src = F.col(text_col)
     gx = x.select("_lk", key, "level", text_col).join(g, "_lk")
     gx = gx.withColumn("_first", F.element_at(X.clean_candidates(F.array(F.coalesce("_g", F.lit(""))), src), 1))
-    wide = gx.groupBy(key).pivot("level", S.LEVELS).agg(F.first("_first"), F.first("_err"))
+    wide = gx.groupBy(key).pivot("level", S.LEVELS).agg(F.first("_first").alias("g"), F.first("_err").alias("e"))
     out = [F.col(key)]
     for level in S.LEVELS:
-        out.append(F.col(f"{level}_first(_first)").alias(f"generated_{level}"))
-        out.append(F.col(f"{level}_first(_err)").alias(f"error_{level}"))
+        out.append(F.col(f"{level}_g").alias(f"generated_{level}"))
+        out.append(F.col(f"{level}_e").alias(f"error_{level}"))
     return wide.select(*out)
 
 

@@ -1,3 +1,186 @@
-"""Registered queries."""
+"""Registered generation-orchestration queries (K1-K8, K10) and oracles.
+
+The generator is the deterministic extractive stand-in (see
+``operators.generate``); the oracles re-implement it in SQL.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schemas as S
+from ..operators import generate as G
+from ..sources import views as V
+from ..sources.tables import read_table
+from ..sources.views import with_views
+from . import sqlgen as Q
+from .registry import register
+
+_MX, _MN = S.DEFAULT_SUMMARY_PARAMS[0], S.DEFAULT_SUMMARY_PARAMS[1]
+_CH = S.CHUNK_TOKENS
+
+
+def _docs(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", "text")
+
+
+@register("chunks", Q.chunks_sql("documents", "doc_id", "text", _CH))
+def q_chunks(spark, d):
+    """K1: 512-token chunks of every document, in order."""
+    c = G.chunk(_docs(spark, d), "doc_id", "text")
+    return c.select("doc_id", F.col("chunk_no").cast("long"), "chunk_text", F.col("n_tokens").cast("long"))
+
+
+@register(
+    "chunk_merge",
+    f"""WITH c AS ({Q.chunks_sql("documents", "doc_id", "text", _CH)})
+SELECT doc_id, string_agg(chunk_text, ' ' ORDER BY chunk_no) AS merged FROM c GROUP BY doc_id""",
+)
+def q_chunk_merge(spark, d):
+    """K3: chunks merged back in chunk order (equals the whitespace-normalised text)."""
+    c = G.chunk(_docs(spark, d), "doc_id", "text")
+    return G.merge_ordered(c, "doc_id", "chunk_no", "chunk_text", "merged")
+
+
+_CHUNK_SUM_SQL = f"""WITH c AS ({Q.chunks_sql("documents", "doc_id", "text", _CH)}),
+cs AS (SELECT doc_id * 100000 + chunk_no AS ck, doc_id, chunk_no, chunk_text, {_MX} AS mx, {_MN} AS mn FROM c),
+{Q.extractive_ctes("cs", "ck", "chunk_text", "mx", "mn", "e1")}"""
+
+
+@register(
+    "chunk_summaries",
+    _CHUNK_SUM_SQL + "\nSELECT cs.doc_id, cs.chunk_no, o.generated AS summary FROM cs JOIN e1_out o ON o.ck = cs.ck",
+)
+def q_chunk_summaries(spark, d):
+    """K2: the (extractive) generator on every chunk, long-summary lengths."""
+    c = G.chunk(_docs(spark, d), "doc_id", "text").withColumn("ck", F.col("doc_id") * 100000 + F.col("chunk_no"))
+    g = G.extractive(c.select("ck", "chunk_text"), "ck", "chunk_text", _MX, _MN, "summary")
+    return c.select("ck", "doc_id", F.col("chunk_no").cast("long")).join(g, "ck").drop("ck")
+
+
+def _long_sql(src_docs: str, mx: int, mn: int, p: str) -> str:
+    """CTEs ending in ``{p}_final(doc_id, summary)`` for documents in
+    ``src_docs`` (doc_id, text)."""
+    return f"""{p}_c AS ({Q.chunks_sql(src_docs, "doc_id", "text", _CH)}),
+{p}_cs AS (SELECT doc_id * 100000 + chunk_no AS ck, doc_id, chunk_no, chunk_text, {mx} AS mx, {mn} AS mn FROM {p}_c),
+{Q.extractive_ctes(f"{p}_cs", "ck", "chunk_text", "mx", "mn", f"{p}_e1")},
+{p}_m AS (SELECT cs.doc_id, string_agg(o.generated, ' ' ORDER BY cs.chunk_no) AS merged, {mx} AS mx, {mn} AS mn
+          FROM {p}_cs cs JOIN {p}_e1_out o ON o.ck = cs.ck GROUP BY cs.doc_id),
+{Q.extractive_ctes(f"{p}_m", "doc_id", "merged", "mx", "mn", f"{p}_e2")},
+{p}_j AS (SELECT d.doc_id, coalesce(o.generated, '') AS g FROM {src_docs} d LEFT JOIN {p}_e2_out o ON o.doc_id = d.doc_id),
+{Q.strip_prefixes_ctes(f"{p}_j", "doc_id", "g", S.UNWANTED_PREFIXES, f"{p}_x")},
+{p}_final AS (SELECT doc_id, s AS summary FROM {p}_x_p{len(S.UNWANTED_PREFIXES)})"""
+
+
+@register("long_summary", "WITH " + _long_sql("documents", _MX, _MN, "ls") + "\nSELECT doc_id, summary FROM ls_final")
+def q_long_summary(spark, d):
+    """K1 -> K2 -> K3 -> K4 -> I5 over every document (default lengths)."""
+    return G.summarize(_docs(spark, d), "doc_id", "text")
+
+
+_MED = [p for p in S.SUMMARY_PRESETS if p[0] == "medium"][0]
+
+
+def _direct_sql(src_docs: str, mx: int, mn: int, p: str) -> str:
+    return f"""{p}_in AS (SELECT doc_id, text, {mx} AS mx, {mn} AS mn FROM {src_docs}),
+{Q.extractive_ctes(f"{p}_in", "doc_id", "text", "mx", "mn", f"{p}_e")},
+{Q.strip_prefixes_ctes(f"{p}_e_out", "doc_id", "generated", S.UNWANTED_PREFIXES, f"{p}_x")},
+{p}_final AS (SELECT doc_id, s AS summary FROM {p}_x_p{len(S.UNWANTED_PREFIXES)})"""
+
+
+_NW = Q.words("text")
+
+
+@register(
+    "summary_route",
+    f"""WITH r AS (SELECT doc_id, text, CASE WHEN len({_NW}) < 500 THEN 'direct' ELSE 'long' END AS path FROM documents),
+rd AS (SELECT doc_id, text FROM r WHERE path = 'direct'),
+rl AS (SELECT doc_id, text FROM r WHERE path = 'long'),
+{_direct_sql("rd", _MED[1], _MED[2], "dr")},
+{_long_sql("rl", _MED[1], _MED[2], "lg")}
+SELECT r.doc_id, r.path, s.summary FROM r JOIN (SELECT * FROM dr_final UNION ALL SELECT * FROM lg_final) s ON s.doc_id = r.doc_id""",
+)
+def q_summary_route(spark, d):
+    """K5: route each document (medium preset) to the direct or the chunked path."""
+    return G.route_summaries(_docs(spark, d), "doc_id", "text", _MED[1], _MED[2])
+
+
+def _sweep_sql() -> str:
+    parts, ctes = [], []
+    for name, mx, mn, _lp, _nb in S.SUMMARY_PRESETS:
+        if name == "long":
+            ctes.append(f"swd_{name} AS (SELECT doc_id, text FROM documents WHERE len({_NW}) <= {_CH})")
+            ctes.append(f"swl_{name} AS (SELECT doc_id, text FROM documents WHERE len({_NW}) > {_CH})")
+            ctes.append(_direct_sql(f"swd_{name}", mx, mn, f"sw_{name}"))
+            ctes.append(_long_sql(f"swl_{name}", mx, mn, f"sw_{name}_l"))
+            parts.append(f"SELECT doc_id, '{name}' AS preset, summary FROM sw_{name}_final")
+            parts.append(f"SELECT doc_id, '{name}' AS preset, summary FROM sw_{name}_l_final")
+        else:
+            ctes.append(_direct_sql("documents", mx, mn, f"sw_{name}"))
+            parts.append(f"SELECT doc_id, '{name}' AS preset, summary FROM sw_{name}_final")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("preset_sweep", _sweep_sql())
+def q_preset_sweep(spark, d):
+    """Every document under the short / medium / long presets."""
+    return G.preset_sweep(_docs(spark, d), "doc_id", "text")
+
+
+def _clean_first(g: str, src: str) -> str:
+    sg = Q.strip(g)
+    return f"CASE WHEN lower({sg}) <> lower({src}) THEN {sg} ELSE {src} END"
+
+
+@register(
+    "fill_levels",
+    with_views(
+        ["eval_pairs"],
+        f""", fin AS (SELECT pid, coalesce(original, '') AS original, {S.BATCH_FILL_MAX_NEW_TOKENS} AS mx, 0 AS mn FROM eval_pairs),
+{Q.extractive_ctes("fin", "pid", "original", "mx", "mn", "fe")},
+f1 AS (SELECT f.pid, {_clean_first("o.generated", "f.original")} AS g FROM fin f JOIN fe_out o ON o.pid = f.pid)
+SELECT pid, g AS generated_conservative, g AS generated_balanced, g AS generated_creative FROM f1""",
+    ),
+)
+def q_fill_levels(spark, d):
+    """K6 + K7: each evaluation row x 3 levels, first cleaned candidate,
+    pivoted to wide columns (stand-in generator)."""
+    rows = V.eval_pairs(spark, d).select("pid", F.coalesce("original", F.lit("")).alias("original"))
+    w = G.fill_levels(rows, "pid", "original")
+    return w.select("pid", *[f"generated_{lvl}" for lvl in S.LEVELS])
+
+
+_PRESET_CASE = lambda field, idx: (
+    "CASE level "
+    + " ".join(f"WHEN '{p[0]}' THEN CAST({p[idx]} AS DOUBLE)" for p in S.LEVEL_PRESETS)
+    + f" ELSE CAST({[p for p in S.LEVEL_PRESETS if p[0] == S.DEFAULT_LEVEL][0][idx]} AS DOUBLE) END AS {field}"
+)
+
+
+@register(
+    "paraphrase_response",
+    with_views(
+        ["requests"],
+        f""", v AS (SELECT rid, text, level, model_name, {S.REQUEST_DEFAULT_MAX_NEW_TOKENS} AS mx, 0 AS mn FROM requests
+           WHERE length(text) >= 3 AND {Q.strip('text')} <> ''),
+{Q.extractive_ctes("v", "rid", "text", "mx", "mn", "pe")}
+SELECT v.rid, {_clean_first("o.generated", "v.text")} AS paraphrase, CAST(1 AS INTEGER) AS n_paraphrases,
+       v.model_name, v.level, {_PRESET_CASE("temperature", 1)}, {_PRESET_CASE("top_p", 2)},
+       {_PRESET_CASE("repetition_penalty", 3)}, CAST({S.REQUEST_DEFAULT_MAX_NEW_TOKENS} AS INTEGER) AS max_new_tokens
+FROM v JOIN pe_out o ON o.rid = v.rid""",
+    ),
+)
+def q_paraphrase_response(spark, d):
+    """K8: request rows -> response rows (stand-in generator)."""
+    r = G.paraphrase_response(V.requests(spark, d), "rid")
+    return r.select(
+        "rid",
+        F.element_at("paraphrases", 1).alias("paraphrase"),
+        F.size("paraphrases").alias("n_paraphrases"),
+        "model_name",
+        "level",
+        F.col("generation_params.temperature").alias("temperature"),
+        F.col("generation_params.top_p").alias("top_p"),
+        F.col("generation_params.repetition_penalty").alias("repetition_penalty"),
+        F.col("generation_params.max_new_tokens").alias("max_new_tokens"),
+    )

@@ -80,3 +80,49 @@ def lcs_ctes(src: str, key: str, prefix: str) -> str:
   )
   SELECT {key}, max_by(row[len(row)], i) AS lcs FROM dp GROUP BY {key}
 )"""
+
+
+def extractive_ctes(src: str, key: str, text: str, mx: str, mn: str, prefix: str) -> str:
+    """CTE ``{prefix}_out(key, generated)``: the extractive stand-in
+    generator, for ``src`` with columns key, text, mx, mn."""
+    p = prefix
+    sent = "regexp_extract_all(coalesce(" + text + ", ''), '[^.!?]+[.!?]*')"
+    return f"""{p}_s0 AS (SELECT {key}, {mx} AS mx, {mn} AS mn, {sent} AS ss FROM {src}),
+{p}_s1 AS (SELECT {key}, mx, mn, i AS sp, {strip('ss[i]')} AS s
+           FROM (SELECT {key}, mx, mn, ss, unnest(range(1, len(ss) + 1)) AS i FROM {p}_s0) z),
+{p}_s2 AS (SELECT *, len({words('s')}) AS nw FROM {p}_s1 WHERE s <> ''),
+{p}_w AS (SELECT {key}, sp, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM {p}_s2),
+{p}_f AS (SELECT {key}, w, count(*) AS f FROM {p}_w GROUP BY {key}, w),
+{p}_sc AS (SELECT a.{key}, a.sp, avg(b.f) AS score FROM {p}_w a JOIN {p}_f b ON b.{key} = a.{key} AND b.w = a.w
+           GROUP BY a.{key}, a.sp),
+{p}_r AS (SELECT s.*, coalesce(sc.score, 0.0) AS score FROM {p}_s2 s
+          LEFT JOIN {p}_sc sc ON sc.{key} = s.{key} AND sc.sp = s.sp),
+{p}_k AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, sp) AS rk,
+                 sum(nw) OVER (PARTITION BY {key} ORDER BY score DESC, sp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+          FROM {p}_r),
+{p}_g AS (SELECT {key}, string_agg(s, ' ' ORDER BY sp) AS g FROM {p}_k WHERE rk = 1 OR cum <= mx OR cum - nw < mn GROUP BY {key}),
+{p}_out AS (SELECT q.{key}, coalesce(g.g, '') AS generated FROM {src} q LEFT JOIN {p}_g g ON g.{key} = q.{key})"""
+
+
+def strip_prefixes_ctes(src: str, key: str, col: str, prefixes: list[str], prefix: str) -> str:
+    """CTE chain ending in ``{prefix}_p{len(prefixes)}`` (key, s): the
+    unwanted-prefix clean-up of ``col``, one step per prefix."""
+    ctes = [f"{prefix}_p0 AS (SELECT {key}, {col} AS s FROM {src})"]
+    for i, pre in enumerate(prefixes):
+        rest = strip(f"substring(s, {len(pre) + 1}, 1073741824)")
+        ctes.append(
+            f"""{prefix}_p{i + 1} AS (SELECT {key}, CASE WHEN starts_with(lower(s), '{pre}') THEN
+      CASE WHEN starts_with(r, ':') OR starts_with(r, '-') THEN {strip('substring(r, 2, 1073741824)')} ELSE r END
+    ELSE s END AS s FROM (SELECT {key}, s, {rest} AS r FROM {prefix}_p{i}) z)"""
+        )
+    return ",\n".join(ctes)
+
+
+def chunks_sql(src: str, key: str, text: str, size: int) -> str:
+    """Chunks of at most ``size`` whitespace tokens: key, chunk_no (0-based),
+    chunk_text, n_tokens."""
+    w = words(text)
+    return f"""SELECT {key}, CAST(i AS BIGINT) AS chunk_no, array_to_string(w[i * {size} + 1:(i + 1) * {size}], ' ') AS chunk_text,
+       CAST(len(w[i * {size} + 1:(i + 1) * {size}]) AS BIGINT) AS n_tokens
+FROM (SELECT {key}, w, unnest(range(0, CAST(ceil(len(w) / {float(size)}) AS BIGINT))) AS i
+      FROM (SELECT {key}, {w} AS w FROM {src}) a) b"""
