@@ -32,9 +32,12 @@ def strip_lower(c: str | Column) -> Column:
     return F.lower(strip_ws(c))
 
 
+NON_WS = "[^" + WS[1:-1] + "]"
+
+
 def words(c: str | Column) -> Column:
-    """``str.split()`` — whitespace tokens, no empty strings."""
-    return F.filter(F.split(F.coalesce(_c(c), F.lit("")), f"{WS}+"), lambda x: x != "")
+    """``str.split()`` — the runs of non-whitespace characters."""
+    return F.regexp_extract_all(F.coalesce(_c(c), F.lit("")), F.lit(f"{NON_WS}+"), 0)
 
 
 def word_count(c: str | Column) -> Column:
@@ -58,18 +61,26 @@ def preview(c: str | Column, n: int = S.PREVIEW_CHARS) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
-def _drop_prefix_once(s: Column, prefix: str) -> Column:
-    n = len(prefix)
-    rest = strip_ws(F.substring(s, n + 1, 1 << 30))
-    rest = F.when(rest.startswith(":") | rest.startswith("-"), strip_ws(F.substring(rest, 2, 1 << 30))).otherwise(rest)
-    return F.when(F.lower(s).startswith(prefix), rest).otherwise(s)
+def prefix_step_pattern(prefix: str) -> str:
+    """One clean-up step as a single anchored regex: the prefix (any case),
+    whitespace, at most one ':' or '-', whitespace, then the rest without
+    trailing whitespace (group 1).  Equivalent to: if ``s.lower()`` starts
+    with the prefix, ``s = s[len(p):].strip()``, then drop one leading ':'
+    or '-' and strip again."""
+    lit = "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in prefix)
+    return f"(?s)^(?iu:{lit}){WS}*(?:[:\\-]{WS}*)?(.*?){WS}*\\z"
 
 
 def strip_unwanted_prefixes(c: str | Column) -> Column:
     """Remove 'conclusion:', 'conclusion', 'summary:', 'summary',
     'in conclusion' — in that order, once each, case-insensitive, not word
-    bounded; after a hit strip, then drop one leading ':' or '-' and strip."""
-    return reduce(_drop_prefix_once, S.UNWANTED_PREFIXES, _c(c))
+    bounded; after a hit strip, then drop one leading ':' or '-' and strip.
+    Five chained anchored regex replacements; a step that does not match
+    leaves the text unchanged."""
+    out = _c(c)
+    for p in S.UNWANTED_PREFIXES:
+        out = F.regexp_replace(out, prefix_step_pattern(p), "$1")
+    return out
 
 
 def banned_hits(c: str | Column) -> Column:

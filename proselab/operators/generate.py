@@ -7,9 +7,9 @@ prefix clean-up, level presets and candidate clean-up.
 
 Generation itself is pluggable:
 
-* ``generator=None`` uses a deterministic **extractive stand-in** written
-  with Spark operators only (sentence scoring by in-chunk word frequency).
-  It is labelled as such and is not comparable to neural output.
+* ``generator=None`` uses a deterministic **extractive stand-in**
+  (sentence scoring by in-text word frequency), run per text like a model
+  call.  It is labelled as such and is not comparable to neural output.
 * a user ``Generator`` (``pandas.DataFrame -> pandas.DataFrame``) runs
   through ``mapInPandas``: Arrow batches, the model loaded once per Python
   worker, one output row per input row, failures captured per row (K9).
@@ -21,10 +21,12 @@ that spread across tasks.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,20 +104,23 @@ def generation_params(
 
 
 # --------------------------------------------------------------- chunking --
+_NWS = "[^" + X.WS[1:-1] + "]"
+
+
+def chunk_pattern(max_tokens: int) -> str:
+    """Regex matching up to ``max_tokens`` consecutive whitespace tokens."""
+    return f"(?:{_NWS}+{X.WS}+){{0,{max_tokens - 1}}}{_NWS}+"
+
+
 def chunk(df: DataFrame, key: str, text_col: str, max_tokens: int = S.CHUNK_TOKENS) -> DataFrame:
     """K1: consecutive, non-overlapping chunks of at most ``max_tokens``
-    whitespace tokens (last may be short; empty text -> no chunk).
-    Output: key, chunk_no (0-based), chunk_text, n_tokens."""
-    w = X.words(text_col)
-    n = F.size(w)
-    idx = F.when(n > 0, F.sequence(F.lit(0), F.ceil(n / F.lit(max_tokens)).cast("int") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    pieces = F.transform(idx, lambda i: F.slice(w, i * max_tokens + 1, max_tokens))
-    return (
-        df.select(key, F.posexplode(pieces).alias("chunk_no", "toks"))
-        .select(key, "chunk_no", F.array_join("toks", " ").alias("chunk_text"), F.size("toks").alias("n_tokens"))
-    )
+    whitespace tokens (last may be short; empty text -> no chunk), tokens
+    re-joined with one space.  One regex pass over the text per row, no
+    shuffle.  Output: key, chunk_no (0-based), chunk_text, n_tokens."""
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(chunk_pattern(max_tokens)), 0)
+    x = df.select(key, F.posexplode(pieces).alias("chunk_no", "_raw"))
+    x = x.withColumn("chunk_text", F.regexp_replace("_raw", f"{X.WS}+", " "))
+    return x.select(key, "chunk_no", "chunk_text", F.size(F.split("chunk_text", " ")).alias("n_tokens"))
 
 
 def merge_ordered(parts: DataFrame, key: str, pos: str, text_col: str, out: str = "merged") -> DataFrame:
@@ -127,80 +132,124 @@ def merge_ordered(parts: DataFrame, key: str, pos: str, text_col: str, out: str
 
 
 # ------------------------------------------------ extractive stand-in (K2) --
-def extractive(df: DataFrame, key: str, text_col: str, max_len: str | int, min_len: str | int, out: str = "generated") -> DataFrame:
-    """Deterministic extractive stand-in for the neural generator.
-
-    Sentences (``[^.!?]+[.!?]*`` pieces, stripped, non-empty) are scored by
-    the mean in-text frequency of their lower-case ``[a-z0-9]+`` words,
-    ranked by (score desc, position asc); the top sentence is always kept,
-    then every sentence whose running word total (by rank) stays within
-    ``max_len`` or whose preceding total is still below ``min_len``.  Kept
-    sentences are joined in original order.  ``max_len``/``min_len`` are
-    column names or ints.  Rows with no sentence give ''.
-
-    One row of ``df`` per ``key`` (callers pass chunk ids or document ids).
-    """
+_SENT_RE = re.compile(SENTENCE)
+_TOKEN_RE = re.compile(SCORE_TOKEN)
+
+
+def extract_summary(text: str | None, max_len: int, min_len: int) -> str:
+    """The stand-in generator for one text (plain Python, a few lines).
+
+    Sentences are the ``[^.!?]+[.!?]*`` pieces, stripped, non-empty.  Each
+    is scored by the mean in-text frequency of its lower-case ``[a-z0-9]+``
+    words (0 without words) and ranked by (score desc, position asc).  The
+    top sentence is always kept, then every sentence whose running word
+    count (``str.split``) by rank stays within ``max_len`` or whose
+    preceding total is below ``min_len``.  Kept sentences are joined in
+    text order with one space; no sentence gives ''."""
+    sents = [s.strip() for s in _SENT_RE.findall(text or "")]
+    sents = [(i, s) for i, s in enumerate(sents) if s]
+    if not sents:
+        return ""
+    toks = [_TOKEN_RE.findall(s.lower()) for _, s in sents]
+    freq = Counter(t for ts in toks for t in ts)
+    scored = [
+        (-(sum(freq[t] for t in ts) / len(ts)) if ts else 0.0, i, s)
+        for (i, s), ts in zip(sents, toks)
+    ]
+    scored.sort(key=lambda x: (x[0], x[1]))
+    keep, total = [], 0
+    for rank, (_neg, i, s) in enumerate(scored, 1):
+        n = len(s.split())
+        before, total = total, total + n
+        if rank == 1 or total <= max_len or before < min_len:
+            keep.append((i, s))
+    keep.sort()
+    return " ".join(s for _, s in keep)
+
+
+@F.pandas_udf(T.StringType())
+def _extractive_udf(text: pd.Series, max_len: pd.Series, min_len: pd.Series) -> pd.Series:
+    return pd.Series(
+        [extract_summary(t, int(mx), int(mn)) for t, mx, mn in zip(text, max_len, min_len)], dtype=object
+    )
+
+
+def extractive(
+    df: DataFrame, key: str | list[str], text_col: str, max_len: str | int, min_len: str | int, out: str = "generated"
+) -> DataFrame:
+    """Run the deterministic extractive stand-in generator on each row.
+
+    Like a model call it is per text: an Arrow-batched pandas UDF, rows stay
+    in their partitions (no shuffle, no explode).  ``key`` names the
+    column(s) passed through; ``max_len``/``min_len`` are column names or
+    ints.  One output row per input row."""
+    keys = [key] if isinstance(key, str) else list(key)
     mx = F.col(max_len) if isinstance(max_len, str) else F.lit(max_len)
     mn = F.col(min_len) if isinstance(min_len, str) else F.lit(min_len)
-    base = df.select(F.col(key).alias("_key"), F.col(text_col).alias("_t"), mx.alias("_mx"), mn.alias("_mn"))
-    sents = (
-        base.select("_key", "_mx", "_mn", F.posexplode(F.regexp_extract_all(F.coalesce("_t", F.lit("")), F.lit(SENTENCE), 0)).alias("_sp", "_s"))
-        .withColumn("_s", X.strip_ws("_s"))
-        .filter(F.col("_s") != "")
-    )
-    toks = F.regexp_extract_all(F.lower("_s"), F.lit(SCORE_TOKEN), 0)
-    sents = sents.withColumn("_nw", X.word_count("_s"))
-    sw = sents.select("_key", "_sp", F.explode(toks).alias("_w"))
-    freq = sw.groupBy("_key", "_w").agg(F.count(F.lit(1)).alias("_f"))
-    score = sw.join(freq, ["_key", "_w"]).groupBy("_key", "_sp").agg(F.avg("_f").alias("_score"))
-    s = sents.join(score, ["_key", "_sp"], "left").withColumn("_score", F.coalesce("_score", F.lit(0.0)))
-    by_rank = Window.partitionBy("_key").orderBy(F.col("_score").desc(), F.col("_sp"))
-    s = s.withColumn("_rk", F.row_number().over(by_rank)).withColumn(
-        "_cum", F.sum("_nw").over(by_rank.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    keep = (F.col("_rk") == 1) | (F.col("_cum") <= F.col("_mx")) | ((F.col("_cum") - F.col("_nw")) < F.col("_mn"))
-    picked = merge_ordered(s.filter(keep), "_key", "_sp", "_s", "_g")
-    return (
-        base.join(picked, "_key", "left")
-        .select(F.col("_key").alias(key), F.coalesce("_g", F.lit("")).alias(out))
-    )
+    return df.select(*keys, _extractive_udf(F.col(text_col), mx.cast("int"), mn.cast("int")).alias(out))
 
 
 def run_generator(
-    df: DataFrame, key: str, text_col: str, generator: Generator, params_cols: list[str], out: str = "generated"
+    df: DataFrame, key: str, text_col: str, generator: Generator, params_cols: list[str], out: str = "generated",
+    passthrough: tuple[str, ...] | list[str] = (),
 ) -> DataFrame:
-    """Run a user generator with ``mapInPandas``.  The generator receives a
-    pandas frame (key, text, params...) and returns (key, candidates
-    list[str], error str|None).  Exceptions are caught per batch and turned
-    into per-row errors (K9) instead of failing the job."""
+    """Run a user generator with ``mapInPandas``.
+
+    The generator gets a pandas frame (key, text, params..., passthrough...)
+    and returns a frame with ``candidates`` (list[str]) and ``error``
+    (str or None), one row per input row in the same order; the input
+    columns are carried over, so no join back is needed.  An exception is
+    turned into a per-row error for the batch (K9) instead of failing the
+    job.  ``out`` is the first candidate."""
+    cols = list(dict.fromkeys([key, text_col, *params_cols, *passthrough]))
+    src = df.select(*cols)
     schema = T.StructType(
-        [
-            df.schema[key],
+        list(src.schema.fields)
+        + [
             T.StructField("candidates", T.ArrayType(T.StringType()), True),
             T.StructField("error", T.StringType(), True),
         ]
     )
-    cols = [key, text_col, *params_cols]
 
     def _apply(batches):
         for pdf in batches:
+            res = pdf.copy()
             try:
-                res = generator(pdf)
-                yield res[[key, "candidates", "error"]]
+                g = generator(pdf)
+                res["candidates"] = list(g["candidates"])
+                res["error"] = list(g["error"]) if "error" in g else [None] * len(pdf)
             except Exception as e:  # noqa: BLE001 - per-row failure capture
-                yield pd.DataFrame({key: pdf[key], "candidates": [None] * len(pdf), "error": [f"{type(e).__name__}: {e}"] * len(pdf)})
+                res["candidates"] = [None] * len(pdf)
+                res["error"] = [f"{type(e).__name__}: {e}"] * len(pdf)
+            yield res
 
-    g = df.select(*cols).mapInPandas(_apply, schema)
-    return g.withColumn(out, F.element_at("candidates", 1))
+    return src.mapInPandas(_apply, schema).withColumn(out, F.element_at("candidates", 1))
 
 
-def _generate(df, key, text_col, max_len, min_len, generator, params_cols, out):
+def _generate(df, key, text_col, max_len, min_len, generator, params_cols, out, passthrough=()):
     if generator is None:
-        return extractive(df, key, text_col, max_len, min_len, out)
-    return run_generator(df, key, text_col, generator, params_cols, out).select(key, out)
+        return extractive(df, [key, *passthrough], text_col, max_len, min_len, out)
+    g = run_generator(df, key, text_col, generator, params_cols, out, passthrough)
+    return g.select(key, *passthrough, out)
 
 
 # ------------------------------------------------------------ long paths --
+def _empty_docs(docs: DataFrame, key: str, text_col: str, out: str) -> DataFrame:
+    """Documents without a single token produce no chunk; they get ''."""
+    return docs.filter(X.word_count(text_col) == 0).select(key, F.lit("").alias(out))
+
+
+def _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, out):
+    """K1 -> K2 -> K3: chunk, generate per chunk (rows stay where the
+    document was read: no shuffle), merge per document in chunk order (one
+    shuffle of the short chunk outputs)."""
+    ch = chunk(docs, key, text_col, chunk_tokens).withColumn(
+        "_cid", F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_no").cast("string"))
+    )
+    per_chunk = _generate(ch, "_cid", "chunk_text", max_len, min_len, generator, [], "_cg", passthrough=(key, "chunk_no"))
+    return merge_ordered(per_chunk, key, "chunk_no", "_cg", out)
+
+
 def summarize(
     docs: DataFrame,
     key: str,
@@ -213,15 +262,10 @@ def summarize(
     """K1 -> K2 -> K3 -> K4 -> I5 for every document: chunk, generate per
     chunk, merge in chunk order, generate again over the merged text, strip
     the unwanted prefixes.  Output: key, summary."""
-    ch = chunk(docs, key, text_col, chunk_tokens).withColumn(
-        "_cid", F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_no").cast("string"))
-    )
-    per_chunk = _generate(ch.select("_cid", "chunk_text"), "_cid", "chunk_text", max_len, min_len, generator, [], "_cs")
-    ch = ch.select(key, "chunk_no", "_cid").join(per_chunk, "_cid")
-    merged = merge_ordered(ch, key, "chunk_no", "_cs", "_merged")
+    merged = _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, "_merged")
     final = _generate(merged, key, "_merged", max_len, min_len, generator, [], "_final")
-    return docs.select(key).join(final, key, "left").select(
-        key, X.strip_unwanted_prefixes(F.coalesce("_final", F.lit(""))).alias("summary")
+    return final.select(key, X.strip_unwanted_prefixes("_final").alias("summary")).unionByName(
+        _empty_docs(docs, key, text_col, "summary")
     )
 
 
@@ -235,27 +279,20 @@ def paraphrase_long(
     chunk_tokens: int = S.CHUNK_TOKENS,
 ) -> DataFrame:
     """K1 -> K2 -> K3 for paraphrases (no second pass)."""
-    ch = chunk(docs, key, text_col, chunk_tokens).withColumn(
-        "_cid", F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_no").cast("string"))
-    )
-    per_chunk = _generate(ch.select("_cid", "chunk_text"), "_cid", "chunk_text", max_len, min_len, generator, [], "_cp")
-    ch = ch.select(key, "chunk_no", "_cid").join(per_chunk, "_cid")
-    merged = merge_ordered(ch, key, "chunk_no", "_cp", "paraphrase")
-    return docs.select(key).join(merged, key, "left").select(key, F.coalesce("paraphrase", F.lit("")).alias("paraphrase"))
+    merged = _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, "paraphrase")
+    return merged.unionByName(_empty_docs(docs, key, text_col, "paraphrase"))
 
 
 def route_summaries(docs: DataFrame, key: str, text_col: str, max_len: int, min_len: int, generator: Generator | None = None) -> DataFrame:
     """K5: direct generation under 500 words, the long path otherwise;
-    two filtered branches unioned, with the path taken."""
-    n = X.word_count(text_col)
-    tagged = docs.select(key, text_col, X.summary_route(n).alias("path"))
+    two filtered branches unioned, each carrying the path taken."""
+    tagged = docs.select(key, text_col, X.summary_route(X.word_count(text_col)).alias("path"))
     direct = tagged.filter(F.col("path") == "direct")
-    d_out = _generate(direct, key, text_col, max_len, min_len, generator, [], "_g").select(
-        key, X.strip_unwanted_prefixes("_g").alias("summary")
+    d_out = _generate(direct, key, text_col, max_len, min_len, generator, [], "_g", passthrough=("path",)).select(
+        key, "path", X.strip_unwanted_prefixes("_g").alias("summary")
     )
     long_out = summarize(tagged.filter(F.col("path") == "long"), key, text_col, max_len, min_len, generator)
-    res = d_out.unionByName(long_out)
-    return tagged.select(key, "path").join(res, key, "left")
+    return d_out.unionByName(long_out.withColumn("path", F.lit("long")).select(key, "path", "summary"))
 
 
 def preset_sweep(docs: DataFrame, key: str, text_col: str, generator: Generator | None = None) -> DataFrame:
@@ -278,10 +315,9 @@ def preset_sweep(docs: DataFrame, key: str, text_col: str, generator: Generator
         ((F.col("p.preset") == "long") & (X.word_count(text_col) > S.CHUNK_TOKENS)).alias("_long"),
     )
     short_side = x.filter(~F.col("_long"))
-    direct = _generate(short_side, "_sk", text_col, "max_len", "min_len", generator, [], "_g")
-    out_direct = short_side.select("_sk", key, "preset").join(direct, "_sk").select(
-        key, "preset", X.strip_unwanted_prefixes("_g").alias("summary")
-    )
+    out_direct = _generate(
+        short_side, "_sk", text_col, "max_len", "min_len", generator, [], "_g", passthrough=(key, "preset")
+    ).select(key, "preset", X.strip_unwanted_prefixes("_g").alias("summary"))
     long_side = x.filter(F.col("_long"))
     mx, mn = [(m, n) for p, m, n, _a, _b in S.SUMMARY_PRESETS if p == "long"][0]
     out_long = summarize(long_side.select(key, text_col), key, text_col, mx, mn, generator).withColumn(
@@ -297,25 +333,27 @@ def expand_levels(df: DataFrame) -> DataFrame:
 
 
 def fill_levels(rows: DataFrame, key: str, text_col: str = "original", generator: Generator | None = None) -> DataFrame:
-    """K6/K7: each row x 3 levels -> first candidate -> wide columns
+    """K6/K7: each row x 3 levels -> first cleaned candidate -> wide columns
     ``generated_<level>`` (pivot with the level list given, so no extra
-    pass to discover values).  Failed generations are kept in
+    pass to discover values).  Failed generations keep their message in
     ``error_<level>`` and leave the text NULL (K9)."""
     x = expand_levels(rows.select(key, text_col))
     x = generation_params(x, "level", None, None, S.BATCH_FILL_N, S.BATCH_FILL_MAX_NEW_TOKENS)
     x = x.withColumn("_lk", F.concat_ws(":", F.col(key).cast("string"), F.col("level")))
     x = x.withColumn("_mx", F.col("gp.max_new_tokens")).withColumn("_mn", F.lit(0))
     if generator is None:
-        g = extractive(x.select("_lk", text_col, "_mx", "_mn"), "_lk", text_col, "_mx", "_mn", "_g").withColumn(
-            "_err", F.lit(None).cast("string")
-        )
+        g = extractive(x, ["_lk", key, "level", text_col], text_col, "_mx", "_mn", "_g").withColumn(
+            "_cands", F.array("_g")
+        ).withColumn("_err", F.lit(None).cast("string"))
     else:
-        g = run_generator(x.select("_lk", text_col, "gp"), "_lk", text_col, generator, ["gp"], "_g").select(
-            "_lk", "_g", F.col("error").alias("_err")
+        g = run_generator(x, "_lk", text_col, generator, ["gp"], "_g", (key, "level")).select(
+            "_lk", key, "level", text_col, F.col("candidates").alias("_cands"), F.col("error").alias("_err")
         )
-    src = F.col(text_col)
-    gx = x.select("_lk", key, "level", text_col).join(g, "_lk")
-    gx = gx.withColumn("_first", F.element_at(X.clean_candidates(F.array(F.coalesce("_g", F.lit(""))), src), 1))
+    first = F.when(
+        F.col("_err").isNull(),
+        F.element_at(X.clean_candidates(F.coalesce("_cands", F.array().cast("array<string>")), F.col(text_col)), 1),
+    )
+    gx = g.withColumn("_first", first)
     wide = gx.groupBy(key).pivot("level", S.LEVELS).agg(F.first("_first").alias("g"), F.first("_err").alias("e"))
     out = [F.col(key)]
     for level in S.LEVELS:
@@ -330,16 +368,12 @@ def paraphrase_response(requests: DataFrame, key: str = "rid", generator: Genera
     valid, _rejected = split_valid(requests)
     p = generation_params(valid, "level")
     p = p.withColumn("_mx", F.col("gp.max_new_tokens")).withColumn("_mn", F.lit(0))
+    keep = (key, "text", "model_name", "level", "gp")
     if generator is None:
-        g = extractive(p.select(key, "text", "_mx", "_mn"), key, "text", "_mx", "_mn", "_g").select(
-            key, F.array("_g").alias("_cands")
-        )
+        g = extractive(p, list(keep), "text", "_mx", "_mn", "_g").withColumn("_cands", F.array("_g"))
     else:
-        g = run_generator(p.select(key, "text", "gp"), key, "text", generator, ["gp"]).select(
-            key, F.col("candidates").alias("_cands")
-        )
-    j = p.join(g, key)
-    return j.select(
+        g = run_generator(p, key, "text", generator, ["gp"], "_g", keep).withColumn("_cands", F.col("candidates"))
+    return g.select(
         key,
         X.clean_candidates(F.coalesce("_cands", F.array().cast("array<string>")), F.col("text")).alias("paraphrases"),
         "model_name",

@@ -24,17 +24,18 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..functions.stem import stem_tokens
 
-ROUGE_DROP = "[^a-z0-9]+"
+ROUGE_KEEP = "[a-z0-9]+"  # same tokens as: non [a-z0-9] -> space, split, drop empties
 BLEU_EPSILON = 0.1  # smoothing "method 1"
 BLEU_ORDERS = (1, 2, 3, 4)
 
 
 # ------------------------------------------------------------- tokenizers --
 def rouge_tokens(c: str | Column, stem: bool = False) -> Column:
-    """J1 (+J4): lower, non ``[a-z0-9]`` -> space, split, drop empties;
+    """J1 (+J4): lower, then the ``[a-z0-9]+`` runs (= replace the rest by
+    spaces and split, dropping empties);
     optionally Porter-stem tokens longer than 3 characters."""
     c = F.col(c) if isinstance(c, str) else c
-    toks = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), ROUGE_DROP, " "), " "), lambda x: x != "")
+    toks = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(ROUGE_KEEP), 0)
     return stem_tokens(toks) if stem else toks
 
 
