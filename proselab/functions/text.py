@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 
-# Python's whitespace set as a regex class (Java and RE2 both accept it).
-WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# Python's whitespace set (``str.isspace``) as a regex class.  Java's
+# ``Character.isWhitespace`` plus the four no-break / next-line spaces it
+# leaves out is exactly that set (checked over the whole BMP in the tests),
+# and one predicate per character is ~5x faster than a list of ranges.
+WS = r"[\p{javaWhitespace}\x{85}\x{a0}\x{2007}\x{202f}]"
+# The same set spelled as explicit code points, for regex engines without
+# ``\p{javaWhitespace}`` (the SQL oracles).
+WS_PORTABLE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def _c(c: str | Column) -> Column:
@@ -132,6 +138,7 @@ def fallback_text(generated: str | Column, original: str | Column) -> Column:
 
 
 INT_TEXT = f"^{WS}*[+-]?[0-9]+{WS}*$"
+INT_TEXT_PORTABLE = f"^{WS_PORTABLE}*[+-]?[0-9]+{WS_PORTABLE}*$"
 
 
 def lenient_int(c: str | Column, default: int = S.DEFAULT_AGE) -> Column:

@@ -34,10 +34,11 @@ def level_pairs(rows: DataFrame, key: str = "pid") -> DataFrame:
 
 
 def eval_rows(rows: DataFrame, key: str = "pid", stem: bool = True) -> DataFrame:
-    """Per-row scores by level (reference vs generated)."""
+    """Per-row scores by level (reference vs generated), the pair
+    columns carried through the scoring (no join back)."""
     p = level_pairs(rows, key)
-    scores = M.rouge_all(p, [key, "level"], "generated", "reference", stem)
-    return p.join(scores, [key, "level"])
+    s = M.score_pairs(p, [key, "level"], "generated", "reference", stem, keep=("original", "reference", "generated"))
+    return s.select(key, "level", "original", "reference", "generated", "rouge1_f", "rouge2_f", "rougeL_f")
 
 
 def level_summary(scored: DataFrame) -> DataFrame:
@@ -65,11 +66,12 @@ def level_summary(scored: DataFrame) -> DataFrame:
     )
 
 
-def first_match(inputs: DataFrame, key: str, text_col: str, dataset: DataFrame) -> DataFrame:
+def first_match(inputs: DataFrame, key: str, text_col: str, dataset: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """C4: each input matched to the FIRST dataset row (by ``ord``) whose
     stripped ``input_text`` equals the stripped input; unmatched inputs are
     kept with ``matched = false``.  The dataset side is reduced to one row
-    per stripped text with ``min_by`` (map-side combine) before the join."""
+    per stripped text with ``min_by`` (map-side combine) before the join.
+    ``keep`` input columns are carried through."""
     ds = (
         dataset.select("ord", "input_text", "target_text")
         .na.drop(subset=["input_text", "target_text"])
@@ -77,10 +79,11 @@ def first_match(inputs: DataFrame, key: str, text_col: str, dataset: DataFrame)
         .groupBy("_k")
         .agg(F.min_by(F.struct("ord", "target_text"), F.col("ord")).alias("_first"))
     )
-    i = inputs.select(key, text_col, X.strip_ws(F.coalesce(text_col, F.lit(""))).alias("_k"))
+    i = inputs.select(key, *keep, X.strip_ws(F.coalesce(text_col, F.lit(""))).alias("_k"))
     j = i.join(ds, "_k", "left")
     return j.select(
         key,
+        *keep,
         F.col("_first").isNotNull().alias("matched"),
         F.col("_first.ord").alias("dataset_ord"),
         F.col("_first.target_text").alias("reference"),
@@ -90,16 +93,17 @@ def first_match(inputs: DataFrame, key: str, text_col: str, dataset: DataFrame)
 def metric_card(texts: DataFrame, dataset: DataFrame, stem: bool = True) -> DataFrame:
     """J12 over ALL history rows at once: match each record's input to the
     dataset (C4), then BLEU-4 and ROUGE-1/2/L of reference vs the record's
-    generated text.  Unmatched records are reported with NULL scores, as the
-    reference refuses to score external inputs."""
-    m = first_match(texts, "id", "input_text", dataset)
-    pairs = m.filter("matched").join(texts.select("id", "content_text"), "id").select(
-        "id", F.coalesce("content_text", F.lit("")).alias("generated"), "reference"
+    generated text.  Unmatched records get NULL scores (the reference
+    refuses to score external inputs) and are never tokenised."""
+    m = first_match(texts, "id", "input_text", dataset, keep=("content_text",))
+    s = M.score_pairs(
+        m, ["id"], "content_text", "reference", stem, bleu=True, keep=("matched", "dataset_ord"), active="matched"
+    )
+    on = F.col("matched")
+    return s.select(
+        "id", "matched", "dataset_ord",
+        *[F.when(on, F.col(c)).alias(c) for c in ("rouge1_f", "rouge2_f", "rougeL_f", "bleu")],
     )
-    r = M.rouge_all(pairs, ["id"], "generated", "reference", stem)
-    b = M.bleu4(pairs, ["id"], "generated", "reference")
-    scores = r.join(b, "id")
-    return m.select("id", "matched", "dataset_ord").join(scores, "id", "left")
 
 
 def self_rouge(texts: DataFrame, key: str = "id", stem: bool = True) -> DataFrame:

@@ -3,11 +3,11 @@
 Input is a *pairs* frame: key column(s), a hypothesis text and a reference
 text.  Every metric returns ``key + score columns``.
 
-* n-gram metrics (ROUGE-1/2, BLEU-4) explode side-tagged n-grams and count
-  them with ``groupBy(key, n, gram)`` — partial aggregation before the
-  shuffle, and the shuffle key includes the gram, so one huge pair is spread
-  over all tasks instead of landing in one.  Pairs with no common gram get 0
-  through a left join back to the pairs.
+* n-gram metrics (ROUGE-1/2, BLEU-4) hash-partition the pair rows on their
+  key once, then explode side-tagged n-grams and count them with
+  ``groupBy(key, n, gram)`` inside that partitioning (no n-gram is ever
+  shuffled).  Pairs with no common gram get 0 through a partition-local
+  left join back to the pair totals.
 * ROUGE-L needs the LCS length, which no SQL expression computes in linear
   space: an Arrow UDF runs the bit-parallel LCS (Allison & Dix 1986, Hyyrö
   2004) on Python integers, O(n*m/64) word operations, no truncation.
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.stem import stem_tokens
+from ..session import cut_lineage
 
 ROUGE_KEEP = "[a-z0-9]+"  # same tokens as: non [a-z0-9] -> space, split, drop empties
 BLEU_EPSILON = 0.1  # smoothing "method 1"
@@ -46,28 +47,58 @@ def bleu_tokens(c: str | Column) -> Column:
 
 # ------------------------------------------------------- n-gram overlap --
 def _grams(w: Column, n: int) -> Column:
-    return F.when(
-        F.size(w) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    """The n-grams of a token array as space-joined strings, built with
+    ``zip_with`` over shifted slices (one pass per order, no per-gram
+    array); tokens never contain spaces, so the join is unambiguous."""
+    if n == 1:
+        return w
+    m = F.size(w) - n + 1
+    g = F.slice(w, 1, F.greatest(m, F.lit(0)))
+    for k in range(1, n):
+        g = F.zip_with(g, F.slice(w, 1 + k, F.greatest(m, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(m > 0, g).otherwise(F.array().cast("array<string>"))
+
+
+def _overlap_local(tok: DataFrame, key: list[str], h_col: str, r_col: str, orders) -> DataFrame:
+    """Clipped overlap per key: key + _ov{n}.  Keys without a common n-gram
+    are absent.
+
+    Two narrow explodes: first one row per (order, side) of each pair, then
+    that side's n-grams as (t1..t4) structs built by zipping shifted slices
+    (unused slots NULL).  Each expression stays small enough for
+    whole-stage codegen and nothing is evaluated per element in a lambda.
+    Grams are grouped by (key, n, tokens), never concatenated to strings."""
+    spec = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("s")) for n in orders for s in (0, 1)])
+    x = tok.select(*key, h_col, r_col, F.explode(spec).alias("_sp"))
+    n, side = F.col("_sp.n"), F.col("_sp.s")
+    w = F.when(side == 0, F.col(h_col)).otherwise(F.col(r_col))
+    m = F.greatest(F.size(w) - n + 1, F.lit(0))
+    none = F.array_repeat(F.lit(None).cast("string"), m)
+    slots = [F.when(F.lit(k) < n, F.slice(w, 1 + k, m)).otherwise(none) for k in range(4)]
+    grams = x.select(*key, n.alias("n"), side.alias("s"), F.explode(F.arrays_zip(*slots)).alias("t")).select(
+        *key, "n", "s", *[F.col("t").getField(str(k)).alias(f"g{k}") for k in range(4)]
+    )
+    per_gram = grams.groupBy(*key, "n", "g0", "g1", "g2", "g3").agg(
+        F.count_if(F.col("s") == 0).alias("ch"), F.count_if(F.col("s") == 1).alias("cr")
+    )
+    return per_gram.filter((F.col("ch") > 0) & (F.col("cr") > 0)).groupBy(*key).agg(
+        *[F.sum(F.when(F.col("n") == n, F.least("ch", "cr")).otherwise(0)).alias(f"_ov{n}") for n in orders]
+    )
 
 
 def ngram_overlap(pairs: DataFrame, key: list[str], hyp_toks: str, ref_toks: str, orders=(1, 2)) -> DataFrame:
     """Clipped n-gram overlap for each order: key + ov{n}, hc{n}, rc{n}
-    (hypothesis / reference n-gram totals)."""
-    h, r = F.col(hyp_toks), F.col(ref_toks)
-    def tag(n: int, s: int):
-        return lambda g: F.struct(F.lit(n).alias("n"), F.lit(s).alias("s"), g.alias("g"))
+    (hypothesis / reference n-gram totals), hyp_len, ref_len.
 
-    tagged = F.concat(*[F.transform(_grams(w, n), tag(n, s)) for n in orders for s, w in ((0, h), (1, r))])
-    grams = pairs.select(*key, F.explode(tagged).alias("t")).select(*key, "t.n", "t.s", "t.g")
-    per_gram = grams.groupBy(*key, "n", "g").agg(
-        F.count_if(F.col("s") == 0).alias("ch"), F.count_if(F.col("s") == 1).alias("cr")
-    )
-    ov = per_gram.filter((F.col("ch") > 0) & (F.col("cr") > 0)).groupBy(*key).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("ch", "cr")).otherwise(0)).alias(f"_ov{n}") for n in orders]
-    )
-    totals = pairs.select(
+    The pair rows (token arrays) are hash-partitioned on the key once.
+    Every later step keeps the key in its grouping or join keys, so Spark
+    runs them inside that partitioning: n-grams are generated, counted per
+    (key, n, gram), summed per key and joined to the totals without another
+    shuffle.  The unit of work is one pair, which is one input row."""
+    h, r = F.col(hyp_toks), F.col(ref_toks)
+    tok = pairs.select(*key, hyp_toks, ref_toks).repartition(*key)
+    ov = _overlap_local(tok, key, hyp_toks, ref_toks, orders)
+    totals = tok.select(
         *key,
         *[F.greatest(F.size(h) - n + 1, F.lit(0)).cast("long").alias(f"hc{n}") for n in orders],
         *[F.greatest(F.size(r) - n + 1, F.lit(0)).cast("long").alias(f"rc{n}") for n in orders],
@@ -122,13 +153,105 @@ def lcs_length(a: str | Column, b: str | Column) -> Column:
 
 
 # -------------------------------------------------------------- scorers --
+def _f(ov: Column, hc: Column, rc: Column) -> Column:
+    return f_measure(ov, hc, rc)
+
+
+def _rouge_columns(hn: Column, rn: Column) -> list[Column]:
+    out = []
+    for n in (1, 2):
+        ov = F.coalesce(F.col(f"_ov{n}"), F.lit(0))
+        hc, rc = F.greatest(hn - n + 1, F.lit(0)), F.greatest(rn - n + 1, F.lit(0))
+        out += [
+            (ov / F.greatest(hc, F.lit(1))).alias(f"rouge{n}_p"),
+            (ov / F.greatest(rc, F.lit(1))).alias(f"rouge{n}_r"),
+            _f(ov, hc, rc).alias(f"rouge{n}_f"),
+        ]
+    ok = (hn > 0) & (rn > 0)
+    p = F.when(ok, F.col("_lcs") / hn).otherwise(F.lit(0.0))
+    q = F.when(ok, F.col("_lcs") / rn).otherwise(F.lit(0.0))
+    return out + [
+        p.alias("rougeL_p"),
+        q.alias("rougeL_r"),
+        F.when(ok & (p + q > 0), F.lit(2.0) * p * q / (p + q)).otherwise(F.lit(0.0)).alias("rougeL_f"),
+    ]
+
+
+def score_pairs(
+    pairs: DataFrame,
+    key: list[str],
+    hyp: str,
+    ref: str,
+    stem: bool = False,
+    rouge: bool = True,
+    bleu: bool = False,
+    keep: list[str] | tuple[str, ...] = (),
+    active: str | None = None,
+) -> DataFrame:
+    """All requested metrics of each pair from ONE key-partitioned token frame.
+
+    Tokens (ROUGE tokens, optionally stemmed, and BLEU whitespace tokens)
+    are computed once, before a single hash-partitioning on ``key``; the
+    n-gram counts, the LCS and the final joins all run inside that
+    partitioning, and Spark reuses the one exchange for every branch.
+    ``keep`` columns ride along; rows whose ``active`` column is false get
+    empty token arrays (scores 0, nothing exploded).
+    Output: key + keep + rouge1_p/r/f, rouge2_p/r/f, rougeL_p/r/f [+ bleu]."""
+    on = F.coalesce(F.col(active), F.lit(False)) if active else F.lit(True)
+    empty = F.array().cast("array<string>")
+    cols = [F.when(on, rouge_tokens(hyp, stem)).otherwise(empty).alias("_h"), F.when(on, rouge_tokens(ref, stem)).otherwise(empty).alias("_r")]
+    if bleu:
+        cols += [F.when(on, bleu_tokens(hyp)).otherwise(empty).alias("_bh"), F.when(on, bleu_tokens(ref)).otherwise(empty).alias("_br")]
+    # One reliable checkpoint: the branches below (n-gram counts, LCS, BLEU)
+    # read it instead of recomputing the upstream (each branch prunes
+    # different columns, so Spark could not reuse one exchange), and the
+    # checkpoint keeps the hash partitioning, so every join stays local.
+    n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tok = cut_lineage(pairs.select(*key, *keep, *cols).repartition(n_parts, *key))
+
+    h, r = F.col("_h"), F.col("_r")
+    base = tok.select(
+        *key,
+        *keep,
+        F.size(h).alias("_hn"),
+        F.size(r).alias("_rn"),
+        *([lcs_length("_h", "_r").alias("_lcs")] if rouge else []),
+        *([F.size("_bh").alias("_bhn"), F.size("_br").alias("_brn")] if bleu else []),
+    )
+    out = base
+    if rouge:
+        out = out.join(_overlap_local(tok, key, "_h", "_r", (1, 2)), key, "left")
+    if bleu:
+        bo = _overlap_local(tok, key, "_bh", "_br", BLEU_ORDERS).select(*key, *[F.col(f"_ov{n}").alias(f"_b{n}") for n in BLEU_ORDERS])
+        out = out.join(bo, key, "left")
+
+    sel = [*key, *keep]
+    if rouge:
+        sel += _rouge_columns(F.col("_hn"), F.col("_rn"))
+    if bleu:
+        logs = []
+        for n in BLEU_ORDERS:
+            denom = F.greatest(F.col("_bhn") - n + 1, F.lit(1)).cast("double")
+            ov = F.coalesce(F.col(f"_b{n}"), F.lit(0))
+            pn = F.when(ov == 0, F.lit(BLEU_EPSILON) / denom).otherwise(ov / denom)
+            logs.append(F.lit(0.25) * F.log(pn))
+        c, rl = F.col("_bhn"), F.col("_brn")
+        bp = F.when(c > rl, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(F.exp(F.lit(1.0) - rl / c))
+        sel.append(
+            F.when(F.coalesce(F.col("_b1"), F.lit(0)) == 0, F.lit(0.0))
+            .otherwise(bp * F.exp(logs[0] + logs[1] + logs[2] + logs[3]))
+            .alias("bleu")
+        )
+    return out.select(*sel)
+
+
 def tokenize_pairs(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool) -> DataFrame:
     return pairs.select(*key, rouge_tokens(hyp, stem).alias("_h"), rouge_tokens(ref, stem).alias("_r"))
 
 
-def rouge_n(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = False, tokenized: DataFrame | None = None) -> DataFrame:
+def rouge_n(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = False) -> DataFrame:
     """ROUGE-1 and ROUGE-2 precision / recall / F per pair."""
-    t = tokenized if tokenized is not None else tokenize_pairs(pairs, key, hyp, ref, stem)
+    t = tokenize_pairs(pairs, key, hyp, ref, stem)
     o = ngram_overlap(t, key, "_h", "_r", (1, 2))
     out = [*key]
     for n in (1, 2):
@@ -141,10 +264,10 @@ def rouge_n(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = F
     return o.select(*out)
 
 
-def rouge_l(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = False, tokenized: DataFrame | None = None) -> DataFrame:
+def rouge_l(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = False) -> DataFrame:
     """ROUGE-L (LCS) precision / recall / F per pair (0 if either side
-    has no token)."""
-    t = tokenized if tokenized is not None else tokenize_pairs(pairs, key, hyp, ref, stem)
+    has no token).  A narrow per-row step: no shuffle."""
+    t = tokenize_pairs(pairs, key, hyp, ref, stem)
     x = t.select(*key, F.size("_h").alias("_hn"), F.size("_r").alias("_rn"), lcs_length("_h", "_r").alias("_lcs"))
     ok = (F.col("_hn") > 0) & (F.col("_rn") > 0)
     p = F.when(ok, F.col("_lcs") / F.col("_hn")).otherwise(F.lit(0.0))
@@ -158,29 +281,14 @@ def rouge_l(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = F
 
 
 def rouge_all(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = False) -> DataFrame:
-    """ROUGE-1/2/L F per pair, tokenizing once (the token frame feeds both
-    the n-gram job and the LCS UDF)."""
-    t = tokenize_pairs(pairs, key, hyp, ref, stem)
-    n = rouge_n(pairs, key, hyp, ref, stem, tokenized=t).select(*key, "rouge1_f", "rouge2_f")
-    lcs = rouge_l(pairs, key, hyp, ref, stem, tokenized=t).select(*key, "rougeL_f")
-    return n.join(lcs, key)
+    """ROUGE-1/2/L F per pair (see ``score_pairs``)."""
+    return score_pairs(pairs, key, hyp, ref, stem).select(*key, "rouge1_f", "rouge2_f", "rougeL_f")
 
 
 def bleu4(pairs: DataFrame, key: list[str], hyp: str, ref: str) -> DataFrame:
     """Sentence BLEU-4, uniform weights, one reference, smoothing
     method 1 (epsilon 0.1 for orders with no match), brevity penalty."""
-    t = pairs.select(*key, bleu_tokens(hyp).alias("_h"), bleu_tokens(ref).alias("_r"))
-    o = ngram_overlap(t, key, "_h", "_r", BLEU_ORDERS)
-    logs = []
-    for n in BLEU_ORDERS:
-        denom = F.greatest(F.col(f"hc{n}"), F.lit(1)).cast("double")
-        p = F.when(F.col(f"ov{n}") == 0, F.lit(BLEU_EPSILON) / denom).otherwise(F.col(f"ov{n}") / denom)
-        logs.append(F.lit(0.25) * F.log(p))
-    s = logs[0] + logs[1] + logs[2] + logs[3]
-    c, r = F.col("hyp_len"), F.col("ref_len")
-    bp = F.when(c > r, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(F.exp(F.lit(1.0) - r / c))
-    score = F.when(F.col("ov1") == 0, F.lit(0.0)).otherwise(bp * F.exp(s))
-    return o.select(*key, score.alias("bleu"))
+    return score_pairs(pairs, key, hyp, ref, rouge=False, bleu=True).select(*key, "bleu")
 
 
 # ------------------------------------------------------------- vectors --

@@ -13,7 +13,7 @@ from ..sources.tables import read_table
 from ..sources.views import with_views
 from .registry import register
 
-WS = X.WS
+WS = X.WS_PORTABLE
 # DuckDB spellings of the same helpers (used inside oracle SQL).
 D_STRIP = "regexp_replace(@E@, '^" + WS + "+|" + WS + "+$', '', 'g')"
 D_WORDS = "list_filter(regexp_split_to_array(coalesce(@E@, ''), '" + WS + "+'), lambda w: w <> '')"
@@ -171,7 +171,7 @@ def q_model_alias(spark, d):
         ["profiles"],
         f"""
 SELECT user_id, age, age BETWEEN 18 AND 65 AS in_range
-FROM (SELECT user_id, CASE WHEN regexp_matches(age_group, '{X.INT_TEXT}') THEN CAST({d_strip('age_group')} AS INTEGER)
+FROM (SELECT user_id, CASE WHEN regexp_matches(age_group, '{X.INT_TEXT_PORTABLE}') THEN CAST({d_strip('age_group')} AS INTEGER)
                            ELSE 18 END AS age FROM profiles) z""",
     ),
 )

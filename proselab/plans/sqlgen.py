@@ -3,7 +3,7 @@ same metrics, written in plain SQL over lists)."""
 
 from __future__ import annotations
 
-from ..functions.text import WS
+from ..functions.text import WS_PORTABLE as WS
 
 LEVELS_VALUES = "(VALUES ('conservative', 0), ('balanced', 1), ('creative', 2)) AS lv(level, level_order)"
 

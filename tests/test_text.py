@@ -106,3 +106,11 @@ def test_level_preset_default(spark):
     out = [r["p"] for r in df.select(G.level_preset("level").alias("p")).collect()]
     assert (out[0]["temperature"], out[0]["top_p"], out[0]["repetition_penalty"]) == (1.2, 0.95, 1.0)
     assert (out[1]["temperature"], out[1]["top_p"], out[1]["repetition_penalty"]) == (0.9, 0.92, 1.1)
+
+
+def test_whitespace_classes_equal_python(spark):
+    chars = "".join(chr(c) for c in range(0x10000) if not (0xD800 <= c <= 0xDFFF))
+    df = spark.createDataFrame([(chars,)], "s string")
+    py = "".join(c for c in chars if not c.isspace())
+    for cls in (X.WS, X.WS_PORTABLE):
+        assert df.select(F.regexp_replace("s", cls, "").alias("x")).first()["x"] == py
