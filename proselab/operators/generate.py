@@ -295,6 +295,18 @@ def route_summaries(docs: DataFrame, key: str, text_col: str, max_len: int, min_
     return d_out.unionByName(long_out.withColumn("path", F.lit("long")).select(key, "path", "summary"))
 
 
+def route_paraphrases(docs: DataFrame, key: str, text_col: str, max_len: int, min_len: int, generator: Generator | None = None) -> DataFrame:
+    """K5 for paraphrases: direct generation up to 100 words, the chunked
+    path (no second pass, no prefix clean-up) otherwise."""
+    tagged = docs.select(key, text_col, X.paraphrase_route(X.word_count(text_col)).alias("path"))
+    direct = tagged.filter(F.col("path") == "direct")
+    d_out = _generate(direct, key, text_col, max_len, min_len, generator, [], "paraphrase", passthrough=("path",)).select(
+        key, "path", "paraphrase"
+    )
+    long_out = paraphrase_long(tagged.filter(F.col("path") == "long"), key, text_col, max_len, min_len, generator)
+    return d_out.unionByName(long_out.withColumn("path", F.lit("long")).select(key, "path", "paraphrase"))
+
+
 def preset_sweep(docs: DataFrame, key: str, text_col: str, generator: Generator | None = None) -> DataFrame:
     """Every document under the short / medium / long presets.  The
     3 presets are a literal array exploded per row (no join); the long

@@ -79,8 +79,12 @@ def recent_logins(logins: DataFrame, users: DataFrame, n: int = RECENT_LOGINS) -
 
 
 # ----------------------------------------------------------- aggregations --
-def unique_logins(logins: DataFrame) -> DataFrame:
-    """Distinct non-NULL users that logged in."""
+def unique_logins(logins: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct non-NULL users that logged in.  ``approx=True`` uses a
+    HyperLogLog++ sketch (one fixed-size buffer per task, no shuffle of
+    user ids) when an exact count is not required."""
+    if approx:
+        return logins.agg(F.approx_count_distinct("user_id", rsd).alias("unique_users"))
     return logins.agg(F.count_distinct("user_id").alias("unique_users"))
 
 

@@ -184,3 +184,41 @@ def q_paraphrase_response(spark, d):
         F.col("generation_params.repetition_penalty").alias("repetition_penalty"),
         F.col("generation_params.max_new_tokens").alias("max_new_tokens"),
     )
+
+
+_PMX, _PMN = S.DEFAULT_PARAPHRASE_PARAMS[0], S.DEFAULT_PARAPHRASE_PARAMS[1]
+
+
+def _para_long_sql(src_docs: str, mx: int, mn: int, p: str) -> str:
+    """CTEs ending in ``{p}_final(doc_id, paraphrase)``: chunk, generate per
+    chunk, merge in chunk order; no second pass."""
+    return f"""{p}_c AS ({Q.chunks_sql(src_docs, "doc_id", "text", _CH)}),
+{p}_cs AS (SELECT doc_id * 100000 + chunk_no AS ck, doc_id, chunk_no, chunk_text, {mx} AS mx, {mn} AS mn FROM {p}_c),
+{Q.extractive_ctes(f"{p}_cs", "ck", "chunk_text", "mx", "mn", f"{p}_e1")},
+{p}_m AS (SELECT cs.doc_id, string_agg(o.generated, ' ' ORDER BY cs.chunk_no) AS merged
+          FROM {p}_cs cs JOIN {p}_e1_out o ON o.ck = cs.ck GROUP BY cs.doc_id),
+{p}_final AS (SELECT d.doc_id, coalesce(m.merged, '') AS paraphrase FROM {src_docs} d LEFT JOIN {p}_m m ON m.doc_id = d.doc_id)"""
+
+
+@register("long_paraphrase", "WITH " + _para_long_sql("documents", _PMX, _PMN, "lp") + "\nSELECT doc_id, paraphrase FROM lp_final")
+def q_long_paraphrase(spark, d):
+    """K1 -> K2 -> K3 for paraphrases (default lengths 120/30)."""
+    return G.paraphrase_long(_docs(spark, d), "doc_id", "text")
+
+
+_INTER = [p for p in S.PARAPHRASE_PRESETS if p[0] == "Intermediate"][0]
+
+
+@register(
+    "paraphrase_route",
+    f"""WITH r AS (SELECT doc_id, text, CASE WHEN len({_NW}) <= 100 THEN 'direct' ELSE 'long' END AS path FROM documents),
+rd AS (SELECT doc_id, text, {_INTER[1]} AS mx, {_INTER[2]} AS mn FROM r WHERE path = 'direct'),
+rl AS (SELECT doc_id, text FROM r WHERE path = 'long'),
+{Q.extractive_ctes("rd", "doc_id", "text", "mx", "mn", "pd")},
+{_para_long_sql("rl", _INTER[1], _INTER[2], "pl")}
+SELECT r.doc_id, r.path, s.paraphrase FROM r
+JOIN (SELECT doc_id, generated AS paraphrase FROM pd_out UNION ALL SELECT * FROM pl_final) s ON s.doc_id = r.doc_id""",
+)
+def q_paraphrase_route(spark, d):
+    """K5 for paraphrases with the Intermediate reading-level preset."""
+    return G.route_paraphrases(_docs(spark, d), "doc_id", "text", _INTER[1], _INTER[2])

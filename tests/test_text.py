@@ -114,3 +114,11 @@ def test_whitespace_classes_equal_python(spark):
     py = "".join(c for c in chars if not c.isspace())
     for cls in (X.WS, X.WS_PORTABLE):
         assert df.select(F.regexp_replace("s", cls, "").alias("x")).first()["x"] == py
+
+
+def test_unique_logins_exact_and_approx(spark):
+    from proselab.operators import usage as U
+
+    df = spark.createDataFrame([(i % 37 if i % 5 else None,) for i in range(500)], "user_id long")
+    assert U.unique_logins(df).first()["unique_users"] == 37
+    assert abs(U.unique_logins(df, approx=True).first()["unique_users"] - 37) <= 2
