@@ -4,10 +4,11 @@ Input is a *pairs* frame: key column(s), a hypothesis text and a reference
 text.  Every metric returns ``key + score columns``.
 
 * n-gram metrics (ROUGE-1/2, BLEU-4) hash-partition the pair rows on their
-  key once, then explode side-tagged n-grams and count them with
-  ``groupBy(key, n, gram)`` inside that partitioning (no n-gram is ever
-  shuffled).  Pairs with no common gram get 0 through a partition-local
-  left join back to the pair totals.
+  key, explode side-tagged n-grams and count them with
+  ``groupBy(key, n, tokens)``: every n-gram of a pair is in one task, so the
+  map-side partial aggregation collapses them before the exchange, and a
+  huge pair's distinct n-grams spread over all reducers.  Pairs with no
+  common gram get 0 through a left join back to the pair totals.
 * ROUGE-L needs the LCS length, which no SQL expression computes in linear
   space: an Arrow UDF runs the bit-parallel LCS (Allison & Dix 1986, Hyyrö
   2004) on Python integers, O(n*m/64) word operations, no truncation.
