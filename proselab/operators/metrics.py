@@ -47,19 +47,6 @@ def bleu_tokens(c: str | Column) -> Column:
 
 
 # ------------------------------------------------------- n-gram overlap --
-def _grams(w: Column, n: int) -> Column:
-    """The n-grams of a token array as space-joined strings, built with
-    ``zip_with`` over shifted slices (one pass per order, no per-gram
-    array); tokens never contain spaces, so the join is unambiguous."""
-    if n == 1:
-        return w
-    m = F.size(w) - n + 1
-    g = F.slice(w, 1, F.greatest(m, F.lit(0)))
-    for k in range(1, n):
-        g = F.zip_with(g, F.slice(w, 1 + k, F.greatest(m, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(m > 0, g).otherwise(F.array().cast("array<string>"))
-
-
 def _overlap_local(tok: DataFrame, key: list[str], h_col: str, r_col: str, orders) -> DataFrame:
     """Clipped overlap per key: key + _ov{n}.  Keys without a common n-gram
     are absent.

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 from ..operators import evaluate as EV
 from ..operators import metrics as M
 from ..sources import views as V
@@ -170,5 +169,3 @@ def q_soft_match(spark, d):
     s = M.soft_match(V.token_vectors(spark, d))
     return s.select("pid", _s6("soft_p"), _s6("soft_r"), _s6("soft_f"))
 
-
-__all__ = ["PAIRS_SQL", "S"]

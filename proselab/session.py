@@ -9,7 +9,6 @@ the local/test case.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,15 +52,6 @@ def build_session(
     return spark
 
 
-def apply_semantic_conf(spark: SparkSession) -> None:
-    """Make sure the settings our results depend on hold for ``spark``."""
-    for k, v in _SEMANTIC_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on an already-started session
-            pass
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring Spark to use it.
 
@@ -85,9 +75,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss), never a local one."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for materialised tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name)

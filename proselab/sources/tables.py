@@ -41,16 +41,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Full table scan of one driver table (text tables balanced)."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return balanced(df) if name in TEXT_TABLES else df
-
-
-class Tables:
-    """Lazy accessor: ``Tables(spark, dir).documents`` -> DataFrame."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
-        self.sf_dir = sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name in DRIVER_TABLES:
-            return read_table(self.spark, self.sf_dir, name)
-        raise AttributeError(name)

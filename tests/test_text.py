@@ -122,3 +122,19 @@ def test_unique_logins_exact_and_approx(spark):
     df = spark.createDataFrame([(i % 37 if i % 5 else None,) for i in range(500)], "user_id long")
     assert U.unique_logins(df).first()["unique_users"] == 37
     assert abs(U.unique_logins(df, approx=True).first()["unique_users"] - 37) <= 2
+
+
+def test_single_user_history_and_display(spark):
+    from datetime import datetime
+
+    from proselab.operators import usage as U
+
+    t = spark.createDataFrame(
+        [(1, 7, "a", "b", "summary", "m", datetime(2024, 1, 1)), (2, 7, "c", "d", "paraphrase", None, datetime(2024, 1, 2)),
+         (3, 8, "e", "f", "summary", "m", datetime(2024, 1, 3)), (4, 7, "g", "h", "summary", "m", datetime(2024, 1, 2))],
+        "id long, user_id long, input_text string, content_text string, content_type string, model_used string, created_at timestamp_ntz",
+    )
+    assert [r["id"] for r in U.user_history(t, 7).collect()] == [4, 2, 1]
+    labels = [r["l"] for r in t.orderBy("id").select(U.history_label().alias("l")).collect()]
+    assert labels[1] == "2024-01-02 00:00:00 - paraphrase - None"
+    assert _one(spark, X.display_fixed(F.col("x"), 1), 12.345, "x double") == "12.3"
