@@ -234,19 +234,39 @@ def _generate(df, key, text_col, max_len, min_len, generator, params_cols, out,
 
 
 # ------------------------------------------------------------ long paths --
+def decode_params(max_len, min_len, length_penalty, num_beams, second_pass: bool = False) -> Column:
+    """K2/K4 decode settings handed to a plug-in generator (column ``_gp``):
+    the preset lengths, penalty and beams with early stopping, and for the
+    hierarchical second summary pass also temperature 0.3, no-repeat 4-grams
+    and repetition penalty 2.5.  The extractive stand-in uses the lengths."""
+    def lit_or_col(v, t):
+        return (F.col(v) if isinstance(v, str) else F.lit(v)).cast(t)
+
+    return F.struct(
+        lit_or_col(max_len, "int").alias("max_length"),
+        lit_or_col(min_len, "int").alias("min_length"),
+        lit_or_col(length_penalty, "double").alias("length_penalty"),
+        lit_or_col(num_beams, "int").alias("num_beams"),
+        F.lit(True).alias("early_stopping"),
+        (F.lit(S.SECOND_PASS_TEMPERATURE) if second_pass else F.lit(None)).cast("double").alias("temperature"),
+        (F.lit(S.SECOND_PASS_NO_REPEAT_NGRAM) if second_pass else F.lit(None)).cast("int").alias("no_repeat_ngram_size"),
+        (F.lit(S.SECOND_PASS_REPETITION_PENALTY) if second_pass else F.lit(None)).cast("double").alias("repetition_penalty"),
+    )
+
+
 def _empty_docs(docs: DataFrame, key: str, text_col: str, out: str) -> DataFrame:
     """Documents without a single token produce no chunk; they get ''."""
     return docs.filter(X.word_count(text_col) == 0).select(key, F.lit("").alias(out))
 
 
-def _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, out):
+def _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, out, length_penalty=1.0, num_beams=4):
     """K1 -> K2 -> K3: chunk, generate per chunk (rows stay where the
     document was read: no shuffle), merge per document in chunk order (one
     shuffle of the short chunk outputs)."""
     ch = chunk(docs, key, text_col, chunk_tokens).withColumn(
         "_cid", F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_no").cast("string"))
-    )
-    per_chunk = _generate(ch, "_cid", "chunk_text", max_len, min_len, generator, [], "_cg", passthrough=(key, "chunk_no"))
+    ).withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams))
+    per_chunk = _generate(ch, "_cid", "chunk_text", max_len, min_len, generator, ["_gp"], "_cg", passthrough=(key, "chunk_no"))
     return merge_ordered(per_chunk, key, "chunk_no", "_cg", out)
 
 
@@ -258,12 +278,15 @@ def summarize(
     min_len: int = S.DEFAULT_SUMMARY_PARAMS[1],
     generator: Generator | None = None,
     chunk_tokens: int = S.CHUNK_TOKENS,
+    length_penalty: float = S.DEFAULT_SUMMARY_PARAMS[2],
+    num_beams: int = S.DEFAULT_SUMMARY_PARAMS[3],
 ) -> DataFrame:
     """K1 -> K2 -> K3 -> K4 -> I5 for every document: chunk, generate per
-    chunk, merge in chunk order, generate again over the merged text, strip
-    the unwanted prefixes.  Output: key, summary."""
-    merged = _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, "_merged")
-    final = _generate(merged, key, "_merged", max_len, min_len, generator, [], "_final")
+    chunk, merge in chunk order, generate again over the merged text (second
+    pass decode settings), strip the unwanted prefixes.  Output: key, summary."""
+    merged = _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, "_merged", length_penalty, num_beams)
+    merged = merged.withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams, second_pass=True))
+    final = _generate(merged, key, "_merged", max_len, min_len, generator, ["_gp"], "_final")
     return final.select(key, X.strip_unwanted_prefixes("_final").alias("summary")).unionByName(
         _empty_docs(docs, key, text_col, "summary")
     )
@@ -277,33 +300,47 @@ def paraphrase_long(
     min_len: int = S.DEFAULT_PARAPHRASE_PARAMS[1],
     generator: Generator | None = None,
     chunk_tokens: int = S.CHUNK_TOKENS,
+    length_penalty: float = S.DEFAULT_PARAPHRASE_PARAMS[2],
+    num_beams: int = S.DEFAULT_PARAPHRASE_PARAMS[3],
 ) -> DataFrame:
     """K1 -> K2 -> K3 for paraphrases (no second pass)."""
-    merged = _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, "paraphrase")
+    merged = _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, "paraphrase", length_penalty, num_beams)
     return merged.unionByName(_empty_docs(docs, key, text_col, "paraphrase"))
 
 
-def route_summaries(docs: DataFrame, key: str, text_col: str, max_len: int, min_len: int, generator: Generator | None = None) -> DataFrame:
+def route_summaries(
+    docs: DataFrame, key: str, text_col: str, max_len: int, min_len: int, generator: Generator | None = None,
+    length_penalty: float = 1.0, num_beams: int = 3,
+) -> DataFrame:
     """K5: direct generation under 500 words, the long path otherwise;
     two filtered branches unioned, each carrying the path taken."""
     tagged = docs.select(key, text_col, X.summary_route(X.word_count(text_col)).alias("path"))
-    direct = tagged.filter(F.col("path") == "direct")
-    d_out = _generate(direct, key, text_col, max_len, min_len, generator, [], "_g", passthrough=("path",)).select(
+    direct = tagged.filter(F.col("path") == "direct").withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams))
+    d_out = _generate(direct, key, text_col, max_len, min_len, generator, ["_gp"], "_g", passthrough=("path",)).select(
         key, "path", X.strip_unwanted_prefixes("_g").alias("summary")
     )
-    long_out = summarize(tagged.filter(F.col("path") == "long"), key, text_col, max_len, min_len, generator)
+    long_out = summarize(
+        tagged.filter(F.col("path") == "long"), key, text_col, max_len, min_len, generator,
+        length_penalty=length_penalty, num_beams=num_beams,
+    )
     return d_out.unionByName(long_out.withColumn("path", F.lit("long")).select(key, "path", "summary"))
 
 
-def route_paraphrases(docs: DataFrame, key: str, text_col: str, max_len: int, min_len: int, generator: Generator | None = None) -> DataFrame:
+def route_paraphrases(
+    docs: DataFrame, key: str, text_col: str, max_len: int, min_len: int, generator: Generator | None = None,
+    length_penalty: float = 1.0, num_beams: int = 4,
+) -> DataFrame:
     """K5 for paraphrases: direct generation up to 100 words, the chunked
     path (no second pass, no prefix clean-up) otherwise."""
     tagged = docs.select(key, text_col, X.paraphrase_route(X.word_count(text_col)).alias("path"))
-    direct = tagged.filter(F.col("path") == "direct")
-    d_out = _generate(direct, key, text_col, max_len, min_len, generator, [], "paraphrase", passthrough=("path",)).select(
+    direct = tagged.filter(F.col("path") == "direct").withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams))
+    d_out = _generate(direct, key, text_col, max_len, min_len, generator, ["_gp"], "paraphrase", passthrough=("path",)).select(
         key, "path", "paraphrase"
     )
-    long_out = paraphrase_long(tagged.filter(F.col("path") == "long"), key, text_col, max_len, min_len, generator)
+    long_out = paraphrase_long(
+        tagged.filter(F.col("path") == "long"), key, text_col, max_len, min_len, generator,
+        length_penalty=length_penalty, num_beams=num_beams,
+    )
     return d_out.unionByName(long_out.withColumn("path", F.lit("long")).select(key, "path", "paraphrase"))
 
 
@@ -313,8 +350,11 @@ def preset_sweep(docs: DataFrame, key: str, text_col: str, generator: Generator
     preset takes the chunked path when the text exceeds one chunk."""
     presets = F.array(
         *[
-            F.struct(F.lit(n).alias("preset"), F.lit(mx).alias("max_len"), F.lit(mn).alias("min_len"))
-            for n, mx, mn, _lp, _nb in S.SUMMARY_PRESETS
+            F.struct(
+                F.lit(n).alias("preset"), F.lit(mx).alias("max_len"), F.lit(mn).alias("min_len"),
+                F.lit(lp).cast("double").alias("lp"), F.lit(nb).alias("nb"),
+            )
+            for n, mx, mn, lp, nb in S.SUMMARY_PRESETS
         ]
     )
     x = docs.select(key, text_col, F.explode(presets).alias("p")).select(
@@ -324,15 +364,18 @@ def preset_sweep(docs: DataFrame, key: str, text_col: str, generator: Generator
         F.col("p.preset").alias("preset"),
         F.col("p.max_len").alias("max_len"),
         F.col("p.min_len").alias("min_len"),
+        decode_params("p.max_len", "p.min_len", "p.lp", "p.nb").alias("_gp"),
         ((F.col("p.preset") == "long") & (X.word_count(text_col) > S.CHUNK_TOKENS)).alias("_long"),
     )
     short_side = x.filter(~F.col("_long"))
     out_direct = _generate(
-        short_side, "_sk", text_col, "max_len", "min_len", generator, [], "_g", passthrough=(key, "preset")
+        short_side, "_sk", text_col, "max_len", "min_len", generator, ["_gp"], "_g", passthrough=(key, "preset")
     ).select(key, "preset", X.strip_unwanted_prefixes("_g").alias("summary"))
     long_side = x.filter(F.col("_long"))
-    mx, mn = [(m, n) for p, m, n, _a, _b in S.SUMMARY_PRESETS if p == "long"][0]
-    out_long = summarize(long_side.select(key, text_col), key, text_col, mx, mn, generator).withColumn(
+    mx, mn, lp, nb = [(m, n, a, b) for p, m, n, a, b in S.SUMMARY_PRESETS if p == "long"][0]
+    out_long = summarize(
+        long_side.select(key, text_col), key, text_col, mx, mn, generator, length_penalty=lp, num_beams=nb
+    ).withColumn(
         "preset", F.lit("long")
     ).select(key, "preset", "summary")
     return out_direct.unionByName(out_long)

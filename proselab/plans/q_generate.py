@@ -102,7 +102,7 @@ SELECT r.doc_id, r.path, s.summary FROM r JOIN (SELECT * FROM dr_final UNION ALL
 )
 def q_summary_route(spark, d):
     """K5: route each document (medium preset) to the direct or the chunked path."""
-    return G.route_summaries(_docs(spark, d), "doc_id", "text", _MED[1], _MED[2])
+    return G.route_summaries(_docs(spark, d), "doc_id", "text", _MED[1], _MED[2], length_penalty=_MED[3], num_beams=_MED[4])
 
 
 def _sweep_sql() -> str:
@@ -221,4 +221,4 @@ JOIN (SELECT doc_id, generated AS paraphrase FROM pd_out UNION ALL SELECT * FROM
 )
 def q_paraphrase_route(spark, d):
     """K5 for paraphrases with the Intermediate reading-level preset."""
-    return G.route_paraphrases(_docs(spark, d), "doc_id", "text", _INTER[1], _INTER[2])
+    return G.route_paraphrases(_docs(spark, d), "doc_id", "text", _INTER[1], _INTER[2], length_penalty=_INTER[3], num_beams=_INTER[4])

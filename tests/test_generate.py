@@ -81,3 +81,21 @@ def test_split_valid_reasons(spark):
     valid, rejected = G.split_valid(req)
     assert [r["rid"] for r in valid.collect()] == [1]
     assert sorted((r["rid"], r["reason"]) for r in rejected.collect()) == [(2, "too short"), (3, "empty text")]
+
+
+def test_plugin_generator_gets_decode_params(spark):
+    seen = []
+
+    def probe(pdf):
+        out = []
+        for gp in pdf["_gp"]:
+            gp = gp if isinstance(gp, dict) else gp.asDict() if hasattr(gp, "asDict") else dict(gp)
+            out.append([f"T{gp['temperature']} N{gp['no_repeat_ngram_size']} L{gp['max_length']} B{gp['num_beams']}."])
+        return pd.DataFrame({"candidates": out})
+
+    long_text = " ".join(f"Word{i}." for i in range(700))
+    res = G.summarize(_docs(spark, [long_text]), "doc_id", "text", 70, 40, probe, length_penalty=1.5, num_beams=5).first()
+    # the final text comes from the second pass: it carries the second-pass knobs
+    assert res["summary"] == "T0.3 N4 L70 B5."
+    chunks = G._chunked(_docs(spark, [long_text]), "doc_id", "text", 70, 40, probe, 512, "m", 1.5, 5).first()
+    assert chunks["m"] == "TNone NNone L70 B5. TNone NNone L70 B5."
