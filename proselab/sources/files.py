@@ -119,3 +119,44 @@ def append_rows(df: DataFrame, path: str, schema: T.StructType) -> None:
 
 def read_app_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
+
+
+# --------------------------------------------------------------- JDBC (A3) --
+def read_jdbc_table(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    properties: dict[str, str] | None = None,
+    partition_column: str | None = None,
+    num_partitions: int = 64,
+) -> DataFrame:
+    """A3 against the live database: a range-partitioned parallel read.
+
+    With ``partition_column`` (a numeric key such as ``id``), its bounds
+    come from a one-row ``min/max`` query and each task reads one key range
+    (``num_partitions`` concurrent connections).  Without it the table is
+    read by a single connection.  Filters and projections applied to the
+    result are pushed into the SQL sent to the database."""
+    props = dict(properties or {})
+    if not partition_column:
+        return spark.read.jdbc(url, table, properties=props)
+    bounds = spark.read.jdbc(
+        url, f"(SELECT min({partition_column}) AS lo, max({partition_column}) AS hi FROM {table}) b", properties=props
+    ).first()
+    if bounds is None or bounds["lo"] is None:
+        return spark.read.jdbc(url, table, properties=props)
+    return spark.read.jdbc(
+        url,
+        table,
+        column=partition_column,
+        lowerBound=int(bounds["lo"]),
+        upperBound=int(bounds["hi"]) + 1,
+        numPartitions=num_partitions,
+        properties=props,
+    )
+
+
+def append_jdbc(df: DataFrame, url: str, table: str, schema: T.StructType, properties: dict[str, str] | None = None, batch_size: int = 1000) -> None:
+    """A8 against the live database: append with column defaults, one
+    batched insert stream per task."""
+    with_defaults(df, schema).write.option("batchsize", str(batch_size)).jdbc(url, table, mode="append", properties=dict(properties or {}))
