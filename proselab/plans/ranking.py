@@ -14,8 +14,10 @@ of the data alone.  ``numbered_within`` gives the same numbers without that:
 4. join the summary back on (partition, group); the join key contains the
    partition id, so a hot group is still split across tasks.
 
-The order keys must be unique inside a group (callers add an id tie-break),
-which also makes the numbering deterministic under task retries.
+The order keys must be unique inside a group (callers add an id tie-break).
+The tagged rows are materialised with a reliable checkpoint, so the summary
+and the rows are computed from one and the same range partitioning (and a
+lost executor cannot re-cut it).
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -47,6 +51,10 @@ def numbered_within(
         .withColumn("_p", F.spark_partition_id())
         .withColumn("_m", F.monotonically_increasing_id())
     )
+    # Materialise once: the summary and the rows must see the SAME range
+    # bounds and positions.  Two separately planned range exchanges sample
+    # with different seeds and could cut the ranges differently.
+    s = cut_lineage(s)
     summary = s.groupBy("_p", *group_cols).agg(
         F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_c")
     )

@@ -20,3 +20,18 @@ def test_global_numbering_and_page(spark):
     assert sorted((r["ord"], r["k"]) for r in n) == [(i * 3, i + 1) for i in range(95)]
     p = sorted(r["sample_no"] for r in page(df, ["ord"], 5, 20).collect())
     assert p == list(range(81, 96))
+
+
+def test_numbering_large_enough_to_sample(spark):
+    # big enough that range bounds come from sampling, not from all rows
+    df = spark.range(0, 200_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 101).alias("g"),
+        F.col("id"),
+        ((F.col("id") * 7919) % 100_003).alias("v"),
+    )
+    order = [F.col("v").desc(), F.col("id")]
+    got = numbered_within(df, ["g"], order, "rn", num_partitions=16)
+    exp = df.withColumn("rn_exp", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    bad = got.join(exp, ["g", "id"]).filter(F.col("rn") != F.col("rn_exp")).count()
+    assert bad == 0
+    assert got.count() == 200_000
