@@ -110,3 +110,17 @@ def self_rouge(texts: DataFrame, key: str = "id", stem: bool = True) -> DataFram
     """ROUGE of a paraphrase against its own input (copy rate)."""
     p = texts.filter(F.col("content_type") == "paraphrase").select(key, "input_text", "content_text")
     return M.rouge_all(p, [key], "content_text", "input_text", stem)
+
+
+def page_count(df: DataFrame, page_size: int = S.PAGE_SIZE) -> DataFrame:
+    """Row count and number of pages of ``page_size`` rows; an empty
+    frame has 0 pages (the reference's formula would give 0 pages but a
+    minimum page of 1)."""
+    n = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    return n.select(
+        "total_rows",
+        F.when(F.col("total_rows") == 0, F.lit(0))
+        .otherwise(F.floor((F.col("total_rows") - 1) / page_size) + 1)
+        .cast("long")
+        .alias("pages"),
+    )

@@ -116,11 +116,7 @@ def q_dataset_clean(spark, d):
 )
 def q_dataset_page_count(spark, d):
     """Row count and page count of 20 (0 pages for 0 rows)."""
-    n = V.dataset(spark, d).agg(F.count(F.lit(1)).alias("total_rows"))
-    return n.select(
-        "total_rows",
-        F.when(F.col("total_rows") == 0, F.lit(0)).otherwise(F.floor((F.col("total_rows") - 1) / S.PAGE_SIZE) + 1).cast("long").alias("pages"),
-    )
+    return EV.page_count(V.dataset(spark, d))
 
 
 @register(

@@ -35,3 +35,24 @@ def test_numbering_large_enough_to_sample(spark):
     bad = got.join(exp, ["g", "id"]).filter(F.col("rn") != F.col("rn_exp")).count()
     assert bad == 0
     assert got.count() == 200_000
+
+
+def test_empty_inputs(spark):
+    from proselab.operators import usage as U
+
+    empty = spark.createDataFrame([], "ord long, task string")
+    assert page(empty, ["ord"], 1, 20).count() == 0
+    assert numbered_within(empty, [], ["ord"], "k").count() == 0
+    fb = spark.createDataFrame([], "id long, user_id long, feedback_type string, comment string, created_at timestamp_ntz")
+    r = U.feedback_rates(fb).first()
+    assert (r["likes"], r["dislikes"], r["like_pct"], r["dislike_pct"]) == (0, 0, 0.0, 0.0)
+    texts = spark.createDataFrame([(1, "123"), (2, None)], "id long, model_used string")
+    assert U.top_model(texts).first()["top_model"] == "N/A"
+
+
+def test_page_count(spark):
+    from proselab.operators.evaluate import page_count
+
+    for n, pages in ((0, 0), (1, 1), (20, 1), (21, 2), (95, 5)):
+        r = page_count(spark.range(n)).first()
+        assert (r["total_rows"], r["pages"]) == (n, pages)
