@@ -12,7 +12,9 @@ text.  Every metric returns ``key + score columns``.
 * ROUGE-L needs the LCS length, which no SQL expression computes in linear
   space: an Arrow UDF runs the bit-parallel LCS (Allison & Dix 1986, Hyyrö
   2004) on Python integers, O(n*m/64) word operations, no truncation.
-* cosine and soft match work on given vectors with native array functions.
+* cosine works on given vectors with native array functions; soft match
+  joins bounded vector blocks block x block within a pair and computes each
+  block's similarity matrix with numpy inside the task.
 """
 
 from __future__ import annotations
@@ -297,45 +299,67 @@ def _unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
+_BLOCK_BEST_T = T.StructType(
+    [
+        T.StructField("hb", T.ArrayType(T.DoubleType()), True),
+        T.StructField("rb", T.ArrayType(T.DoubleType()), True),
+    ]
+)
+
+
+@F.pandas_udf(_BLOCK_BEST_T)
+def _block_best(h: pd.Series, r: pd.Series) -> pd.DataFrame:
+    """For one hypothesis block and one reference block of unit vectors:
+    the best cosine of every hypothesis vector against the block (hb) and of
+    every reference vector (rb).  One small matrix product per row."""
+    import numpy as np
+
+    hb, rb = [], []
+    for hv, rv in zip(h, r):
+        hm = np.stack([np.asarray(x, dtype=np.float64) for x in hv])
+        rm = np.stack([np.asarray(x, dtype=np.float64) for x in rv])
+        sim = hm @ rm.T
+        hb.append(sim.max(axis=1).tolist())
+        rb.append(sim.max(axis=0).tolist())
+    return pd.DataFrame({"hb": hb, "rb": rb})
+
+
 def soft_match(token_vectors: DataFrame, block: int = 256) -> DataFrame:
     """J7 (re-aimed BERTScore): greedy soft matching of given token vectors.
 
     P = mean over hypothesis tokens of the best cosine against the pair's
     reference tokens, R symmetric, F = 2PR/(P+R) (no IDF, no rescaling).
 
-    Each side's tokens are packed into blocks of at most ``block`` unit
-    vectors per pair (block id = hash bucket sized from the pair's token
-    count), and every token is joined with the other side's blocks of the
-    same pair: rows grow with tokens x blocks, never tokens x tokens, and
-    each row holds a bounded array.  The best match per token is a max over
-    block maxima.
-    Input: pid, side ('hyp'/'ref'), tok, vec.
-    """
-    tv = token_vectors.select("pid", "side", "tok", _unit(F.col("vec")).alias("u"))
+    Both sides of a pair are packed into blocks of about ``block`` unit
+    vectors (hash buckets sized from the side's token count), and blocks
+    are joined block x block within the pair: one row per block pair, each
+    computing a bounded similarity matrix with numpy inside the task.  The
+    best match of a token is the max over its block maxima (map-side
+    combined).  Input: pid, side ('hyp'/'ref'), tok, vec."""
+    tv = token_vectors.select("pid", "side", "tok", "vec")
     counts = tv.groupBy("pid", "side").agg(F.count(F.lit(1)).alias("_n"))
-    tv = tv.join(counts, ["pid", "side"])
     nb = F.greatest(F.ceil(F.col("_n") / F.lit(block)), F.lit(1)).cast("long")
     blocks = (
-        tv.withColumn("_b", F.pmod(F.xxhash64("tok"), nb))
+        tv.join(counts, ["pid", "side"])
+        .withColumn("_b", F.pmod(F.xxhash64("tok"), nb))
         .groupBy("pid", "side", "_b")
-        .agg(F.collect_list("u").alias("_us"))
+        .agg(F.collect_list(F.struct("tok", _unit(F.col("vec")).alias("u"))).alias("_items"))
+    )
+    h = blocks.filter(F.col("side") == "hyp").select("pid", F.col("_b").alias("_hb"), F.col("_items").alias("_h"))
+    r = blocks.filter(F.col("side") == "ref").select("pid", F.col("_b").alias("_rb"), F.col("_items").alias("_r"))
+    bp = h.join(r, "pid").select(
+        "pid", "_h", "_r", _block_best(F.col("_h.u"), F.col("_r.u")).alias("_best")
     )
 
-    def best(from_side: str, to_side: str) -> DataFrame:
-        q = tv.filter(F.col("side") == from_side).select("pid", "tok", "u")
-        bl = blocks.filter(F.col("side") == to_side).select("pid", "_us")
-        m = q.join(bl, "pid").select(
-            "pid",
-            "tok",
-            F.array_max(F.transform("_us", lambda w: _dot(F.col("u"), w))).alias("_m"),
-        )
-        return m.groupBy("pid", "tok").agg(F.max("_m").alias("_best")).groupBy("pid").agg(
-            F.avg("_best").alias("_s")
-        )
+    def side_mean(items: str, best: str, out: str) -> DataFrame:
+        per_tok = bp.select(
+            "pid", F.explode(F.arrays_zip(F.col(f"{items}.tok").alias("tok"), F.col(f"_best.{best}").alias("m"))).alias("z")
+        ).select("pid", "z.tok", "z.m")
+        return per_tok.groupBy("pid", "tok").agg(F.max("m").alias("_m")).groupBy("pid").agg(F.avg("_m").alias(out))
 
-    p = best("hyp", "ref").withColumnRenamed("_s", "soft_p")
-    r = best("ref", "hyp").withColumnRenamed("_s", "soft_r")
-    pr = p.join(r, "pid", "full_outer").select(
+    p = side_mean("_h", "hb", "soft_p")
+    q = side_mean("_r", "rb", "soft_r")
+    pr = p.join(q, "pid", "full_outer").select(
         "pid", F.coalesce("soft_p", F.lit(0.0)).alias("soft_p"), F.coalesce("soft_r", F.lit(0.0)).alias("soft_r")
     )
     return pr.withColumn(
