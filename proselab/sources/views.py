@@ -1,6 +1,6 @@
 """Application tables derived from the driver tables.
 
-The reference keeps five MySQL tables, a dataset CSV and evaluation CSVs.
+The reference keeps five relational tables, a dataset CSV and evaluation CSVs.
 Here each one is a view over the driver's parquet tables, written twice:
 once with the DataFrame API (what our queries use) and once as SQL text
 (inlined as a CTE by the DuckDB oracles).  The CASE rules plant the special
