@@ -21,29 +21,33 @@ from .. import schemas as S
 from ..functions.text import clamp
 
 
-def _words(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+"), 0)
+_V = "[aeiouy]"
+_C = "[b-df-hj-np-tv-xz]"
+# whole [a-z]+ words (not preceded / followed by a letter)
+_CONSONANT_WORD = f"(?<![a-z]){_C}+(?![a-z])"
+_COMPLEX_WORD = f"(?<![a-z]){_C}*(?:{_V}+{_C}+){{2,}}{_V}+{_C}*(?![a-z])"
 
 
-def _syllables(w: Column) -> Column:
-    return F.greatest(F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), 0)), F.lit(1))
+def _count(s: Column, pattern: str) -> Column:
+    return F.size(F.regexp_extract_all(s, F.lit(pattern), 0))
 
 
 def counts(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds n_words, n_sentences, n_syllables, n_complex."""
-    c = F.col(text_col)
-    ws = _words(c)
-    syl = F.transform(ws, _syllables)
-    sentences = F.greatest(
-        F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "[.!?]+"), lambda s: s.rlike(r"[^ \t\n\x0B\f\r]"))),
-        F.lit(1),
-    )
-    return df.withColumn("_syl", syl).select(
+    """Adds n_words, n_sentences, n_syllables, n_complex.
+
+    Counted with regex matches over the whole lower-cased text (no
+    per-word lambda): syllables = vowel runs + words without a vowel run
+    (each word counts at least 1); complex words = words with at least three
+    vowel runs."""
+    c = F.coalesce(F.col(text_col), F.lit(""))
+    low = F.lower(c)
+    sentences = F.greatest(_count(c, r"[^.!?]*[^.!?\t\n\x0B\f\r ][^.!?]*"), F.lit(1))
+    return df.select(
         *df.columns,
-        F.size(ws).cast("long").alias("n_words"),
+        _count(low, "[a-z]+").cast("long").alias("n_words"),
         sentences.cast("long").alias("n_sentences"),
-        F.aggregate("_syl", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_syllables"),
-        F.size(F.filter("_syl", lambda x: x >= 3)).cast("long").alias("n_complex"),
+        (_count(low, f"{_V}+") + _count(low, _CONSONANT_WORD)).cast("long").alias("n_syllables"),
+        _count(low, _COMPLEX_WORD).cast("long").alias("n_complex"),
     )
 
 
