@@ -65,62 +65,71 @@ def fk_orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFra
     return child.filter(F.col(fk).isNotNull()).join(p, F.col(fk) == p["_pk"], "left_anti")
 
 
-def _rule_counts(table: str, df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """One scan: sum of each violation predicate, as (table, rule, violations)."""
-    agg = df.agg(*[F.count_if(c).cast("long").alias(r) for r, c in rules.items()])
-    stack = ", ".join(f"'{r}', `{r}`" for r in rules)
-    return agg.selectExpr(f"'{table}' AS table_name", f"stack({len(rules)}, {stack}) AS (rule, violations)")
-
-
-def _dup_pk(table: str, df: DataFrame, pk: str) -> DataFrame:
-    """Number of primary-key values held by more than one row."""
-    d = df.groupBy(pk).count().filter(F.col("count") > 1)
-    return d.agg(F.count(F.lit(1)).cast("long").alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit("duplicate_pk").alias("rule"), "violations"
+def _audit_table(
+    table: str, df: DataFrame, pk: str, rules: dict[str, Column], fk: str | None, parent: DataFrame | None, parent_pk: str = "id"
+) -> DataFrame:
+    """All audits of one table from ONE scan: rule predicates are summed per
+    primary key, foreign keys are checked with a left join to the parent's
+    distinct keys, and a single global aggregate yields (table, rule,
+    violations) for every rule, ``duplicate_pk`` and ``fk_<col>``."""
+    x = df
+    orphan = F.lit(False)
+    if fk is not None and parent is not None:
+        keys = parent.select(F.col(parent_pk).alias("_pk")).distinct().withColumn("_has", F.lit(True))
+        x = x.join(keys, x[fk] == keys["_pk"], "left")
+        orphan = F.col(fk).isNotNull() & F.col("_has").isNull()
+    per_key = x.groupBy(pk).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(orphan).alias("_orph"),
+        *[F.count_if(c).alias(r) for r, c in rules.items()],
     )
-
-
-def _orphans(table: str, df: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    o = fk_orphans(df, fk, parent, pk)
-    return o.agg(F.count(F.lit(1)).cast("long").alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(f"fk_{fk}").alias("rule"), "violations"
+    names = list(rules)
+    agg = per_key.agg(
+        *[F.sum(r).cast("long").alias(r) for r in names],
+        F.count_if(F.col("_rows") > 1).cast("long").alias("duplicate_pk"),
+        *([F.sum("_orph").cast("long").alias(f"fk_{fk}")] if fk is not None else []),
     )
+    out = names + ["duplicate_pk"] + ([f"fk_{fk}"] if fk is not None else [])
+    stack = ", ".join(f"'{r}', `{r}`" for r in out)
+    return agg.selectExpr(f"'{table}' AS table_name", f"stack({len(out)}, {stack}) AS (rule, violations)")
 
 
 def constraint_audit(
     users: DataFrame, texts: DataFrame, feedback: DataFrame, logins: DataFrame
 ) -> DataFrame:
     """NOT NULL, ENUM domain, VARCHAR length, duplicate PK and FK
-    orphan counts for the three application tables with declared DDL."""
+    orphan counts for the three application tables with declared DDL, one
+    scan per table."""
     nn = lambda c: F.col(c).isNull()
     parts = [
-        _rule_counts(
+        _audit_table(
             "user_texts",
             texts,
+            "id",
             {
                 "not_null_user_id": nn("user_id"),
                 "not_null_input_text": nn("input_text"),
                 "not_null_content_text": nn("content_text"),
                 "not_null_content_type": nn("content_type"),
-                "len_content_type": F.length("content_type") > CONTENT_TYPE_MAX_LEN,
-                "len_model_used": F.length("model_used") > MODEL_USED_MAX_LEN,
+                "len_content_type": F.coalesce(F.length("content_type") > CONTENT_TYPE_MAX_LEN, F.lit(False)),
+                "len_model_used": F.coalesce(F.length("model_used") > MODEL_USED_MAX_LEN, F.lit(False)),
             },
+            "user_id",
+            users,
         ),
-        _dup_pk("user_texts", texts, "id"),
-        _orphans("user_texts", texts, "user_id", users, "id"),
-        _rule_counts(
+        _audit_table(
             "user_feedback",
             feedback,
+            "id",
             {
                 "not_null_user_id": nn("user_id"),
                 "not_null_feedback_type": nn("feedback_type"),
-                "enum_feedback_type": ~F.col("feedback_type").isin(*FEEDBACK_TYPES),
+                "enum_feedback_type": F.coalesce(~F.col("feedback_type").isin(*FEEDBACK_TYPES), F.lit(False)),
             },
+            "user_id",
+            users,
         ),
-        _dup_pk("user_feedback", feedback, "id"),
-        _orphans("user_feedback", feedback, "user_id", users, "id"),
-        _dup_pk("login_history", logins, "id"),
-        _orphans("login_history", logins, "user_id", users, "id"),
+        _audit_table("login_history", logins, "id", {}, "user_id", users),
     ]
     return reduce(DataFrame.unionByName, parts)
 
