@@ -5,10 +5,9 @@ text.  Every metric returns ``key + score columns``.
 
 * n-gram metrics (ROUGE-1/2, BLEU-4) hash-partition the pair rows on their
   key, explode side-tagged n-grams and count them with
-  ``groupBy(key, n, tokens)``: every n-gram of a pair is in one task, so the
-  map-side partial aggregation collapses them before the exchange, and a
-  huge pair's distinct n-grams spread over all reducers.  Pairs with no
-  common gram get 0 through a left join back to the pair totals.
+  ``groupBy(key, n, tokens)`` inside that partitioning (no n-gram is
+  shuffled).  Pairs with no common gram get 0 through a left join back to
+  the pair totals.
 * ROUGE-L needs the LCS length, which no SQL expression computes in linear
   space: an Arrow UDF runs the bit-parallel LCS (Allison & Dix 1986, Hyyrö
   2004) on Python integers, O(n*m/64) word operations, no truncation.
@@ -194,10 +193,11 @@ def score_pairs(
         cols += [F.when(on, bleu_tokens(hyp)).otherwise(empty).alias("_bh"), F.when(on, bleu_tokens(ref)).otherwise(empty).alias("_br")]
     # One reliable checkpoint: the branches below (n-gram counts, LCS, BLEU)
     # read it instead of recomputing the upstream (each branch prunes
-    # different columns, so Spark could not reuse one exchange), and the
-    # checkpoint keeps the hash partitioning, so every join stays local.
+    # different columns, so Spark could not reuse one exchange), and it
+    # keeps the hash partitioning on the key, so the n-gram aggregations and
+    # the joins between branches run without another exchange.
     n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tok = cut_lineage(pairs.select(*key, *keep, *cols).repartition(n_parts, *key))
+    tok = cut_lineage(pairs.select(*key, *keep, *cols).repartition(n_parts, *key), keep_partitioning=True)
 
     h, r = F.col("_h"), F.col("_r")
     base = tok.select(

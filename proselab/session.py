@@ -73,7 +73,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local one."""
+def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+    """Reliable checkpoint (survives executor loss), never a local one.
+
+    ``keep_partitioning=True``: the materialising job runs with adaptive
+    execution off (restored right after), so the checkpoint records the
+    plan's hash partitioning and later aggregations / joins on the same key
+    need no exchange.  Adaptive plans may coalesce partitions and therefore
+    do not report a usable partitioning to the checkpoint."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    key = "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
