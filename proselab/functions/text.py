@@ -159,8 +159,9 @@ def capitalize(c: str | Column) -> Column:
 
 
 def clamp(x: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
-    """I15."""
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    """Clamp to [lo, hi]; NULL stays NULL (SQL ``greatest``/``least``
+    would skip the NULL and return a bound)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
 def display_fixed(x: Column, decimals: int) -> Column:

@@ -53,11 +53,12 @@ def q_readability(spark, d):
     "readability_levels",
     _COUNTS_SQL
     + """,
-b AS (SELECT doc_id, (least(greatest(fre, 0), 100) + least(greatest((20 - fog) * 5, 0), 100)
-                      + least(greatest((20 - smog) * 5, 0), 100)) / 3.0 AS beg FROM s),
-l AS (SELECT doc_id, least(greatest(beg, 0), 100) AS beginner,
-             least(greatest(100 - abs(50 - beg) * 2, 0), 100) AS intermediate,
-             least(greatest(100 - beg, 0), 100) AS advanced FROM b)
+b AS (SELECT doc_id, CASE WHEN fre IS NOT NULL THEN
+                        (least(greatest(fre, 0), 100) + least(greatest((20 - fog) * 5, 0), 100)
+                         + least(greatest((20 - smog) * 5, 0), 100)) / 3.0 END AS beg FROM s),
+l AS (SELECT doc_id, CASE WHEN beg IS NOT NULL THEN least(greatest(beg, 0), 100) END AS beginner,
+             CASE WHEN beg IS NOT NULL THEN least(greatest(100 - abs(50 - beg) * 2, 0), 100) END AS intermediate,
+             CASE WHEN beg IS NOT NULL THEN least(greatest(100 - beg, 0), 100) END AS advanced FROM b)
 SELECT doc_id, CAST(round(beginner, 6) AS DOUBLE) AS beginner, CAST(round(intermediate, 6) AS DOUBLE) AS intermediate,
        CAST(round(advanced, 6) AS DOUBLE) AS advanced,
        CASE WHEN beginner IS NULL THEN NULL
