@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..functions.stem import stem_tokens
+from ..functions.stem import rouge_tokens_stemmed
 from ..session import cut_lineage
 
 ROUGE_KEEP = "[a-z0-9]+"  # same tokens as: non [a-z0-9] -> space, split, drop empties
@@ -38,8 +38,9 @@ def rouge_tokens(c: str | Column, stem: bool = False) -> Column:
     spaces and split, dropping empties);
     optionally Porter-stem tokens longer than 3 characters."""
     c = F.col(c) if isinstance(c, str) else c
-    toks = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(ROUGE_KEEP), 0)
-    return stem_tokens(toks) if stem else toks
+    if stem:
+        return rouge_tokens_stemmed(c)
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(ROUGE_KEEP), 0)
 
 
 def bleu_tokens(c: str | Column) -> Column:
