@@ -46,8 +46,9 @@ def words(c: str | Column) -> Column:
 
 
 def word_count(c: str | Column) -> Column:
-    """``len(s.split())`` (NULL counts as empty)."""
-    return F.size(words(c))
+    """``len(s.split())`` (NULL counts as empty), counted without
+    materialising the words."""
+    return F.regexp_count(F.coalesce(_c(c), F.lit("")), F.lit(f"{NON_WS}+"))
 
 
 def summary_route(n_words: Column) -> Column:
