@@ -118,7 +118,9 @@ def chunk(df: DataFrame, key: str, text_col: str, max_tokens: int = S.CHUNK_TOKE
     re-joined with one space.  One regex pass over the text per row, no
     shuffle.  Output: key, chunk_no (0-based), chunk_text, n_tokens."""
     pieces = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(chunk_pattern(max_tokens)), 0)
-    x = df.select(key, F.posexplode(pieces).alias("chunk_no", "_raw"))
+    # *_outer + explicit filter: an inner generator makes Spark infer and push
+    # down a `size(pieces) > 0` filter, which would run the regex twice.
+    x = df.select(key, F.posexplode_outer(pieces).alias("chunk_no", "_raw")).filter(F.col("_raw").isNotNull())
     x = x.withColumn("chunk_text", F.regexp_replace("_raw", f"{X.WS}+", " "))
     return x.select(key, "chunk_no", "chunk_text", F.size(F.split("chunk_text", " ")).alias("n_tokens"))
 
@@ -136,20 +138,12 @@ _SENT_RE = re.compile(SENTENCE)
 _TOKEN_RE = re.compile(SCORE_TOKEN)
 
 
-def extract_summary(text: str | None, max_len: int, min_len: int) -> str:
-    """The stand-in generator for one text (plain Python, a few lines).
-
-    Sentences are the ``[^.!?]+[.!?]*`` pieces, stripped, non-empty.  Each
-    is scored by the mean in-text frequency of its lower-case ``[a-z0-9]+``
-    words (0 without words) and ranked by (score desc, position asc).  The
-    top sentence is always kept, then every sentence whose running word
-    count (``str.split``) by rank stays within ``max_len`` or whose
-    preceding total is below ``min_len``.  Kept sentences are joined in
-    text order with one space; no sentence gives ''."""
+def _ranked_sentences(text: str | None) -> list[tuple[int, str, int]]:
+    """(position, sentence, word count) in rank order: score = mean in-text
+    frequency of the sentence's lower-case ``[a-z0-9]+`` words (0 without
+    words), ranked by (score desc, position asc)."""
     sents = [s.strip() for s in _SENT_RE.findall(text or "")]
     sents = [(i, s) for i, s in enumerate(sents) if s]
-    if not sents:
-        return ""
     toks = [_TOKEN_RE.findall(s.lower()) for _, s in sents]
     freq = Counter(t for ts in toks for t in ts)
     scored = [
@@ -157,9 +151,12 @@ def extract_summary(text: str | None, max_len: int, min_len: int) -> str:
         for (i, s), ts in zip(sents, toks)
     ]
     scored.sort(key=lambda x: (x[0], x[1]))
+    return [(i, s, len(s.split())) for _neg, i, s in scored]
+
+
+def _select(ranked: list[tuple[int, str, int]], max_len: int, min_len: int) -> str:
     keep, total = [], 0
-    for rank, (_neg, i, s) in enumerate(scored, 1):
-        n = len(s.split())
+    for rank, (i, s, n) in enumerate(ranked, 1):
         before, total = total, total + n
         if rank == 1 or total <= max_len or before < min_len:
             keep.append((i, s))
@@ -167,6 +164,25 @@ def extract_summary(text: str | None, max_len: int, min_len: int) -> str:
     return " ".join(s for _, s in keep)
 
 
+def extract_summary(text: str | None, max_len: int, min_len: int) -> str:
+    """The stand-in generator for one text (plain Python, a few lines).
+
+    Sentences are the ``[^.!?]+[.!?]*`` pieces, stripped, non-empty, ranked
+    by the mean in-text frequency of their words.  The top sentence is
+    always kept, then every sentence whose running word count
+    (``str.split``) by rank stays within ``max_len`` or whose preceding
+    total is below ``min_len``.  Kept sentences are joined in text order
+    with one space; no sentence gives ''."""
+    return _select(_ranked_sentences(text), max_len, min_len)
+
+
+def extract_summaries(text: str | None, lengths: list[tuple[int, int]]) -> list[str]:
+    """The stand-in for several (max_len, min_len) settings of one text:
+    the sentences are scored once, only the selection differs."""
+    ranked = _ranked_sentences(text)
+    return [_select(ranked, mx, mn) for mx, mn in lengths]
+
+
 @F.pandas_udf(T.StringType())
 def _extractive_udf(text: pd.Series, max_len: pd.Series, min_len: pd.Series) -> pd.Series:
     return pd.Series(
@@ -174,6 +190,14 @@ def _extractive_udf(text: pd.Series, max_len: pd.Series, min_len: pd.Series) ->
     )
 
 
+_PRESET_LENGTHS = [(m, n) for _p, m, n, _a, _b in S.SUMMARY_PRESETS]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _extractive_multi_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: extract_summaries(t, _PRESET_LENGTHS))
+
+
 def extractive(
     df: DataFrame, key: str | list[str], text_col: str, max_len: str | int, min_len: str | int, out: str = "generated"
 ) -> DataFrame:
@@ -346,18 +370,44 @@ def route_paraphrases(
 
 def preset_sweep(docs: DataFrame, key: str, text_col: str, generator: Generator | None = None) -> DataFrame:
     """Every document under the short / medium / long presets.  The
-    3 presets are a literal array exploded per row (no join); the long
-    preset takes the chunked path when the text exceeds one chunk."""
+    3 presets are a literal array (no join); the long preset takes the
+    chunked path when the text exceeds one chunk.  With the stand-in
+    generator a document's sentences are scored once for all its direct
+    presets (one UDF call, then exploded); a plug-in generator gets one
+    call per (document, preset), each with that preset's decode settings."""
+    long_text = X.word_count(text_col) > S.CHUNK_TOKENS
+    mx, mn, lp, nb = [(m, n, a, b) for p, m, n, a, b in S.SUMMARY_PRESETS if p == "long"][0]
+    out_long = summarize(
+        docs.filter(long_text).select(key, text_col), key, text_col, mx, mn, generator, length_penalty=lp, num_beams=nb
+    ).withColumn("preset", F.lit("long")).select(key, "preset", "summary")
+
+    if generator is None:
+        names = [p[0] for p in S.SUMMARY_PRESETS]
+        outs = _extractive_multi_udf(F.col(text_col)).alias("_outs")
+        x = docs.select(key, long_text.alias("_long"), outs)
+        # *_outer: an inner generator would get an inferred `size(_outs) > 0`
+        # filter pushed below the exchange, evaluating the UDF twice.
+        x = x.select(key, "_long", F.posexplode_outer("_outs").alias("_i", "_g")).filter(F.col("_i").isNotNull()).withColumn(
+            "preset", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)
+        )
+        out_direct = x.filter(~(F.col("_long") & (F.col("preset") == "long"))).select(
+            key, "preset", X.strip_unwanted_prefixes("_g").alias("summary")
+        )
+        return out_direct.unionByName(out_long)
+
     presets = F.array(
         *[
             F.struct(
-                F.lit(n).alias("preset"), F.lit(mx).alias("max_len"), F.lit(mn).alias("min_len"),
-                F.lit(lp).cast("double").alias("lp"), F.lit(nb).alias("nb"),
+                F.lit(n).alias("preset"), F.lit(m).alias("max_len"), F.lit(k).alias("min_len"),
+                F.lit(a).cast("double").alias("lp"), F.lit(b).alias("nb"),
             )
-            for n, mx, mn, lp, nb in S.SUMMARY_PRESETS
+            for n, m, k, a, b in S.SUMMARY_PRESETS
         ]
     )
-    x = docs.select(key, text_col, F.explode(presets).alias("p")).select(
+    x = docs.select(key, text_col, long_text.alias("_long"), F.explode(presets).alias("p")).filter(
+        ~(F.col("_long") & (F.col("p.preset") == "long"))
+    )
+    x = x.select(
         F.concat_ws(":", F.col(key).cast("string"), F.col("p.preset")).alias("_sk"),
         key,
         text_col,
@@ -365,19 +415,10 @@ def preset_sweep(docs: DataFrame, key: str, text_col: str, generator: Generator
         F.col("p.max_len").alias("max_len"),
         F.col("p.min_len").alias("min_len"),
         decode_params("p.max_len", "p.min_len", "p.lp", "p.nb").alias("_gp"),
-        ((F.col("p.preset") == "long") & (X.word_count(text_col) > S.CHUNK_TOKENS)).alias("_long"),
     )
-    short_side = x.filter(~F.col("_long"))
     out_direct = _generate(
-        short_side, "_sk", text_col, "max_len", "min_len", generator, ["_gp"], "_g", passthrough=(key, "preset")
+        x, "_sk", text_col, "max_len", "min_len", generator, ["_gp"], "_g", passthrough=(key, "preset")
     ).select(key, "preset", X.strip_unwanted_prefixes("_g").alias("summary"))
-    long_side = x.filter(F.col("_long"))
-    mx, mn, lp, nb = [(m, n, a, b) for p, m, n, a, b in S.SUMMARY_PRESETS if p == "long"][0]
-    out_long = summarize(
-        long_side.select(key, text_col), key, text_col, mx, mn, generator, length_penalty=lp, num_beams=nb
-    ).withColumn(
-        "preset", F.lit("long")
-    ).select(key, "preset", "summary")
     return out_direct.unionByName(out_long)
 
 

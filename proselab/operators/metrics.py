@@ -65,8 +65,12 @@ def _overlap_local(tok: DataFrame, key: list[str], h_col: str, r_col: str, order
     m = F.greatest(F.size(w) - n + 1, F.lit(0))
     none = F.array_repeat(F.lit(None).cast("string"), m)
     slots = [F.when(F.lit(k) < n, F.slice(w, 1 + k, m)).otherwise(none) for k in range(4)]
-    grams = x.select(*key, n.alias("n"), side.alias("s"), F.explode(F.arrays_zip(*slots)).alias("t")).select(
-        *key, "n", "s", *[F.col("t").getField(str(k)).alias(f"g{k}") for k in range(4)]
+    # explode_outer + filter: an inner explode gets an inferred
+    # `size(arrays_zip(...)) > 0` filter that would build the array twice.
+    grams = (
+        x.select(*key, n.alias("n"), side.alias("s"), F.explode_outer(F.arrays_zip(*slots)).alias("t"))
+        .filter(F.col("t").isNotNull())
+        .select(*key, "n", "s", *[F.col("t").getField(str(k)).alias(f"g{k}") for k in range(4)])
     )
     per_gram = grams.groupBy(*key, "n", "g0", "g1", "g2", "g3").agg(
         F.count_if(F.col("s") == 0).alias("ch"), F.count_if(F.col("s") == 1).alias("cr")
@@ -354,8 +358,8 @@ def soft_match(token_vectors: DataFrame, block: int = 256) -> DataFrame:
 
     def side_mean(items: str, best: str, out: str) -> DataFrame:
         per_tok = bp.select(
-            "pid", F.explode(F.arrays_zip(F.col(f"{items}.tok").alias("tok"), F.col(f"_best.{best}").alias("m"))).alias("z")
-        ).select("pid", "z.tok", "z.m")
+            "pid", F.explode_outer(F.arrays_zip(F.col(f"{items}.tok").alias("tok"), F.col(f"_best.{best}").alias("m"))).alias("z")
+        ).filter(F.col("z").isNotNull()).select("pid", "z.tok", "z.m")
         return per_tok.groupBy("pid", "tok").agg(F.max("m").alias("_m")).groupBy("pid").agg(F.avg("_m").alias(out))
 
     p = side_mean("_h", "hb", "soft_p")

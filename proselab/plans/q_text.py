@@ -305,7 +305,7 @@ SELECT rid, CAST(1 AS INTEGER) AS pos, text AS cand FROM c WHERE rid NOT IN (SEL
 def q_candidate_clean(spark, d):
     c = _cands_spark(spark, d)
     cleaned = X.clean_candidates("cands", "text")
-    return c.select("rid", F.posexplode(cleaned).alias("pos", "cand")).select(
+    return c.select("rid", F.posexplode_outer(cleaned).alias("pos", "cand")).filter(F.col("pos").isNotNull()).select(
         "rid", (F.col("pos") + 1).cast("int").alias("pos"), "cand"
     )
 

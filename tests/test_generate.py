@@ -99,3 +99,17 @@ def test_plugin_generator_gets_decode_params(spark):
     assert res["summary"] == "T0.3 N4 L70 B5."
     chunks = G._chunked(_docs(spark, [long_text]), "doc_id", "text", 70, 40, probe, 512, "m", 1.5, 5).first()
     assert chunks["m"] == "TNone NNone L70 B5. TNone NNone L70 B5."
+
+
+def test_preset_sweep_plugin_and_standin(spark):
+    def echo(pdf):
+        return pd.DataFrame({"candidates": [[f"L{gp['max_length']}"] for gp in pdf["_gp"]]})
+
+    short = "One short text. It has two sentences."
+    long_text = " ".join(f"Word{i}." for i in range(600))
+    docs = _docs(spark, [short, long_text])
+    plug = sorted((r["doc_id"], r["preset"], r["summary"]) for r in G.preset_sweep(docs, "doc_id", "text", echo).collect())
+    assert plug[:3] == [(0, "long", "L100"), (0, "medium", "L70"), (0, "short", "L45")]
+    assert [p[1] for p in plug[3:]] == ["long", "medium", "short"] and plug[3][2] == "L100"
+    std = {(r["doc_id"], r["preset"]): r["summary"] for r in G.preset_sweep(docs, "doc_id", "text").collect()}
+    assert len(std) == 6 and std[(0, "short")] == short
