@@ -92,8 +92,8 @@ def strip_unwanted_prefixes(c: str | Column) -> Column:
 def banned_hits(c: str | Column) -> Column:
     """Banned terms occurring (case-insensitive substring) in the text."""
     low = F.lower(F.coalesce(_c(c), F.lit("")))
-    terms = F.array(*[F.lit(t) for t in S.BANNED_TERMS])
-    return F.filter(terms, lambda t: F.instr(low, t) > 0)
+    # plain column expressions (no lambda): codegen computes lower() once
+    return F.array_compact(F.array(*[F.when(F.instr(low, t) > 0, F.lit(t)) for t in S.BANNED_TERMS]))
 
 
 def summary_prompt(text: str | Column, model_path: str | Column) -> Column:
