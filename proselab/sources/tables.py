@@ -31,8 +31,12 @@ def balanced(df: DataFrame) -> DataFrame:
     best); a small file of long texts would otherwise be processed by one
     core.  At cluster scale the scan already has far more splits than
     cores and this is a no-op (no shuffle is added)."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: leave the scan as it is
+        return df
+    if have >= want:
         return df
     return df.repartition(want)
 
