@@ -209,33 +209,34 @@ def upsert_profiles(profiles: DataFrame, changes: DataFrame, seq: str = "seq") -
 
 
 # ----------------------------------------------------------- registration --
-def _accept_rounds(cand: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _accept_rounds(cand: DataFrame) -> DataFrame:
     """Exact sequential "first come wins" on two unique keys, by rounds.
 
     A row is accepted when it is the earliest undecided row for BOTH its
     e-mail and its user name; undecided rows sharing a key with a newly
-    accepted row are rejected.  Repeat until nothing is undecided.  Each
-    round is a few joins/aggregations; the loop runs over rounds (the length
-    of the longest conflict chain), never over rows.  Lineage is cut with a
-    reliable checkpoint each round."""
+    accepted row are rejected.  Repeat until nothing is undecided.  Every
+    round accepts at least the earliest undecided row, so the loop ends; it
+    runs over rounds (the length of the longest conflict chain), never over
+    rows, and no row is ever left out.  Each round is a few joins and
+    aggregations; lineage is cut with a reliable checkpoint per round."""
     accepted: DataFrame | None = None
-    undecided = cand
-    for _ in range(max_rounds):
+    undecided = cut_lineage(cand)
+    while not undecided.isEmpty():
         me = undecided.groupBy("email").agg(F.min("ord").alias("_me"))
         mu = undecided.groupBy("username").agg(F.min("ord").alias("_mu"))
         u2 = undecided.join(me, "email").join(mu, "username")
-        acc = u2.filter((F.col("ord") == F.col("_me")) & (F.col("ord") == F.col("_mu"))).select(*cand.columns)
-        acc = cut_lineage(acc)
+        wins = (F.col("ord") == F.col("_me")) & (F.col("ord") == F.col("_mu"))
+        acc = cut_lineage(u2.filter(wins).select(*cand.columns))
+        if acc.isEmpty():  # impossible by construction; never drop rows silently
+            raise RuntimeError("registration rounds made no progress")
         accepted = acc if accepted is None else accepted.unionByName(acc)
         rest = (
-            u2.filter(~((F.col("ord") == F.col("_me")) & (F.col("ord") == F.col("_mu"))))
+            u2.filter(~wins)
             .select(*cand.columns)
             .join(acc.select(F.col("email").alias("_ae")), F.col("email") == F.col("_ae"), "left_anti")
             .join(acc.select(F.col("username").alias("_au")), F.col("username") == F.col("_au"), "left_anti")
         )
         undecided = cut_lineage(rest)
-        if undecided.isEmpty():
-            break
     return accepted if accepted is not None else cand.limit(0)
 
 
