@@ -44,9 +44,23 @@ def _load_all() -> None:
     )
 
 
+def _shipped(fn: QueryFn) -> QueryFn:
+    from ..session import ship_package
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries() -> dict[str, QueryFn]:
+    """name -> callable; each call first makes the package importable in the
+    Python workers (``ship_package``)."""
     _load_all()
-    return dict(_QUERIES)
+    return {k: _shipped(v) for k, v in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ the local/test case.
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,3 +96,33 @@ def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         conf.set(key, before)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (Arrow UDFs,
+    ``mapInPandas``) by adding a zip of it with ``addPyFile`` — the same as
+    ``--py-files`` at submit time.  Once per application; a no-op without a
+    SparkContext (Spark Connect servers get the code at deployment)."""
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:
+        return
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    path = os.path.join(tempfile.mkdtemp(prefix="proselab-pyfiles-"), "proselab.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
