@@ -28,8 +28,12 @@ def _c(c: str | Column) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """``str.strip()``."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+    """``str.strip()``.  The regex only runs when the first or the last
+    character is whitespace (otherwise there is nothing to strip), so long
+    texts are not scanned end to end."""
+    c = _c(c)
+    edge = F.substring(c, 1, 1).rlike(f"^{WS}$") | F.substring(c, -1, 1).rlike(f"^{WS}$")
+    return F.when(edge, F.regexp_replace(c, f"^{WS}+|{WS}+$", "")).otherwise(c)
 
 
 def strip_lower(c: str | Column) -> Column:
