@@ -14,9 +14,11 @@ Generation itself is pluggable:
   through ``mapInPandas``: Arrow batches, the model loaded once per Python
   worker, one output row per input row, failures captured per row (K9).
 
-Chunks are bounded (``CHUNK_TOKENS`` words), so every per-chunk window or
-group below is bounded too; documents of any length become many chunk rows
-that spread across tasks.
+Chunks are bounded (``CHUNK_TOKENS`` words), so each generator call works
+on a bounded input.  Chunk rows stay in the task that read their document
+(one document is one row, so its size is bounded by the row size), and only
+the short chunk outputs are shuffled, once, to merge each document in chunk
+order.
 """
 
 from __future__ import annotations
