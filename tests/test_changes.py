@@ -118,3 +118,23 @@ def test_constraint_audit_counts(spark):
     assert got[("user_texts", "fk_user_id")] == 1
     assert got[("user_feedback", "enum_feedback_type")] == 1
     assert got[("login_history", "fk_user_id")] == 1
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_delete_and_dedup_are_idempotent(spark, seed):
+    from datetime import datetime, timedelta
+
+    rnd = random.Random(seed)
+    rows = [(i, rnd.randint(1, 4), rnd.choice("abc"), datetime(2024, 1, 1) + timedelta(minutes=rnd.randint(0, 50))) for i in range(40)]
+    s = "id long, user_id long, content_text string, created_at timestamp_ntz"
+    t = spark.createDataFrame(rows, s)
+    keys = spark.createDataFrame([(k,) for k in rnd.sample(range(40), 10)], "id long")
+    once = CH.delete_by_key(t, keys, "id")
+    twice = CH.delete_by_key(once, keys, "id")
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    batch = spark.createDataFrame([(100 + i, u, c, ts + timedelta(hours=1)) for i, u, c, ts in rows[:15]], s)
+    k = ["user_id", "content_text"]
+    d1 = CH.dedup_append(t, batch, k, ["created_at", "id"])
+    d2 = CH.dedup_append(d1, batch, k, ["created_at", "id"])
+    assert sorted(map(tuple, d1.collect())) == sorted(map(tuple, d2.collect()))
+    assert d1.count() == t.select(*k).distinct().count()
