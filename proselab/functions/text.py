@@ -100,6 +100,13 @@ def banned_hits(c: str | Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.instr(low, t) > 0, F.lit(t)) for t in S.BANNED_TERMS]))
 
 
+def without_banned(df, text_col: str, keep_banned: bool = False):
+    """I6 keep/drop filter: rows whose text contains no banned term (or,
+    with ``keep_banned``, only the rows that do).  A narrow filter."""
+    hit = F.size(banned_hits(text_col)) > 0
+    return df.filter(hit if keep_banned else ~hit)
+
+
 def summary_prompt(text: str | Column, model_path: str | Column) -> Column:
     """The long instruction prefix only for a 'Pegasus' model path
     (case-sensitive test, as in the reference)."""

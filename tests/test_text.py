@@ -138,3 +138,9 @@ def test_single_user_history_and_display(spark):
     labels = [r["l"] for r in t.orderBy("id").select(U.history_label().alias("l")).collect()]
     assert labels[1] == "2024-01-02 00:00:00 - paraphrase - None"
     assert _one(spark, X.display_fixed(F.col("x"), 1), 12.345, "x double") == "12.3"
+
+
+def test_banned_keep_drop(spark):
+    df = spark.createDataFrame([(1, "Plain words."), (2, "Click here."), (3, None)], "k long, t string")
+    assert sorted(r["k"] for r in X.without_banned(df, "t").collect()) == [1, 3]
+    assert [r["k"] for r in X.without_banned(df, "t", keep_banned=True).collect()] == [2]
