@@ -56,3 +56,16 @@ def test_page_count(spark):
     for n, pages in ((0, 0), (1, 1), (20, 1), (21, 2), (95, 5)):
         r = page_count(spark.range(n)).first()
         assert (r["total_rows"], r["pages"]) == (n, pages)
+
+
+def test_first_match_semantics(spark):
+    from proselab.operators.evaluate import first_match
+
+    ds = spark.createDataFrame(
+        [(5, "  same text ", "t5"), (3, "same text", None), (7, "same text", "t7"), (9, "other", "t9")],
+        "ord long, input_text string, target_text string",
+    )
+    inputs = spark.createDataFrame([(1, "same text\n"), (2, "unknown"), (3, None)], "id long, input_text string")
+    got = {r["id"]: (r["matched"], r["dataset_ord"], r["reference"]) for r in first_match(inputs, "id", "input_text", ds).collect()}
+    # ord 3 has no target (dropped like the reference's dropna), so ord 5 is the first match
+    assert got == {1: (True, 5, "t5"), 2: (False, None, None), 3: (False, None, None)}
