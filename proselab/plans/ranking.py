@@ -62,9 +62,16 @@ def numbered_within(
     if group_cols:
         w = Window.partitionBy(*group_cols).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    joined = s.join(summary.select("_p", *group_cols, "_m0", "_off"), ["_p", *group_cols], "inner")
+    # null-safe on the group keys: a NULL group is a group, as in a window
+    sm = summary.select(
+        F.col("_p").alias("_sp"), *[F.col(g).alias(f"_sg_{i}") for i, g in enumerate(group_cols)], "_m0", "_off"
+    )
+    cond = s["_p"] == sm["_sp"]
+    for i, g in enumerate(group_cols):
+        cond = cond & s[g].eqNullSafe(sm[f"_sg_{i}"])
+    joined = s.join(sm, cond, "inner")
     return joined.select(
-        *cols, (F.col("_off") + (F.col("_m") - F.col("_m0")) + F.lit(1)).cast("long").alias(out)
+        *[s[c] for c in cols], (F.col("_off") + (F.col("_m") - F.col("_m0")) + F.lit(1)).cast("long").alias(out)
     )
 
 

@@ -69,3 +69,9 @@ def test_first_match_semantics(spark):
     got = {r["id"]: (r["matched"], r["dataset_ord"], r["reference"]) for r in first_match(inputs, "id", "input_text", ds).collect()}
     # ord 3 has no target (dropped like the reference's dropna), so ord 5 is the first match
     assert got == {1: (True, 5, "t5"), 2: (False, None, None), 3: (False, None, None)}
+
+
+def test_numbering_null_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (None, 4)], "g long, id long")
+    got = sorted((r["g"] if r["g"] is not None else -1, r["id"], r["rn"]) for r in numbered_within(df, ["g"], ["id"], "rn").collect())
+    assert got == [(-1, 1, 1), (-1, 2, 2), (-1, 4, 3), (1, 3, 1)]
