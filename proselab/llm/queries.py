@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, token_files
+from . import byte_bpe, langid, packing, pii, quality_model, quality_rules, token_files
 from .common import held_out, read, scratch
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     folder = scratch(spark, "token-files")
@@ -16,6 +21,20 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(read(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken")
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    learn = read(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    return quality_model.score(docs, quality_model.fit(docs, learn)).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=0)
 
@@ -26,6 +45,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op9_best_fit_packing, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_quality_rules,
+        op4_token_files,
+        op5_byte_bpe,
+        op6_quality_model,
+        op7_personal_data,
+        op9_best_fit_packing,
+        op10_language_id,
+    )
+}
 
 ORACLES: dict[str, str] = {}
