@@ -33,6 +33,10 @@ MAX_REPEATED = 20  # per cent
 #: labelled documents that the field is fitted on, at most
 SAMPLE_DOCS = 1200
 MIN_CONTENT = 0.5
+#: shares of characters are taken times this, up to 1
+SHARE_SCALE = 5
+#: strength of the quadratic prior on the weights
+PENALTY = 1e-5
 FEATURES = ("one", "symbols", "capitals", "marks", "digits", "repeated", "same_as_last", "copy", "words", "word_length")
 CONTENT, BOILERPLATE = 0, 1
 
@@ -44,7 +48,7 @@ class Field(NamedTuple):
     step: np.ndarray
 
 
-PRIOR = Field(np.array([-2.0, 8, 4, 4, 4, 4, 8, 4, 0, 0]), np.array([[0.5, -0.5], [-0.5, 0.5]]))
+PRIOR = Field(np.array([-3.0, 8, 4, 4, 2, 4, 8, 4, 0, 0]), np.array([[0.5, -0.5], [-0.5, 0.5]]))
 
 
 def _classes() -> np.ndarray:
@@ -147,10 +151,10 @@ def count(texts: list[str]) -> Counts:
             seen.add(s)
 
     sums = {b: np.r_[0, np.cumsum((bits & b) > 0)] for b in (2, 4, 8, 16, 32)}
-    a, z = breaks[line] - 0, breaks[line]
+    z = breaks[line]
     a = np.where(line > 0, breaks[np.maximum(line - 1, 0)] + 1, 0)
     chars = np.add.reduceat(length, first) if len(first) else np.zeros(0, np.int64)
-    share = lambda b, of: (sums[b][z] - sums[b][a]) / np.maximum(1, of)
+    share = lambda b, of: np.minimum(1, SHARE_SCALE * (sums[b][z] - sums[b][a]) / np.maximum(1, of))
     same = np.r_[False, word[1:] == word[:-1]] if len(word) else np.zeros(0, bool)
     per_line = lambda x: np.add.reduceat(x.astype(float), first) / line_words if len(first) else np.zeros(0)
     features = np.stack(
@@ -249,7 +253,7 @@ def train(features: np.ndarray, line_doc: np.ndarray, label: np.ndarray, rounds:
             beta[before] /= beta[before].sum(axis=1, keepdims=True)
         post = alpha * beta
         post /= post.sum(axis=1, keepdims=True)
-        grad = np.r_[(features.T @ (label - post[:, 1])), (pairs - got).ravel()] / n - 1e-3 * np.r_[w, t.ravel()]
+        grad = np.r_[(features.T @ (label - post[:, 1])), (pairs - got).ravel()] / n - PENALTY * np.r_[w, t.ravel()]
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         move = 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(var / (1 - 0.999**k)) + 1e-9)
         w, t = w + move[: len(w)], t + move[len(w) :].reshape(2, 2)
