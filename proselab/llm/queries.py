@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, langid, packing, pii, quality_model, quality_rules, token_files
+from . import ann, byte_bpe, langid, minhash, packing, pii, quality_model, quality_rules, token_files
 from .common import held_out, read, scratch
 
 
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, read(spark, sf_dir, "labels")))
@@ -35,6 +39,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=0)
 
@@ -48,11 +56,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_nearest_vectors,
         op3_quality_rules,
         op4_token_files,
         op5_byte_bpe,
         op6_quality_model,
         op7_personal_data,
+        op8_near_duplicates,
         op9_best_fit_packing,
         op10_language_id,
     )
