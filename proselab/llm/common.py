@@ -57,22 +57,20 @@ def map_texts(
 
     ``schema`` is the DDL of the columns that ``fn`` adds."""
     ship_package(df.sparkSession)
-    src = df.select(*keep, F.col(text).alias("text"))
-    kept = src.select(*keep).schema
-    out = src.limit(0).select(*keep).schema
+    src = df.select(*keep, F.col(text).alias("__text"))
+    out = df.select(*keep).schema
     for field in _ddl(df.sparkSession, schema):
         out = out.add(field)
     names = [f.name for f in out.fields]
-    n_keep = len(kept.fields)
+    n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(out)
         for batch in batches:
-            for part in pieces_of(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                res = fn(texts)
+            for part in pieces_of(batch, "__text"):
+                res = fn([t or "" for t in part.column("__text").to_pylist()])
                 cols = [part.column(c).cast(target.field(c).type) for c in names[:n_keep]]
                 cols += [pa.array(res[c], type=target.field(c).type) for c in names[n_keep:]]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -103,8 +101,3 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts (one narrow aggregate); sizes the partitions."""
     row = df.agg(F.sum(F.octet_length(column)).alias("n")).first()
     return int(row["n"] or 0)
-
-
-def letters_table(text: str, start: int, stop: int) -> dict[int, int]:
-    """Code point map a..b -> the characters of ``text``, in order."""
-    return dict(zip(range(start, stop), map(ord, text), strict=True))
