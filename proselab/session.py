@@ -3,8 +3,8 @@
 Cluster jobs get their session from the platform; these helpers only fill in
 settings that are unset.  The checkpoint directory is always read from
 ``spark.checkpoint.dir`` (a shared, fault-tolerant folder on a cluster); a
-private scratch folder is created only when nothing is configured, which is
-the local/test case.
+private scratch folder is created only in local mode, when nothing is
+configured.
 """
 
 from __future__ import annotations
@@ -58,9 +58,10 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring Spark to use it.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only if it is unset
-    (local runs and tests) a fresh scratch folder is created.
-    """
+    Reads ``spark.checkpoint.dir`` from the session.  Only in local mode,
+    where one machine is the cluster, an unset folder is replaced by a fresh
+    scratch folder; on a cluster that would be one node's disk, so it is an
+    error."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
@@ -72,30 +73,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="proselab-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
-    """Reliable checkpoint (survives executor loss), never a local one.
-
-    ``keep_partitioning=True``: the materialising job runs with adaptive
-    execution off (restored right after), so the checkpoint records the
-    plan's hash partitioning and later aggregations / joins on the same key
-    need no exchange.  Adaptive plans may coalesce partitions and therefore
-    do not report a usable partitioning to the checkpoint."""
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (survives executor loss), never a local one."""
     checkpoint_dir(df.sparkSession)
-    if not keep_partitioning:
-        return df.checkpoint(eager=True)
-    conf = df.sparkSession.conf
-    key = "spark.sql.adaptive.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        conf.set(key, before)
+    return df.checkpoint(eager=True)
 
 
 _SHIPPED: set[str] = set()

@@ -20,28 +20,7 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# Tables whose rows carry long texts: per-row work on them is CPU-heavy.
-TEXT_TABLES = ("documents", "conversations", "pages", "benchmark")
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread rows over at least ``defaultParallelism`` partitions.
-
-    A scan yields one task per file split (one per parquet row group at
-    best); a small file of long texts would otherwise be processed by one
-    core.  At cluster scale the scan already has far more splits than
-    cores and this is a no-op (no shuffle is added)."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session: leave the scan as it is
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Full table scan of one driver table (text tables balanced)."""
-    df = spark.read.parquet(table_path(sf_dir, name))
-    return balanced(df) if name in TEXT_TABLES else df
+    """Full table scan of one driver table.  The size of a scan's tasks is
+    the deployment's choice (``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(table_path(sf_dir, name))
