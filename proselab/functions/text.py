@@ -23,6 +23,11 @@ WS = r"[\p{javaWhitespace}\x{85}\x{a0}\x{2007}\x{202f}]"
 WS_PORTABLE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+# Starts only where a run of whitespace starts, so a run inside the text is
+# read once, not once from each of its characters.
+TRAILING_WS = rf"(?<!{WS}){WS}+\z"
+
+
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -33,7 +38,7 @@ def strip_ws(c: str | Column) -> Column:
     texts are not scanned end to end."""
     c = _c(c)
     edge = F.substring(c, 1, 1).rlike(f"^{WS}$") | F.substring(c, -1, 1).rlike(f"^{WS}$")
-    return F.when(edge, F.regexp_replace(c, f"^{WS}+|{WS}+$", "")).otherwise(c)
+    return F.when(edge, F.regexp_replace(c, f"^{WS}+|{TRAILING_WS}", "")).otherwise(c)
 
 
 def strip_lower(c: str | Column) -> Column:
@@ -71,26 +76,22 @@ def preview(c: str | Column, n: int = S.PREVIEW_CHARS) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
-def prefix_step_pattern(prefix: str) -> str:
-    """One clean-up step as a single anchored regex: the prefix (any case),
-    whitespace, at most one ':' or '-', whitespace, then the rest without
-    trailing whitespace (group 1).  Equivalent to: if ``s.lower()`` starts
-    with the prefix, ``s = s[len(p):].strip()``, then drop one leading ':'
-    or '-' and strip again."""
-    lit = "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in prefix)
-    return f"(?s)^(?iu:{lit}){WS}*(?:[:\\-]{WS}*)?(.*?){WS}*\\z"
+def prefix_pattern() -> str:
+    """All clean-up steps as one anchored regex.  Each step is optional and
+    possessive: the prefix (ASCII letters in any case), whitespace, at most
+    one ':' or '-', whitespace.  Nothing after the prefixes is read."""
+    tail = f"{WS}*+(?:[:\\-]{WS}*+)?+"
+    return "^" + "".join(f"(?:(?i:{p}){tail})?+" for p in S.UNWANTED_PREFIXES)
 
 
 def strip_unwanted_prefixes(c: str | Column) -> Column:
     """Remove 'conclusion:', 'conclusion', 'summary:', 'summary',
     'in conclusion' — in that order, once each, case-insensitive, not word
     bounded; after a hit strip, then drop one leading ':' or '-' and strip.
-    Five chained anchored regex replacements; a step that does not match
-    leaves the text unchanged."""
-    out = _c(c)
-    for p in S.UNWANTED_PREFIXES:
-        out = F.regexp_replace(out, prefix_step_pattern(p), "$1")
-    return out
+    A text without any of the prefixes is unchanged.  Linear in the text."""
+    c = _c(c)
+    hit = c.rlike("^(?i:" + "|".join(S.UNWANTED_PREFIXES) + ")")
+    return F.when(hit, F.regexp_replace(c, f"{prefix_pattern()}|{TRAILING_WS}", "")).otherwise(c)
 
 
 def banned_hits(c: str | Column) -> Column:
@@ -153,9 +154,11 @@ INT_TEXT_PORTABLE = f"^{WS_PORTABLE}*[+-]?[0-9]+{WS_PORTABLE}*$"
 
 
 def lenient_int(c: str | Column, default: int = S.DEFAULT_AGE) -> Column:
-    """``int(x)`` with a default for missing or unparsable values."""
+    """``int(x)`` with a default for missing or unparsable values; a
+    number beyond 32 bits is no age and gets the default as well."""
     c = _c(c)
-    return F.when(c.rlike(INT_TEXT), strip_ws(c).cast("int")).otherwise(F.lit(default))
+    number = F.when(c.rlike(INT_TEXT), strip_ws(c).try_cast("int"))
+    return F.coalesce(number, F.lit(default))
 
 
 def lang_code(c: str | Column) -> Column:

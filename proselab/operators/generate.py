@@ -14,6 +14,10 @@ Generation itself is pluggable:
   through ``mapInPandas``: Arrow batches, the model loaded once per Python
   worker, one output row per input row, failures captured per row (K9).
 
+Failures are data: every summary, route and sweep output carries the number
+of failed pieces and the first error, so a merged text that lacks a chunk says
+so.
+
 Chunks are bounded (``CHUNK_TOKENS`` words), so each generator call works
 on a bounded input.  Chunk rows stay in the task that read their document
 (one document is one row, so its size is bounded by the row size), and only
@@ -88,10 +92,15 @@ def generation_params(
     default_n: int = S.REQUEST_DEFAULT_N,
     default_max_tokens: int = S.REQUEST_DEFAULT_MAX_NEW_TOKENS,
 ) -> DataFrame:
-    """Add ``gp`` = preset + fixed flags + request n / max tokens."""
+    """Add ``gp`` = preset + fixed flags + request n / max tokens; a
+    NULL or missing request value takes its default (I18)."""
     p = level_preset(level_col)
-    n = F.col(n_col).cast("int") if n_col and n_col in requests.columns else F.lit(default_n)
-    mx = F.col(max_tokens_col).cast("int") if max_tokens_col and max_tokens_col in requests.columns else F.lit(default_max_tokens)
+
+    def asked(col: str | None, default: int) -> Column:
+        given = F.col(col).cast("int") if col and col in requests.columns else F.lit(None)
+        return F.coalesce(given, F.lit(default)).cast("int")
+
+    n, mx = asked(n_col, default_n), asked(max_tokens_col, default_max_tokens)
     gp = F.struct(
         p["temperature"].alias("temperature"),
         p["top_p"].alias("top_p"),
@@ -106,25 +115,26 @@ def generation_params(
 
 
 # --------------------------------------------------------------- chunking --
-_NWS = "[^" + X.WS[1:-1] + "]"
-
-
-def chunk_pattern(max_tokens: int) -> str:
-    """Regex matching up to ``max_tokens`` consecutive whitespace tokens."""
-    return f"(?:{_NWS}+{X.WS}+){{0,{max_tokens - 1}}}{_NWS}+"
+def chunk_texts(words: Column, max_tokens: int) -> Column:
+    """Consecutive runs of at most ``max_tokens`` words, each joined with one
+    space; an empty array for no word.  Evaluated per chunk, not per word."""
+    n = F.ceil(F.size(words) / F.lit(max_tokens)).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * max_tokens + 1, max_tokens), " "))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
 
 
 def chunk(df: DataFrame, key: str, text_col: str, max_tokens: int = S.CHUNK_TOKENS) -> DataFrame:
     """K1: consecutive, non-overlapping chunks of at most ``max_tokens``
     whitespace tokens (last may be short; empty text -> no chunk), tokens
-    re-joined with one space.  One regex pass over the text per row, no
-    shuffle.  Output: key, chunk_no (0-based), chunk_text, n_tokens."""
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(chunk_pattern(max_tokens)), 0)
+    re-joined with one space.  One pass over the text per row, no shuffle.
+    Output: key, chunk_no (0-based), chunk_text, n_tokens."""
+    w = df.select(key, X.words(text_col).alias("_w"))
     # *_outer + explicit filter: an inner generator makes Spark infer and push
-    # down a `size(pieces) > 0` filter, which would run the regex twice.
-    x = df.select(key, F.posexplode_outer(pieces).alias("chunk_no", "_raw")).filter(F.col("_raw").isNotNull())
-    x = x.withColumn("chunk_text", F.regexp_replace("_raw", f"{X.WS}+", " "))
-    return x.select(key, "chunk_no", "chunk_text", F.size(F.split("chunk_text", " ")).alias("n_tokens"))
+    # down a size filter, which would split the text twice.
+    x = w.select(key, F.posexplode_outer(chunk_texts(F.col("_w"), max_tokens)).alias("chunk_no", "chunk_text"))
+    return x.filter(F.col("chunk_text").isNotNull()).select(
+        key, "chunk_no", "chunk_text", F.size(F.split("chunk_text", " ")).alias("n_tokens")
+    )
 
 
 def merge_ordered(parts: DataFrame, key: str, pos: str, text_col: str, out: str = "merged") -> DataFrame:
@@ -224,9 +234,11 @@ def run_generator(
     The generator gets a pandas frame (key, text, params..., passthrough...)
     and returns a frame with ``candidates`` (list[str]) and ``error``
     (str or None), one row per input row in the same order; the input
-    columns are carried over, so no join back is needed.  An exception is
-    turned into a per-row error for the batch (K9) instead of failing the
-    job.  ``out`` is the first candidate."""
+    columns are carried over, so no join back is needed.  When a batch
+    raises, its rows are generated one by one, so only the rows that fail
+    carry an error (K9) and the job goes on.  Rows with a NULL text are not
+    sent to the generator; their candidate is ''.  ``out`` is the first
+    candidate."""
     cols = list(dict.fromkeys([key, text_col, *params_cols, *passthrough]))
     src = df.select(*cols)
     schema = T.StructType(
@@ -237,34 +249,52 @@ def run_generator(
         ]
     )
 
+    def _once(pdf: pd.DataFrame) -> tuple[list, list]:
+        g = generator(pdf)
+        if len(g) != len(pdf):
+            raise ValueError(f"generator returned {len(g)} rows for {len(pdf)}")
+        return list(g["candidates"]), list(g["error"]) if "error" in g else [None] * len(pdf)
+
+    def _rows(pdf: pd.DataFrame) -> tuple[list, list]:
+        try:
+            return _once(pdf)
+        except Exception as e:  # noqa: BLE001 - per-row failure capture
+            if len(pdf) == 1:
+                return [None], [f"{type(e).__name__}: {e}"]
+        parts = [_rows(pdf.iloc[i : i + 1].reset_index(drop=True)) for i in range(len(pdf))]
+        return [c for cs, _ in parts for c in cs], [e for _, es in parts for e in es]
+
     def _apply(batches):
         for pdf in batches:
+            asked = pdf[text_col].notna().to_numpy()
+            cands, errors = _rows(pdf[asked].reset_index(drop=True)) if asked.any() else ([], [])
+            cands, errors = iter(cands), iter(errors)
             res = pdf.copy()
-            try:
-                g = generator(pdf)
-                res["candidates"] = list(g["candidates"])
-                res["error"] = list(g["error"]) if "error" in g else [None] * len(pdf)
-            except Exception as e:  # noqa: BLE001 - per-row failure capture
-                res["candidates"] = [None] * len(pdf)
-                res["error"] = [f"{type(e).__name__}: {e}"] * len(pdf)
+            res["candidates"] = [next(cands) if a else [""] for a in asked]
+            res["error"] = [next(errors) if a else None for a in asked]
             yield res
 
     return src.mapInPandas(_apply, schema).withColumn(out, F.element_at("candidates", 1))
 
 
 def _generate(df, key, text_col, max_len, min_len, generator, params_cols, out, passthrough=()):
+    """key + passthrough + ``out`` + ``error`` (NULL for the stand-in); a row
+    that failed has no ``out``."""
     if generator is None:
-        return extractive(df, [key, *passthrough], text_col, max_len, min_len, out)
+        return extractive(df, [key, *passthrough], text_col, max_len, min_len, out).withColumn("error", F.lit(None).cast("string"))
     g = run_generator(df, key, text_col, generator, params_cols, out, passthrough)
-    return g.select(key, *passthrough, out)
+    return g.select(key, *passthrough, F.when(F.col("error").isNull(), F.col(out)).alias(out), "error")
 
 
 # ------------------------------------------------------------ long paths --
-def decode_params(max_len, min_len, length_penalty, num_beams, second_pass: bool = False) -> Column:
+def decode_params(max_len, min_len, length_penalty, num_beams, second_pass: bool = False, text=None, model: str | None = None) -> Column:
     """K2/K4 decode settings handed to a plug-in generator (column ``_gp``):
     the preset lengths, penalty and beams with early stopping, and for the
     hierarchical second summary pass also temperature 0.3, no-repeat 4-grams
-    and repetition penalty 2.5.  The extractive stand-in uses the lengths."""
+    and repetition penalty 2.5; the terms the model must not put out (I6)
+    and, given the text, the prompt for the model (I7).  The extractive
+    stand-in uses the lengths."""
+    prompt = F.lit(None) if text is None else X.summary_prompt(text, F.lit(model or ""))
     def lit_or_col(v, t):
         return (F.col(v) if isinstance(v, str) else F.lit(v)).cast(t)
 
@@ -277,23 +307,55 @@ def decode_params(max_len, min_len, length_penalty, num_beams, second_pass: bool
         (F.lit(S.SECOND_PASS_TEMPERATURE) if second_pass else F.lit(None)).cast("double").alias("temperature"),
         (F.lit(S.SECOND_PASS_NO_REPEAT_NGRAM) if second_pass else F.lit(None)).cast("int").alias("no_repeat_ngram_size"),
         (F.lit(S.SECOND_PASS_REPETITION_PENALTY) if second_pass else F.lit(None)).cast("double").alias("repetition_penalty"),
+        F.array(*[F.lit(t) for t in S.BANNED_TERMS]).alias("banned_terms"),
+        prompt.cast("string").alias("prompt"),
     )
 
 
-def _empty_docs(docs: DataFrame, key: str, text_col: str, out: str) -> DataFrame:
-    """Documents without a single token produce no chunk; they get ''."""
-    return docs.filter(X.word_count(text_col) == 0).select(key, F.lit("").alias(out))
-
-
-def _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, out, length_penalty=1.0, num_beams=4):
-    """K1 -> K2 -> K3: chunk, generate per chunk (rows stay where the
-    document was read: no shuffle), merge per document in chunk order (one
-    shuffle of the short chunk outputs)."""
-    ch = chunk(docs, key, text_col, chunk_tokens).withColumn(
+def _pieces(docs, key, text_col, is_long: Column, chunk_tokens: int) -> DataFrame:
+    """One row per text to generate from: the chunks of long documents (K1),
+    the whole text of the others as chunk 0, and a NULL text for a document
+    without a word.  Output: key, path, chunk_no, piece.  One scan."""
+    w = docs.select(key, F.col(text_col).alias("_t"), X.words(text_col).alias("_w"))
+    w = w.select(key, "_t", "_w", F.when(is_long, "long").otherwise("direct").alias("path"))
+    parts = F.when(F.col("path") == "long", chunk_texts(F.col("_w"), chunk_tokens)).when(F.size("_w") > 0, F.array("_t"))
+    x = w.select(key, "path", F.posexplode_outer(parts).alias("chunk_no", "piece"))
+    return x.withColumn("chunk_no", F.coalesce("chunk_no", F.lit(0)))
+
+
+def _merged(parts: DataFrame, keys: list[str], text_col: str, out: str) -> DataFrame:
+    """K3 with its failures: pieces joined in chunk order with one space,
+    ``failed_chunks`` and the first ``error``.  The merged text of a document
+    with failed chunks lacks them, which ``failed_chunks`` says."""
+    g = parts.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("chunk_no").alias("p"), F.col(text_col).alias("t")))).alias("_xs"),
+        F.count("error").alias("failed_chunks"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chunk_no"))).alias("error"),
+    )
+    return g.select(*keys, F.array_join(F.transform("_xs", lambda x: x["t"]), " ").alias(out), "failed_chunks", "error")
+
+
+def _second_pass(merged, key, max_len, min_len, generator, length_penalty, num_beams, keep, model=None) -> DataFrame:
+    """K4 over the merged text of the long documents; the others pass.  Adds
+    ``summary`` and takes a failure of this pass into ``error``."""
+    text = F.when((F.col("path") == "long") & (F.col("_merged") != ""), F.col("_merged"))
+    m = merged.withColumn("_second", text).withColumn("_first_error", F.col("error")).drop("error")
+    m = m.withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams, second_pass=True, text="_second", model=model))
+    f = _generate(m, key, "_second", max_len, min_len, generator, ["_gp"], "_final", passthrough=(*keep, "_merged", "_second", "failed_chunks", "_first_error"))
+    # a second pass that failed has no text; its error says so
+    done = F.when(F.col("_second").isNull(), F.col("_merged")).otherwise(F.col("_final"))
+    return f.withColumn("summary", X.strip_unwanted_prefixes(done)).withColumn("error", F.coalesce("_first_error", "error"))
+
+
+def _first_pass(docs, key, text_col, is_long, max_len, min_len, generator, chunk_tokens, length_penalty, num_beams, model=None) -> DataFrame:
+    """K1 -> K2 -> K3: pieces generated where their document was read, then
+    one shuffle of the short outputs.  Output: key, path, _merged,
+    failed_chunks, error."""
+    x = _pieces(docs, key, text_col, is_long, chunk_tokens).withColumn(
         "_cid", F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_no").cast("string"))
-    ).withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams))
-    per_chunk = _generate(ch, "_cid", "chunk_text", max_len, min_len, generator, ["_gp"], "_cg", passthrough=(key, "chunk_no"))
-    return merge_ordered(per_chunk, key, "chunk_no", "_cg", out)
+    ).withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams, text="piece", model=model))
+    per_piece = _generate(x, "_cid", "piece", max_len, min_len, generator, ["_gp"], "_g", passthrough=(key, "path", "chunk_no"))
+    return _merged(per_piece, [key, "path"], "_g", "_merged")
 
 
 def summarize(
@@ -306,16 +368,15 @@ def summarize(
     chunk_tokens: int = S.CHUNK_TOKENS,
     length_penalty: float = S.DEFAULT_SUMMARY_PARAMS[2],
     num_beams: int = S.DEFAULT_SUMMARY_PARAMS[3],
+    model: str | None = None,
 ) -> DataFrame:
     """K1 -> K2 -> K3 -> K4 -> I5 for every document: chunk, generate per
     chunk, merge in chunk order, generate again over the merged text (second
-    pass decode settings), strip the unwanted prefixes.  Output: key, summary."""
-    merged = _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, "_merged", length_penalty, num_beams)
-    merged = merged.withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams, second_pass=True))
-    final = _generate(merged, key, "_merged", max_len, min_len, generator, ["_gp"], "_final")
-    return final.select(key, X.strip_unwanted_prefixes("_final").alias("summary")).unionByName(
-        _empty_docs(docs, key, text_col, "summary")
-    )
+    pass decode settings), strip the unwanted prefixes.  Output: key,
+    summary, failed_chunks, error."""
+    m = _first_pass(docs, key, text_col, F.size("_w") > 0, max_len, min_len, generator, chunk_tokens, length_penalty, num_beams, model)
+    out = _second_pass(m, key, max_len, min_len, generator, length_penalty, num_beams, (), model)
+    return out.select(key, "summary", "failed_chunks", "error")
 
 
 def paraphrase_long(
@@ -329,27 +390,23 @@ def paraphrase_long(
     length_penalty: float = S.DEFAULT_PARAPHRASE_PARAMS[2],
     num_beams: int = S.DEFAULT_PARAPHRASE_PARAMS[3],
 ) -> DataFrame:
-    """K1 -> K2 -> K3 for paraphrases (no second pass)."""
-    merged = _chunked(docs, key, text_col, max_len, min_len, generator, chunk_tokens, "paraphrase", length_penalty, num_beams)
-    return merged.unionByName(_empty_docs(docs, key, text_col, "paraphrase"))
+    """K1 -> K2 -> K3 for paraphrases (no second pass).  Output: key,
+    paraphrase, failed_chunks, error."""
+    m = _first_pass(docs, key, text_col, F.size("_w") > 0, max_len, min_len, generator, chunk_tokens, length_penalty, num_beams)
+    return m.select(key, F.col("_merged").alias("paraphrase"), "failed_chunks", "error")
 
 
 def route_summaries(
     docs: DataFrame, key: str, text_col: str, max_len: int, min_len: int, generator: Generator | None = None,
-    length_penalty: float = 1.0, num_beams: int = 3,
+    length_penalty: float = 1.0, num_beams: int = 3, model: str | None = None,
 ) -> DataFrame:
-    """K5: direct generation under 500 words, the long path otherwise;
-    two filtered branches unioned, each carrying the path taken."""
-    tagged = docs.select(key, text_col, X.summary_route(X.word_count(text_col)).alias("path"))
-    direct = tagged.filter(F.col("path") == "direct").withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams))
-    d_out = _generate(direct, key, text_col, max_len, min_len, generator, ["_gp"], "_g", passthrough=("path",)).select(
-        key, "path", X.strip_unwanted_prefixes("_g").alias("summary")
-    )
-    long_out = summarize(
-        tagged.filter(F.col("path") == "long"), key, text_col, max_len, min_len, generator,
-        length_penalty=length_penalty, num_beams=num_beams,
-    )
-    return d_out.unionByName(long_out.withColumn("path", F.lit("long")).select(key, "path", "summary"))
+    """K5: direct generation under 500 words, the long path otherwise.  One
+    scan: a direct document is its own only chunk, and only long documents
+    get the second pass.  Output: key, path, summary, failed_chunks, error."""
+    is_long = X.summary_route(F.size("_w")) == "long"
+    m = _first_pass(docs, key, text_col, is_long, max_len, min_len, generator, S.CHUNK_TOKENS, length_penalty, num_beams, model)
+    out = _second_pass(m, key, max_len, min_len, generator, length_penalty, num_beams, ("path",), model)
+    return out.select(key, "path", "summary", "failed_chunks", "error")
 
 
 def route_paraphrases(
@@ -357,71 +414,48 @@ def route_paraphrases(
     length_penalty: float = 1.0, num_beams: int = 4,
 ) -> DataFrame:
     """K5 for paraphrases: direct generation up to 100 words, the chunked
-    path (no second pass, no prefix clean-up) otherwise."""
-    tagged = docs.select(key, text_col, X.paraphrase_route(X.word_count(text_col)).alias("path"))
-    direct = tagged.filter(F.col("path") == "direct").withColumn("_gp", decode_params(max_len, min_len, length_penalty, num_beams))
-    d_out = _generate(direct, key, text_col, max_len, min_len, generator, ["_gp"], "paraphrase", passthrough=("path",)).select(
-        key, "path", "paraphrase"
-    )
-    long_out = paraphrase_long(
-        tagged.filter(F.col("path") == "long"), key, text_col, max_len, min_len, generator,
-        length_penalty=length_penalty, num_beams=num_beams,
-    )
-    return d_out.unionByName(long_out.withColumn("path", F.lit("long")).select(key, "path", "paraphrase"))
-
-
-def preset_sweep(docs: DataFrame, key: str, text_col: str, generator: Generator | None = None) -> DataFrame:
-    """Every document under the short / medium / long presets.  The
-    3 presets are a literal array (no join); the long preset takes the
-    chunked path when the text exceeds one chunk.  With the stand-in
-    generator a document's sentences are scored once for all its direct
-    presets (one UDF call, then exploded); a plug-in generator gets one
-    call per (document, preset), each with that preset's decode settings."""
-    long_text = X.word_count(text_col) > S.CHUNK_TOKENS
-    mx, mn, lp, nb = [(m, n, a, b) for p, m, n, a, b in S.SUMMARY_PRESETS if p == "long"][0]
-    out_long = summarize(
-        docs.filter(long_text).select(key, text_col), key, text_col, mx, mn, generator, length_penalty=lp, num_beams=nb
-    ).withColumn("preset", F.lit("long")).select(key, "preset", "summary")
-
+    path (no second pass, no prefix clean-up) otherwise.  Output: key, path,
+    paraphrase, failed_chunks, error."""
+    is_long = X.paraphrase_route(F.size("_w")) == "long"
+    m = _first_pass(docs, key, text_col, is_long, max_len, min_len, generator, S.CHUNK_TOKENS, length_penalty, num_beams)
+    return m.select(key, "path", F.col("_merged").alias("paraphrase"), "failed_chunks", "error")
+
+
+def preset_sweep(docs: DataFrame, key: str, text_col: str, generator: Generator | None = None, model: str | None = None) -> DataFrame:
+    """Every document under the short / medium / long presets; the long
+    preset takes the chunked path when the text exceeds one chunk.  One scan:
+    a row per whole text and, for long texts, per chunk.  The stand-in scores
+    a row's sentences once for all presets; a plug-in generator gets one call
+    per (row, preset) with that preset's decode settings.  Output: key,
+    preset, summary, failed_chunks, error."""
+    names = [p[0] for p in S.SUMMARY_PRESETS]
+    w = docs.select(key, F.col(text_col).alias("_t"), X.words(text_col).alias("_w"))
+    w = w.select(key, "_t", "_w", (F.size("_w") > S.CHUNK_TOKENS).alias("_long"))
+    whole = F.array(F.struct(F.lit(-1).alias("chunk_no"), F.when(F.size("_w") > 0, F.col("_t")).alias("piece")))
+    parts = F.transform(chunk_texts(F.col("_w"), S.CHUNK_TOKENS), lambda t, i: F.struct(i.alias("chunk_no"), t.alias("piece")))
+    x = w.select(key, "_long", F.explode_outer(F.when(F.col("_long"), F.concat(whole, parts)).otherwise(whole)).alias("_p"))
+    x = x.select(key, "_long", F.col("_p.chunk_no").alias("chunk_no"), F.col("_p.piece").alias("piece"))
+    # the whole text serves every preset but the long one of a long text
+    wanted = F.when(F.col("chunk_no") >= 0, F.col("preset") == "long").otherwise(~(F.col("_long") & (F.col("preset") == "long")))
     if generator is None:
-        names = [p[0] for p in S.SUMMARY_PRESETS]
-        outs = _extractive_multi_udf(F.col(text_col)).alias("_outs")
-        x = docs.select(key, long_text.alias("_long"), outs)
-        # *_outer: an inner generator would get an inferred `size(_outs) > 0`
-        # filter pushed below the exchange, evaluating the UDF twice.
-        x = x.select(key, "_long", F.posexplode_outer("_outs").alias("_i", "_g")).filter(F.col("_i").isNotNull()).withColumn(
-            "preset", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)
-        )
-        out_direct = x.filter(~(F.col("_long") & (F.col("preset") == "long"))).select(
-            key, "preset", X.strip_unwanted_prefixes("_g").alias("summary")
-        )
-        return out_direct.unionByName(out_long)
-
-    presets = F.array(
-        *[
-            F.struct(
-                F.lit(n).alias("preset"), F.lit(m).alias("max_len"), F.lit(k).alias("min_len"),
-                F.lit(a).cast("double").alias("lp"), F.lit(b).alias("nb"),
-            )
+        x = x.select(key, "_long", "chunk_no", _extractive_multi_udf(F.col("piece")).alias("_outs"))
+        x = x.select(key, "_long", "chunk_no", F.posexplode_outer("_outs").alias("_i", "_g")).filter(F.col("_i").isNotNull())
+        x = x.withColumn("preset", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)).withColumn("error", F.lit(None).cast("string"))
+        g = x.filter(wanted).select(key, "preset", "_long", "chunk_no", "_g", "error")
+    else:
+        presets = F.array(*[
+            F.struct(F.lit(n).alias("preset"), F.lit(m).alias("max_len"), F.lit(k).alias("min_len"), F.lit(a).cast("double").alias("lp"), F.lit(b).alias("nb"))
             for n, m, k, a, b in S.SUMMARY_PRESETS
-        ]
-    )
-    x = docs.select(key, text_col, long_text.alias("_long"), F.explode(presets).alias("p")).filter(
-        ~(F.col("_long") & (F.col("p.preset") == "long"))
-    )
-    x = x.select(
-        F.concat_ws(":", F.col(key).cast("string"), F.col("p.preset")).alias("_sk"),
-        key,
-        text_col,
-        F.col("p.preset").alias("preset"),
-        F.col("p.max_len").alias("max_len"),
-        F.col("p.min_len").alias("min_len"),
-        decode_params("p.max_len", "p.min_len", "p.lp", "p.nb").alias("_gp"),
-    )
-    out_direct = _generate(
-        x, "_sk", text_col, "max_len", "min_len", generator, ["_gp"], "_g", passthrough=(key, "preset")
-    ).select(key, "preset", X.strip_unwanted_prefixes("_g").alias("summary"))
-    return out_direct.unionByName(out_long)
+        ])
+        x = x.select("*", F.explode(presets).alias("p")).select(key, "_long", "chunk_no", "piece", "p.*").filter(wanted)
+        x = x.withColumn("_sk", F.concat_ws(":", F.col(key).cast("string"), "preset", F.col("chunk_no").cast("string")))
+        x = x.withColumn("_gp", decode_params("max_len", "min_len", "lp", "nb", text="piece", model=model))
+        g = _generate(x, "_sk", "piece", "max_len", "min_len", generator, ["_gp"], "_g", passthrough=(key, "preset", "_long", "chunk_no"))
+    g = g.withColumn("path", F.when(F.col("chunk_no") >= 0, "long").otherwise("direct"))
+    m = _merged(g, [key, "preset", "path"], "_g", "_merged")
+    mx, mn, lp, nb = [(m, n, a, b) for p, m, n, a, b in S.SUMMARY_PRESETS if p == "long"][0]
+    out = _second_pass(m, key, mx, mn, generator, lp, nb, ("preset", "path"), model)
+    return out.select(key, "preset", "summary", "failed_chunks", "error")
 
 
 # -------------------------------------------------------- paraphrase jobs --
@@ -431,33 +465,29 @@ def expand_levels(df: DataFrame) -> DataFrame:
 
 
 def fill_levels(rows: DataFrame, key: str, text_col: str = "original", generator: Generator | None = None) -> DataFrame:
-    """K6/K7: each row x 3 levels -> first cleaned candidate -> wide columns
-    ``generated_<level>`` (pivot with the level list given, so no extra
-    pass to discover values).  Failed generations keep their message in
-    ``error_<level>`` and leave the text NULL (K9)."""
-    x = expand_levels(rows.select(key, text_col))
-    x = generation_params(x, "level", None, None, S.BATCH_FILL_N, S.BATCH_FILL_MAX_NEW_TOKENS)
-    x = x.withColumn("_lk", F.concat_ws(":", F.col(key).cast("string"), F.col("level")))
-    x = x.withColumn("_mx", F.col("gp.max_new_tokens")).withColumn("_mn", F.lit(0))
+    """K6/K7: ``generated_<level>`` for each row and the 3 levels, the first
+    cleaned candidate each, beside the row's own columns (``original`` and
+    ``reference`` stay, so the result can be written as the wide CSV).
+    Failed generations keep their message in ``error_<level>`` and leave the
+    text NULL (K9).  A row stays one row: no level is exploded or shuffled
+    back.  The stand-in ignores the level, so it runs once per row."""
+    x = rows
     if generator is None:
-        g = extractive(x, ["_lk", key, "level", text_col], text_col, "_mx", "_mn", "_g").withColumn(
-            "_cands", F.array("_g")
-        ).withColumn("_err", F.lit(None).cast("string"))
-    else:
-        g = run_generator(x, "_lk", text_col, generator, ["gp"], "_g", (key, "level")).select(
-            "_lk", key, "level", text_col, F.col("candidates").alias("_cands"), F.col("error").alias("_err")
+        # one call for the row: the stand-in has no level setting
+        g = extractive(x, list(rows.columns), text_col, S.BATCH_FILL_MAX_NEW_TOKENS, 0, "_g")
+        first = F.element_at(X.clean_candidates(F.array("_g"), F.col(text_col)), 1)
+        return g.select(
+            *rows.columns,
+            *[c for level in S.LEVELS for c in (first.alias(f"generated_{level}"), F.lit(None).cast("string").alias(f"error_{level}"))],
         )
-    first = F.when(
-        F.col("_err").isNull(),
-        F.element_at(X.clean_candidates(F.coalesce("_cands", F.array().cast("array<string>")), F.col(text_col)), 1),
-    )
-    gx = g.withColumn("_first", first)
-    wide = gx.groupBy(key).pivot("level", S.LEVELS).agg(F.first("_first").alias("g"), F.first("_err").alias("e"))
-    out = [F.col(key)]
     for level in S.LEVELS:
-        out.append(F.col(f"{level}_g").alias(f"generated_{level}"))
-        out.append(F.col(f"{level}_e").alias(f"error_{level}"))
-    return wide.select(*out)
+        keep = [c for c in x.columns if c not in ("level", "gp")]
+        y = generation_params(x.withColumn("level", F.lit(level)), "level", None, None, S.BATCH_FILL_N, S.BATCH_FILL_MAX_NEW_TOKENS)
+        g = run_generator(y, key, text_col, generator, ["gp", "level"], "_g", keep)
+        cands = X.clean_candidates(F.coalesce("candidates", F.array().cast("array<string>")), F.col(text_col))
+        first = F.when(F.col("error").isNull(), F.element_at(cands, 1))
+        x = g.select(*keep, first.alias(f"generated_{level}"), F.col("error").alias(f"error_{level}"))
+    return x
 
 
 def paraphrase_response(requests: DataFrame, key: str = "rid", generator: Generator | None = None) -> DataFrame:

@@ -25,7 +25,6 @@ _V = "[aeiouy]"
 _C = "[b-df-hj-np-tv-xz]"
 # whole [a-z]+ words (not preceded / followed by a letter)
 _CONSONANT_WORD = f"(?<![a-z]){_C}+(?![a-z])"
-_COMPLEX_WORD = f"(?<![a-z]){_C}*(?:{_V}+{_C}+){{2,}}{_V}+{_C}*(?![a-z])"
 
 
 def _count(s: Column, pattern: str) -> Column:
@@ -39,16 +38,21 @@ def counts(df: DataFrame, text_col: str) -> DataFrame:
     Counted with regex matches over the whole lower-cased text (no
     per-word lambda): syllables = vowel runs + words without a vowel run
     (each word counts at least 1); complex words = words with at least three
-    vowel runs."""
+    vowel runs.  Every pattern is a loop over single characters: linear in
+    the text, and no word is too long for the regex engine."""
     c = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(c)
-    sentences = F.greatest(_count(c, r"[^.!?]*[^.!?\t\n\x0B\f\r ][^.!?]*"), F.lit(1))
+    # without blanks, a piece between end marks is non-blank if it is there
+    sentences = F.greatest(_count(F.regexp_replace(c, r"[\t\n\x0B\f\r ]+", ""), "[^.!?]+"), F.lit(1))
+    # each vowel run as one V (no capital is left in ``low``), consonants gone:
+    # a word is the run of its syllables
+    syllables = F.regexp_replace(F.regexp_replace(low, f"{_V}+", "V"), f"{_C}+", "")
     return df.select(
         *df.columns,
         _count(low, "[a-z]+").cast("long").alias("n_words"),
         sentences.cast("long").alias("n_sentences"),
         (_count(low, f"{_V}+") + _count(low, _CONSONANT_WORD)).cast("long").alias("n_syllables"),
-        _count(low, _COMPLEX_WORD).cast("long").alias("n_complex"),
+        _count(syllables, "V{3,}").cast("long").alias("n_complex"),
     )
 
 

@@ -43,7 +43,7 @@ def q_chunk_merge(spark, d):
 
 
 _CHUNK_SUM_SQL = f"""WITH c AS ({Q.chunks_sql("documents", "doc_id", "text", _CH)}),
-cs AS (SELECT doc_id * 100000 + chunk_no AS ck, doc_id, chunk_no, chunk_text, {_MX} AS mx, {_MN} AS mn FROM c),
+cs AS (SELECT concat(CAST(doc_id AS VARCHAR), ':', CAST(chunk_no AS VARCHAR)) AS ck, doc_id, chunk_no, chunk_text, {_MX} AS mx, {_MN} AS mn FROM c),
 {Q.extractive_ctes("cs", "ck", "chunk_text", "mx", "mn", "e1")}"""
 
 
@@ -53,16 +53,45 @@ cs AS (SELECT doc_id * 100000 + chunk_no AS ck, doc_id, chunk_no, chunk_text, {_
 )
 def q_chunk_summaries(spark, d):
     """K2: the (extractive) generator on every chunk, long-summary lengths."""
-    c = G.chunk(_docs(spark, d), "doc_id", "text").withColumn("ck", F.col("doc_id") * 100000 + F.col("chunk_no"))
-    g = G.extractive(c.select("ck", "chunk_text"), "ck", "chunk_text", _MX, _MN, "summary")
-    return c.select("ck", "doc_id", F.col("chunk_no").cast("long")).join(g, "ck").drop("ck")
+    c = G.chunk(_docs(spark, d), "doc_id", "text")
+    return G.extractive(c.withColumn("chunk_no", F.col("chunk_no").cast("long")), ["doc_id", "chunk_no"], "chunk_text", _MX, _MN, "summary")
+
+
+def _marked(pdf):
+    """Deterministic generator for ``chunk_errors``: the first 20 characters
+    in capitals; it fails on any text with a bar, which no batch survives."""
+    import pandas as pd
+
+    out = []
+    for t in pdf["piece"]:
+        if "|" in t:
+            raise ValueError("bar in text")
+        out.append([t[:20].upper()])
+    return pd.DataFrame({"candidates": out})
+
+
+@register(
+    "chunk_errors",
+    f"""WITH c AS ({Q.chunks_sql("documents", "doc_id", "text", _CH)}),
+m AS (SELECT doc_id, CAST(count(*) FILTER (WHERE contains(chunk_text, '|')) AS BIGINT) AS failed_chunks,
+             string_agg(upper(left(chunk_text, 20)), ' ' ORDER BY chunk_no) FILTER (WHERE NOT contains(chunk_text, '|')) AS merged
+      FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(m.merged, '') AS paraphrase, coalesce(m.failed_chunks, 0) AS failed_chunks,
+       CASE WHEN m.failed_chunks > 0 THEN 'ValueError: bar in text' END AS error
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id""",
+)
+def q_chunk_errors(spark, d):
+    """K2 / K3 / K9: a generator that fails on some chunks; every failed
+    chunk is counted and the other chunks of its batch are unharmed."""
+    out = G.paraphrase_long(_docs(spark, d), "doc_id", "text", generator=_marked)
+    return out.select("doc_id", "paraphrase", "failed_chunks", "error")
 
 
 def _long_sql(src_docs: str, mx: int, mn: int, p: str) -> str:
     """CTEs ending in ``{p}_final(doc_id, summary)`` for documents in
     ``src_docs`` (doc_id, text)."""
     return f"""{p}_c AS ({Q.chunks_sql(src_docs, "doc_id", "text", _CH)}),
-{p}_cs AS (SELECT doc_id * 100000 + chunk_no AS ck, doc_id, chunk_no, chunk_text, {mx} AS mx, {mn} AS mn FROM {p}_c),
+{p}_cs AS (SELECT concat(CAST(doc_id AS VARCHAR), ':', CAST(chunk_no AS VARCHAR)) AS ck, doc_id, chunk_no, chunk_text, {mx} AS mx, {mn} AS mn FROM {p}_c),
 {Q.extractive_ctes(f"{p}_cs", "ck", "chunk_text", "mx", "mn", f"{p}_e1")},
 {p}_m AS (SELECT cs.doc_id, string_agg(o.generated, ' ' ORDER BY cs.chunk_no) AS merged, {mx} AS mx, {mn} AS mn
           FROM {p}_cs cs JOIN {p}_e1_out o ON o.ck = cs.ck GROUP BY cs.doc_id),
@@ -75,7 +104,7 @@ def _long_sql(src_docs: str, mx: int, mn: int, p: str) -> str:
 @register("long_summary", "WITH " + _long_sql("documents", _MX, _MN, "ls") + "\nSELECT doc_id, summary FROM ls_final")
 def q_long_summary(spark, d):
     """K1 -> K2 -> K3 -> K4 -> I5 over every document (default lengths)."""
-    return G.summarize(_docs(spark, d), "doc_id", "text")
+    return G.summarize(_docs(spark, d), "doc_id", "text").select("doc_id", "summary")
 
 
 _MED = [p for p in S.SUMMARY_PRESETS if p[0] == "medium"][0]
@@ -102,7 +131,8 @@ SELECT r.doc_id, r.path, s.summary FROM r JOIN (SELECT * FROM dr_final UNION ALL
 )
 def q_summary_route(spark, d):
     """K5: route each document (medium preset) to the direct or the chunked path."""
-    return G.route_summaries(_docs(spark, d), "doc_id", "text", _MED[1], _MED[2], length_penalty=_MED[3], num_beams=_MED[4])
+    r = G.route_summaries(_docs(spark, d), "doc_id", "text", _MED[1], _MED[2], length_penalty=_MED[3], num_beams=_MED[4])
+    return r.select("doc_id", "path", "summary")
 
 
 def _sweep_sql() -> str:
@@ -124,7 +154,7 @@ def _sweep_sql() -> str:
 @register("preset_sweep", _sweep_sql())
 def q_preset_sweep(spark, d):
     """Every document under the short / medium / long presets."""
-    return G.preset_sweep(_docs(spark, d), "doc_id", "text")
+    return G.preset_sweep(_docs(spark, d), "doc_id", "text").select("doc_id", "preset", "summary")
 
 
 def _clean_first(g: str, src: str) -> str:
@@ -136,18 +166,18 @@ def _clean_first(g: str, src: str) -> str:
     "fill_levels",
     with_views(
         ["eval_pairs"],
-        f""", fin AS (SELECT pid, coalesce(original, '') AS original, {S.BATCH_FILL_MAX_NEW_TOKENS} AS mx, 0 AS mn FROM eval_pairs),
+        f""", fin AS (SELECT pid, coalesce(original, '') AS original, reference, {S.BATCH_FILL_MAX_NEW_TOKENS} AS mx, 0 AS mn FROM eval_pairs),
 {Q.extractive_ctes("fin", "pid", "original", "mx", "mn", "fe")},
-f1 AS (SELECT f.pid, {_clean_first("o.generated", "f.original")} AS g FROM fin f JOIN fe_out o ON o.pid = f.pid)
-SELECT pid, g AS generated_conservative, g AS generated_balanced, g AS generated_creative FROM f1""",
+f1 AS (SELECT f.pid, f.original, f.reference, {_clean_first("o.generated", "f.original")} AS g FROM fin f JOIN fe_out o ON o.pid = f.pid)
+SELECT pid, original, reference, g AS generated_conservative, g AS generated_balanced, g AS generated_creative FROM f1""",
     ),
 )
 def q_fill_levels(spark, d):
-    """K6 + K7: each evaluation row x 3 levels, first cleaned candidate,
-    pivoted to wide columns (stand-in generator)."""
-    rows = V.eval_pairs(spark, d).select("pid", F.coalesce("original", F.lit("")).alias("original"))
+    """K6 + K7: each evaluation row x 3 levels, first cleaned candidate, in
+    wide columns beside the original and the reference (stand-in generator)."""
+    rows = V.eval_pairs(spark, d).select("pid", F.coalesce("original", F.lit("")).alias("original"), "reference")
     w = G.fill_levels(rows, "pid", "original")
-    return w.select("pid", *[f"generated_{lvl}" for lvl in S.LEVELS])
+    return w.select("pid", "original", "reference", *[f"generated_{lvl}" for lvl in S.LEVELS])
 
 
 _PRESET_CASE = lambda field, idx: (
@@ -193,7 +223,7 @@ def _para_long_sql(src_docs: str, mx: int, mn: int, p: str) -> str:
     """CTEs ending in ``{p}_final(doc_id, paraphrase)``: chunk, generate per
     chunk, merge in chunk order; no second pass."""
     return f"""{p}_c AS ({Q.chunks_sql(src_docs, "doc_id", "text", _CH)}),
-{p}_cs AS (SELECT doc_id * 100000 + chunk_no AS ck, doc_id, chunk_no, chunk_text, {mx} AS mx, {mn} AS mn FROM {p}_c),
+{p}_cs AS (SELECT concat(CAST(doc_id AS VARCHAR), ':', CAST(chunk_no AS VARCHAR)) AS ck, doc_id, chunk_no, chunk_text, {mx} AS mx, {mn} AS mn FROM {p}_c),
 {Q.extractive_ctes(f"{p}_cs", "ck", "chunk_text", "mx", "mn", f"{p}_e1")},
 {p}_m AS (SELECT cs.doc_id, string_agg(o.generated, ' ' ORDER BY cs.chunk_no) AS merged
           FROM {p}_cs cs JOIN {p}_e1_out o ON o.ck = cs.ck GROUP BY cs.doc_id),
@@ -203,7 +233,7 @@ def _para_long_sql(src_docs: str, mx: int, mn: int, p: str) -> str:
 @register("long_paraphrase", "WITH " + _para_long_sql("documents", _PMX, _PMN, "lp") + "\nSELECT doc_id, paraphrase FROM lp_final")
 def q_long_paraphrase(spark, d):
     """K1 -> K2 -> K3 for paraphrases (default lengths 120/30)."""
-    return G.paraphrase_long(_docs(spark, d), "doc_id", "text")
+    return G.paraphrase_long(_docs(spark, d), "doc_id", "text").select("doc_id", "paraphrase")
 
 
 _INTER = [p for p in S.PARAPHRASE_PRESETS if p[0] == "Intermediate"][0]
@@ -221,4 +251,5 @@ JOIN (SELECT doc_id, generated AS paraphrase FROM pd_out UNION ALL SELECT * FROM
 )
 def q_paraphrase_route(spark, d):
     """K5 for paraphrases with the Intermediate reading-level preset."""
-    return G.route_paraphrases(_docs(spark, d), "doc_id", "text", _INTER[1], _INTER[2], length_penalty=_INTER[3], num_beams=_INTER[4])
+    r = G.route_paraphrases(_docs(spark, d), "doc_id", "text", _INTER[1], _INTER[2], length_penalty=_INTER[3], num_beams=_INTER[4])
+    return r.select("doc_id", "path", "paraphrase")

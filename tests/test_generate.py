@@ -97,8 +97,8 @@ def test_plugin_generator_gets_decode_params(spark):
     res = G.summarize(_docs(spark, [long_text]), "doc_id", "text", 70, 40, probe, length_penalty=1.5, num_beams=5).first()
     # the final text comes from the second pass: it carries the second-pass knobs
     assert res["summary"] == "T0.3 N4 L70 B5."
-    chunks = G._chunked(_docs(spark, [long_text]), "doc_id", "text", 70, 40, probe, 512, "m", 1.5, 5).first()
-    assert chunks["m"] == "TNone NNone L70 B5. TNone NNone L70 B5."
+    chunks = G.paraphrase_long(_docs(spark, [long_text]), "doc_id", "text", 70, 40, probe, 512, 1.5, 5).first()
+    assert chunks["paraphrase"] == "TNone NNone L70 B5. TNone NNone L70 B5."
 
 
 def test_preset_sweep_plugin_and_standin(spark):
@@ -113,3 +113,71 @@ def test_preset_sweep_plugin_and_standin(spark):
     assert [p[1] for p in plug[3:]] == ["long", "medium", "short"] and plug[3][2] == "L100"
     std = {(r["doc_id"], r["preset"]): r["summary"] for r in G.preset_sweep(docs, "doc_id", "text").collect()}
     assert len(std) == 6 and std[(0, "short")] == short
+
+
+def test_failed_chunks_are_reported(spark):
+    def picky(pdf):
+        if pdf["piece"].str.contains("BAD").any():
+            raise RuntimeError("no")
+        return pd.DataFrame({"candidates": [[t[:2]] for t in pdf["piece"]]})
+
+    words = ["a0"] * 512 + ["BAD"] + ["b0"] * 511 + ["c0"] * 3
+    docs = _docs(spark, [" ".join(words), "d0 d1", "", " ".join(words[:512])])
+    out = {r["doc_id"]: r for r in G.paraphrase_long(docs, "doc_id", "text", generator=picky).collect()}
+    assert (out[0]["paraphrase"], out[0]["failed_chunks"], out[0]["error"]) == ("a0 c0", 1, "RuntimeError: no")
+    assert [(out[i]["paraphrase"], out[i]["failed_chunks"], out[i]["error"]) for i in (1, 2, 3)] == [("d0", 0, None), ("", 0, None), ("a0", 0, None)]
+
+
+def test_errors_reach_routes_and_sweep(spark):
+    def second_fails(pdf):
+        col = "_second" if "_second" in pdf else "piece"
+        if col == "_second":
+            raise RuntimeError("late")
+        return pd.DataFrame({"candidates": [["x"] for _ in pdf[col]]})
+
+    docs = _docs(spark, ["w " * 600, "short one"])
+    routed = {r["doc_id"]: r for r in G.route_summaries(docs, "doc_id", "text", 70, 40, second_fails).collect()}
+    assert (routed[0]["path"], routed[0]["summary"], routed[0]["error"]) == ("long", None, "RuntimeError: late")
+    assert (routed[1]["path"], routed[1]["summary"], routed[1]["error"]) == ("direct", "x", None)
+    swept = {(r["doc_id"], r["preset"]): r["error"] for r in G.preset_sweep(docs, "doc_id", "text", second_fails).collect()}
+    assert {k for k, e in swept.items() if e} == {(0, "long")} and len(swept) == 6
+
+
+def test_prompt_and_banned_terms_reach_the_generator(spark):
+    def show(pdf):
+        gp = pdf["_gp"].iloc[0]
+        return pd.DataFrame({"candidates": [[f"{len(gp['banned_terms'])} {gp['prompt']}"] for _ in range(len(pdf))]})
+
+    from proselab import schemas as S
+
+    docs = _docs(spark, ["some text"])
+    plain = G.route_summaries(docs, "doc_id", "text", 70, 40, show).first()["summary"]
+    assert plain == f"{len(S.BANNED_TERMS)} some text"
+    asked = G.route_summaries(docs, "doc_id", "text", 70, 40, show, model="x/Pegasus").first()["summary"]
+    assert asked == f"{len(S.BANNED_TERMS)} {S.PEGASUS_PROMPT}some text"
+
+
+def test_request_values_and_defaults(spark):
+    req = spark.createDataFrame(
+        [(1, "hello there", "creative", "t5", 3, 20), (2, "hello again", "x", "t5", None, None)],
+        "rid long, text string, level string, model_name string, num_return_sequences int, max_new_tokens int",
+    )
+
+    def many(pdf):
+        return pd.DataFrame({"candidates": [[f"v{i}" for i in range(gp["num_return_sequences"])] for gp in pdf["gp"]]})
+
+    out = {r["rid"]: r for r in G.paraphrase_response(req, "rid", many).collect()}
+    assert out[1]["paraphrases"] == ["v0", "v1", "v2"] and out[1]["generation_params"]["max_new_tokens"] == 20
+    assert out[2]["paraphrases"] == ["v0"] and out[2]["generation_params"]["max_new_tokens"] == 50
+
+
+def test_fill_levels_keeps_the_row(spark):
+    def by_level(pdf):
+        return pd.DataFrame({"candidates": [[f"{v} {t}", "second"] for v, t in zip(pdf["level"], pdf["original"])]})
+
+    rows = spark.createDataFrame([(1, "Some text.", "ref", "extra")], "pid long, original string, reference string, note string")
+    r = G.fill_levels(rows, "pid", "original", by_level).first()
+    assert (r["original"], r["reference"], r["note"]) == ("Some text.", "ref", "extra")
+    assert [r[f"generated_{v}"] for v in ("conservative", "balanced", "creative")] == [f"{v} Some text." for v in ("conservative", "balanced", "creative")]
+    s = G.fill_levels(rows, "pid", "original").first()
+    assert s["reference"] == "ref" and s["generated_balanced"] == "Some text."
