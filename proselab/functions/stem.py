@@ -9,21 +9,14 @@ alone, a short irregular-forms table, 'ies'/'ied' on 4-letter words, the
 tried first, step 1c requiring a consonant before 'y', and a 2-letter
 vowel-consonant word counting as *cvc.
 
-Runs as an Arrow-batched pandas UDF (over the text, tokenising and stemming
-in one pass) with a per-worker memo table, so each distinct word is stemmed
-once per Python worker.
+Called from the scorer's Arrow UDF (``operators.metrics``) with a per-worker
+memo table, so each distinct word is stemmed once per Python worker.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 # FIXED VALUES: irregular forms of the extension mode.
 IRREGULAR = {
     "skies": "sky",
@@ -246,28 +239,3 @@ def porter_stem(word: str) -> str:
 def stem_tokens_py(tokens) -> list[str]:
     """Scorer rule: stem only tokens longer than 3 characters."""
     return [porter_stem(t) if len(t) > 3 else t for t in tokens]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens_udf(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else stem_tokens_py(ts))
-
-
-def stem_tokens(c: Column) -> Column:
-    """Column form: array<string> -> stemmed array<string>."""
-    return stem_tokens_udf(c)
-
-
-_ROUGE_TOKEN = re.compile(r"[a-z0-9]+")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _rouge_tokens_stemmed_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: stem_tokens_py(_ROUGE_TOKEN.findall((t or "").lower())))
-
-
-def rouge_tokens_stemmed(c: Column) -> Column:
-    """J1 + J4 in one Arrow UDF on the text: lower, ``[a-z0-9]+`` runs,
-    Porter stem of tokens longer than 3 characters.  Taking the string in
-    (not a token array) halves the Arrow conversion work."""
-    return _rouge_tokens_stemmed_udf(c)

@@ -69,41 +69,49 @@ def level_summary(scored: DataFrame) -> DataFrame:
 def first_match(inputs: DataFrame, key: str, text_col: str, dataset: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """C4: each input matched to the FIRST dataset row (by ``ord``) whose
     stripped ``input_text`` equals the stripped input; unmatched inputs are
-    kept with ``matched = false``.  The dataset side is reduced to one row
-    per stripped text with ``min_by`` (map-side combine) before the join.
-    ``keep`` input columns are carried through."""
-    ds = (
-        dataset.select("ord", "input_text", "target_text")
-        .na.drop(subset=["input_text", "target_text"])
-        .withColumn("_k", X.strip_ws("input_text"))
-        .groupBy("_k")
-        .agg(F.min_by(F.struct("ord", "target_text"), F.col("ord")).alias("_first"))
-    )
-    i = inputs.select(key, *keep, X.strip_ws(F.coalesce(text_col, F.lit(""))).alias("_k"))
-    j = i.join(ds, "_k", "left")
+    kept with ``matched = false``.  ``keep`` input columns are carried along.
+
+    No text is ever a grouping, join or sort key: both sides are keyed by the
+    SHA-256 of the stripped text, the dataset is reduced to the smallest
+    ``ord`` per digest (combined before the shuffle), inputs meet it on the
+    digest, and the matched rows' targets are fetched by ``ord``."""
+    rows = dataset.select("ord", "input_text", "target_text").na.drop(subset=["input_text", "target_text"])
+    firsts = rows.groupBy(F.sha2(X.strip_ws("input_text"), 256).alias("_d")).agg(F.min("ord").alias("_ord"))
+    i = inputs.select(key, *keep, F.sha2(X.strip_ws(F.coalesce(text_col, F.lit(""))), 256).alias("_d"))
+    found = i.join(firsts, "_d", "left").drop("_d")
+    targets = rows.select(F.col("ord").alias("_o"), "target_text").join(firsts.select("_ord"), F.col("_o") == F.col("_ord"), "left_semi")
+    j = found.join(targets, F.col("_ord") == F.col("_o"), "left")
     return j.select(
         key,
         *keep,
-        F.col("_first").isNotNull().alias("matched"),
-        F.col("_first.ord").alias("dataset_ord"),
-        F.col("_first.target_text").alias("reference"),
+        F.col("_ord").isNotNull().alias("matched"),
+        F.col("_ord").alias("dataset_ord"),
+        F.col("target_text").alias("reference"),
     )
 
 
-def metric_card(texts: DataFrame, dataset: DataFrame, stem: bool = True) -> DataFrame:
+def metric_card(
+    texts: DataFrame, dataset: DataFrame, stem: bool = True, vectors: DataFrame | None = None, token_vectors: DataFrame | None = None
+) -> DataFrame:
     """J12 over ALL history rows at once: match each record's input to the
     dataset (C4), then BLEU-4 and ROUGE-1/2/L of reference vs the record's
-    generated text.  Unmatched records get NULL scores (the reference
-    refuses to score external inputs) and are never tokenised."""
+    generated text, and, from given vectors of the records, the cosine
+    (``vectors``: pid, u, v) and the soft match (``token_vectors``).
+    Unmatched records get NULL scores (the reference refuses to score
+    external inputs); so do records without vectors."""
     m = first_match(texts, "id", "input_text", dataset, keep=("content_text",))
     s = M.score_pairs(
         m, ["id"], "content_text", "reference", stem, bleu=True, keep=("matched", "dataset_ord"), active="matched"
     )
-    on = F.col("matched")
-    return s.select(
-        "id", "matched", "dataset_ord",
-        *[F.when(on, F.col(c)).alias(c) for c in ("rouge1_f", "rouge2_f", "rougeL_f", "bleu")],
-    )
+    names = ["rouge1_f", "rouge2_f", "rougeL_f", "bleu"]
+    if vectors is not None:
+        s = s.join(vectors.select(F.col("pid").alias("_v"), M.cosine("u", "v").alias("cosine")), F.col("id") == F.col("_v"), "left")
+        names.append("cosine")
+    if token_vectors is not None:
+        soft = M.soft_match(token_vectors).select(F.col("pid").alias("_t"), "soft_p", "soft_r", "soft_f")
+        s = s.join(soft, F.col("id") == F.col("_t"), "left")
+        names += ["soft_p", "soft_r", "soft_f"]
+    return s.select("id", "matched", "dataset_ord", *[F.when(F.col("matched"), F.col(c)).alias(c) for c in names])
 
 
 def self_rouge(texts: DataFrame, key: str = "id", stem: bool = True) -> DataFrame:

@@ -3,14 +3,12 @@
 Input is a *pairs* frame: key column(s), a hypothesis text and a reference
 text.  Every metric returns ``key + score columns``.
 
-* n-gram metrics (ROUGE-1/2, BLEU-4) hash-partition the pair rows on their
-  key, explode side-tagged n-grams and count them with
-  ``groupBy(key, n, tokens)`` inside that partitioning (no n-gram is
-  shuffled).  Pairs with no common gram get 0 through a left join back to
-  the pair totals.
-* ROUGE-L needs the LCS length, which no SQL expression computes in linear
-  space: an Arrow UDF runs the bit-parallel LCS (Allison & Dix 1986, Hyyrö
-  2004) on Python integers, O(n*m/64) word operations, no truncation.
+* A pair is one row, so the text metrics (ROUGE-1/2/L, BLEU-4) are one narrow
+  step: an Arrow UDF reads both texts once and returns the counts (clipped
+  n-gram overlaps, lengths, LCS length); the scores are column expressions
+  over the counts.  Nothing is exploded, shuffled or written.  ROUGE-L's LCS
+  is bit-parallel (Allison & Dix 1986, Hyyrö 2004) on Python integers,
+  O(n*m/64) word operations, no truncation.
 * cosine works on given vectors with native array functions; soft match
   joins bounded vector blocks block x block within a pair and computes each
   block's similarity matrix with numpy inside the task.
@@ -18,95 +16,33 @@ text.  Every metric returns ``key + score columns``.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as X
-from ..functions.stem import rouge_tokens_stemmed
-from ..session import cut_lineage
+from ..functions.stem import stem_tokens_py
 
-ROUGE_KEEP = "[a-z0-9]+"  # same tokens as: non [a-z0-9] -> space, split, drop empties
+ROUGE_TOKEN = re.compile("[a-z0-9]+")  # same tokens as: non [a-z0-9] -> space, split, drop empties
 BLEU_EPSILON = 0.1  # smoothing "method 1"
 BLEU_ORDERS = (1, 2, 3, 4)
 
 
-# ------------------------------------------------------------- tokenizers --
-def rouge_tokens(c: str | Column, stem: bool = False) -> Column:
-    """J1 (+J4): lower, then the ``[a-z0-9]+`` runs (= replace the rest by
-    spaces and split, dropping empties);
-    optionally Porter-stem tokens longer than 3 characters."""
-    c = F.col(c) if isinstance(c, str) else c
-    if stem:
-        return rouge_tokens_stemmed(c)
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(ROUGE_KEEP), 0)
-
-
-def bleu_tokens(c: str | Column) -> Column:
-    """J5 tokens: ``str.split()`` (whitespace, case kept)."""
-    return X.words(c)
-
-
-# ------------------------------------------------------- n-gram overlap --
-def _overlap_local(tok: DataFrame, key: list[str], h_col: str, r_col: str, orders) -> DataFrame:
-    """Clipped overlap per key: key + _ov{n}.  Keys without a common n-gram
-    are absent.
-
-    Two narrow explodes: first one row per (order, side) of each pair, then
-    that side's n-grams as (t1..t4) structs built by zipping shifted slices
-    (unused slots NULL).  Each expression stays small enough for
-    whole-stage codegen and nothing is evaluated per element in a lambda.
-    Grams are grouped by (key, n, tokens), never concatenated to strings."""
-    spec = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("s")) for n in orders for s in (0, 1)])
-    x = tok.select(*key, h_col, r_col, F.explode(spec).alias("_sp"))
-    n, side = F.col("_sp.n"), F.col("_sp.s")
-    w = F.when(side == 0, F.col(h_col)).otherwise(F.col(r_col))
-    m = F.greatest(F.size(w) - n + 1, F.lit(0))
-    none = F.array_repeat(F.lit(None).cast("string"), m)
-    slots = [F.when(F.lit(k) < n, F.slice(w, 1 + k, m)).otherwise(none) for k in range(4)]
-    # explode_outer + filter: an inner explode gets an inferred
-    # `size(arrays_zip(...)) > 0` filter that would build the array twice.
-    grams = (
-        x.select(*key, n.alias("n"), side.alias("s"), F.explode_outer(F.arrays_zip(*slots)).alias("t"))
-        .filter(F.col("t").isNotNull())
-        .select(*key, "n", "s", *[F.col("t").getField(str(k)).alias(f"g{k}") for k in range(4)])
-    )
-    per_gram = grams.groupBy(*key, "n", "g0", "g1", "g2", "g3").agg(
-        F.count_if(F.col("s") == 0).alias("ch"), F.count_if(F.col("s") == 1).alias("cr")
-    )
-    return per_gram.filter((F.col("ch") > 0) & (F.col("cr") > 0)).groupBy(*key).agg(
-        *[F.sum(F.when(F.col("n") == n, F.least("ch", "cr")).otherwise(0)).alias(f"_ov{n}") for n in orders]
-    )
+# ----------------------------------------------------------------- counts --
+def rouge_tokens(text: str | None, stem: bool = False) -> list[str]:
+    """J1 (+J4): lower, then the ``[a-z0-9]+`` runs; optionally Porter-stem
+    tokens longer than 3 characters."""
+    tokens = ROUGE_TOKEN.findall((text or "").lower())
+    return stem_tokens_py(tokens) if stem else tokens
 
 
-def ngram_overlap(pairs: DataFrame, key: list[str], hyp_toks: str, ref_toks: str, orders=(1, 2)) -> DataFrame:
-    """Clipped n-gram overlap for each order: key + ov{n}, hc{n}, rc{n}
-    (hypothesis / reference n-gram totals), hyp_len, ref_len.
-
-    The pair rows (token arrays) are hash-partitioned on the key once.
-    Every later step keeps the key in its grouping or join keys, so Spark
-    runs them inside that partitioning: n-grams are generated, counted per
-    (key, n, gram), summed per key and joined to the totals without another
-    shuffle.  The unit of work is one pair, which is one input row."""
-    h, r = F.col(hyp_toks), F.col(ref_toks)
-    tok = pairs.select(*key, hyp_toks, ref_toks).repartition(*key)
-    ov = _overlap_local(tok, key, hyp_toks, ref_toks, orders)
-    totals = tok.select(
-        *key,
-        *[F.greatest(F.size(h) - n + 1, F.lit(0)).cast("long").alias(f"hc{n}") for n in orders],
-        *[F.greatest(F.size(r) - n + 1, F.lit(0)).cast("long").alias(f"rc{n}") for n in orders],
-        F.size(h).cast("long").alias("hyp_len"),
-        F.size(r).cast("long").alias("ref_len"),
-    )
-    return totals.join(ov, key, "left").select(
-        *key,
-        *[F.coalesce(F.col(f"_ov{n}"), F.lit(0)).cast("long").alias(f"ov{n}") for n in orders],
-        *[f"hc{n}" for n in orders],
-        *[f"rc{n}" for n in orders],
-        "hyp_len",
-        "ref_len",
-    )
+def overlap(h: list[str], r: list[str], n: int) -> int:
+    """Clipped number of common n-grams."""
+    grams = Counter(zip(*(h[i:] for i in range(n))))
+    return (grams & Counter(zip(*(r[i:] for i in range(n))))).total()
 
 
 def f_measure(ov: Column, hyp_total: Column, ref_total: Column) -> Column:
@@ -135,40 +71,61 @@ def lcs_length_py(a, b) -> int:
     return len(b) - v.bit_count()
 
 
-@F.pandas_udf(T.LongType())
-def lcs_length_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length_py(x, y) for x, y in zip(a, b)], dtype="int64")
+_ROUGE_COUNTS = ("hn", "rn", "ov1", "ov2", "lcs")
+_BLEU_COUNTS = ("bhn", "brn", "b1", "b2", "b3", "b4")
+
+
+def _pair_counts(stem: bool, rouge: bool, lcs: bool, bleu: bool):
+    """UDF (hyp, ref) -> struct of the counts; both texts are read once."""
+    names = (_ROUGE_COUNTS if rouge else ()) + (_BLEU_COUNTS if bleu else ())
 
+    def one(hyp: str | None, ref: str | None) -> tuple:
+        out: tuple = ()
+        if rouge:
+            h, r = rouge_tokens(hyp, stem), rouge_tokens(ref, stem)
+            out += (len(h), len(r), overlap(h, r, 1), overlap(h, r, 2), lcs_length_py(h, r) if lcs else 0)
+        if bleu:
+            h, r = (hyp or "").split(), (ref or "").split()
+            out += (len(h), len(r), *(overlap(h, r, n) for n in BLEU_ORDERS))
+        return out
 
-def lcs_length(a: str | Column, b: str | Column) -> Column:
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return lcs_length_udf(a, b)
+    @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in names]))
+    def counts(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(h, r) for h, r in zip(hyp, ref)], columns=list(names))
+
+    return counts
 
 
 # -------------------------------------------------------------- scorers --
-def _f(ov: Column, hc: Column, rc: Column) -> Column:
-    return f_measure(ov, hc, rc)
+def _ratio(of: Column, total: Column) -> Column:
+    return of / F.greatest(total, F.lit(1))
 
 
-def _rouge_columns(hn: Column, rn: Column) -> list[Column]:
+def _rouge_columns(c: str) -> list[Column]:
+    hn, rn = F.col(f"{c}.hn"), F.col(f"{c}.rn")
     out = []
     for n in (1, 2):
-        ov = F.coalesce(F.col(f"_ov{n}"), F.lit(0))
+        ov = F.col(f"{c}.ov{n}")
         hc, rc = F.greatest(hn - n + 1, F.lit(0)), F.greatest(rn - n + 1, F.lit(0))
-        out += [
-            (ov / F.greatest(hc, F.lit(1))).alias(f"rouge{n}_p"),
-            (ov / F.greatest(rc, F.lit(1))).alias(f"rouge{n}_r"),
-            _f(ov, hc, rc).alias(f"rouge{n}_f"),
-        ]
+        out += [_ratio(ov, hc).alias(f"rouge{n}_p"), _ratio(ov, rc).alias(f"rouge{n}_r"), f_measure(ov, hc, rc).alias(f"rouge{n}_f")]
     ok = (hn > 0) & (rn > 0)
-    p = F.when(ok, F.col("_lcs") / hn).otherwise(F.lit(0.0))
-    q = F.when(ok, F.col("_lcs") / rn).otherwise(F.lit(0.0))
-    return out + [
-        p.alias("rougeL_p"),
-        q.alias("rougeL_r"),
-        F.when(ok & (p + q > 0), F.lit(2.0) * p * q / (p + q)).otherwise(F.lit(0.0)).alias("rougeL_f"),
-    ]
+    p = F.when(ok, F.col(f"{c}.lcs") / hn).otherwise(F.lit(0.0))
+    q = F.when(ok, F.col(f"{c}.lcs") / rn).otherwise(F.lit(0.0))
+    f = F.when(ok & (p + q > 0), F.lit(2.0) * p * q / (p + q)).otherwise(F.lit(0.0))
+    return [*out, p.alias("rougeL_p"), q.alias("rougeL_r"), f.alias("rougeL_f")]
+
+
+def _bleu_column(c: str) -> Column:
+    """Uniform weights, smoothing method 1 (epsilon for orders with no
+    match), brevity penalty; 0 without a common word."""
+    hn, rn = F.col(f"{c}.bhn"), F.col(f"{c}.brn")
+    logs = F.lit(0.0)
+    for n in BLEU_ORDERS:
+        denom = F.greatest(hn - n + 1, F.lit(1)).cast("double")
+        ov = F.col(f"{c}.b{n}")
+        logs = logs + F.lit(0.25) * F.log(F.when(ov == 0, F.lit(BLEU_EPSILON) / denom).otherwise(ov / denom))
+    bp = F.when(hn > rn, F.lit(1.0)).when(hn == 0, F.lit(0.0)).otherwise(F.exp(F.lit(1.0) - rn / hn))
+    return F.when(F.col(f"{c}.b1") == 0, F.lit(0.0)).otherwise(bp * F.exp(logs)).alias("bleu")
 
 
 def score_pairs(
@@ -181,98 +138,29 @@ def score_pairs(
     bleu: bool = False,
     keep: list[str] | tuple[str, ...] = (),
     active: str | None = None,
+    lcs: bool = True,
 ) -> DataFrame:
-    """All requested metrics of each pair from ONE key-partitioned token frame.
-
-    Tokens (ROUGE tokens, optionally stemmed, and BLEU whitespace tokens)
-    are computed once, before a single hash-partitioning on ``key``; the
-    n-gram counts, the LCS and the final joins all run inside that
-    partitioning, and Spark reuses the one exchange for every branch.
-    ``keep`` columns ride along; rows whose ``active`` column is false get
-    empty token arrays (scores 0, nothing exploded).
+    """All requested metrics of each pair in one narrow step over the pair
+    rows: no shuffle, no checkpoint.  ``keep`` columns ride along; rows whose
+    ``active`` column is false are counted as two empty texts (scores 0).
     Output: key + keep + rouge1_p/r/f, rouge2_p/r/f, rougeL_p/r/f [+ bleu]."""
-    on = F.coalesce(F.col(active), F.lit(False)) if active else F.lit(True)
-    empty = F.array().cast("array<string>")
-    cols = [F.when(on, rouge_tokens(hyp, stem)).otherwise(empty).alias("_h"), F.when(on, rouge_tokens(ref, stem)).otherwise(empty).alias("_r")]
-    if bleu:
-        cols += [F.when(on, bleu_tokens(hyp)).otherwise(empty).alias("_bh"), F.when(on, bleu_tokens(ref)).otherwise(empty).alias("_br")]
-    # One reliable checkpoint: the branches below (n-gram counts, LCS, BLEU)
-    # read it instead of recomputing the upstream (each branch prunes
-    # different columns, so Spark could not reuse one exchange), and it
-    # keeps the hash partitioning on the key, so the n-gram aggregations and
-    # the joins between branches run without another exchange.
-    n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tok = cut_lineage(pairs.select(*key, *keep, *cols).repartition(n_parts, *key), keep_partitioning=True)
-
-    h, r = F.col("_h"), F.col("_r")
-    base = tok.select(
-        *key,
-        *keep,
-        F.size(h).alias("_hn"),
-        F.size(r).alias("_rn"),
-        *([lcs_length("_h", "_r").alias("_lcs")] if rouge else []),
-        *([F.size("_bh").alias("_bhn"), F.size("_br").alias("_brn")] if bleu else []),
-    )
-    out = base
-    if rouge:
-        out = out.join(_overlap_local(tok, key, "_h", "_r", (1, 2)), key, "left")
-    if bleu:
-        bo = _overlap_local(tok, key, "_bh", "_br", BLEU_ORDERS).select(*key, *[F.col(f"_ov{n}").alias(f"_b{n}") for n in BLEU_ORDERS])
-        out = out.join(bo, key, "left")
-
-    sel = [*key, *keep]
-    if rouge:
-        sel += _rouge_columns(F.col("_hn"), F.col("_rn"))
-    if bleu:
-        logs = []
-        for n in BLEU_ORDERS:
-            denom = F.greatest(F.col("_bhn") - n + 1, F.lit(1)).cast("double")
-            ov = F.coalesce(F.col(f"_b{n}"), F.lit(0))
-            pn = F.when(ov == 0, F.lit(BLEU_EPSILON) / denom).otherwise(ov / denom)
-            logs.append(F.lit(0.25) * F.log(pn))
-        c, rl = F.col("_bhn"), F.col("_brn")
-        bp = F.when(c > rl, F.lit(1.0)).when(c == 0, F.lit(0.0)).otherwise(F.exp(F.lit(1.0) - rl / c))
-        sel.append(
-            F.when(F.coalesce(F.col("_b1"), F.lit(0)) == 0, F.lit(0.0))
-            .otherwise(bp * F.exp(logs[0] + logs[1] + logs[2] + logs[3]))
-            .alias("bleu")
-        )
-    return out.select(*sel)
-
-
-def tokenize_pairs(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool) -> DataFrame:
-    return pairs.select(*key, rouge_tokens(hyp, stem).alias("_h"), rouge_tokens(ref, stem).alias("_r"))
+    h, r = F.col(hyp), F.col(ref)
+    if active:
+        h, r = F.when(F.col(active), h), F.when(F.col(active), r)
+    x = pairs.select(*key, *keep, _pair_counts(stem, rouge, lcs, bleu)(h, r).alias("_n"))
+    return x.select(*key, *keep, *(_rouge_columns("_n") if rouge else []), *([_bleu_column("_n")] if bleu else []))
 
 
 def rouge_n(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = False) -> DataFrame:
     """ROUGE-1 and ROUGE-2 precision / recall / F per pair."""
-    t = tokenize_pairs(pairs, key, hyp, ref, stem)
-    o = ngram_overlap(t, key, "_h", "_r", (1, 2))
-    out = [*key]
-    for n in (1, 2):
-        ov, hc, rc = F.col(f"ov{n}"), F.col(f"hc{n}"), F.col(f"rc{n}")
-        out += [
-            (ov / F.greatest(hc, F.lit(1))).alias(f"rouge{n}_p"),
-            (ov / F.greatest(rc, F.lit(1))).alias(f"rouge{n}_r"),
-            f_measure(ov, hc, rc).alias(f"rouge{n}_f"),
-        ]
-    return o.select(*out)
+    out = score_pairs(pairs, key, hyp, ref, stem, lcs=False)
+    return out.select(*key, *[f"rouge{n}_{k}" for n in (1, 2) for k in "prf"])
 
 
 def rouge_l(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = False) -> DataFrame:
     """ROUGE-L (LCS) precision / recall / F per pair (0 if either side
-    has no token).  A narrow per-row step: no shuffle."""
-    t = tokenize_pairs(pairs, key, hyp, ref, stem)
-    x = t.select(*key, F.size("_h").alias("_hn"), F.size("_r").alias("_rn"), lcs_length("_h", "_r").alias("_lcs"))
-    ok = (F.col("_hn") > 0) & (F.col("_rn") > 0)
-    p = F.when(ok, F.col("_lcs") / F.col("_hn")).otherwise(F.lit(0.0))
-    r = F.when(ok, F.col("_lcs") / F.col("_rn")).otherwise(F.lit(0.0))
-    return x.select(
-        *key,
-        p.alias("rougeL_p"),
-        r.alias("rougeL_r"),
-        F.when(ok & (p + r > 0), F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0)).alias("rougeL_f"),
-    )
+    has no token)."""
+    return score_pairs(pairs, key, hyp, ref, stem).select(*key, "rougeL_p", "rougeL_r", "rougeL_f")
 
 
 def rouge_all(pairs: DataFrame, key: list[str], hyp: str, ref: str, stem: bool = False) -> DataFrame:
@@ -304,70 +192,53 @@ def _unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
-_BLOCK_BEST_T = T.StructType(
-    [
-        T.StructField("hb", T.ArrayType(T.DoubleType()), True),
-        T.StructField("rb", T.ArrayType(T.DoubleType()), True),
-    ]
-)
+_BEST = T.ArrayType(T.StructType([T.StructField("side", T.StringType()), T.StructField("pos", T.LongType()), T.StructField("best", T.DoubleType())]))
 
 
-@F.pandas_udf(_BLOCK_BEST_T)
-def _block_best(h: pd.Series, r: pd.Series) -> pd.DataFrame:
-    """For one hypothesis block and one reference block of unit vectors:
-    the best cosine of every hypothesis vector against the block (hb) and of
-    every reference vector (rb).  One small matrix product per row."""
+@F.pandas_udf(_BEST)
+def _block_best(hp: pd.Series, hv: pd.Series, rp: pd.Series, rv: pd.Series) -> pd.Series:
+    """Positions and unit vectors of one hypothesis block and one reference
+    block -> (side, position, best cosine against the other block) of every
+    token of both.  One small matrix product per row; a missing block gives 0."""
     import numpy as np
 
-    hb, rb = [], []
-    for hv, rv in zip(h, r):
-        hm = np.stack([np.asarray(x, dtype=np.float64) for x in hv])
-        rm = np.stack([np.asarray(x, dtype=np.float64) for x in rv])
-        sim = hm @ rm.T
-        hb.append(sim.max(axis=1).tolist())
-        rb.append(sim.max(axis=0).tolist())
-    return pd.DataFrame({"hb": hb, "rb": rb})
+    out = []
+    for a, x, b, y in zip(hp, hv, rp, rv):
+        none_a, none_b = a is None or len(a) == 0, b is None or len(b) == 0
+        if none_a or none_b:
+            rows = [("hyp", p, 0.0) for p in ([] if none_a else a)] + [("ref", p, 0.0) for p in ([] if none_b else b)]
+        else:
+            sim = np.stack([np.asarray(v, dtype=np.float64) for v in x]) @ np.stack([np.asarray(v, dtype=np.float64) for v in y]).T
+            rows = [("hyp", p, m) for p, m in zip(a, sim.max(axis=1))] + [("ref", p, m) for p, m in zip(b, sim.max(axis=0))]
+        out.append([{"side": s, "pos": int(p), "best": float(m)} for s, p, m in rows])
+    return pd.Series(out, dtype=object)
 
 
 def soft_match(token_vectors: DataFrame, block: int = 256) -> DataFrame:
     """J7 (re-aimed BERTScore): greedy soft matching of given token vectors.
 
-    P = mean over hypothesis tokens of the best cosine against the pair's
-    reference tokens, R symmetric, F = 2PR/(P+R) (no IDF, no rescaling).
-
-    Both sides of a pair are packed into blocks of about ``block`` unit
-    vectors (hash buckets sized from the side's token count), and blocks
-    are joined block x block within the pair: one row per block pair, each
-    computing a bounded similarity matrix with numpy inside the task.  The
-    best match of a token is the max over its block maxima (map-side
-    combined).  Input: pid, side ('hyp'/'ref'), tok, vec."""
-    tv = token_vectors.select("pid", "side", "tok", "vec")
-    counts = tv.groupBy("pid", "side").agg(F.count(F.lit(1)).alias("_n"))
-    nb = F.greatest(F.ceil(F.col("_n") / F.lit(block)), F.lit(1)).cast("long")
+    P = mean over hypothesis token occurrences of the best cosine against the
+    pair's reference tokens, R symmetric, F = 2PR/(P+R) (no IDF, no
+    rescaling).  A pair with one side only has nothing to match: its scores
+    are 0, and it keeps its row.
+
+    Input: pid, side ('hyp'/'ref'), pos (position of the occurrence within its
+    side), vec.  A side is cut into blocks of ``block`` positions (dealt on
+    pid, side and block, so a long pair is spread), and blocks are joined
+    block x block within the pair: one row per block pair, one bounded
+    similarity matrix with numpy inside the task, and one row per token and
+    block pair out of it, of which the maximum combines before the shuffle."""
+    tv = token_vectors.select("pid", "side", F.col("pos").cast("long").alias("pos"), "vec")
     blocks = (
-        tv.join(counts, ["pid", "side"])
-        .withColumn("_b", F.pmod(F.xxhash64("tok"), nb))
-        .groupBy("pid", "side", "_b")
-        .agg(F.collect_list(F.struct("tok", _unit(F.col("vec")).alias("u"))).alias("_items"))
-    )
-    h = blocks.filter(F.col("side") == "hyp").select("pid", F.col("_b").alias("_hb"), F.col("_items").alias("_h"))
-    r = blocks.filter(F.col("side") == "ref").select("pid", F.col("_b").alias("_rb"), F.col("_items").alias("_r"))
-    bp = h.join(r, "pid").select(
-        "pid", "_h", "_r", _block_best(F.col("_h.u"), F.col("_r.u")).alias("_best")
-    )
-
-    def side_mean(items: str, best: str, out: str) -> DataFrame:
-        per_tok = bp.select(
-            "pid", F.explode_outer(F.arrays_zip(F.col(f"{items}.tok").alias("tok"), F.col(f"_best.{best}").alias("m"))).alias("z")
-        ).filter(F.col("z").isNotNull()).select("pid", "z.tok", "z.m")
-        return per_tok.groupBy("pid", "tok").agg(F.max("m").alias("_m")).groupBy("pid").agg(F.avg("_m").alias(out))
-
-    p = side_mean("_h", "hb", "soft_p")
-    q = side_mean("_r", "rb", "soft_r")
-    pr = p.join(q, "pid", "full_outer").select(
-        "pid", F.coalesce("soft_p", F.lit(0.0)).alias("soft_p"), F.coalesce("soft_r", F.lit(0.0)).alias("soft_r")
-    )
-    return pr.withColumn(
-        "soft_f",
-        F.when(F.col("soft_p") + F.col("soft_r") > 0, 2 * F.col("soft_p") * F.col("soft_r") / (F.col("soft_p") + F.col("soft_r"))).otherwise(0.0),
+        tv.groupBy("pid", "side", F.floor(F.col("pos") / F.lit(block)).alias("_b"))
+        .agg(F.collect_list(F.struct("pos", _unit(F.col("vec")).alias("u"))).alias("_items"))
     )
+    h = blocks.filter(F.col("side") == "hyp").select("pid", F.col("_items").alias("_h"))
+    r = blocks.filter(F.col("side") == "ref").select("pid", F.col("_items").alias("_r"))
+    met = h.join(r, "pid", "full_outer").select("pid", _block_best(F.col("_h.pos"), F.col("_h.u"), F.col("_r.pos"), F.col("_r.u")).alias("_best"))
+    per_block = met.select("pid", F.explode_outer("_best").alias("z")).filter(F.col("z").isNotNull())
+    per_token = per_block.groupBy("pid", F.col("z.side").alias("side"), F.col("z.pos").alias("pos")).agg(F.max("z.best").alias("best"))
+    p, q = (F.coalesce(F.avg(F.when(F.col("side") == s, F.col("best"))), F.lit(0.0)) for s in ("hyp", "ref"))
+    pr = per_token.groupBy("pid").agg(p.alias("soft_p"), q.alias("soft_r"))
+    both = F.col("soft_p") + F.col("soft_r")
+    return pr.withColumn("soft_f", F.when(both > 0, 2 * F.col("soft_p") * F.col("soft_r") / both).otherwise(0.0))

@@ -10,7 +10,7 @@ from ..operators import evaluate as EV
 from ..sources import views as V
 from ..sources.views import with_views
 from . import sqlgen as Q
-from .q_metrics import _LCS_F, PAIRS_SQL, _r6, _s6
+from .q_metrics import _LCS_F, COSINE_CTE, PAIRS_SQL, SOFT_CTES, _bleu_expr, _r6, _s6
 from .ranking import numbered_within, page
 from .registry import register
 
@@ -76,9 +76,39 @@ def q_rouge_report(spark, d):
 @register("metric_card")
 def q_metric_card(spark, d):
     """J12 for every history record: dataset match, BLEU-4, ROUGE-1/2/L
-    (stemmed).  Whole documents; checked by pytest against plain Python."""
-    m = EV.metric_card(V.user_texts(spark, d), V.dataset(spark, d), stem=True)
-    return m.select("id", "matched", "dataset_ord", _s6("rouge1_f"), _s6("rouge2_f"), _s6("rougeL_f"), _s6("bleu"))
+    (stemmed), cosine and soft match.  Whole documents; checked by pytest
+    against plain Python; ``metric_card_plain`` is its twin with an oracle."""
+    m = EV.metric_card(V.user_texts(spark, d), V.dataset(spark, d), True, V.vector_pairs(spark, d), V.token_vectors(spark, d))
+    return m.select("id", "matched", "dataset_ord", *map(_s6, ("rouge1_f", "rouge2_f", "rougeL_f", "bleu", "cosine", "soft_f")))
+
+
+@register(
+    "metric_card_plain",
+    with_views(
+        ["user_texts", "dataset", "vector_pairs", "token_vectors"],
+        f"""
+, ds AS (SELECT {Q.strip('input_text')} AS k, ord, target_text FROM dataset WHERE input_text IS NOT NULL AND target_text IS NOT NULL),
+firsts AS (SELECT k, min(ord) AS ord FROM ds GROUP BY k),
+mt AS (SELECT t.id, f.ord, t.content_text AS h, d.target_text AS r FROM user_texts t
+       LEFT JOIN firsts f ON f.k = {Q.strip("coalesce(t.input_text, '')")} LEFT JOIN ds d ON d.ord = f.ord),
+rt AS (SELECT id, {Q.rouge_tokens('h')} AS h, {Q.rouge_tokens('r')} AS r FROM mt WHERE ord IS NOT NULL),
+bt AS (SELECT id, {Q.words('h')} AS h, {Q.words('r')} AS r FROM mt WHERE ord IS NOT NULL),
+{Q.ngram_ctes("rt", ["id"], [1, 2], "mr")},
+{Q.ngram_ctes("bt", ["id"], [1, 2, 3, 4], "mb")},
+{COSINE_CTE},
+{SOFT_CTES}
+SELECT m.id, m.ord IS NOT NULL AS matched, m.ord AS dataset_ord,
+       CASE WHEN m.ord IS NOT NULL THEN {_r6(Q.f_measure('r.ov1', 'r.hc1', 'r.rc1'))} END AS rouge1_f,
+       CASE WHEN m.ord IS NOT NULL THEN {_r6(Q.f_measure('r.ov2', 'r.hc2', 'r.rc2'))} END AS rouge2_f,
+       b.bleu, CASE WHEN m.ord IS NOT NULL THEN c.cosine END AS cosine, CASE WHEN m.ord IS NOT NULL THEN s.soft_f END AS soft_f
+FROM mt m LEFT JOIN mr_ov r ON r.id = m.id LEFT JOIN (SELECT id, {_r6(_bleu_expr())} AS bleu FROM mb_ov) b ON b.id = m.id
+LEFT JOIN cosines c ON c.pid = m.id LEFT JOIN softs s ON s.pid = m.id""",
+    ),
+)
+def q_metric_card_plain(spark, d):
+    """J12 with SQL-checked parts: unstemmed, without the whole-text LCS."""
+    m = EV.metric_card(V.user_texts(spark, d), V.dataset(spark, d), False, V.vector_pairs(spark, d), V.token_vectors(spark, d))
+    return m.select("id", "matched", "dataset_ord", *map(_s6, ("rouge1_f", "rouge2_f", "bleu", "cosine", "soft_f")))
 
 
 @register(

@@ -58,15 +58,15 @@ def q_chunk_summaries(spark, d):
 
 
 def _marked(pdf):
-    """Deterministic generator for ``chunk_errors``: the first 20 characters
-    in capitals; it fails on any text with a bar, which no batch survives."""
+    """Deterministic generator for ``chunk_errors``: the first 20 characters;
+    it fails on any text with a bar, which no batch survives."""
     import pandas as pd
 
     out = []
     for t in pdf["piece"]:
         if "|" in t:
             raise ValueError("bar in text")
-        out.append([t[:20].upper()])
+        out.append([t[:20]])
     return pd.DataFrame({"candidates": out})
 
 
@@ -74,7 +74,7 @@ def _marked(pdf):
     "chunk_errors",
     f"""WITH c AS ({Q.chunks_sql("documents", "doc_id", "text", _CH)}),
 m AS (SELECT doc_id, CAST(count(*) FILTER (WHERE contains(chunk_text, '|')) AS BIGINT) AS failed_chunks,
-             string_agg(upper(left(chunk_text, 20)), ' ' ORDER BY chunk_no) FILTER (WHERE NOT contains(chunk_text, '|')) AS merged
+             string_agg(left(chunk_text, 20), ' ' ORDER BY chunk_no) FILTER (WHERE NOT contains(chunk_text, '|')) AS merged
       FROM c GROUP BY doc_id)
 SELECT d.doc_id, coalesce(m.merged, '') AS paraphrase, coalesce(m.failed_chunks, 0) AS failed_chunks,
        CASE WHEN m.failed_chunks > 0 THEN 'ValueError: bar in text' END AS error

@@ -133,39 +133,31 @@ def q_self_rouge_l(spark, d):
     return r.select("id", _s6("rouge1_f"), _s6("rouge2_f"), _s6("rougeL_f"))
 
 
-@register(
-    "cosine_pairs",
-    with_views(
-        ["vector_pairs"],
-        """
+COSINE_CTE = """cosines AS (
 SELECT pid, CAST(round(CASE WHEN nu > 0 AND nv > 0 THEN dot / (nu * nv) ELSE 0.0 END, 6) AS DOUBLE) AS cosine
 FROM (SELECT pid, list_dot_product(CAST(u AS DOUBLE[]), CAST(v AS DOUBLE[])) AS dot,
              sqrt(list_dot_product(CAST(u AS DOUBLE[]), CAST(u AS DOUBLE[]))) AS nu,
-             sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))) AS nv FROM vector_pairs) z""",
-    ),
-)
+             sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))) AS nv FROM vector_pairs) z)"""
+
+# best match of every token occurrence; a pair with one side only scores 0
+SOFT_CTES = """un AS (SELECT pid, side, pos, CAST(vec AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[]))) AS n
+         FROM token_vectors),
+sim AS (SELECT a.pid, a.side, a.pos, max(CASE WHEN a.n > 0 AND b.n > 0 THEN list_dot_product(a.v, b.v) / (a.n * b.n) ELSE 0.0 END) AS best
+        FROM un a LEFT JOIN un b ON a.pid = b.pid AND a.side <> b.side GROUP BY a.pid, a.side, a.pos),
+pr AS (SELECT pid, coalesce(avg(best) FILTER (WHERE side = 'hyp'), 0.0) AS p, coalesce(avg(best) FILTER (WHERE side = 'ref'), 0.0) AS r
+       FROM sim GROUP BY pid),
+softs AS (SELECT pid, CAST(round(p, 6) AS DOUBLE) AS soft_p, CAST(round(r, 6) AS DOUBLE) AS soft_r,
+                 CAST(round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS DOUBLE) AS soft_f
+          FROM pr)"""
+
+
+@register("cosine_pairs", with_views(["vector_pairs"], f", {COSINE_CTE}\nSELECT pid, cosine FROM cosines"))
 def q_cosine_pairs(spark, d):
     vp = V.vector_pairs(spark, d)
     return vp.select("pid", F.round(M.cosine("u", "v"), 6).alias("cosine"))
 
 
-@register(
-    "soft_match",
-    with_views(
-        ["token_vectors"],
-        """
-, un AS (SELECT pid, side, tok, CAST(vec AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(vec AS DOUBLE[]), CAST(vec AS DOUBLE[]))) AS n
-         FROM token_vectors),
-sim AS (SELECT a.pid, a.side, a.tok, max(CASE WHEN a.n > 0 AND b.n > 0 THEN list_dot_product(a.v, b.v) / (a.n * b.n) ELSE 0.0 END) AS best
-        FROM un a JOIN un b ON a.pid = b.pid AND a.side <> b.side GROUP BY a.pid, a.side, a.tok),
-pr AS (SELECT pid, coalesce(avg(best) FILTER (WHERE side = 'hyp'), 0.0) AS p, coalesce(avg(best) FILTER (WHERE side = 'ref'), 0.0) AS r
-       FROM sim GROUP BY pid)
-SELECT pid, CAST(round(p, 6) AS DOUBLE) AS soft_p, CAST(round(r, 6) AS DOUBLE) AS soft_r,
-       CAST(round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS DOUBLE) AS soft_f
-FROM pr""",
-    ),
-)
+@register("soft_match", with_views(["token_vectors"], f", {SOFT_CTES}\nSELECT pid, soft_p, soft_r, soft_f FROM softs"))
 def q_soft_match(spark, d):
     s = M.soft_match(V.token_vectors(spark, d))
     return s.select("pid", _s6("soft_p"), _s6("soft_r"), _s6("soft_f"))
-

@@ -195,8 +195,10 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vid = F.col("vec_id")
     return e.select(
         F.floor(vid / F.lit(20.0)).cast("long").alias("pid"),
-        F.when(_mod(vid, 20) < 10, "ref").otherwise("hyp").alias("side"),
+        # every 9th pair has one side only
+        F.when((_mod(vid, 20) < 10) | (_mod(F.floor(vid / F.lit(20)), 9) == 4), "ref").otherwise("hyp").alias("side"),
         vid.alias("tok"),
+        _mod(vid, 20).alias("pos"),
         F.col("embedding").alias("vec"),
     )
 
@@ -297,8 +299,8 @@ SELECT a.vec_id AS pid, a.embedding AS u, b.embedding AS v
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "token_vectors": """
 SELECT CAST(floor(vec_id / 20.0) AS BIGINT) AS pid,
-       CASE WHEN vec_id % 20 < 10 THEN 'ref' ELSE 'hyp' END AS side,
-       vec_id AS tok, embedding AS vec
+       CASE WHEN vec_id % 20 < 10 OR (vec_id // 20) % 9 = 4 THEN 'ref' ELSE 'hyp' END AS side,
+       vec_id AS tok, vec_id % 20 AS pos, embedding AS vec
 FROM embeddings""",
 }
 

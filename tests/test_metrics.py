@@ -102,8 +102,8 @@ def test_soft_match_brute_force(spark):
     for pid in range(4):
         for side, n in (("hyp", rnd.randint(1, 7)), ("ref", rnd.randint(1, 9))):
             for t in range(n):
-                rows.append((pid, side, pid * 100 + (0 if side == "hyp" else 50) + t, [rnd.uniform(-1, 1) for _ in range(5)]))
-    df = spark.createDataFrame(rows, "pid long, side string, tok long, vec array<double>")
+                rows.append((pid, side, t, [rnd.uniform(-1, 1) for _ in range(5)]))
+    df = spark.createDataFrame(rows, "pid long, side string, pos long, vec array<double>")
     got = {r["pid"]: (r["soft_p"], r["soft_r"], r["soft_f"]) for r in M.soft_match(df, block=2).collect()}
 
     def cos(a, b):
@@ -119,6 +119,33 @@ def test_soft_match_brute_force(spark):
         assert got[pid] == pytest.approx((p, q, 2 * p * q / (p + q)), abs=1e-9)
 
 
+def test_soft_match_counts_occurrences_and_keeps_one_sided_pairs(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]
+    rows = [(1, "hyp", i, v) for i, v in enumerate([a, a, a, b])] + [(1, "ref", 0, a)]
+    rows += [(2, "hyp", 0, a), (3, "ref", 0, b), (4, "hyp", 0, a), (4, "ref", 0, c)]
+    got = {r["pid"]: (r["soft_p"], r["soft_r"]) for r in M.soft_match(spark.createDataFrame(rows, "pid long, side string, pos long, vec array<double>"), 2).collect()}
+    assert got == {1: (0.75, 1.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (-1.0, -1.0)}
+
+
+def test_scoring_is_narrow(spark):
+    pairs = _pairs(spark, [(1, "a b", "a c")])
+    plan = M.score_pairs(pairs, ["k"], "hyp", "ref", stem=True, bleu=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_metric_card_with_vectors(spark):
+    from proselab.operators import evaluate as EV
+
+    texts = spark.createDataFrame([(1, "in one", "out one"), (2, "other", "x")], "id long, input_text string, content_text string")
+    dataset = spark.createDataFrame([(0, " in one ", "out two")], "ord long, input_text string, target_text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], [1.0, 1.0])], "pid long, u array<double>, v array<double>")
+    tokens = spark.createDataFrame([(1, "hyp", 0, [1.0]), (1, "ref", 0, [2.0])], "pid long, side string, pos long, vec array<double>")
+    out = {r["id"]: r for r in EV.metric_card(texts, dataset, vectors=vectors, token_vectors=tokens).collect()}
+    assert out[1]["cosine"] == pytest.approx(0.5**0.5) and out[1]["soft_f"] == pytest.approx(1.0)
+    assert out[1]["rouge1_f"] == pytest.approx(0.5)
+    assert [out[2][c] for c in ("rouge1_f", "bleu", "cosine", "soft_f")] == [None] * 4
+
+
 def test_stemmed_queries_match_brute_force(spark):
     """self_rouge_l / metric_card have no SQL oracle: check them here."""
     import __spark_entry__ as E
