@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CONTENT_TYPE_MAX_LEN, FEEDBACK_TYPES, MODEL_USED_MAX_LEN, ROLES
@@ -171,10 +171,11 @@ def latest_per_key(changes: DataFrame, key: str, seq: str, cols: list[str]) -> D
     )
 
 
-def set_role(users: DataFrame, role_changes: DataFrame) -> DataFrame:
-    """H2: promote/demote; only roles in {admin, user} are applied."""
+def set_role(users: DataFrame, role_changes: DataFrame, seq: str = "seq") -> DataFrame:
+    """H2: promote/demote; only roles in {admin, user} are applied, and of
+    several changes for one user the last by ``seq``."""
     valid = role_changes.filter(F.col("role").isin(*ROLES))
-    return update_by_key(users, valid.select("id", "role"), "id", ["role"])
+    return update_by_key(users, latest_per_key(valid, "id", seq, ["role"]), "id", ["role"])
 
 
 def delete_by_key(df: DataFrame, keys: DataFrame, key: str, keys_col: str | None = None) -> DataFrame:
@@ -217,27 +218,29 @@ def _accept_rounds(cand: DataFrame) -> DataFrame:
     accepted row are rejected.  Repeat until nothing is undecided.  Every
     round accepts at least the earliest undecided row, so the loop ends; it
     runs over rounds (the length of the longest conflict chain), never over
-    rows, and no row is ever left out.  Each round is a few joins and
-    aggregations; lineage is cut with a reliable checkpoint per round."""
-    accepted: DataFrame | None = None
+    rows, and no row is ever left out.  A round writes one frame, the rows
+    that were undecided with their new status, and reads only that."""
+    decided: list[DataFrame] = []
     undecided = cut_lineage(cand)
-    while not undecided.isEmpty():
+    while True:
         me = undecided.groupBy("email").agg(F.min("ord").alias("_me"))
         mu = undecided.groupBy("username").agg(F.min("ord").alias("_mu"))
-        u2 = undecided.join(me, "email").join(mu, "username")
-        wins = (F.col("ord") == F.col("_me")) & (F.col("ord") == F.col("_mu"))
-        acc = cut_lineage(u2.filter(wins).select(*cand.columns))
-        if acc.isEmpty():  # impossible by construction; never drop rows silently
+        x = undecided.join(me, "email").join(mu, "username").withColumn("_won", (F.col("ord") == F.col("_me")) & (F.col("ord") == F.col("_mu")))
+        # a key whose first row won is taken from now on
+        won = x.filter("_won")
+        e = won.select(F.col("email").alias("_ae"), F.lit(True).alias("_te"))
+        u = won.select(F.col("username").alias("_au"), F.lit(True).alias("_tu"))
+        x = x.join(e, F.col("email") == F.col("_ae"), "left").join(u, F.col("username") == F.col("_au"), "left")
+        lost = F.coalesce("_te", F.lit(False)) | F.coalesce("_tu", F.lit(False))
+        status = F.when(F.col("_won"), "accepted").when(~lost, "undecided").otherwise("rejected")
+        state = cut_lineage(x.select(*cand.columns, status.alias("_status")))
+        n = state.agg(F.count_if(F.col("_status") == "accepted").alias("won"), F.count_if(F.col("_status") == "undecided").alias("left")).first()
+        decided.append(state.filter(F.col("_status") == "accepted").select(*cand.columns))
+        if not n["left"]:
+            return reduce(DataFrame.unionByName, decided)
+        if not n["won"]:  # impossible by construction; never drop rows silently
             raise RuntimeError("registration rounds made no progress")
-        accepted = acc if accepted is None else accepted.unionByName(acc)
-        rest = (
-            u2.filter(~wins)
-            .select(*cand.columns)
-            .join(acc.select(F.col("email").alias("_ae")), F.col("email") == F.col("_ae"), "left_anti")
-            .join(acc.select(F.col("username").alias("_au")), F.col("username") == F.col("_au"), "left_anti")
-        )
-        undecided = cut_lineage(rest)
-    return accepted if accepted is not None else cand.limit(0)
+        undecided = state.filter(F.col("_status") == "undecided").drop("_status")
 
 
 def register_batch(batch: DataFrame, users: DataFrame) -> DataFrame:
@@ -252,22 +255,35 @@ def register_batch(batch: DataFrame, users: DataFrame) -> DataFrame:
     return acc.select("ord", "username", "email", "language_preference", F.lit(REGISTERED_ROLE).alias("role"))
 
 
-def new_profiles(accepted: DataFrame) -> DataFrame:
-    """H7 second insert: one profile per new user, NULL age, same language."""
-    return accepted.select(
-        F.col("ord").alias("user_id"), F.lit(None).cast("string").alias("age_group"), "language_preference"
-    )
+def registered_tables(batch: DataFrame, users: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """H7 as new snapshots: ``users`` with the accepted registrations, whose
+    ids go on from the largest one in order of arrival, and ``profiles`` with
+    one row per new user: NULL age, the user's language, the new id."""
+    from ..plans.ranking import numbered_within
+
+    accepted = cut_lineage(register_batch(batch, users))
+    last = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    ids = numbered_within(accepted.select("ord"), [], ["ord"], "_n").select(F.col("ord").alias("_o"), (F.col("_n") + last).alias("id"))
+    new = accepted.join(ids, F.col("ord") == F.col("_o"))
+    new_users = users.unionByName(new.select(*users.columns))
+    new_profiles = profiles.unionByName(new.select(F.col("id").alias("user_id"), F.lit(None).cast("string").alias("age_group"), "language_preference"))
+    return new_users, new_profiles
 
 
 # ---------------------------------------------------------------- appends --
 def dedup_append(existing: DataFrame, batch: DataFrame, key_cols: list[str], order_cols: list[str]) -> DataFrame:
     """H8: append ``batch`` but keep one row per content key — the earliest
-    by ``order_cols``.  An aggregation (``min_by``), so even a key repeated
-    in a third of the rows is combined map-side before the shuffle."""
+    by ``order_cols``.  Whole texts are never grouping or sort keys: a key is
+    its SHA-256, the earliest order per digest combines before the shuffle,
+    and only the rows that reach it go on."""
     u = existing.unionByName(batch)
-    rest = [c for c in u.columns if c not in key_cols]
-    return u.groupBy(*key_cols).agg(
-        F.min_by(F.struct(*rest), F.struct(*order_cols)).alias("_r")
-    ).select(*[F.col(c) for c in u.columns if c in key_cols], *[F.col(f"_r.{c}").alias(c) for c in rest]).select(
-        *u.columns
-    )
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in key_cols])), 256)
+    u = u.withColumn("_d", digest)
+    first = u.groupBy(F.col("_d").alias("_fd")).agg(F.min(F.struct(*order_cols)).alias("_o"))
+    same = F.col("_d") == F.col("_fd")
+    for c in order_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o.{c}"))
+    # rows alike in key and order are copies: the numbering keeps one of them
+    nth = F.row_number().over(Window.partitionBy("_d").orderBy(*order_cols))
+    out = u.join(first, same, "left_semi").withColumn("_n", nth).filter("_n = 1")
+    return out.select(*existing.columns)

@@ -17,10 +17,15 @@ ALL_DIGITS = "^[0-9]+$"
 
 
 # ---------------------------------------------------------------- filters --
+def is_model_name(name):
+    """Not all digits (NULL for a NULL name, as SQL's NOT REGEXP)."""
+    return ~name.rlike(ALL_DIGITS)
+
+
 def exclude_numeric_models(texts: DataFrame) -> DataFrame:
-    """Keep rows whose model name is not all digits (NULL names drop,
-    as with SQL's three-valued NOT REGEXP; '' is kept)."""
-    return texts.filter(~F.col("model_used").rlike(ALL_DIGITS))
+    """Keep rows whose model name is not all digits (NULL names drop;
+    '' is kept)."""
+    return texts.filter(is_model_name(F.col("model_used")))
 
 
 def feedback_filter(feedback: DataFrame, kind: str | None) -> DataFrame:
@@ -93,14 +98,14 @@ def text_total(texts: DataFrame) -> DataFrame:
     return texts.agg(F.count(F.lit(1)).alias("total_texts"))
 
 
+def model_counts(texts: DataFrame) -> DataFrame:
+    """D3: usage count per model (numeric names excluded)."""
+    return exclude_numeric_models(texts).groupBy("model_used").agg(F.count(F.lit(1)).alias("usage_count"))
+
+
 def model_usage(texts: DataFrame) -> DataFrame:
-    """Usage count per model (numeric names excluded), descending."""
-    return (
-        exclude_numeric_models(texts)
-        .groupBy("model_used")
-        .agg(F.count(F.lit(1)).alias("usage_count"))
-        .orderBy(F.col("usage_count").desc(), F.col("model_used"))
-    )
+    """Usage count per model, descending."""
+    return model_counts(texts).orderBy(F.col("usage_count").desc(), F.col("model_used"))
 
 
 def top_model(texts: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ def top_model(texts: DataFrame) -> DataFrame:
     One global aggregate over the (small) per-model counts: ``min_by`` over
     the key (-count, name) picks the winner without sorting.
     """
-    usage = model_usage(texts)
+    usage = model_counts(texts)
     return usage.agg(
         F.coalesce(
             F.min_by("model_used", F.struct(-F.col("usage_count"), F.col("model_used"))),
@@ -144,18 +149,14 @@ def overview(logins: DataFrame, texts: DataFrame, feedback: DataFrame) -> DataFr
     cross product); every branch is partially aggregated before the single
     final aggregate.  Model counts are pre-aggregated per model first.
     """
-    usage = model_usage(texts).select(
+    # one aggregation serves both: rows per model name, counted or not
+    per_model = texts.groupBy("model_used").agg(F.count(F.lit(1)).alias("n"))
+    counted = is_model_name(F.col("model_used"))
+    usage = per_model.select(
         F.lit(None).cast("long").alias("login_user"),
-        F.lit(0).cast("long").alias("n_texts"),
-        F.col("model_used"),
-        F.col("usage_count"),
-        F.lit(None).cast("string").alias("feedback_type"),
-    )
-    n_texts = text_total(texts).select(
-        F.lit(None).cast("long").alias("login_user"),
-        F.col("total_texts").alias("n_texts"),
-        F.lit(None).cast("string").alias("model_used"),
-        F.lit(None).cast("long").alias("usage_count"),
+        F.col("n").alias("n_texts"),
+        F.when(counted, F.col("model_used")).alias("model_used"),
+        F.when(counted, F.col("n")).alias("usage_count"),
         F.lit(None).cast("string").alias("feedback_type"),
     )
     lg = logins.select(F.col("user_id").alias("login_user")).distinct().select(
@@ -172,7 +173,7 @@ def overview(logins: DataFrame, texts: DataFrame, feedback: DataFrame) -> DataFr
         F.lit(None).cast("long").alias("usage_count"),
         F.col("feedback_type"),
     )
-    u = lg.unionByName(n_texts).unionByName(usage).unionByName(fb)
+    u = lg.unionByName(usage).unionByName(fb)
     row = u.agg(
         F.count("login_user").alias("unique_users"),
         F.sum("n_texts").cast("long").alias("total_texts"),

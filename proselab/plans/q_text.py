@@ -171,7 +171,7 @@ def q_model_alias(spark, d):
         ["profiles"],
         f"""
 SELECT user_id, age, age BETWEEN 18 AND 65 AS in_range
-FROM (SELECT user_id, CASE WHEN regexp_matches(age_group, '{X.INT_TEXT_PORTABLE}') THEN CAST({d_strip('age_group')} AS INTEGER)
+FROM (SELECT user_id, CASE WHEN regexp_matches(age_group, '{X.INT_TEXT_PORTABLE}') THEN coalesce(TRY_CAST({d_strip('age_group')} AS INTEGER), 18)
                            ELSE 18 END AS age FROM profiles) z""",
     ),
 )

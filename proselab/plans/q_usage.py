@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import usage as U
 from ..sources import views as V
 from ..sources.views import with_views
-from .ranking import numbered_within
+from .ranking import numbered_by_id
 from .registry import register
 
 
@@ -165,7 +165,8 @@ FROM user_texts""",
 def q_user_history(spark, d):
     """F1 + F5 for every user at once: history newest-first, numbered 1..n."""
     t = V.user_texts(spark, d).select("user_id", "id", *U.HISTORY_COLS)
-    return numbered_within(t, ["user_id"], [F.col("created_at").desc_nulls_last(), F.col("id").desc()], "record_no")
+    order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
+    return numbered_by_id(t, "id", ["id", "user_id", "created_at"], ["user_id"], order, "record_no")
 
 
 @register(

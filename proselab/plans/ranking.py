@@ -75,12 +75,28 @@ def numbered_within(
     )
 
 
+def numbered_by_id(
+    df: DataFrame, id_col: str, narrow: list[str], group_cols: list[str], order_cols: list[str | Column], out: str = "rn"
+) -> DataFrame:
+    """``numbered_within`` for wide rows with a unique id: only the ``narrow``
+    columns (id, group and order columns) are range-partitioned, sorted and
+    written; the rows themselves meet their number in one join on the id."""
+    n = numbered_within(df.select(*narrow), group_cols, order_cols, out).select(F.col(id_col).alias("_nid"), out)
+    return df.join(n, F.col(id_col) == F.col("_nid")).drop("_nid")
+
+
 def page(
-    df: DataFrame, order_cols: list[str | Column], page_no: int, page_size: int, out: str = "sample_no"
+    df: DataFrame, order_cols: list[str], page_no: int, page_size: int, out: str = "sample_no"
 ) -> DataFrame:
     """Rows ``page_size*(p-1)+1 .. page_size*p`` of the ordered frame with
-    their 1-based position.  Uses the global numbering above, so a deep
-    page never funnels ``offset`` rows through one task."""
+    their 1-based position.  Only the order columns (unique together) are
+    numbered, so a deep page never funnels ``offset`` rows through one task;
+    the page's keys, at most ``page_size`` rows, then pick its rows."""
     lo = page_size * (page_no - 1)
-    numbered = numbered_within(df, [], order_cols, out)
-    return numbered.filter((F.col(out) > lo) & (F.col(out) <= lo + page_size))
+    keys = numbered_within(df.select(*order_cols), [], list(order_cols), out).filter((F.col(out) > lo) & (F.col(out) <= lo + page_size))
+    wanted = keys.select(*[F.col(c).alias(f"_k_{c}") for c in order_cols], out)
+    cond = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in order_cols]
+    on = cond[0]
+    for c in cond[1:]:
+        on = on & c
+    return df.join(F.broadcast(wanted), on).select(*df.columns, out)

@@ -12,25 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..plans.ranking import numbered_within
 
 _CSV_OPTS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
-def read_dataset_csv(spark: SparkSession, path: str) -> DataFrame:
+def _in_file_order(df: DataFrame, out: str) -> DataFrame:
+    """``out`` = 0-based position of each row in the files, taken in order of
+    their paths: rows are range-partitioned on (path, start of the split) and
+    numbered along.  Within a split, ``monotonically_increasing_id`` follows
+    the reader."""
+    at = ["_path", "_start", "_seq"]
+    x = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    x = x.withColumn("_seq", F.monotonically_increasing_id())
+    return numbered_within(x, [], at, out).withColumn(out, F.col(out) - 1).drop(*at)
+
+
+def read_dataset_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """A1: the dataset CSV (input_text, target_text, task, domain).  Empty
-    fields stay NULL (B2 drops them).  ``ord`` keeps the file order."""
-    df = spark.read.schema(S.DATASET).options(**_CSV_OPTS).csv(path)
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    fields stay NULL (B2 drops them).  ``ord`` is the position in file order.
+
+    ``multi_line`` fields may hold line breaks, which means that a file is
+    read by one task; for large files without such fields switch it off, and
+    files are split."""
+    df = spark.read.schema(S.DATASET).options(**_CSV_OPTS | {"multiLine": str(multi_line).lower()}).csv(path)
+    return _in_file_order(df, "ord")
 
 
-def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_eval_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """A2: evaluation CSV, every column a string, empty -> '' (as a
-    dict reader gives).  ``pid`` keeps the file order."""
-    df = spark.read.schema(S.EVAL_CSV).options(**_CSV_OPTS).csv(path)
-    return df.select(
-        F.monotonically_increasing_id().alias("pid"),
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in S.EVAL_CSV.fieldNames()],
-    )
+    dict reader gives).  ``pid`` is the position in file order."""
+    df = spark.read.schema(S.EVAL_CSV).options(**_CSV_OPTS | {"multiLine": str(multi_line).lower()}).csv(path)
+    return _in_file_order(df, "pid").select("pid", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in S.EVAL_CSV.fieldNames()])
 
 
 def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -52,14 +65,18 @@ def run_stamp() -> Column:
     return F.date_format(F.current_timestamp(), "yyyyMMdd-HHmmss")
 
 
-def write_report(scored: DataFrame, levels: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The ROUGE report.
+def write_report(scored: DataFrame, levels: DataFrame, path: str, stamp: str | None = None) -> str:
+    """The ROUGE report, in a folder of its own named by the time of the
+    run (or ``stamp``), so that no report replaces an earlier one.  Returns
+    the folder.
 
-    ``path/aggregate`` — ONE JSON object ``{level: {rouge1_f_mean, ...,
-    count}}`` built from the 3 per-level rows (bounded size).
-    ``path/per_level`` — the scored rows as JSON lines partitioned by level
-    (the per-row part is written by the tasks, not nested into one object,
-    so it scales with the data).  Non-ASCII text is written as is."""
+    ``aggregate`` — ONE JSON object ``{level: {rouge1_f_mean, ..., count}}``
+    built from the 3 per-level rows (bounded size).  ``per_level`` — the
+    scored rows as JSON lines partitioned by level (written by the tasks, not
+    nested into one object, so it scales with the data).  Non-ASCII text is
+    written as is."""
+    stamp = stamp or scored.sparkSession.range(1).select(run_stamp().alias("s")).first()["s"]
+    folder = f"{path}/rouge_results_{stamp}"
     agg = levels.agg(
         F.map_from_entries(
             F.collect_list(
@@ -70,26 +87,19 @@ def write_report(scored: DataFrame, levels: DataFrame, path: str, mode: str = "o
             )
         ).alias("aggregate")
     )
-    agg.coalesce(1).write.mode(mode).json(f"{path}/aggregate")
+    agg.coalesce(1).write.mode("errorifexists").json(f"{folder}/aggregate")
     scored.select(
         "level", "original", "reference", "generated", "rouge1_f", "rouge2_f", "rougeL_f"
-    ).write.mode(mode).partitionBy("level").json(f"{path}/per_level")
+    ).write.mode("errorifexists").partitionBy("level").json(f"{folder}/per_level")
+    return folder
 
 
 def write_preset_texts(results: DataFrame, key: str, text_col: str, out_col: str, path: str, mode: str = "overwrite") -> None:
-    """One text output per length preset, with its input beside it:
-    ``path/preset=<p>/kind=summary`` and ``.../kind=input``."""
-    long_form = results.select(
-        key,
-        "preset",
-        F.explode(
-            F.array(
-                F.struct(F.lit("summary").alias("kind"), F.col(out_col).alias("value")),
-                F.struct(F.lit("input").alias("kind"), F.col(text_col).alias("value")),
-            )
-        ).alias("x"),
-    ).select("preset", "x.kind", "x.value")
-    long_form.write.mode(mode).partitionBy("preset", "kind").text(path)
+    """The texts of each length preset as JSON lines under
+    ``path/preset=<p>``: key, input and summary side by side.  A text is one
+    value, so its line breaks do not break rows."""
+    out = results.select(F.col(key), "preset", F.col(text_col).alias("input"), F.col(out_col).alias("summary"))
+    out.write.mode(mode).partitionBy("preset").json(path)
 
 
 def with_defaults(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -113,7 +123,14 @@ def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
 
 
 def append_rows(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Append rows to a table, applying column defaults."""
+    """Append rows to a table, applying column defaults.  Rows without an
+    ``id`` get the next ones after the table's largest, as an auto-increment
+    column gives them."""
+    spark = df.sparkSession
+    if "id" in schema.fieldNames() and "id" not in df.columns:
+        last = read_app_table(spark, path, schema).agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+        rows = df.withColumn("_seq", F.monotonically_increasing_id())
+        df = numbered_within(rows, [], ["_seq"], "id").withColumn("id", F.col("id") + last).drop("_seq")
     with_defaults(df, schema).write.mode("append").parquet(path)
 
 

@@ -38,9 +38,10 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    return c.filter(F.col("c_acctbal") >= 0).select(
+    return c.select(
         k.alias("user_id"),
         F.when(_mod(k, 5) == 0, "None")
+        .when(_mod(k, 11) == 0, F.concat(k.cast("string"), F.lit("99999999999")))
         .when(_mod(k, 7) == 0, F.lit(None).cast("string"))
         .otherwise((F.lit(15) + _mod(k, 60)).cast("string"))
         .alias("age_group"),
@@ -158,11 +159,12 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         (k + 1000000).alias("ord"),
         F.when(_mod(k, 5) == 0, F.col("c_name"))
-        .otherwise(F.concat(F.lit("new"), _mod(k, 400).cast("string")))
+        # three neighbours want one name, two want one e-mail: chains of clashes
+        .otherwise(F.concat(F.lit("new"), F.floor(k / F.lit(3)).cast("string")))
         .alias("username"),
         F.when(_mod(k, 7) == 0, F.concat(F.lit("u"), k.cast("string"), F.lit("@example.com")))
         .when(_mod(k, 13) == 0, F.concat(F.lit("bad"), k.cast("string")))
-        .otherwise(F.concat(F.lit("n"), k.cast("string"), F.lit("@example.org")))
+        .otherwise(F.concat(F.lit("n"), F.floor(k / F.lit(2)).cast("string"), F.lit("@example.org")))
         .alias("email"),
         F.lit("admin").alias("role"),
         F.when(_mod(k, 9) == 0, F.lit(None).cast("string")).otherwise(F.lit("Hindi")).alias("language_preference"),
@@ -174,7 +176,8 @@ def profile_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid = F.col("event_id")
     return e.filter(F.col("event_type") == "click").select(
         eid.alias("seq"),
-        F.col("user_id"),
+        # some changes are for users without a profile yet
+        F.when(_mod(eid, 10) == 3, F.col("user_id") + 1000000).otherwise(F.col("user_id")).alias("user_id"),
         F.when(_mod(eid, 6) == 0, F.lit(None).cast("string"))
         .otherwise((F.lit(20) + _mod(eid, 40)).cast("string"))
         .alias("age_group"),
@@ -235,10 +238,11 @@ SELECT c_custkey AS id, c_name AS username,
 FROM customer""",
     "profiles": """
 SELECT c_custkey AS user_id,
-       CASE WHEN c_custkey % 5 = 0 THEN 'None' WHEN c_custkey % 7 = 0 THEN NULL
+       CASE WHEN c_custkey % 5 = 0 THEN 'None' WHEN c_custkey % 11 = 0 THEN concat(CAST(c_custkey AS VARCHAR), '99999999999')
+            WHEN c_custkey % 7 = 0 THEN NULL
             ELSE CAST(15 + c_custkey % 60 AS VARCHAR) END AS age_group,
        CASE WHEN c_custkey % 3 = 0 THEN 'Hindi' ELSE 'English' END AS language_preference
-FROM customer WHERE c_acctbal >= 0""",
+FROM customer""",
     "login_history": """
 SELECT event_id AS id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS user_id,
        ts AS login_time
@@ -282,15 +286,15 @@ SELECT conv_id * 1000 + turn AS rid,
 FROM conversations""",
     "registrations": """
 SELECT c_custkey + 1000000 AS ord,
-       CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE concat('new', CAST(c_custkey % 400 AS VARCHAR)) END AS username,
+       CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE concat('new', CAST(c_custkey // 3 AS VARCHAR)) END AS username,
        CASE WHEN c_custkey % 7 = 0 THEN concat('u', CAST(c_custkey AS VARCHAR), '@example.com')
             WHEN c_custkey % 13 = 0 THEN concat('bad', CAST(c_custkey AS VARCHAR))
-            ELSE concat('n', CAST(c_custkey AS VARCHAR), '@example.org') END AS email,
+            ELSE concat('n', CAST(c_custkey // 2 AS VARCHAR), '@example.org') END AS email,
        'admin' AS role,
        CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'Hindi' END AS language_preference
 FROM customer""",
     "profile_changes": """
-SELECT event_id AS seq, user_id AS user_id,
+SELECT event_id AS seq, CASE WHEN event_id % 10 = 3 THEN user_id + 1000000 ELSE user_id END AS user_id,
        CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(20 + event_id % 40 AS VARCHAR) END AS age_group,
        CASE WHEN event_id % 2 = 0 THEN 'Hindi' ELSE 'English' END AS language_preference
 FROM events WHERE event_type = 'click'""",

@@ -51,8 +51,6 @@ def test_register_conflict_chain(spark):
     batch = [(1, "a", "a@x.org", "u", "Hindi"), (2, "b", "a@x.org", "u", "Hindi"), (3, "b", "c@x.org", "u", "Hindi"), (4, "c", "c@x.org", "u", "Hindi")]
     got = CH.register_batch(spark.createDataFrame(batch, REG_SCHEMA), spark.createDataFrame([], USERS_SCHEMA))
     assert sorted(r["ord"] for r in got.collect()) == [1, 3]
-    prof = CH.new_profiles(got).collect()
-    assert all(p["age_group"] is None and p["language_preference"] == "Hindi" for p in prof)
 
 
 def test_upsert_applies_null_and_inserts(spark):
@@ -138,3 +136,28 @@ def test_delete_and_dedup_are_idempotent(spark, seed):
     d2 = CH.dedup_append(d1, batch, k, ["created_at", "id"])
     assert sorted(map(tuple, d1.collect())) == sorted(map(tuple, d2.collect()))
     assert d1.count() == t.select(*k).distinct().count()
+
+
+def test_last_valid_role_change_wins(spark):
+    users = spark.createDataFrame([(1, "a", "a@x", "English", "user"), (2, "b", "b@x", "English", "admin")], USERS_SCHEMA)
+    ch = spark.createDataFrame([(1, 5, "admin"), (1, 7, "owner"), (1, 6, "user"), (1, 4, "admin"), (2, 1, "owner")], "id long, seq long, role string")
+    assert sorted((r["id"], r["role"]) for r in CH.set_role(users, ch).collect()) == [(1, "user"), (2, "admin")]
+
+
+def test_registered_tables(spark):
+    users = spark.createDataFrame([(41, "ann", "ann@x.org", "English", "user")], USERS_SCHEMA)
+    prof = spark.createDataFrame([(41, "30", "English")], "user_id long, age_group string, language_preference string")
+    batch = spark.createDataFrame([(9, "dee", "d@x.org", "u", None), (3, "bob", "b@x.org", "u", "Hindi"), (5, "bob", "c@x.org", "u", None)], REG_SCHEMA)
+    u, p = CH.registered_tables(batch, users, prof)
+    assert sorted((r["id"], r["username"], r["role"]) for r in u.collect()) == [(41, "ann", "user"), (42, "bob", "user"), (43, "dee", "user")]
+    assert sorted(((r["user_id"], r["age_group"], r["language_preference"]) for r in p.collect())) == [(41, "30", "English"), (42, None, "Hindi"), (43, None, "English")]
+
+
+def test_append_keeps_one_of_equal_copies(spark):
+    from datetime import datetime
+
+    s = "id long, user_id long, content_text string, created_at timestamp_ntz"
+    a = spark.createDataFrame([(1, 7, "x", datetime(2024, 1, 1)), (1, 7, "x", datetime(2024, 1, 1)), (2, None, None, None)], s)
+    b = spark.createDataFrame([(3, None, None, datetime(2024, 1, 5))], s)
+    out = sorted(r["id"] for r in CH.dedup_append(a, b, ["user_id", "content_text"], ["created_at", "id"]).collect())
+    assert out == [1, 2]

@@ -51,21 +51,27 @@ def test_report_sink(spark):
     )
     scored = EV.eval_rows(rows, "pid")
     levels = EV.level_summary(scored)
-    IO.write_report(scored, levels, d)
-    agg_files = [f for f in os.listdir(os.path.join(d, "aggregate")) if f.endswith(".json")]
-    obj = json.loads(open(os.path.join(d, "aggregate", agg_files[0]), encoding="utf-8").read())
+    folder = IO.write_report(scored, levels, d)
+    assert os.path.basename(folder).startswith("rouge_results_2")
+    agg_files = [f for f in os.listdir(os.path.join(folder, "aggregate")) if f.endswith(".json")]
+    obj = json.loads(open(os.path.join(folder, "aggregate", agg_files[0]), encoding="utf-8").read())
     assert set(obj["aggregate"]) == set(S.LEVELS) and obj["aggregate"]["conservative"]["count"] == 1
-    per = spark.read.json(os.path.join(d, "per_level"))
+    per = spark.read.json(os.path.join(folder, "per_level"))
     assert per.count() == 3
     assert per.filter(F.col("level") == "creative").first()["generated"] == "ünïcode cat"
+    # a second report stands beside the first
+    IO.write_report(scored, levels, d, stamp="20990101-000000")
+    assert len([f for f in os.listdir(d) if f.startswith("rouge_results_")]) == 2
+    assert spark.read.json(os.path.join(folder, "per_level")).count() == 3
 
 
 def test_preset_text_sink(spark):
     d = _tmp()
-    res = spark.createDataFrame([(1, "short", "in text", "sum"), (1, "long", "in text", "sum2")], "doc_id long, preset string, text string, summary string")
+    res = spark.createDataFrame([(1, "short", "in\ntext", "sum"), (1, "long", "in\ntext", "sum2"), (2, "short", "é", "x\ny")], "doc_id long, preset string, text string, summary string")
     IO.write_preset_texts(res, "doc_id", "text", "summary", d)
     assert sorted(x for x in os.listdir(d) if x.startswith("preset=")) == ["preset=long", "preset=short"]
-    assert sorted(x for x in os.listdir(os.path.join(d, "preset=short")) if x.startswith("kind=")) == ["kind=input", "kind=summary"]
+    back = spark.read.json(d).orderBy("preset", "doc_id").select("preset", "doc_id", "input", "summary").collect()
+    assert [tuple(r) for r in back] == [("long", 1, "in\ntext", "sum2"), ("short", 1, "in\ntext", "sum"), ("short", 2, "é", "x\ny")]
 
 
 def test_ensure_and_append(spark):
@@ -83,3 +89,37 @@ def test_ensure_and_append(spark):
 def test_run_stamp(spark):
     v = spark.range(1).select(IO.run_stamp().alias("s")).first()["s"]
     assert len(v) == 15 and v[8] == "-"
+
+
+def test_order_follows_files_not_scan_packing(spark):
+    d = _tmp()
+    for name, n in (("part-0.csv", 3), ("part-1.csv", 4000)):
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write("input_text,target_text,task,domain\n" + "".join(f"in {i},{name} {i},t,d\n" for i in range(n)))
+    for multi in (True, False):
+        rows = [r["target_text"] for r in IO.read_dataset_csv(spark, d, multi).orderBy("ord").collect()]
+        assert rows == [f"part-0.csv {i}" for i in range(3)] + [f"part-1.csv {i}" for i in range(4000)]
+    inputs = spark.createDataFrame([(1, " in 2 ")], "id long, input_text string")
+    m = EV.first_match(inputs, "id", "input_text", IO.read_dataset_csv(spark, d)).first()
+    assert (m["dataset_ord"], m["reference"]) == (2, "part-0.csv 2")
+
+
+def test_filled_rows_go_into_the_wide_csv(spark):
+    from proselab.operators import generate as G
+
+    rows = spark.createDataFrame([(1, "Some text.", "ref")], "pid long, original string, reference string")
+    out = os.path.join(_tmp(), "filled")
+    IO.write_eval_csv(G.fill_levels(rows, "pid", "original"), out)
+    back = IO.read_eval_csv(spark, out).first()
+    assert (back["pid"], back["original"], back["reference"], back["generated_creative"]) == (0, "Some text.", "ref", "Some text.")
+
+
+def test_append_numbers_rows_without_id(spark):
+    d = os.path.join(_tmp(), "user_feedback")
+    IO.ensure_table(spark, d, S.USER_FEEDBACK)
+    new = spark.createDataFrame([(5, "like"), (6, "dislike"), (7, "like")], "user_id long, feedback_type string")
+    IO.append_rows(new, d, S.USER_FEEDBACK)
+    IO.append_rows(new, d, S.USER_FEEDBACK)
+    t = IO.read_app_table(spark, d, S.USER_FEEDBACK)
+    assert sorted(r["id"] for r in t.collect()) == [1, 2, 3, 4, 5, 6]
+    assert [r["user_id"] for r in t.orderBy("id").collect()] == [5, 6, 7] * 2
