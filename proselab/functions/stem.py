@@ -37,190 +37,112 @@ IRREGULAR = {
     "succeed": "succeed",
 }
 
-_VOWELS = frozenset("aeiou")
+# FIXED VALUES: the suffix tables of the paper's steps 2, 3 and 4 (with the
+# variants named above); of the suffixes that a word ends with, the longest counts.
+STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al",
+    "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al",
+    "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+    "fulli": "ful", "logi": "log",
+}
+STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP_4 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti",
+    "ous", "ive", "ize",
+)
 
 
-def _cons(w: str, i: int) -> bool:
-    ch = w[i]
-    if ch in _VOWELS:
-        return False
-    if ch == "y":
-        return i == 0 or not _cons(w, i - 1)
-    return True
+def shape(word: str) -> str:
+    """One letter per letter: v for a vowel, c for a consonant; y is a vowel
+    after a consonant."""
+    out = ""
+    for ch in word:
+        vowel = ch in "aeiou" or (ch == "y" and out.endswith("c"))
+        out += "v" if vowel else "c"
+    return out
 
 
-def _m(stem: str) -> int:
-    """Porter's measure: number of vowel->consonant transitions."""
-    m, prev_vowel = 0, False
-    for i in range(len(stem)):
-        c = _cons(stem, i)
-        if c and prev_vowel:
-            m += 1
-        prev_vowel = not c
-    return m
+def measure(stem: str) -> int:
+    """The paper's m: how often a consonant follows a vowel."""
+    return shape(stem).count("vc")
 
 
-def _has_vowel(stem: str) -> bool:
-    return any(not _cons(stem, i) for i in range(len(stem)))
+def short_ending(word: str) -> bool:
+    """Consonant, vowel, consonant other than w, x, y at the end; of a
+    two-letter word, vowel and consonant."""
+    s = shape(word)
+    return s == "vc" or (s.endswith("cvc") and word[-1] not in "wxy")
 
 
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _cons(w, len(w) - 1)
+def longest(word: str, suffixes) -> str | None:
+    """The longest of ``suffixes`` that ``word`` ends with."""
+    return next((word[i:] for i in range(len(word)) if word[i:] in suffixes), None)
 
 
-def _cvc(w: str) -> bool:
-    if len(w) >= 3 and _cons(w, len(w) - 3) and not _cons(w, len(w) - 2) and _cons(w, len(w) - 1):
-        return w[-1] not in "wxy"
-    return len(w) == 2 and not _cons(w, 0) and _cons(w, 1)
+def plurals(w: str) -> str:  # step 1a
+    if w.endswith("sses"):
+        return w[:-2]
+    if w.endswith("ies"):
+        return w[:-1] if len(w) == 4 else w[:-2]
+    return w[:-1] if w.endswith("s") and not w.endswith("ss") else w
 
 
-def _rules(word: str, rules) -> str:
-    """First rule whose suffix matches decides: apply it if its condition
-    holds, otherwise leave the word unchanged."""
-    for suffix, repl, cond in rules:
-        if suffix == "*d":
-            if _double_cons(word):
-                stem = word[:-2]
-                if cond is None or cond(stem):
-                    return stem + repl
-                return word
-            continue
-        if word.endswith(suffix):
-            stem = word[: len(word) - len(suffix)]
-            if cond is None or cond(stem):
-                return stem + repl
-            return word
-    return word
+def past_and_progressive(w: str) -> str:  # step 1b
+    if w.endswith("ied"):
+        return w[:-1] if len(w) == 4 else w[:-2]
+    if w.endswith("eed"):
+        return w[:-1] if measure(w[:-3]) > 0 else w
+    cut = 2 if w.endswith("ed") else 3 if w.endswith("ing") else 0
+    base = w[: len(w) - cut]
+    if not cut or "v" not in shape(base):
+        return w
+    if base.endswith(("at", "bl", "iz")):
+        return base + "e"
+    if len(base) > 1 and base[-1] == base[-2] and shape(base)[-1] == "c":
+        return base if base[-1] in "lsz" else base[:-1]
+    return base + "e" if measure(base) == 1 and short_ending(base) else base
 
 
-def _pos(stem: str) -> bool:
-    return _m(stem) > 0
+def final_y(w: str) -> str:  # step 1c
+    return w[:-1] + "i" if w.endswith("y") and len(w) > 2 and shape(w[:-1])[-1] == "c" else w
 
 
-def _gt1(stem: str) -> bool:
-    return _m(stem) > 1
+def double_suffixes(w: str) -> str:  # step 2
+    if w.endswith("alli") and measure(w[:-4]) > 0:
+        return double_suffixes(w[:-2])
+    end = longest(w, STEP_2)
+    if end is None:
+        return w
+    stem = w[: len(w) - len(end)]
+    return stem + STEP_2[end] if measure(stem + "l" if end == "logi" else stem) > 0 else w
 
 
-def _step1a(w: str) -> str:
-    if w.endswith("ies") and len(w) == 4:
-        return w[:-3] + "ie"
-    return _rules(w, [("sses", "ss", None), ("ies", "i", None), ("ss", "ss", None), ("s", "", None)])
+def adjective_suffixes(w: str) -> str:  # step 3
+    end = longest(w, STEP_3)
+    if end is None:
+        return w
+    stem = w[: len(w) - len(end)]
+    return stem + STEP_3[end] if measure(stem) > 0 else w
 
 
-def _step1b(w: str) -> str:
-    if w.endswith("ied"):
-        return w[:-3] + ("ie" if len(w) == 4 else "i")
-    if w.endswith("eed"):
-        stem = w[:-3]
-        return stem + "ee" if _m(stem) > 0 else w
-    for suffix in ("ed", "ing"):
-        if w.endswith(suffix):
-            base = w[: len(w) - len(suffix)]
-            if _has_vowel(base):
-                break
-    else:
+def single_suffixes(w: str) -> str:  # step 4
+    end = longest(w, STEP_4)
+    if end is None:
         return w
-    return _rules(
-        base,
-        [
-            ("at", "ate", None),
-            ("bl", "ble", None),
-            ("iz", "ize", None),
-            ("*d", base[-1:], lambda s: base[-1:] not in ("l", "s", "z")),
-            ("", "e", lambda s: _m(s) == 1 and _cvc(s)),
-        ],
-    )
-
-
-def _step1c(w: str) -> str:
-    return _rules(w, [("y", "i", lambda s: len(s) > 1 and _cons(s, len(s) - 1))])
-
-
-def _step2(w: str) -> str:
-    if w.endswith("alli") and _pos(w[:-4]):
-        return _step2(w[:-4] + "al")
-    return _rules(
-        w,
-        [
-            ("ational", "ate", _pos),
-            ("tional", "tion", _pos),
-            ("enci", "ence", _pos),
-            ("anci", "ance", _pos),
-            ("izer", "ize", _pos),
-            ("bli", "ble", _pos),
-            ("alli", "al", _pos),
-            ("entli", "ent", _pos),
-            ("eli", "e", _pos),
-            ("ousli", "ous", _pos),
-            ("ization", "ize", _pos),
-            ("ation", "ate", _pos),
-            ("ator", "ate", _pos),
-            ("alism", "al", _pos),
-            ("iveness", "ive", _pos),
-            ("fulness", "ful", _pos),
-            ("ousness", "ous", _pos),
-            ("aliti", "al", _pos),
-            ("iviti", "ive", _pos),
-            ("biliti", "ble", _pos),
-            ("fulli", "ful", _pos),
-            ("logi", "log", lambda s: _pos(w[:-3])),
-        ],
-    )
-
-
-def _step3(w: str) -> str:
-    return _rules(
-        w,
-        [
-            ("icate", "ic", _pos),
-            ("ative", "", _pos),
-            ("alize", "al", _pos),
-            ("iciti", "ic", _pos),
-            ("ical", "ic", _pos),
-            ("ful", "", _pos),
-            ("ness", "", _pos),
-        ],
-    )
-
-
-def _step4(w: str) -> str:
-    return _rules(
-        w,
-        [
-            ("al", "", _gt1),
-            ("ance", "", _gt1),
-            ("ence", "", _gt1),
-            ("er", "", _gt1),
-            ("ic", "", _gt1),
-            ("able", "", _gt1),
-            ("ible", "", _gt1),
-            ("ant", "", _gt1),
-            ("ement", "", _gt1),
-            ("ment", "", _gt1),
-            ("ent", "", _gt1),
-            ("ion", "", lambda s: _m(s) > 1 and s[-1:] in ("s", "t")),
-            ("ou", "", _gt1),
-            ("ism", "", _gt1),
-            ("ate", "", _gt1),
-            ("iti", "", _gt1),
-            ("ous", "", _gt1),
-            ("ive", "", _gt1),
-            ("ize", "", _gt1),
-        ],
-    )
-
-
-def _step5a(w: str) -> str:
+    stem = w[: len(w) - len(end)]
+    allowed = measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t")))
+    return stem if allowed else w
+
+
+def final_e_and_l(w: str) -> str:  # steps 5a and 5b
     if w.endswith("e"):
-        stem = w[:-1]
-        m = _m(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            return stem
-    return w
+        m = measure(w[:-1])
+        if m > 1 or (m == 1 and not short_ending(w[:-1])):
+            w = w[:-1]
+    return w[:-1] if w.endswith("ll") and measure(w[:-1]) > 1 else w
 
 
-def _step5b(w: str) -> str:
-    return _rules(w, [("ll", "l", lambda s: _m(w[:-1]) > 1)])
+STEPS = (plurals, past_and_progressive, final_y, double_suffixes, adjective_suffixes, single_suffixes, final_e_and_l)
 
 
 @lru_cache(maxsize=1 << 18)
@@ -231,7 +153,7 @@ def porter_stem(word: str) -> str:
         return IRREGULAR[w]
     if len(w) <= 2:
         return w
-    for step in (_step1a, _step1b, _step1c, _step2, _step3, _step4, _step5a, _step5b):
+    for step in STEPS:
         w = step(w)
     return w
 

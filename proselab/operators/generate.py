@@ -202,6 +202,14 @@ def _extractive_udf(text: pd.Series, max_len: pd.Series, min_len: pd.Series) ->
     )
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _extractive_candidates_udf(text: pd.Series, max_len: pd.Series, min_len: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series(
+        [extract_summaries(t, [(int(mx) * i, int(mn)) for i in range(1, int(k) + 1)]) for t, mx, mn, k in zip(text, max_len, min_len, n)],
+        dtype=object,
+    )
+
+
 _PRESET_LENGTHS = [(m, n) for _p, m, n, _a, _b in S.SUMMARY_PRESETS]
 
 
@@ -498,7 +506,9 @@ def paraphrase_response(requests: DataFrame, key: str = "rid", generator: Genera
     p = p.withColumn("_mx", F.col("gp.max_new_tokens")).withColumn("_mn", F.lit(0))
     keep = (key, "text", "model_name", "level", "gp")
     if generator is None:
-        g = extractive(p, list(keep), "text", "_mx", "_mn", "_g").withColumn("_cands", F.array("_g"))
+        # the stand-in's i-th candidate may be i times as long
+        cands = _extractive_candidates_udf(F.col("text"), F.col("_mx"), F.col("_mn"), F.col("gp.num_return_sequences"))
+        g = p.select(*keep, cands.alias("_cands"))
     else:
         g = run_generator(p, key, "text", generator, ["gp"], "_g", keep).withColumn("_cands", F.col("candidates"))
     return g.select(

@@ -187,26 +187,41 @@ _PRESET_CASE = lambda field, idx: (
 )
 
 
+def _nth_candidates(k: int) -> str:
+    """CTEs ``pk{k}_out``: the stand-in's k-th candidate of every request."""
+    return f"""vk{k} AS (SELECT rid, text, max_new_tokens * {k} AS mx, 0 AS mn FROM v),
+{Q.extractive_ctes(f"vk{k}", "rid", "text", "mx", "mn", f"pk{k}")}"""
+
+
 @register(
     "paraphrase_response",
     with_views(
         ["requests"],
-        f""", v AS (SELECT rid, text, level, model_name, {S.REQUEST_DEFAULT_MAX_NEW_TOKENS} AS mx, 0 AS mn FROM requests
+        f""", v AS (SELECT rid, text, level, model_name, coalesce(num_return_sequences, 1) AS n,
+                   coalesce(max_new_tokens, {S.REQUEST_DEFAULT_MAX_NEW_TOKENS}) AS max_new_tokens FROM requests
            WHERE length(text) >= 3 AND {Q.strip('text')} <> ''),
-{Q.extractive_ctes("v", "rid", "text", "mx", "mn", "pe")}
-SELECT v.rid, {_clean_first("o.generated", "v.text")} AS paraphrase, CAST(1 AS INTEGER) AS n_paraphrases,
-       v.model_name, v.level, {_PRESET_CASE("temperature", 1)}, {_PRESET_CASE("top_p", 2)},
-       {_PRESET_CASE("repetition_penalty", 3)}, CAST({S.REQUEST_DEFAULT_MAX_NEW_TOKENS} AS INTEGER) AS max_new_tokens
-FROM v JOIN pe_out o ON o.rid = v.rid""",
+{_nth_candidates(1)},
+{_nth_candidates(2)},
+{_nth_candidates(3)},
+asked AS (SELECT rid, generated, 1 AS k FROM pk1_out UNION ALL SELECT rid, generated, 2 FROM pk2_out UNION ALL SELECT rid, generated, 3 FROM pk3_out),
+cleaned AS (SELECT v.rid, {Q.strip('a.generated')} AS g, min(a.k) AS k FROM v JOIN asked a ON a.rid = v.rid AND a.k <= v.n
+            WHERE lower({Q.strip('a.generated')}) <> lower(v.text) GROUP BY v.rid, g),
+kept AS (SELECT rid, list(g ORDER BY k) AS gs FROM cleaned GROUP BY rid)
+SELECT v.rid, coalesce(array_to_string(kept.gs, '\n'), v.text) AS paraphrases, CAST(coalesce(len(kept.gs), 1) AS INTEGER) AS n_paraphrases,
+       v.n AS num_return_sequences, v.model_name, v.level, {_PRESET_CASE("temperature", 1)}, {_PRESET_CASE("top_p", 2)},
+       {_PRESET_CASE("repetition_penalty", 3)}, v.max_new_tokens
+FROM v LEFT JOIN kept ON kept.rid = v.rid""",
     ),
 )
 def q_paraphrase_response(spark, d):
-    """K8: request rows -> response rows (stand-in generator)."""
+    """K8: request rows -> response rows with as many candidates as asked for
+    (stand-in generator)."""
     r = G.paraphrase_response(V.requests(spark, d), "rid")
     return r.select(
         "rid",
-        F.element_at("paraphrases", 1).alias("paraphrase"),
+        F.array_join("paraphrases", "\n").alias("paraphrases"),
         F.size("paraphrases").alias("n_paraphrases"),
+        F.col("generation_params.num_return_sequences").alias("num_return_sequences"),
         "model_name",
         "level",
         F.col("generation_params.temperature").alias("temperature"),

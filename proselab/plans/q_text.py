@@ -260,7 +260,7 @@ _PRESETS_SQL = "(VALUES " + ", ".join(f"('{n}', CAST({t} AS DOUBLE), CAST({p} AS
         f"""
 SELECT r.rid, r.level, coalesce(lp.temperature, b.temperature) AS temperature,
        coalesce(lp.top_p, b.top_p) AS top_p, coalesce(lp.repetition_penalty, b.repetition_penalty) AS repetition_penalty,
-       true AS do_sample, CAST(1 AS INTEGER) AS num_return_sequences, CAST(50 AS INTEGER) AS max_new_tokens,
+       true AS do_sample, coalesce(r.num_return_sequences, 1) AS num_return_sequences, coalesce(r.max_new_tokens, 50) AS max_new_tokens,
        CAST(1 AS INTEGER) AS num_beams, true AS clean_up_tokenization_spaces
 FROM requests r LEFT JOIN {_PRESETS_SQL} ON lp.level = r.level
 JOIN (SELECT * FROM {_PRESETS_SQL.replace(' lp(', ' b(')}) b ON b.level = 'balanced'""",
@@ -268,7 +268,7 @@ JOIN (SELECT * FROM {_PRESETS_SQL.replace(' lp(', ' b(')}) b ON b.level = 'balan
 )
 def q_gen_params(spark, d):
     r = V.requests(spark, d)
-    p = G.generation_params(r, n_col=None, max_tokens_col=None)
+    p = G.generation_params(r)
     return p.select("rid", "level", "gp.*")
 
 

@@ -150,6 +150,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("other")
         .alias("level"),
         F.when(_mod(cid, 3) == 0, "t5").when(_mod(cid, 3) == 1, "BART").otherwise("custom/model").alias("model_name"),
+        F.when(_mod(cid, 3) > 0, _mod(cid, 3) + 1).cast("int").alias("num_return_sequences"),
+        F.when(_mod(cid, 5) > 0, _mod(cid, 5) * 4).cast("int").alias("max_new_tokens"),
     )
 
 
@@ -282,7 +284,9 @@ WHERE a.role = 'user'""",
 SELECT conv_id * 1000 + turn AS rid,
        CASE WHEN turn = 3 THEN '    ' WHEN turn = 4 THEN 'ab' ELSE text END AS text,
        CASE conv_id % 4 WHEN 0 THEN 'conservative' WHEN 1 THEN 'balanced' WHEN 2 THEN 'creative' ELSE 'other' END AS level,
-       CASE conv_id % 3 WHEN 0 THEN 't5' WHEN 1 THEN 'BART' ELSE 'custom/model' END AS model_name
+       CASE conv_id % 3 WHEN 0 THEN 't5' WHEN 1 THEN 'BART' ELSE 'custom/model' END AS model_name,
+       CASE WHEN conv_id % 3 > 0 THEN CAST(conv_id % 3 + 1 AS INTEGER) END AS num_return_sequences,
+       CASE WHEN conv_id % 5 > 0 THEN CAST(conv_id % 5 * 4 AS INTEGER) END AS max_new_tokens
 FROM conversations""",
     "registrations": """
 SELECT c_custkey + 1000000 AS ord,
