@@ -46,6 +46,8 @@ BLOCKS = 64
 CELLS = 1 << 20
 #: labelled documents per language that are learned from, at most
 PER_LANG = 300
+#: languages that one model may hold; more is an error
+MOST_LANGUAGES = 500
 EM_ROUNDS = 2
 #: added to every expected count
 PRIOR = 0.05
@@ -170,13 +172,12 @@ def expected(table: np.ndarray, size: np.ndarray, weight: np.ndarray, step: np.n
     return counts
 
 
-def _sample(train: DataFrame, per_lang: int) -> DataFrame:
+def _sample(train: DataFrame, counts: dict[str, int], per_lang: int) -> DataFrame:
     """At most ``per_lang`` documents of each language, by hash of the id; a
     hash threshold thins each language before any row is shuffled."""
-    counts = train.groupBy("lang").count()
-    rate = counts.select(F.col("lang").alias("l"), (F.lit(2.0 * per_lang) / F.col("count")).alias("rate"))
+    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 2.0 * per_lang / n)])
     h = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    thin = train.withColumn("h", h).join(F.broadcast(rate), F.col("lang") == F.col("l")).filter("h < rate")
+    thin = train.withColumn("h", h).filter(F.col("h") < F.element_at(rate, F.col("lang")))
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     return thin.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= per_lang).select("lang", "text")
 
@@ -191,14 +192,19 @@ def fit(
     spark = train.sparkSession
     ship_package(spark)
     clean = train.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    counts = {r["lang"]: r["count"] for r in clean.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    t = trie(vocab_folder)
+    n = len(t.is_piece)
+    if not counts:
+        return [], np.zeros((n, 0))
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     # words of the sample, counted
     words = map_texts(
-        _sample(clean, per_lang), lambda ts: {"words": [LETTERS.findall(t.lower()) for t in ts]}, "words array<string>", ("lang",)
+        _sample(clean, counts, per_lang), lambda ts: {"words": [LETTERS.findall(t.lower()) for t in ts]}, "words array<string>", ("lang",)
     )
     words = words.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count().persist()
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    t = trie(vocab_folder)
-    n = len(t.is_piece)
     probs = {lang: t.is_piece / t.is_piece.sum() for lang in langs}
 
     def e_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
