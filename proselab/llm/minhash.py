@@ -10,12 +10,13 @@ pairs; at a similarity of 0.8 all bands fail for one pair in 20 million.
 Texts with equal sets form one class, so copies meet no further cost.  Classes
 that share a band form a bucket.  No bucket emits all its pairs:
 
-1. every class is verified against the smallest class of one of its buckets,
-   and components are formed from the links found;
+1. every class is verified against the head of one of its buckets, the class
+   there that shares most buckets, and components are formed from the links;
 2. in buckets that still hold several components, the classes outside the
-   bucket's largest component are paired with the classes of other components,
-   if one-bit sketches (a bound far from the threshold) allow it; these
-   pairs are verified as well.
+   bucket's largest component are compared with the classes of other
+   components by their sizes and one-bit sketches, a short one and then a long
+   one, both with bounds far from the threshold; the few pairs that pass are
+   verified as well.
 
 Two classes in one bucket and different components are always paired in step
 2, so no link between components is lost.  Links are confirmed on the full
@@ -43,9 +44,11 @@ from .graph import components
 CIRCLE = 1 << 20
 COORDINATES = 256
 BANDS, ROWS = 32, 4
-#: differing sketch bits (of COORDINATES) that a pair at the threshold may show:
-#: the mean plus seven standard deviations
-SLACK = 7.0
+#: coordinates of the long sketch, made for classes of unsettled buckets only
+FINE = 4096
+#: differing sketch bits that a pair at the threshold may show: the mean plus
+#: so many standard deviations
+SLACK, FINE_SLACK = 7.0, 5.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,12 +59,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
-def circle() -> np.ndarray:
+@functools.lru_cache(maxsize=2)
+def circle(coordinates: int = COORDINATES) -> np.ndarray:
     """Second permutation as windows: row p holds the ranks of the places
-    p .. p + COORDINATES - 1 on the circle."""
+    p .. p + coordinates - 1 on the circle."""
     ranks = np.random.default_rng(41).permutation(CIRCLE).astype(np.uint32)
-    return np.lib.stride_tricks.sliding_window_view(np.r_[ranks, ranks[: COORDINATES - 1]], COORDINATES)
+    return np.lib.stride_tricks.sliding_window_view(np.r_[ranks, ranks[: coordinates - 1]], coordinates)
 
 
 def place(shingles: np.ndarray) -> np.ndarray:
@@ -107,15 +110,21 @@ def hashed_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """All coordinates of a non-empty set."""
-    windows, at = circle(), place(hashes)
-    best = windows[at[:2048]].min(axis=0)
-    for a in range(2048, len(at), 2048):
-        best = np.minimum(best, windows[at[a : a + 2048]].min(axis=0))
+    windows, at = circle(coordinates), place(hashes)
+    step = max(1, (1 << 19) // coordinates)
+    best = windows[at[:step]].min(axis=0)
+    for a in range(step, len(at), step):
+        np.minimum(best, windows[at[a : a + step]].min(axis=0), out=best)
     return best
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The lowest bit of every coordinate, 64 to a number."""
+    return np.packbits((sig & 1).astype(bool)).view(np.int64)
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key per band; band b takes the coordinates b, b + BANDS ..."""
     key = np.arange(BANDS, dtype=np.uint64)
@@ -134,7 +143,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
             out["digest"].append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
             sig = signature(h) if len(h) else None
             out["bands"].append([] if sig is None else band_keys(sig))
-            out["sketch"].append([] if sig is None else np.packbits(sig & 1).view(np.int64))
+            out["sketch"].append([] if sig is None else sketch(sig))
         return out
 
     return map_texts(docs, fn, "n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>")
@@ -175,16 +184,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     classes = saved(classes, "classes")
     keys = classes.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = saved(keys.join(shared, "key"), "buckets")
-    ids = members.select("id").distinct()
-    texts = saved(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), "texts")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = saved(docs.join(ids, "doc_id", "left_semi"), "texts")
 
-    # 1. each class against the smallest of its buckets
-    stars = members.filter("id <> pivot").groupBy("id").agg(F.min("pivot").alias("pivot"))
+    # 1. each class against the most central head of its buckets
+    score = members.groupBy("id").agg(F.sum("size").alias("score"))
+    heads = members.join(score, "id").groupBy("key").agg(F.max(F.struct("score", -F.col("id"), F.col("id").alias("head"))).alias("top"))
+    stars = members.join(heads, "key").filter("id <> top.head").groupBy("id").agg(F.max("top").alias("top"))
     info = classes.select("id", "n", "sketch")
-    a, b = info.toDF("a", "na", "sa"), info.toDF("b", "nb", "sb")
-    pairs = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).join(a, "a").join(b, "b").filter(_plausible(percent))
+    pairs = _with_info(stars.select(F.col("top.head").alias("a"), F.col("id").alias("b")), info).filter(_plausible(percent))
     links = saved(confirmed(pairs.select("a", "b"), texts, k, percent), "links")
     found = saved(components(links), "components")
 
@@ -193,11 +203,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
     open_ = sizes.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     placed = saved(placed.join(open_.select("key", F.col("top.c").alias("top")), "key"), "open")
-    rest = placed.filter("c <> top").join(info, "id").toDF("a", "key", "ca", "top", "na", "sa")
-    others = placed.join(info, "id").toDF("b", "key", "cb", "top_", "nb", "sb")
+    unsettled = texts.join(placed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    fine = map_texts(unsettled, lambda ts: {"fine": [sketch(signature(h, FINE)) for h in hashed_sets(ts, k)]}, "fine array<bigint>")
+    more_info = info.join(saved(fine, "sketches").withColumnRenamed("doc_id", "id"), "id")
+    rest = placed.filter("c <> top").join(more_info, "id").toDF("a", "key", "ca", "top", "na", "sa", "fa")
+    others = placed.join(more_info, "id").toDF("b", "key", "cb", "top_", "nb", "sb", "fb")
     # of two classes outside, the smaller id is paired with the larger
     once = (F.col("cb") == F.col("top_")) | (F.col("a") < F.col("b"))
-    more = rest.join(others, "key").filter((F.col("ca") != F.col("cb")) & once & _plausible(percent)).select("a", "b").distinct()
+    near = _plausible(percent) & _few_differ("fa", "fb", FINE, percent, FINE_SLACK)
+    more = rest.join(others, "key").filter((F.col("ca") != F.col("cb")) & once & near).select("a", "b").distinct()
     links = links.union(saved(confirmed(saved(more, "pairs"), texts, k, percent), "links"))
     found = saved(components(links), "components")
 
@@ -208,11 +222,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _with_info(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    return pairs.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
+
+
+def _few_differ(one: str, other: str, bits: int, percent: int, slack: float):
+    """Sketches as close as those of a pair at the threshold are."""
+    share = (1 - percent / 100) / 2
+    most = int(bits * share + slack * (bits * share * (1 - share)) ** 0.5)
+    return sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(other)[i])) for i in range(bits // 64)), F.lit(0)) <= most
+
+
 def _plausible(percent: int):
     """Size and sketch conditions that a pair at the threshold meets."""
-    p = percent / 100
-    share = (1 - p) / 2
-    most = int(COORDINATES * share + SLACK * (COORDINATES * share * (1 - share)) ** 0.5)
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    bits = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(COORDINATES // 64)), F.lit(0))
-    return near & (bits <= most)
+    return near & _few_differ("sa", "sb", COORDINATES, percent, SLACK)
