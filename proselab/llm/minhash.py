@@ -16,7 +16,7 @@ that share a band form a bucket.  No bucket emits all its pairs:
    bucket's largest component are compared with the classes of other
    components by their sizes and one-bit sketches, a short one and then a long
    one, both with bounds far from the threshold; the few pairs that pass are
-   verified as well.
+   verified as well.  A pair is met in its first common bucket only.
 
 Two classes in one bucket and different components are always paired in step
 2, so no link between components is lost.  Links are confirmed on the full
@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     classes = saved(classes, "classes")
-    keys = classes.select("id", F.explode("bands").alias("key"))
+    keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = saved(keys.join(shared, "key"), "buckets")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
@@ -199,19 +199,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     found = saved(components(links), "components")
 
     # 2. what is left outside the largest component of each bucket
-    placed = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    placed = members.select("band", "key", "id").join(found, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"))
     open_ = sizes.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     placed = saved(placed.join(open_.select("key", F.col("top.c").alias("top")), "key"), "open")
     unsettled = texts.join(placed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     fine = map_texts(unsettled, lambda ts: {"fine": [sketch(signature(h, FINE)) for h in hashed_sets(ts, k)]}, "fine array<bigint>")
-    more_info = info.join(saved(fine, "sketches").withColumnRenamed("doc_id", "id"), "id")
-    rest = placed.filter("c <> top").join(more_info, "id").toDF("a", "key", "ca", "top", "na", "sa", "fa")
-    others = placed.join(more_info, "id").toDF("b", "key", "cb", "top_", "nb", "sb", "fb")
-    # of two classes outside, the smaller id is paired with the larger
-    once = (F.col("cb") == F.col("top_")) | (F.col("a") < F.col("b"))
+    more_info = classes.select("id", "n", "sketch", "bands").join(saved(fine, "sketches").withColumnRenamed("doc_id", "id"), "id")
+    rest = placed.filter("c <> top").join(more_info, "id").select(
+        F.col("id").alias("a"), "key", "band", F.col("c").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"), F.col("fine").alias("fa")
+    )
+    others = placed.join(more_info, "id").select(
+        F.col("id").alias("b"), "key", F.col("c").alias("cb"), "top", F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), F.col("fine").alias("fb")
+    )
+    # a pair comes up in its first common bucket only; of two classes outside
+    # the largest component, the smaller id is paired with the larger
+    once = (F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))
+    for i in range(BANDS):
+        once = once & ((F.col("band") <= i) | (F.col("ba")[i] != F.col("bb")[i]))
     near = _plausible(percent) & _few_differ("fa", "fb", FINE, percent, FINE_SLACK)
-    more = rest.join(others, "key").filter((F.col("ca") != F.col("cb")) & once & near).select("a", "b").distinct()
+    more = rest.join(others, "key").filter((F.col("ca") != F.col("cb")) & once & near).select("a", "b")
     links = links.union(saved(confirmed(saved(more, "pairs"), texts, k, percent), "links"))
     found = saved(components(links), "components")
 
