@@ -49,7 +49,8 @@ WINDOW = LENGTH - GRAM + 1
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
 #: bytes of text in a group of documents
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
+KEPT_POWERS = 3 << 19
 #: groups whose anchors fit one bucket
 GROUPS_A_BUCKET = 8
 LEAST_GROUPS, LEAST_BUCKETS = 48, 24
@@ -59,9 +60,18 @@ _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-@functools.lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+    """Powers of the base and of its inverse modulo 2**64; one table serves
+    all groups but those around a very long text."""
+    return _table_of_powers(n) if n > KEPT_POWERS else _kept_powers()
+
+
+@functools.lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _table_of_powers(KEPT_POWERS)
+
+
+def _table_of_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for b in (_BASE, pow(_BASE, -1, 1 << 64)):
         p = np.full(n, np.uint64(b))
@@ -93,16 +103,22 @@ class Group:
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.end = np.cumsum(size)
         self.start = self.end - size
-        self.pos = self.hash = self.doc = np.zeros(0, np.int64)
+        self.pos = self.doc = np.zeros(0, np.int64)
+        self.hash = np.zeros(0, np.uint64)
         n = len(self.flat)
         if n < LENGTH:
             return
-        power, inverse = _powers(1 << int(n).bit_length())
+        power, inverse = _powers(n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_letters()[self.flat] * power[:n], out=sums[1:])
+        sums[1:] = _letters()[self.flat]
+        sums[1:] *= power[:n]
+        np.cumsum(sums, out=sums)
         self.sums, self.inverse = sums, inverse
-        h = (sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1]
-        h = ((h ^ (h >> np.uint64(29))) * _MIX) | np.uint64(1)
+        h = sums[GRAM:] - sums[:-GRAM]
+        h *= inverse[: n - GRAM + 1]
+        h ^= h >> np.uint64(29)
+        h *= _MIX
+        h |= np.uint64(1)
         least = _sliding(h, WINDOW, np.minimum)  # of the window that begins here
         # strings that would run over the end of their document do not count
         for a, z in zip(self.start.tolist(), self.end.tolist(), strict=True):
