@@ -52,7 +52,9 @@ WIDTH = LEFT + LENGTH
 GROUP_BYTES = 1 << 20
 KEPT_POWERS = 3 << 19
 #: groups whose anchors fit one bucket
-GROUPS_A_BUCKET = 8
+GROUPS_A_BUCKET = 4
+#: contexts sorted at a time
+SORTED_ROWS = 1 << 14
 LEAST_GROUPS, LEAST_BUCKETS = 48, 24
 NO_ID = np.iinfo(np.int64).max
 
@@ -268,41 +270,40 @@ class Suffixes:
         return common
 
 
-def smallest_documents(context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For distinct contexts: the smallest document that holds the LENGTH-byte
-    string beginning d bytes before the anchor, d = 0 .. LEFT (NO_ID where the
-    context has no such string)."""
+def smallest_documents(context: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, family: np.ndarray) -> np.ndarray:
+    """For distinct contexts, sorted by the family of their anchor: the
+    smallest document that holds the LENGTH-byte string beginning d bytes
+    before the anchor, d = 0 .. LEFT (NO_ID where the context has none)."""
     n = len(doc)
     d = np.arange(LEFT + 1)
     valid = (d <= left[:, None]) & (LENGTH - d <= right[:, None])
     out = np.where(valid, doc[:, None], NO_ID)
-    _, family, size = np.unique(_void(context[:, LEFT : LEFT + GRAM]), return_inverse=True, return_counts=True)
-    # an anchor with one context in all has nothing to compare
-    several = np.flatnonzero(size[family] > 1)
-    several = several[np.argsort(family[several], kind="stable")]
-    if not len(several):
-        return out
-    family = family[several]
-    after = Suffixes(context[several, LEFT:], right[several])
-    before = Suffixes(np.ascontiguousarray(context[several, :LEFT][:, ::-1]), left[several])
-    order_a, common_a = after.sort(family)
-    order_b, common_b = before.sort(family)
-    n = len(several)
-    docs, ok = doc[several], valid[several]
+    order_a, common_a = Suffixes(context[:, LEFT:], right).sort(family)
+    order_b, common_b = Suffixes(np.ascontiguousarray(context[:, :LEFT][:, ::-1]), left).sort(family)
     class_a, class_b = np.empty(n, np.int64), np.empty(n, np.int64)
     for k in range(LEFT + 1):
         class_a[order_a] = np.cumsum(common_a < LENGTH - k)
         class_b[order_b] = np.cumsum(common_b < k)
-        at = np.flatnonzero(ok[:, k])
+        at = np.flatnonzero(valid[:, k])
         key = class_a[at] * (n + 1) + class_b[at]
         o = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.r_[True, key[o][1:] != key[o][:-1]]) if len(o) else o
         if len(first):
-            low = np.minimum.reduceat(docs[at][o], first)
-            out[several[at[o]], k] = np.repeat(low, np.diff(np.r_[first, len(o)]))
+            low = np.minimum.reduceat(doc[at][o], first)
+            out[at[o], k] = np.repeat(low, np.diff(np.r_[first, len(o)]))
     return out
 
 
+def family_slices(family: np.ndarray):
+    """Slices of a sorted family array that end where families end."""
+    a = 0
+    while a < len(family):
+        z = min(len(family), a + SORTED_ROWS)
+        z = int(np.searchsorted(family, family[z - 1], side="right"))
+        yield slice(a, z)
+        a = z
+
+
 # ------------------------------------------------------------------ the steps
 
 _HASHES = "bucket int, grp int, hashes binary, several binary"
@@ -405,22 +406,37 @@ def _resolve(table: pa.Table) -> pa.Table:
     # contexts that several groups sent, once, with their smallest document
     rows = np.concatenate([context, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
     _, first, inv = np.unique(_void(rows), return_index=True, return_inverse=True)
+    del rows
     low = np.full(len(first), NO_ID)
     np.minimum.at(low, inv, doc)
-    smallest = smallest_documents(context[first], left[first], right[first], low)
-    earlier = smallest[inv] < doc[:, None]
-    hit = np.flatnonzero(earlier.any(axis=1))
+    # strings of the same context in a smaller document
+    lo, hi = np.maximum(0, LENGTH - right), left.copy()
+    hit = (low[inv] < doc) & (lo <= hi)
+    # strings of the same anchor's other contexts
+    _, family, size = np.unique(_void(context[first, LEFT : LEFT + GRAM]), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(size[family] > 1)
+    several = several[np.argsort(family[several], kind="stable")]
+    sent = np.argsort(inv, kind="stable")
+    begin, end = np.searchsorted(inv[sent], several, side="left"), np.searchsorted(inv[sent], several, side="right")
+    for s in family_slices(family[several]):
+        c = several[s]
+        smallest = smallest_documents(context[first[c]], left[first[c]], right[first[c]], low[c], family[c])
+        n = end[s] - begin[s]
+        row = sent[np.repeat(begin[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        earlier = smallest[np.repeat(np.arange(len(c)), n)] < doc[row, None]
+        hit[row] = earlier.any(axis=1)
+        lo[row] = earlier.argmax(axis=1)
+        hi[row] = LEFT - earlier[:, ::-1].argmax(axis=1)
+    hit = np.flatnonzero(hit)
     hit = hit[np.argsort(grp[hit], kind="stable")]
-    lo = earlier[hit].argmax(axis=1)
-    hi = LEFT - earlier[hit][:, ::-1].argmax(axis=1)
     cut = list(_slices(grp[hit]))
     return _table(
         _FOUND,
         [
             [g for g, _ in cut],
             [pos[hit[s]].tobytes() for _, s in cut],
-            [lo[s].astype("u1").tobytes() for _, s in cut],
-            [hi[s].astype("u1").tobytes() for _, s in cut],
+            [lo[hit[s]].astype("u1").tobytes() for _, s in cut],
+            [hi[hit[s]].astype("u1").tobytes() for _, s in cut],
         ],
     )
 
