@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
 from ..sources.tables import table_path
+from .vocab import forget
 
 #: bytes of text handled at once inside a task
 CHUNK_BYTES = 4 << 20
@@ -53,7 +54,8 @@ def map_texts(
     text: str = "text",
 ) -> DataFrame:
     """Narrow map over texts: ``fn`` gets a list of texts (null as "") and
-    returns column name -> values; ``keep`` columns are passed through.
+    returns column name -> values; ``keep`` columns are passed through.  The
+    tokenizer caches of earlier stages are dropped first.
 
     ``schema`` is the DDL of the columns that ``fn`` adds."""
     ship_package(df.sparkSession)
@@ -67,6 +69,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        forget()
         target = to_arrow_schema(out)
         for batch in batches:
             for part in pieces_of(batch, "__text"):

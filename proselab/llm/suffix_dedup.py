@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import total_bytes
+from .vocab import forget
 
 LENGTH = 50
 GRAM = 20
@@ -53,7 +54,7 @@ GROUP_BYTES = 1 << 20
 KEPT_POWERS = 3 << 19
 #: groups whose anchors fit one bucket
 GROUPS_A_BUCKET = 4
-#: contexts sorted at a time
+#: contexts compared or sorted at a time
 SORTED_ROWS = 1 << 14
 LEAST_GROUPS, LEAST_BUCKETS = 48, 24
 NO_ID = np.iinfo(np.int64).max
@@ -151,8 +152,8 @@ class Group:
         key = (key ^ (key >> np.uint64(31))) * _MIX + (left * 64 + right).astype(np.uint64)
         _, first, inv = np.unique(key, return_index=True, return_inverse=True)
         again = np.flatnonzero(first[inv] != np.arange(len(pos)))
-        for a in range(0, len(again), 1 << 16):
-            x = again[a : a + (1 << 16)]
+        for a in range(0, len(again), SORTED_ROWS):
+            x = again[a : a + SORTED_ROWS]
             y = first[inv[x]]
             same = (left[x] == left[y]) & (right[x] == right[y])
             same &= (self.contexts(pos[x], left[x], right[x]) == self.contexts(pos[y], left[y], right[y])).all(axis=1)
@@ -169,6 +170,7 @@ def _void(rows: np.ndarray) -> np.ndarray:
 
 def _group(table: pa.Table) -> tuple[Group, pa.Table]:
     """The group of a table, and the table in the group's order."""
+    forget()
     ids = table.column("__id")
     text = table.column("__text")
     order = np.array(sorted(range(table.num_rows), key=list(zip(ids.to_pylist(), text.to_pylist(), strict=True)).__getitem__), np.int64)
@@ -483,12 +485,17 @@ def _remove(columns: list[str], as_text: bool):
     return remove
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``keep`` columns of ``docs`` (doc_id, text), ``n_bytes``, ``n_removed``,
     ``n_spans`` (maximal removed runs) and ``kept_bytes`` of every row; with
-    ``as_text``, ``kept_text`` instead, without the characters cut apart."""
+    ``as_text``, ``kept_text`` instead, without the characters cut apart.
+
+    ``group_bytes`` suits Python workers of some 400 MB, which hold about 70
+    times as much.  Exchanged rows number up to groups times buckets, so with
+    larger workers raise it with the corpus: ten times the group means a
+    hundredth of the rows, each a hundred times as full."""
     ship_package(docs.sparkSession)
-    groups = max(LEAST_GROUPS, -(-total_bytes(docs) // GROUP_BYTES))
+    groups = max(LEAST_GROUPS, -(-total_bytes(docs) // group_bytes))
     n_buckets = max(LEAST_BUCKETS, groups // GROUPS_A_BUCKET)
     texts = docs.select(
         *keep,

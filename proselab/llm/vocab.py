@@ -108,3 +108,10 @@ def library_cache(name: str, folder: str | None = None) -> SegmentCache:
         return out
 
     return SegmentCache(WORDS if lower else SPACED, encode)
+
+
+def forget() -> None:
+    """Drop the segment caches.  Python workers outlive their stages; tasks of
+    operators that encode nothing call this, so that the memory is theirs."""
+    if library_cache.cache_info().currsize:
+        library_cache.cache_clear()
