@@ -195,7 +195,7 @@ def encode_texts(texts: list[str], name: str, folder: str | None = None) -> list
     cache = rank_cache(name, folder)
     cache.trim()
     cache.learn(set().union(*map(cache.cut.findall, texts)))
-    return [np.frombuffer(x, "<u4") for x in cache.of(texts)]
+    return [np.frombuffer(x, "<u4") for x in cache.join(texts)]  # not of(): it might drop what was just learned
 
 
 def decode(ids: list[int], r: Ranks) -> bytes:

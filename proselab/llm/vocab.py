@@ -78,8 +78,12 @@ class SegmentCache(dict):
             self.core.clear()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        """ids of each text, as bytes."""
+        """ids of each text, as bytes; starts afresh when the cache is full."""
         self.trim()
+        return self.join(texts)
+
+    def join(self, texts: list[str]) -> list[bytes]:
+        """The same without a look at the cache's size."""
         cut, get = self.cut.findall, self.__getitem__
         return [b"".join(map(get, cut(text))) for text in texts]
 

@@ -48,3 +48,16 @@ def test_rows_and_long_pieces_agree():
     r = B.load(NAME)
     pieces = [bytes(rng.choice(b"abcdeehinorst") for _ in range(rng.randint(2, 64))) for _ in range(300)]
     assert B.merge_rows(r, pieces, 64) == [B.merge_long(r, p) for p in pieces]
+
+
+def test_a_full_cache_still_encodes_in_one_batch(monkeypatch, lib):
+    from proselab.llm import vocab
+
+    monkeypatch.setattr(vocab, "CACHE_ENTRIES", 10)
+    cache, calls = B.rank_cache(NAME, None), []
+    encode = cache.encode
+    monkeypatch.setattr(cache, "encode", lambda parts: calls.append(len(parts)) or encode(parts))
+    for k in range(3):
+        texts = [" ".join(f"word{k}x{i}y" for i in range(100))]
+        assert B.encode_texts(texts, NAME)[0].tolist() == lib.encode_ordinary(texts[0])
+    assert len(calls) == 3
