@@ -44,6 +44,8 @@ LATIN_END = 0x250
 BLOCKS = 64
 #: words times positions that one table pass handles
 CELLS = 1 << 20
+#: positions after which probabilities are scaled up again
+RESCALE = 8
 #: labelled documents per language that are learned from, at most
 PER_LANG = 300
 #: languages that one model may hold; more is an error
@@ -127,7 +129,7 @@ def forward(table: np.ndarray, size: np.ndarray, step: np.ndarray, p: np.ndarray
     out = np.zeros((n, p.shape[1]))
     for i in range(width):
         here = ring[i % (LONGEST + 1)]
-        if i and i % 16 == 0:  # keep away from underflow
+        if i and i % RESCALE == 0:  # keep away from underflow
             top = ring.max(axis=0)
             top[top <= 0] = 1
             ring /= top
@@ -153,7 +155,14 @@ def expected(table: np.ndarray, size: np.ndarray, weight: np.ndarray, step: np.n
     spans = []
     alpha = np.zeros((width + 1, n))
     alpha[0] = 1
+    scales = {}
     for i in range(width):
+        if i and i % RESCALE == 0:  # keep away from underflow
+            ahead = alpha[i : i + LONGEST + 1]
+            top = ahead.max(axis=0)
+            top[top <= 0] = 1
+            ahead /= top
+            scales[i] = top
         node = np.ones(act[i], np.int32)
         for j in range(i, min(i + LONGEST, width)):
             node = step[node[: act[j]], table[: act[j], j]]
@@ -161,14 +170,26 @@ def expected(table: np.ndarray, size: np.ndarray, weight: np.ndarray, step: np.n
                 break
             spans.append((i, j + 1, node))
             alpha[j + 1][: len(node)] += alpha[i][: len(node)] * p[node]
-    total = alpha[size, np.arange(n)]
+    # beta carries the inverse of the scales passed, so that alpha * beta is
+    # the weighted probability of a cut
     beta = np.zeros((width + 1, n))
-    beta[size, np.arange(n)] = 1
+    beta[size, np.arange(n)] = weight / alpha[size, np.arange(n)]
     counts = np.zeros(len(p))
+    nodes, shares, held = [], [], 0
     for i, j, node in reversed(spans):
         part = p[node] * beta[j][: len(node)]
+        for k in range(i + RESCALE - i % RESCALE, j + 1, RESCALE):
+            if k in scales:
+                part /= scales[k][: len(node)]
         beta[i][: len(node)] += part
-        counts += np.bincount(node, alpha[i][: len(node)] * part * (weight / total)[: len(node)], len(p))
+        nodes.append(node)
+        shares.append(alpha[i][: len(node)] * part)
+        held += len(node)
+        if held > CELLS:
+            counts += np.bincount(np.concatenate(nodes), np.concatenate(shares), len(p))
+            nodes, shares, held = [], [], 0
+    if held:
+        counts += np.bincount(np.concatenate(nodes), np.concatenate(shares), len(p))
     return counts
 
 

@@ -55,6 +55,40 @@ def test_long_words_do_not_underflow():
     assert np.isfinite(ll[0, 0]) and n.tolist() == [1, 0]
 
 
+def test_expected_counts_of_long_words():
+    t = L.trie()
+    p = t.is_piece / t.is_piece.sum()
+    # words too long for plain products of probabilities, beside short ones
+    for word in ("a" * 3000, "ж" * 200, "internationally" * 40):
+        for take, table, size in L._tables([word, "the", "garden"], t.klass):
+            counts = L.expected(table, size, np.ones(len(take)), t.step, p)
+            assert np.isfinite(counts).all() and counts.sum() >= 3
+    # every letter and the start mark are covered exactly once
+    depth = np.zeros(len(p))
+    for node in range(1, len(p)):
+        nxt = t.step[np.full(int(t.klass.max()) + 1, node), np.arange(int(t.klass.max()) + 1)]
+        depth[nxt[nxt > 0]] = depth[node] + 1
+    for word in ("a" * 3000, "ж" * 200, "internationally" * 40, "the"):
+        (_, table, size), = L._tables([word], t.klass)
+        counts = L.expected(table, size, np.ones(1), t.step, p)
+        np.testing.assert_allclose((counts * depth).sum(), len(word) + 1, rtol=1e-9)
+
+
+def test_long_runs_in_training_change_no_prediction(spark):
+    rows = [(1, "le jardin de la maison et la rue", "fr"), (2, "the garden of the house and the road", "en")]
+    odd = [(3, "the " + "a" * 3000, "en"), (4, "la " + "ж" * 200, "fr")]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(10, "the house of the garden", ""), (11, "la maison de la rue", "")], schema)
+    said = []
+    for more in ([], odd):
+        model = L.fit(spark.createDataFrame(rows + more, schema))
+        assert np.isfinite(model[1]).all() and (model[1].sum(axis=0) > 0.999).all()
+        out = L.predict(docs, model).collect()
+        assert all(np.isfinite(r["score"]) for r in out)
+        said.append({r["doc_id"]: r["lang_pred"] for r in out})
+    assert said[0] == said[1] == {10: "en", 11: "fr"}
+
+
 def test_held_out_accuracy(spark):
     from proselab.llm.queries import QUERIES
 
