@@ -8,8 +8,9 @@ letter runs.  Piece probabilities are fitted by expectation-maximisation over
 all segmentations (forward-backward), on a bounded sample of the labelled
 documents (``per_lang``).
 
-Letters that the vocabulary lacks are pieces of their own, by blocks of 128
-code points, so other scripts tell languages apart as well.
+Every alphabetic piece of the vocabulary counts, in any script.  Letters that no
+piece holds are pieces of their own, by blocks of 128 code points, so other
+scripts tell languages apart as well.
 
 Null texts and texts without a letter are ``und`` with score 0; so is every
 text when there is no labelled document to learn from.
@@ -36,14 +37,10 @@ from .vocab import vocabulary_path
 VOCABULARY = "piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: longest piece in characters, start mark included
-LONGEST = 7
-#: letters up to here have places of their own in the tables
-LATIN_END = 0x250
-#: classes of the letters beyond, by block of 128 code points
-BLOCKS = 64
+#: characters of the vocabulary's longest piece, start mark included
+LONGEST = 16
 #: words times positions that one table pass handles
-CELLS = 1 << 20
+CELLS = 1 << 19
 #: positions after which probabilities are scaled up again
 RESCALE = 8
 #: labelled documents per language that are learned from, at most
@@ -56,11 +53,36 @@ PRIOR = 0.05
 UNKNOWN = "und"
 
 
+class Steps:
+    """``steps[node, class]`` is the next node or 0.  A node's row holds only
+    the classes from its least to its greatest child; the rows lie end to end,
+    and every place knows its node."""
+
+    def __init__(self, parent: np.ndarray, klass: np.ndarray, child: np.ndarray, n_node: int, n_class: int):
+        order = np.lexsort((klass, parent))
+        parent, klass, child = parent[order], klass[order], child[order]
+        first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+        last = np.r_[first[1:], len(parent)] - 1
+        span = klass[last] - klass[first] + 1
+        begin = n_class + np.cumsum(span) - span  # any class may be asked of any row
+        self.base = np.zeros(n_node, np.int32)
+        self.base[parent[first]] = begin - klass[first]
+        self.owner = np.zeros(2 * n_class + int(span.sum()), np.int32)
+        self.target = np.zeros(len(self.owner), np.int32)
+        at = self.base[parent] + klass
+        self.owner[at], self.target[at] = parent, child
+
+    def __getitem__(self, key):
+        node, klass = key
+        at = self.base[node] + klass
+        return self.target[at] * (self.owner[at] == node)
+
+
 class Trie(NamedTuple):
     """``step[node, class]`` is the next node; 0 is dead, 1 the root.  Every
     node stands for a piece or for the beginning of one."""
 
-    step: np.ndarray
+    step: Steps
     is_piece: np.ndarray
     klass: np.ndarray
 
@@ -71,30 +93,31 @@ def trie(vocab_folder: str | None = None) -> Trie:
 
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(VOCABULARY, vocab_folder))
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    pieces = {p for p in pieces if 0 < len(p) <= LONGEST and p.lstrip(START).isalpha() and max(map(ord, p.lstrip(START))) < LATIN_END}
+    pieces = {p for p in pieces if p.removeprefix(START).isalpha()}
+    if (longest := max(map(len, pieces), default=0)) > LONGEST:
+        raise ValueError(f"a piece of {VOCABULARY} has {longest} characters; LONGEST is {LONGEST}")
     letters = sorted({c for p in pieces for c in p} - {START})
     # class 0: nothing; 1: start mark; then letters; then blocks of the others
-    klass = (np.arange(0x110000) >> 7) % BLOCKS + 2 + len(letters)
+    klass = np.zeros(0x110000, np.int32)
+    others = "".join(LETTERS.findall("".join(map(chr, range(len(klass))))))
+    code = np.fromiter(map(ord, others), np.int64, len(others))
+    klass[code] = (code >> 7) + 2 + len(letters)
     klass[ord(START)] = 1
     for i, c in enumerate(letters):
         klass[ord(c)] = i + 2
-    n_class = 2 + len(letters) + BLOCKS
+    blocks = np.unique(klass[klass >= 2 + len(letters)])  # those with a letter that no piece holds
     pieces |= {START, *letters}
     nodes: dict[str, int] = {"": 1}
     for p in sorted(pieces):
         for i in range(1, len(p) + 1):
             nodes.setdefault(p[:i], len(nodes) + 1)
     extra = len(nodes) + 1
-    step = np.zeros((extra + BLOCKS, n_class), np.int32)
-    is_piece = np.zeros(extra + BLOCKS, bool)
-    for p, node in nodes.items():
-        if p:
-            step[nodes[p[:-1]], klass[ord(p[-1])]] = node
-            is_piece[node] = p in pieces
-    for b in range(BLOCKS):
-        step[1, 2 + len(letters) + b] = extra + b
-        is_piece[extra + b] = True
-    return Trie(step, is_piece, klass.astype(np.int32))
+    is_piece = np.zeros(extra + len(blocks), bool)
+    is_piece[extra:] = True
+    is_piece[[nodes[p] for p in pieces]] = True
+    edges = np.array([(nodes[p[:-1]], klass[ord(p[-1])], node) for p, node in nodes.items() if p])
+    edges = np.concatenate([edges, np.stack([np.ones_like(blocks), blocks, np.arange(extra, len(is_piece))], axis=1)])
+    return Trie(Steps(*edges.T, len(is_piece), int(klass.max()) + 1), is_piece, klass)
 
 
 def _tables(words: list[str], klass: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -119,7 +142,7 @@ def _active(size: np.ndarray, width: int) -> np.ndarray:
     return np.searchsorted(-size, -np.arange(width + 1), side="left")
 
 
-def forward(table: np.ndarray, size: np.ndarray, step: np.ndarray, p: np.ndarray) -> np.ndarray:
+def forward(table: np.ndarray, size: np.ndarray, step: Steps, p: np.ndarray) -> np.ndarray:
     """log of the summed probability of all segmentations, words x languages."""
     n, width = table.shape
     act = _active(size, width)  # act[i]: words with more than i letters
@@ -147,7 +170,7 @@ def forward(table: np.ndarray, size: np.ndarray, step: np.ndarray, p: np.ndarray
     return out
 
 
-def expected(table: np.ndarray, size: np.ndarray, weight: np.ndarray, step: np.ndarray, p: np.ndarray) -> np.ndarray:
+def expected(table: np.ndarray, size: np.ndarray, weight: np.ndarray, step: Steps, p: np.ndarray) -> np.ndarray:
     """Expected piece counts of one language (p: by node) over all
     segmentations of the weighted words, by forward-backward."""
     n, width = table.shape

@@ -55,6 +55,41 @@ def test_long_words_do_not_underflow():
     assert np.isfinite(ll[0, 0]) and n.tolist() == [1, 0]
 
 
+def test_every_alphabetic_piece_counts():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=L.vocabulary_path(L.VOCABULARY))
+    pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
+    pieces = [p for p in pieces if p.removeprefix(L.START).isalpha()]
+    assert len(pieces) > 23_000 and max(map(len, pieces)) == L.LONGEST
+    t, seen = L.trie(), set()
+    for p in pieces:
+        node = 1
+        for c in p:
+            node = int(t.step[node, t.klass[ord(c)]])
+        assert node and t.is_piece[node]
+        seen.add(node)
+    assert len(seen) == len(pieces)
+    # letters of their own where a piece holds them, else one class a block
+    assert len({int(t.klass[ord(c)]) for c in "абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґ"}) == 36
+    assert t.klass[0x13A0] == t.klass[0x13A1] != t.klass[0x13A0 + 64 * 128]
+    for c in map(chr, range(0x110000)):
+        if L.LETTERS.fullmatch(c):
+            assert t.step[1, t.klass[ord(c)]]
+
+
+def test_languages_of_one_script(spark):
+    rows = [
+        (1, "Он сказал, что это был новый дом и что он будет жить в этом городе", "ru"),
+        (2, "Він сказав, що це був новий дім і що він буде жити в цьому місті", "uk"),
+        (3, "Той каза, че това е нова къща и че ще живее в този град", "bg"),
+    ]
+    schema = "doc_id long, text string, lang string"
+    model = L.fit(spark.createDataFrame(rows, schema))
+    docs = spark.createDataFrame([(10, "это новый город, он был", ""), (11, "це новий дім, що був у місті", ""), (12, "това е град, в този живее", "")], schema)
+    assert {r["doc_id"]: r["lang_pred"] for r in L.predict(docs, model).collect()} == {10: "ru", 11: "uk", 12: "bg"}
+
+
 def test_expected_counts_of_long_words():
     t = L.trie()
     p = t.is_piece / t.is_piece.sum()
