@@ -11,7 +11,8 @@ carries, for every character it puts out, the source span it came from:
 3. spelled digits: runs of at least eight digits or four dotted groups.
 
 The same detectors then run on the rewritten text.  A span is added when the
-rewriting touched it and it does not overlap a span found in the plain text.
+rewriting touched it and no span found in the plain text contains it; the
+plain ones stay, so a span and its undisguised part may both be reported.
 
 Spans are ``kind:start:end`` in code points, end exclusive, sorted by kind
 (email, ip, card, phone) and start.  A null or empty text has none.
@@ -20,8 +21,10 @@ Spans are ``kind:start:end`` in code points, end exclusive, sorted by kind
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -206,16 +209,39 @@ def deobfuscate(text: str) -> Mapped | None:
     return m
 
 
+#: one number word of the prose after or before a whole plain span
+NEXT_WORD, WORD_BEFORE = re.compile(r"[,.;]\s[^\W\d_]+"), re.compile(r"[^\W\d_]+[,.;]\s")
+NEXT_TO_IP, BEFORE_IP = re.compile(r"[,.;]?\s[^\W\d_]+"), re.compile(r"[^\W\d_]+[,.;]?\s")
+
+
+def is_prose(kind: str, before: str, after: str) -> bool:
+    """What a span has beyond a plain one is punctuation or the next word."""
+    if not any(map(str.isalnum, before + after)):
+        return True
+    if kind == "email":
+        return False
+    before, after = before.lstrip(), after.rstrip()
+    next_word, word_before = (NEXT_TO_IP, BEFORE_IP) if kind == "ip" else (NEXT_WORD, WORD_BEFORE)
+    return bool((not before or word_before.fullmatch(before)) and (not after or next_word.fullmatch(after)))
+
+
 def hidden_spans(text: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only show in the deobfuscated text, as source spans."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     if (m := deobfuscate(text)) is None:
         return out
     taken = sorted(s for spans in base.values() for s in spans)
+    begins, reach = [x for x, _ in taken], list(itertools.accumulate((y for _, y in taken), max))
     for kind, spans in detect(m.text).items():
+        plain = base[kind]
         for a, b in spans:
             s = (int(m.start[a]), int(m.end[b - 1]))
-            if text[s[0] : s[1]] != m.text[a:b] and not any(x < s[1] and s[0] < y for x, y in taken):
+            i = bisect_right(begins, s[0])
+            if text[s[0] : s[1]] == m.text[a:b] or i and reach[i - 1] >= s[1]:
+                continue  # a plain span, or inside one
+            i = bisect_left(plain, s)
+            inside = [p for p in plain[max(0, i - 1) : i + 1] if s[0] <= p[0] and p[1] <= s[1]]
+            if not any(is_prose(kind, text[s[0] : x], text[y : s[1]]) for x, y in inside):
                 out[kind].append(s)
     return out
 

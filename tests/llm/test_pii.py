@@ -49,6 +49,28 @@ def test_disguises_map_back_to_the_source():
     assert P.find_all(t)[0] == P.find_all(t)[1] == base(t)
 
 
+def test_fragments_do_not_hide_the_whole():
+    # (text, the undisguised part that the fixed detectors find, the whole)
+    cases = [
+        ("jоhn@example.com", "hn@example.com", "email"),
+        ("john@example.cоm", "john@example.c", "email"),
+        ("jo\u200bhn@example.com", "hn@example.com", "email"),
+        ("+1 555 123 45６6 78", "+1 555 123 45", "phone"),
+        ("+1 555 123 45 six seven", "+1 555 123 45", "phone"),
+        ("192.168.1.1０", "192.168.1.1", "ip"),
+    ]
+    for whole, part, kind in cases:
+        t = f"x {whole} y"
+        base, every = P.find_all(t)
+        assert [t[a:b] for a, b in base[kind]] == [part]
+        assert sorted(t[a:b] for a, b in every[kind]) == sorted([part, whole])
+        assert P.mask_text(t) == f"x <{kind.upper()}> y"
+    # punctuation and number words of the prose are no part of a plain span
+    for t in ("です。john@example.com", "+1 555 123 4567, one of us", "1.2.3.4, two of three", "at 1.2.3.4 one sees", "one 1.2.3.4 dot"):
+        base, every = P.find_all(t)
+        assert base == every
+
+
 def test_prose_is_left_alone():
     for t in ("look at that dot", "one or two of three", "we met at noon. dot", "seven eight nine", "It was at the end (at last)", "Ответ на вопрос"):
         assert found(t) == {}
