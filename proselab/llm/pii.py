@@ -6,8 +6,9 @@ carries, for every character it puts out, the source span it came from:
 
 1. homoglyphs: full-width and mathematical letters and digits, Cyrillic and
    Greek look-alikes, other decimal digits; invisible characters vanish;
-2. disguised addresses: ``[at]``, ``(dot)`` and the like, and `` at `` when a
-   spelled `` dot `` follows;
+2. disguised addresses: ``[at]``, ``[@]``, ``(dot)``, ``[.]`` and the like, and
+   `` at `` or a spaced ``@`` when a disguised dot follows; disguised dots
+   before the at as well;
 3. spelled digits: runs of at least eight digits or four dotted groups.
 
 The same detectors then run on the rewritten text.  A span is added when the
@@ -144,23 +145,49 @@ def homoglyphs(m: Mapped) -> list[tuple[int, int, str]]:
 
 
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
+_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
 HIDDEN = re.compile(
-    rf"(?i)(?P<at>{_OPEN}at{_CLOSE}|\s{{1,3}}at\s{{1,3}}|@)(?P<host>[a-z0-9-]+(?:(?:{_OPEN}dot{_CLOSE}|\s{{1,3}}dot\s{{1,3}}|\.)[a-z0-9-]+)+)"
+    rf"(?i)(?P<at>{_OPEN}(?:at|@){_CLOSE}|\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})(?P<host>[a-z0-9-]+(?:(?:{_DOT}|\.)[a-z0-9-]+)+)"
 )
-DOT = re.compile(rf"(?i){_OPEN}dot{_CLOSE}|\s{{1,3}}dot\s{{1,3}}")
-HIDDEN_HINT = re.compile(r"(?i)[\[({<]\s{0,3}(?:at|dot)\s{0,3}[\])}>]|\sdot\s")
+DOT = re.compile(rf"(?i){_DOT}")
+DOT_BEFORE = re.compile(rf"(?i){_DOT}\Z")
+#: characters of the longest disguised dot
+DOT_CHARS = 17
+BRACKET = re.compile(r"[\[({<]")
+HIDDEN_HINT = re.compile(r"(?i)[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|\sdot\s")
+
+
+def dots_before(text: str, at: int, floor: int) -> list[tuple[int, int]]:
+    """Disguised dots in the local part that ends at ``at``, in order; what
+    lies before ``floor`` belongs to another address."""
+    out: list[tuple[int, int]] = []
+    while True:
+        while at > floor and text[at - 1] in LOCAL_CHARS:
+            at -= 1
+        begin = max(floor, at - DOT_CHARS)
+        d = DOT_BEFORE.search(text[begin:at])
+        a = begin + d.start() if d else 0
+        if not d or a <= floor or text[a - 1] not in LOCAL_CHARS:
+            return out[::-1]
+        out.append((a, at))
+        at = a
 
 
 def addresses(m: Mapped) -> list[tuple[int, int, str]]:
-    out = []
+    out, floor = [], 0
     for x in HIDDEN.finditer(m.text):
-        at, dots = x["at"], [d for d in DOT.finditer(m.text, *x.span("host"))]
+        at, dots = x["at"], [d.span() for d in DOT.finditer(m.text, *x.span("host"))]
         before = m.text[x.start() - 1 : x.start()]
-        if not (before and before in LOCAL_CHARS) or not dots and not re.search(r"[\[({<]", at):
+        if not (before and before in LOCAL_CHARS):
+            continue
+        local = dots_before(m.text, x.start(), floor)
+        if not dots and not BRACKET.search(at) and not (local if at == "@" else any(BRACKET.search(m.text, *d) for d in local)):
             continue  # a plain address, or the word "at" in prose
+        out += [(*d, ".") for d in local]
         if at != "@":
             out.append((*x.span("at"), "@"))
-        out += [(*d.span(), ".") for d in dots]
+        out += [(*d, ".") for d in dots]
+        floor = x.end()
     return out
 
 

@@ -71,6 +71,22 @@ def test_fragments_do_not_hide_the_whole():
         assert base == every
 
 
+def test_disguised_dots_and_ats_anywhere_in_an_address():
+    for t in (
+        "john dot doe at example dot com", "john [dot] doe [at] example [dot] com", "j (dot) m (dot) doe (at) example.com", "john @ example dot com",
+        "john [@] example [dot] com", "x (at) y [.] com", "a [.] b {at} c [.] d", "john[.]doe@example.com", "john [ dot ] doe@example.com", "john[.]doe at example.com",
+        "john   (   dot   )   doe@example.com",
+    ):
+        assert P.find_all(f"to {t}, then")[1]["email"][-1] == (3, 3 + len(t)), t
+        assert P.mask_text(f"to {t}, then") == "to <EMAIL>, then"
+    # one address begins where another ends
+    assert P.mask_text("a at b dot c at d dot e") == "<EMAIL> at d dot e"
+    for t in ("lunch @ noon.today is fine", "the dot is at example.com", "thanks @user and @other.", "see [.] and (@) here", "meet at noon . dot", "we are @ home (at last)"):
+        assert P.mask_text(t) == t
+    for t in ("a dot " * 40_000 + "b at c dot d", "a[.]" * 50_000 + "b[at]c.d", "a[.]b at " * 20_000, " @ " * 60_000, "[@]" * 60_000 + "[.]" * 60_000, "a at b dot " * 20_000, "a@b.c dot " * 20_000):
+        P.find_all(t)
+
+
 def test_prose_is_left_alone():
     for t in ("look at that dot", "one or two of three", "we met at noon. dot", "seven eight nine", "It was at the end (at last)", "Ответ на вопрос"):
         assert found(t) == {}
