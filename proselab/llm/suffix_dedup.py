@@ -20,8 +20,15 @@ an anchor, the same one wherever the string stands.
    runs of the two sorted orders give, for each d, the smallest document.
 4. Each group marks the strings that an earlier document has.
 
+An anchor hash with more than HOT_CONTEXTS contexts (a short string in very many
+documents, whose surroundings differ) is not sorted in one place: each group
+finds the smallest document of every LENGTH-byte string at its hot anchors and
+sends the string's 128-bit digest with it, so the strings, not the anchors, are
+what buckets share out.
+
 All exchanged rows are per (group, bucket) and hold what is distinct there: a
-passage that a third of all documents share reaches a bucket once per group.
+passage that a third of all documents share reaches a bucket once per group and
+string.
 The three steps over texts share one shuffle of them.
 
 Null texts are empty.  A null id counts as larger than every id; rows that
@@ -32,6 +39,7 @@ tables give rows with nothing removed.  Matches never cross documents.
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +64,8 @@ KEPT_POWERS = 3 << 19
 GROUPS_A_BUCKET = 4
 #: contexts compared or sorted at a time
 SORTED_ROWS = 1 << 14
+#: contexts of one anchor hash that one task sorts, at most
+HOT_CONTEXTS = SORTED_ROWS
 LEAST_GROUPS, LEAST_BUCKETS = 48, 24
 NO_ID = np.iinfo(np.int64).max
 
@@ -308,9 +318,12 @@ def family_slices(family: np.ndarray):
 
 # ------------------------------------------------------------------ the steps
 
-_HASHES = "bucket int, grp int, hashes binary, several binary"
-_SHARED = "grp int, hashes binary"
-_CONTEXTS = "bucket int, grp int, context binary, left binary, right binary, doc binary, pos binary"
+_HASHES = "bucket int, grp int, hashes binary, counts binary"
+_SHARED = "grp int, hashes binary, hot binary"
+# kind: contexts to be sorted; strings at hot anchors (context: digests, left
+# and right: the anchor's offset); or spans (left to right) that a group found
+_CONTEXTS = "bucket int, grp int, kind int, context binary, left binary, right binary, doc binary, pos binary"
+SORTED, STRINGS, SPANS = range(3)
 _FOUND = "grp int, pos binary, low binary, high binary"
 
 
@@ -344,67 +357,149 @@ def _report(n_buckets: int):
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         last = np.r_[first[1:], len(h)] - 1
         several = ids[first] != ids[last] if len(h) else np.zeros(0, bool)
+        # at most 2**(counts >> 1) anchors; the lowest bit: in several documents
+        counts = (2 * np.ceil(np.log2(last - first + 1)) + several).astype("u1")
         h = h[first]
         rows: list[list] = [[], [], [], []]
         for b, s in _slices(_buckets(h, n_buckets)):
-            for c, v in zip(rows, (b, grp, h[s].tobytes(), several[s].tobytes()), strict=True):
+            for c, v in zip(rows, (b, grp, h[s].tobytes(), counts[s].tobytes()), strict=True):
                 c.append(v)
         return _table(_HASHES, rows)
 
     return report
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    parts = table.column("hashes").to_pylist()
-    h, several = _join(table, "hashes", "u8"), _join(table, "several", "?")
-    grp = np.repeat(table.column("grp").to_numpy(), [len(p) // 8 for p in parts])
-    order = np.argsort(h, kind="stable")
-    hs = h[order]
-    first = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
-    count = np.diff(np.r_[first, len(hs)])
-    shared = np.repeat((count > 1) | np.logical_or.reduceat(several[order], first), count)
-    hs, gs = hs[shared], grp[order][shared]
-    order = np.lexsort((hs, gs))
-    hs, gs = hs[order], gs[order]
-    cut = list(_slices(gs))
-    return _table(_SHARED, [[g for g, _ in cut], [hs[s].tobytes() for _, s in cut]])
+def _answer(hot_contexts: int):
+    def answer(table: pa.Table) -> pa.Table:
+        parts = table.column("hashes").to_pylist()
+        h, counts = _join(table, "hashes", "u8"), _join(table, "counts", "u1")
+        grp = np.repeat(table.column("grp").to_numpy(), [len(p) // 8 for p in parts])
+        order = np.argsort(h, kind="stable")
+        hs, counts = h[order], counts[order]
+        first = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]])
+        n = np.diff(np.r_[first, len(hs)])
+        shared = np.repeat((n > 1) | np.logical_or.reduceat((counts & 1).astype(bool), first), n)
+        hot = np.repeat(np.add.reduceat(np.int64(1) << (counts >> 1).astype(np.int64), first) > hot_contexts, n)
+        hs, gs, hot = hs[shared], grp[order][shared], hot[shared]
+        order = np.lexsort((hs, gs))
+        hs, gs, hot = hs[order], gs[order], hot[order]
+        cut = list(_slices(gs))
+        return _table(_SHARED, [[g for g, _ in cut], [hs[s].tobytes() for _, s in cut], [hot[s].tobytes() for _, s in cut]])
+
+    return answer
+
+
+def _pack(b: int, grp: int, kind: int, blob: bytes, left: np.ndarray, right: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple:
+    return (
+        b, grp, kind, blob, left.astype("u1").tobytes(), right.astype("u1").tobytes(),
+        doc.astype("<i8").tobytes(), pos.astype("<i8").tobytes(),
+    )
+
+
+def _hot_strings(g: Group, x: np.ndarray, grp: int, n_buckets: int) -> list[tuple]:
+    """Rows for the strings at hot anchors: each string's smallest document
+    in this group asks its bucket; the later ones are found here."""
+    pos, doc, ids = g.pos[x], g.doc[x], g.ids[g.doc[x]]
+    left, right = g.context_bounds(pos, doc)
+    context = g.contexts(pos, left, right)
+    lo, hi = np.full(len(x), LEFT + 1), np.full(len(x), -1)
+    digests, asks, offsets = [], [], []
+    for d in range(LEFT + 1):
+        at = np.flatnonzero((d <= left) & (LENGTH - d <= right))
+        if not len(at):
+            continue
+        strings = _void(context[at, LEFT - d : LEFT - d + LENGTH])
+        distinct, inv = np.unique(strings, return_inverse=True)
+        low = np.full(len(distinct), NO_ID)
+        np.minimum.at(low, inv, ids[at])
+        later = low[inv] < ids[at]
+        lo[at[later]] = np.minimum(lo[at[later]], d)
+        hi[at[later]] = d
+        digest = b"".join([hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in distinct])
+        digests.append(np.frombuffer(digest, "<u8").reshape(-1, 2)[inv[~later]])
+        asks.append(at[~later])
+        offsets.append(np.full(len(asks[-1]), d))
+    rows = []
+    if asks:
+        key, ask, off = np.concatenate(digests), np.concatenate(asks), np.concatenate(offsets)
+        bucket = _buckets(key[:, 0], n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        for b, s in _slices(bucket[order]):
+            o = order[s]
+            rows.append(_pack(b, grp, STRINGS, key[o].tobytes(), off[o], off[o], ids[ask[o]], pos[ask[o]]))
+    if len(f := np.flatnonzero(hi >= 0)):
+        rows.append(_pack(grp % n_buckets, grp, SPANS, b"", lo[f], hi[f], ids[f], pos[f]))
+    return rows
 
 
 def _send(n_buckets: int):
     def send(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        rows: list[list] = [[] for _ in range(7)]
+        rows: list[tuple] = []
         if texts.num_rows and shared.num_rows:
             g, _ = _group(texts)
-            known = np.sort(_join(shared, "hashes", "u8"))
+            known = _join(shared, "hashes", "u8")
+            order = np.argsort(known)
+            known, hot = known[order], _join(shared, "hot", "?")[order]
             at = np.minimum(np.searchsorted(known, g.hash), len(known) - 1)
             mine = np.flatnonzero(known[at] == g.hash)
             first, _ = g.same_context(g.pos[mine], g.doc[mine])
             mine = mine[first]
             mine = mine[np.argsort(g.hash[mine], kind="stable")]
             grp = texts.column("__grp")[0].as_py()
+            hottest, mine = mine[hot[at[mine]]], mine[~hot[at[mine]]]
             for b, s in _slices(_buckets(g.hash[mine], n_buckets)):
                 x = mine[s]
                 pos, doc = g.pos[x], g.doc[x]
                 left, right = g.context_bounds(pos, doc)
                 blob = g.contexts(pos, left, right).tobytes()
-                packed = (
-                    pa.compress(blob, codec="zstd", asbytes=True), left.astype("u1").tobytes(), right.astype("u1").tobytes(),
-                    g.ids[doc].astype("<i8").tobytes(), pos.astype("<i8").tobytes(),
-                )
-                for c, v in zip(rows, (b, grp, *packed), strict=True):
-                    c.append(v)
-        return _table(_CONTEXTS, rows)
+                rows.append(_pack(b, grp, SORTED, pa.compress(blob, codec="zstd", asbytes=True), left, right, g.ids[doc], pos))
+            if len(hottest):
+                rows += _hot_strings(g, hottest, grp, n_buckets)
+        return _table(_CONTEXTS, [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(8)])
 
     return send
 
 
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Group, offsets, document and place of every entry."""
+    sizes = [len(x) for x in table.column("left").to_pylist()]
+    left, right = (_join(table, c, "u1").astype(np.int64) for c in ("left", "right"))
+    return np.repeat(table.column("grp").to_numpy(), sizes), left, right, _join(table, "doc", "<i8"), _join(table, "pos", "<i8")
+
+
 def _resolve(table: pa.Table) -> pa.Table:
+    kind = table.column("kind").to_numpy()
+    parts = [_resolve_contexts, _resolve_strings, _columns_of_spans]
+    found = [part(table.filter(pa.array(kind == k))) for k, part in enumerate(parts) if (kind == k).any()]
+    grp, pos, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(grp, kind="stable")
+    grp, pos, lo, hi = grp[order], pos[order].astype("<i8"), lo[order].astype("u1"), hi[order].astype("u1")
+    cut = list(_slices(grp))
+    return _table(_FOUND, [[g for g, _ in cut], *([c[s].tobytes() for _, s in cut] for c in (pos, lo, hi))])
+
+
+def _columns_of_spans(table: pa.Table) -> tuple[np.ndarray, ...]:
+    grp, lo, hi, _, pos = _columns(table)
+    return grp, pos, lo, hi
+
+
+def _resolve_strings(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Strings at hot anchors that a smaller document of another group has."""
+    key = _join(table, "context", "<u8").reshape(-1, 2)
+    grp, off, _, doc, pos = _columns(table)
+    order = np.lexsort((doc, key[:, 1], key[:, 0]))
+    sorted_key = key[order]
+    first = np.flatnonzero(np.r_[True, (sorted_key[1:] != sorted_key[:-1]).any(axis=1)])
+    low = np.repeat(doc[order][first], np.diff(np.r_[first, len(order)]))
+    hit = order[low < doc[order]]
+    return grp[hit], pos[hit], off[hit], off[hit]
+
+
+def _resolve_contexts(table: pa.Table) -> tuple[np.ndarray, ...]:
+    grp, left, right, doc, pos = _columns(table)
     sizes = [len(x) for x in table.column("left").to_pylist()]
     blobs = zip(table.column("context").to_pylist(), sizes, strict=True)
     context = np.frombuffer(b"".join(pa.decompress(c, n * WIDTH, codec="zstd", asbytes=True) for c, n in blobs), np.uint8).reshape(-1, WIDTH)
-    left, right = (_join(table, c, "u1").astype(np.int64) for c in ("left", "right"))
-    doc, pos = _join(table, "doc", "<i8"), _join(table, "pos", "<i8")
-    grp = np.repeat(table.column("grp").to_numpy(), sizes)
     # contexts that several groups sent, once, with their smallest document
     rows = np.concatenate([context, left[:, None].astype(np.uint8), right[:, None].astype(np.uint8)], axis=1)
     _, first, inv = np.unique(_void(rows), return_index=True, return_inverse=True)
@@ -430,17 +525,7 @@ def _resolve(table: pa.Table) -> pa.Table:
         lo[row] = earlier.argmax(axis=1)
         hi[row] = LEFT - earlier[:, ::-1].argmax(axis=1)
     hit = np.flatnonzero(hit)
-    hit = hit[np.argsort(grp[hit], kind="stable")]
-    cut = list(_slices(grp[hit]))
-    return _table(
-        _FOUND,
-        [
-            [g for g, _ in cut],
-            [pos[hit[s]].tobytes() for _, s in cut],
-            [lo[hit[s]].astype("u1").tobytes() for _, s in cut],
-            [hi[hit[s]].astype("u1").tobytes() for _, s in cut],
-        ],
-    )
+    return grp[hit], pos[hit], lo[hit], hi[hit]
 
 
 def _remove(columns: list[str], as_text: bool):
@@ -458,9 +543,11 @@ def _remove(columns: list[str], as_text: bool):
             # the smallest one those that a smaller document elsewhere has
             if found.num_rows:
                 where = np.searchsorted(g.pos, _join(found, "pos", "<i8"))
-                lo, hi = np.full(len(g.pos), -1), np.full(len(g.pos), -1)
-                lo[where], hi[where] = _join(found, "low", "u1"), _join(found, "high", "u1")
-                ask = ~here & (g.ids[g.doc] == g.ids[g.doc[chief]]) & (lo[chief] >= 0)
+                # an anchor's strings all hold it, so its spans are one
+                lo, hi = np.full(len(g.pos), LENGTH), np.full(len(g.pos), -1)
+                np.minimum.at(lo, where, _join(found, "low", "u1").astype(np.int64))
+                np.maximum.at(hi, where, _join(found, "high", "u1").astype(np.int64))
+                ask = ~here & (g.ids[g.doc] == g.ids[g.doc[chief]]) & (hi[chief] >= 0)
                 low, high = np.where(ask, lo[chief], low), np.where(ask, hi[chief], high)
                 here |= ask
             np.add.at(gone, (g.pos - high)[here], 1)
@@ -485,7 +572,9 @@ def _remove(columns: list[str], as_text: bool):
     return remove
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def dedup(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False, group_bytes: int = GROUP_BYTES, hot_contexts: int = HOT_CONTEXTS
+) -> DataFrame:
     """``keep`` columns of ``docs`` (doc_id, text), ``n_bytes``, ``n_removed``,
     ``n_spans`` (maximal removed runs) and ``kept_bytes`` of every row; with
     ``as_text``, ``kept_text`` instead, without the characters cut apart.
@@ -505,7 +594,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), as_text: bool =
     )
     by_group = texts.groupBy("__grp")
     hashes = by_group.applyInArrow(_report(n_buckets), _HASHES)
-    shared = hashes.groupBy("bucket").applyInArrow(_answer, _SHARED)
+    shared = hashes.groupBy("bucket").applyInArrow(_answer(hot_contexts), _SHARED)
     contexts = by_group.cogroup(shared.groupBy("grp")).applyInArrow(_send(n_buckets), _CONTEXTS)
     found = contexts.groupBy("bucket").applyInArrow(_resolve, _FOUND)
     schema = docs.select(*keep).schema

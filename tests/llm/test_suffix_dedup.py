@@ -56,6 +56,39 @@ def test_random_copies(spark, letters, length):
     assert sorted(got(S.dedup(frame(spark, rows))), key=repr) == sorted(brute(rows), key=repr)
 
 
+def hot_rows():
+    """A short string in most documents, in ever other surroundings, some of
+    which recur."""
+    rng = random.Random(8)
+    around = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(40)]
+    core = "the same thirty-four bytes, always"
+    rows = [(rng.randint(0, 150), rng.choice(around)[rng.randint(0, 59) :] + core + rng.choice(around)[: rng.randint(0, 60)]) for _ in range(250)]
+    return rows + [(None, core * 3), (7, core * 5), (7, core * 4), (400, core + "x" * 90 + core)]
+
+
+@pytest.mark.parametrize("hot", [0, 20, 1 << 14])
+def test_hot_anchors_equal_brute_force(spark, hot):
+    rows = hot_rows()
+    assert sorted(got(S.dedup(frame(spark, rows), hot_contexts=hot)), key=repr) == sorted(brute(rows), key=repr)
+
+
+def test_no_task_sorts_a_hot_family():
+    import pyarrow as pa
+    import pyarrow.compute  # noqa: F401
+
+    bound, n_buckets = 64, 4
+    rows = sorted((BIG if i is None else i, t) for i, t in hot_rows())
+    groups = [pa.table({"__id": pa.array([i for i, _ in rows[k::5]], pa.int64()), "__text": [t for _, t in rows[k::5]], "__grp": pa.array([k] * len(rows[k::5]), pa.int32())}) for k in range(5)]
+    hashes = pa.concat_tables([S._report(n_buckets)(t) for t in groups])
+    by = lambda t, c, k: t.filter(pa.compute.equal(t.column(c), k))
+    shared = pa.concat_tables([S._answer(bound)(by(hashes, "bucket", b)) for b in range(n_buckets) if by(hashes, "bucket", b).num_rows])
+    sent = pa.concat_tables([S._send(n_buckets)(t, by(shared, "grp", k)) for k, t in enumerate(groups)])
+    contexts = b"".join(pa.decompress(c, len(n) * S.WIDTH, codec="zstd", asbytes=True) for c, n, k in zip(*(sent.column(x).to_pylist() for x in ("context", "left", "kind")), strict=True) if k == S.SORTED)
+    anchors = np.frombuffer(contexts, np.uint8).reshape(-1, S.WIDTH)[:, S.LEFT : S.LEFT + S.GRAM]
+    assert np.unique(anchors, axis=0, return_counts=True)[1].max(initial=0) <= bound
+    assert S.STRINGS in sent.column("kind").to_pylist()
+
+
 def test_empty_table_and_text_output(spark):
     empty = frame(spark, [])
     assert S.dedup(empty).collect() == []
