@@ -3,6 +3,8 @@
 Text is cut at white space first.  A segment's ids do not depend on what
 stands beside it, because no pre-token of the patterns used here crosses the
 cut, so a worker encodes every distinct segment once and joins the cached ids.
+Before that, a library's texts are cut at its special tokens, which have ids of
+their own.
 """
 
 from __future__ import annotations
@@ -43,11 +45,14 @@ def byte_letters() -> dict[int, int]:
 
 
 class SegmentCache(dict):
-    """segment -> ids as little-endian unsigned 32-bit bytes."""
+    """segment -> ids as little-endian unsigned 32-bit bytes; ``special`` are
+    the ids of tokens that no segment may hold."""
 
-    def __init__(self, cut: re.Pattern, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, cut: re.Pattern, encode: Callable[[list[str]], list[list[int]]], special: dict[str, int] | None = None):
         super().__init__()
         self.cut, self.encode = cut, encode
+        self.special = {t: array.array("I", [i]).tobytes() for t, i in (special or {}).items()}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.core: dict[str, bytes] = {}
 
     def __missing__(self, segment: str) -> bytes:
@@ -85,7 +90,14 @@ class SegmentCache(dict):
     def join(self, texts: list[str]) -> list[bytes]:
         """The same without a look at the cache's size."""
         cut, get = self.cut.findall, self.__getitem__
-        return [b"".join(map(get, cut(text))) for text in texts]
+        return [self._around(text) if any(t in text for t in self.special) else b"".join(map(get, cut(text))) for text in texts]
+
+    def _around(self, text: str) -> bytes:
+        """ids of a text that holds special tokens."""
+        parts = self.at_special.split(text)
+        parts[::2] = [b"".join(map(self.__getitem__, self.cut.findall(p))) for p in parts[::2]]
+        parts[1::2] = [self.special[p] for p in parts[1::2]]
+        return b"".join(parts)
 
 
 @functools.lru_cache(maxsize=4)
@@ -96,7 +108,10 @@ def library_cache(name: str, folder: str | None = None) -> SegmentCache:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(vocabulary_path(name, folder))
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = True  # segments hold none; texts are cut at them first
+    added = {i: t for i, t in tok.get_added_tokens_decoder().items() if t.special}
+    if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+        raise ValueError(f"{name} has special tokens that are not matched as they stand")
     lower = tok.normalizer is not None
     letters, model = byte_letters(), tok.model
     plain = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[.,;:!?]+").fullmatch
@@ -111,7 +126,7 @@ def library_cache(name: str, folder: str | None = None) -> SegmentCache:
                 out.append(tok.encode(p, add_special_tokens=False).ids)
         return out
 
-    return SegmentCache(WORDS if lower else SPACED, encode)
+    return SegmentCache(WORDS if lower else SPACED, encode, {t.content: i for i, t in added.items()})
 
 
 def forget() -> None:

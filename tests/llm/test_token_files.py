@@ -61,3 +61,16 @@ def test_segment_cache_equals_the_library(tok):
         lib.encode_special_tokens = True
         for a, b in zip(lib.encode_batch(texts, add_special_tokens=False), library_cache(name).of(texts), strict=True):
             assert a.ids == np.frombuffer(b, "<u4").tolist()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens_in_texts_as_the_library_has_them(name):
+    from proselab.llm.vocab import library_cache
+
+    lib = Tokenizer.from_file(public_tokenizers.path(name))  # default settings
+    rng = np.random.default_rng(6)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "<|", " ", "  ", "\n", "word", "Ünder", "a.b", "\u3000", "e\u0301", "'s", "7"]
+    texts = ["<|endoftext|>", "the <|endoftext|> mark", "<|startoftext|>a  <|endoftext|><|endoftext|>  b"]
+    texts += ["".join(rng.choice(bits, rng.integers(1, 14))) for _ in range(3000)]
+    for text, got in zip(texts, library_cache(name).of(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
