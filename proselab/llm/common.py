@@ -29,9 +29,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def held_out(doc_id: Column) -> Column:
-    """True for the fifth of the documents that learning never sees."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
+def held_out(doc_id: Column, of: int = 5, rest: int = 0) -> Column:
+    """True for the share of the documents (a fifth) that learning never sees."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % of == rest
 
 
 def pieces_of(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
