@@ -34,6 +34,8 @@ from .common import map_texts, pieces_of
 DIMS = 48
 BUCKETS = 1 << 14
 NONZERO = 6
+#: groups of buckets whose sums are added together
+SHARES = 16
 REACH = 2
 #: labelled documents that are learned from, at most
 SAMPLE_DOCS = 4000
@@ -144,26 +146,42 @@ def score_pooled(x: np.ndarray, model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit / model.temperature, -500, 500)))
 
 
+def _bucket_sums(sample: DataFrame) -> DataFrame:
+    """(bucket, sums): the context sums of every bucket that has any."""
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, DIMS), np.float32)
+        for batch in batches:
+            for piece in pieces_of(batch):
+                total += context_sums(*tokens([t or "" for t in piece.column("text").to_pylist()]))
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[b].tobytes() for b in some], pa.binary())], names=["bucket", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket").to_numpy()
+        total = np.zeros((BUCKETS, DIMS), np.float32)
+        np.add.at(total, bucket, np.frombuffer(b"".join(table.column("sums").to_pylist()), np.float32).reshape(-1, DIMS))
+        some = np.unique(bucket)
+        return pa.table({"bucket": pa.array(some, pa.int32()), "sums": pa.array([total[b].tobytes() for b in some], pa.binary())})
+
+    rows = sample.select("text").mapInArrow(per_task, "bucket int, sums binary")
+    return rows.groupBy(F.col("bucket") % SHARES).applyInArrow(add, "bucket int, sums binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on at most about ``sample_docs`` labelled documents, taken by a
-    hash of the id.  Two jobs over the sample: its context sums (one table per
-    task, few tasks), then its pooled vectors."""
+    hash of the id.  Two jobs over the sample: its context sums, added up by
+    bucket in Spark, so that at most ``BUCKETS`` rows reach the driver however
+    many tasks there are, then its pooled vectors."""
     ship_package(docs.sparkSession)
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = good.count()
     part = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / max(n, 1)))
     sample = docs.select("doc_id", "text").filter(part).join(good.filter(part), "doc_id").repartition(4, "doc_id").persist()
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, DIMS), np.float32)
-        for batch in batches:
-            for piece in pieces_of(batch):
-                total += context_sums(*tokens([t or "" for t in piece.column("text").to_pylist()]))
-        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]}, schema=pa.schema([("sums", pa.binary())]))
-
     total = np.zeros((BUCKETS, DIMS), np.float32)
-    for r in sample.select("text").mapInArrow(contexts, "sums binary").collect():
-        total += np.frombuffer(r["sums"], np.float32).reshape(BUCKETS, DIMS)
+    for r in _bucket_sums(sample).collect():
+        total[r["bucket"]] = np.frombuffer(r["sums"], np.float32)
     vectors = index_vectors() + total / np.maximum(1, np.linalg.norm(total, axis=1, keepdims=True))
     vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 

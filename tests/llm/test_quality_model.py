@@ -57,3 +57,13 @@ def test_temperature_calibrates():
         return -np.mean(np.log(np.where(y[::5] > 0, p, 1 - p) + 1e-12))
 
     assert loss(s) <= loss(raw) + 1e-9
+
+
+def test_rows_for_the_driver_do_not_grow_with_tasks(spark):
+    rows = [(i, f"one two three word{i % 40} four") for i in range(400)]
+    few, many = (M._bucket_sums(frame(spark, rows).repartition(n)).collect() for n in (1, 60))
+    assert len(few) == len(many) == len({r["bucket"] for r in many}) <= M.BUCKETS
+    want = M.context_sums(*M.tokens([t for _, t in rows]))
+    for got in (few, many):
+        for r in got:
+            np.testing.assert_allclose(np.frombuffer(r["sums"], np.float32), want[r["bucket"]], atol=1e-3)
