@@ -334,6 +334,10 @@ def _table(ddl: str, columns: list[list]) -> pa.Table:
 
 
 def _buckets(h: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of each anchor hash.  An anchor is the least hash of its
+    neighbours, so its high bits are near zero: it is mixed once more."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
@@ -359,9 +363,11 @@ def _report(n_buckets: int):
         several = ids[first] != ids[last] if len(h) else np.zeros(0, bool)
         # at most 2**(counts >> 1) anchors; the lowest bit: in several documents
         counts = (2 * np.ceil(np.log2(last - first + 1)) + several).astype("u1")
-        h = h[first]
+        bucket = _buckets(h[first], n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        h, counts = h[first][order], counts[order]
         rows: list[list] = [[], [], [], []]
-        for b, s in _slices(_buckets(h, n_buckets)):
+        for b, s in _slices(bucket[order]):
             for c, v in zip(rows, (b, grp, h[s].tobytes(), counts[s].tobytes()), strict=True):
                 c.append(v)
         return _table(_HASHES, rows)
@@ -447,8 +453,10 @@ def _send(n_buckets: int):
             mine = mine[np.argsort(g.hash[mine], kind="stable")]
             grp = texts.column("__grp")[0].as_py()
             hottest, mine = mine[hot[at[mine]]], mine[~hot[at[mine]]]
-            for b, s in _slices(_buckets(g.hash[mine], n_buckets)):
-                x = mine[s]
+            bucket = _buckets(g.hash[mine], n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            for b, s in _slices(bucket[order]):
+                x = mine[order[s]]
                 pos, doc = g.pos[x], g.doc[x]
                 left, right = g.context_bounds(pos, doc)
                 blob = g.contexts(pos, left, right).tobytes()

@@ -129,3 +129,12 @@ def test_digest_of_query(spark, tmp_path):
     assert out.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     want = [(*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in brute(rows)]
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_buckets_are_even():
+    """Anchors are least hashes, so their high bits alone would fill the first bucket."""
+    rng = np.random.default_rng(0)
+    least = rng.integers(0, 1 << 63, (60_000, 31), dtype=np.uint64).min(axis=1) * np.uint64(2)
+    for n in (24, 122):
+        share = np.bincount(S._buckets(least, n), minlength=n) / len(least) * n
+        assert share.max() < 1.3 and share.min() > 0.7
