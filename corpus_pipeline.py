@@ -5,9 +5,10 @@ Every stage takes all rows that the stage before it kept and returns the
 columns of ``documents``; the last returns the packed pieces.  Stages write
 Parquet into the shared folder and the next one reads it.
 
-Null or letterless texts go in the first stage.  Rows without an id are never
-near-duplicates and stay; of rows that share an id the one with the smallest
-text stays.  Further columns, whatever their names, are carried along; an
+Null or letterless texts go in the first stage.  Rows without an id, and rows
+that share one, are rows like any other: of a group of near-duplicates the one
+with the smallest id stays (no id is the smallest, and of equal ids the row
+read first).  Further columns, whatever their names, are carried along; an
 empty table passes through every stage.
 """
 
@@ -17,7 +18,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from proselab.llm import langid, minhash, packing, pii, suffix_dedup
 from proselab.llm.common import held_out, read, saved
@@ -56,13 +56,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    marks = minhash.near_duplicates(docs, SHINGLE, SIMILAR)
-    gone = marks.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__gone"))
-    named = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = named.withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
-    return once.union(docs.filter("doc_id is null"))
+    """The first document of each group of near-duplicates.  Documents are
+    told apart by a row id of their own, so rows that share a ``doc_id`` are
+    rows like any other."""
+    rows = saved(_aside(docs).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    marks = minhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), SHINGLE, SIMILAR)
+    groups = marks.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    return _back(rows.join(first.select("first.__row"), "__row", "left_semi"), docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
