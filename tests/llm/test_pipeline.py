@@ -49,3 +49,21 @@ def test_whole_run_and_empty_table(spark, tmp_path):
     frame(spark, rows()).write.parquet(f"{tmp_path}/some/documents.parquet")
     out = C.run(spark, f"{tmp_path}/some").collect()
     assert {r["doc_id"] for r in out} == {10, 13, 14, 15, 16, 19, None}
+
+
+def test_rows_that_share_an_id_and_clashing_columns(spark):
+    """Different texts under one id all stay; columns come back as they were,
+    whatever their names."""
+    text = {i: t for i, t in rows() if t}
+    names = ["doc_id", "text", "__nth", "__gone", "__row", "masked", "__null", "component_id", "lang"]
+    some = [(1, text[10]), (1, text[13]), (2, text[11]), (None, text[19]), (None, text[14]), (3, text[14])]
+    docs = spark.createDataFrame([(i, t, 77 + k, "g", 5, "m", "n", 6, "en") for k, (i, t) in enumerate(some)], "doc_id long, text string, __nth int, __gone string, __row int, masked string, __null string, component_id int, lang string")
+    out = C.near_duplicates(spark, docs, "")
+    assert out.columns == names
+    assert sorted((r["__nth"], r["doc_id"], r["text"] == some[r["__nth"] - 77][1], *r[3:]) for r in out.collect()) == [
+        (77, 1, True, "g", 5, "m", "n", 6, "en"), (78, 1, True, "g", 5, "m", "n", 6, "en"), (80, None, True, "g", 5, "m", "n", 6, "en"), (81, None, True, "g", 5, "m", "n", 6, "en")
+    ]
+    for name, stage in C.STAGES[:-1]:
+        docs = saved(stage(spark, docs, ""), name)
+        assert docs.columns == names
+    assert {r["__nth"] for r in docs.collect()} == {77, 78, 80, 81}
