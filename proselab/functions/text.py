@@ -32,6 +32,12 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def collated(c: str | Column, collation: str | None) -> Column:
+    """A key as it is compared: byte by byte, or under ``collation``
+    (``UTF8_LCASE``: case does not count)."""
+    return F.collate(_c(c), collation) if collation else _c(c)
+
+
 def strip_ws(c: str | Column) -> Column:
     """``str.strip()``.  The regex only runs when the first or the last
     character is whitespace (otherwise there is nothing to strip), so long

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collated
 from ..schemas import CONTENT_TYPE_MAX_LEN, FEEDBACK_TYPES, MODEL_USED_MAX_LEN, ROLES
 from ..session import cut_lineage
 
@@ -36,26 +37,28 @@ def required_ok(*cols: str) -> Column:
     return reduce(lambda a, b: a & b, [F.coalesce(F.col(c), F.lit("")) != "" for c in cols])
 
 
-def key_taken(batch: DataFrame, users: DataFrame) -> DataFrame:
-    """B4 per row: (ord, taken) — e-mail OR user name already exists.
+def key_taken(batch: DataFrame, users: DataFrame, collation: str | None = None) -> DataFrame:
+    """B4 per row: (ord, taken) — e-mail OR user name already exists, compared
+    under ``collation`` if one is given.
 
     Two left joins against the *distinct* key sets (no row multiplication),
     instead of one OR-join that would plan as a nested loop."""
-    e = users.select(F.col("email").alias("_e")).distinct().withColumn("_he", F.lit(True))
-    n = users.select(F.col("username").alias("_n")).distinct().withColumn("_hn", F.lit(True))
+    e = users.select(collated("email", collation).alias("_e")).distinct().withColumn("_he", F.lit(True))
+    n = users.select(collated("username", collation).alias("_n")).distinct().withColumn("_hn", F.lit(True))
     return (
-        batch.join(e, batch["email"] == e["_e"], "left")
-        .join(n, batch["username"] == n["_n"], "left")
+        batch.join(e, collated(batch["email"], collation) == e["_e"], "left")
+        .join(n, collated(batch["username"], collation) == n["_n"], "left")
         .select("ord", (F.coalesce("_he", F.lit(False)) | F.coalesce("_hn", F.lit(False))).alias("taken"))
     )
 
 
-def reject_existing(batch: DataFrame, users: DataFrame) -> DataFrame:
-    """Drop rows whose e-mail or user name already exists (two anti-joins)."""
-    e = users.select(F.col("email").alias("_e"))
-    n = users.select(F.col("username").alias("_n"))
-    return batch.join(e, batch["email"] == e["_e"], "left_anti").join(
-        n, batch["username"] == n["_n"], "left_anti"
+def reject_existing(batch: DataFrame, users: DataFrame, collation: str | None = None) -> DataFrame:
+    """Drop rows whose e-mail or user name already exists (two anti-joins),
+    compared under ``collation`` if one is given."""
+    e = users.select(collated("email", collation).alias("_e"))
+    n = users.select(collated("username", collation).alias("_n"))
+    return batch.join(e, collated(batch["email"], collation) == e["_e"], "left_anti").join(
+        n, collated(batch["username"], collation) == n["_n"], "left_anti"
     )
 
 
@@ -210,48 +213,130 @@ def upsert_profiles(profiles: DataFrame, changes: DataFrame, seq: str = "seq") -
 
 
 # ----------------------------------------------------------- registration --
-def _accept_rounds(cand: DataFrame) -> DataFrame:
-    """Exact sequential "first come wins" on two unique keys, by rounds.
-
-    A row is accepted when it is the earliest undecided row for BOTH its
-    e-mail and its user name; undecided rows sharing a key with a newly
-    accepted row are rejected.  Repeat until nothing is undecided.  Every
-    round accepts at least the earliest undecided row, so the loop ends; it
-    runs over rounds (the length of the longest conflict chain), never over
-    rows, and no row is ever left out.  A round writes one frame, the rows
-    that were undecided with their new status, and reads only that."""
-    decided: list[DataFrame] = []
-    undecided = cut_lineage(cand)
+#: undecided rows (three numbers each) that one task decides in order
+AT_ONCE = 1_000_000
+#: parallel rounds before the conflict graph is cut into components
+PEELS = 3
+_ROW = "ord bigint, e bigint, n bigint"
+
+
+def _keyed(cand: DataFrame, collation: str | None) -> DataFrame:
+    """(ord, e, n): each key by the earliest row that carries it, so that
+    equality under any collation is equality of numbers from here on."""
+    rows = cand.select("ord", collated("email", collation).alias("_e"), collated("username", collation).alias("_n"))
+    e = rows.groupBy(F.col("_e").alias("_ge")).agg(F.min("ord").alias("e"))
+    n = rows.groupBy(F.col("_n").alias("_gn")).agg(F.min("ord").alias("n"))
+    return rows.join(e, F.col("_e") == F.col("_ge")).join(n, F.col("_n") == F.col("_gn")).select(*(F.col(c).cast("bigint") for c in ("ord", "e", "n")))
+
+
+def _peel(rows: DataFrame) -> DataFrame:
+    """The rows that come first under both of their keys."""
+    e = rows.groupBy(F.col("e").alias("_e")).agg(F.min("ord").alias("_oe"))
+    n = rows.groupBy(F.col("n").alias("_n")).agg(F.min("ord").alias("_on"))
+    first = rows.join(e, F.col("e") == F.col("_e")).join(n, F.col("n") == F.col("_n"))
+    return first.filter((F.col("ord") == F.col("_oe")) & (F.col("ord") == F.col("_on"))).select("ord", "e", "n")
+
+
+def _components(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``part``, the least ``ord`` of all rows that hang together
+    through shared keys: every step takes the least label under either key,
+    then the label of that label, so a chain halves with each step."""
+    state = cut_lineage(rows.withColumn("part", F.col("ord")))
     while True:
-        me = undecided.groupBy("email").agg(F.min("ord").alias("_me"))
-        mu = undecided.groupBy("username").agg(F.min("ord").alias("_mu"))
-        x = undecided.join(me, "email").join(mu, "username").withColumn("_won", (F.col("ord") == F.col("_me")) & (F.col("ord") == F.col("_mu")))
-        # a key whose first row won is taken from now on
-        won = x.filter("_won")
-        e = won.select(F.col("email").alias("_ae"), F.lit(True).alias("_te"))
-        u = won.select(F.col("username").alias("_au"), F.lit(True).alias("_tu"))
-        x = x.join(e, F.col("email") == F.col("_ae"), "left").join(u, F.col("username") == F.col("_au"), "left")
-        lost = F.coalesce("_te", F.lit(False)) | F.coalesce("_tu", F.lit(False))
-        status = F.when(F.col("_won"), "accepted").when(~lost, "undecided").otherwise("rejected")
-        state = cut_lineage(x.select(*cand.columns, status.alias("_status")))
-        n = state.agg(F.count_if(F.col("_status") == "accepted").alias("won"), F.count_if(F.col("_status") == "undecided").alias("left")).first()
-        decided.append(state.filter(F.col("_status") == "accepted").select(*cand.columns))
-        if not n["left"]:
-            return reduce(DataFrame.unionByName, decided)
-        if not n["won"]:  # impossible by construction; never drop rows silently
-            raise RuntimeError("registration rounds made no progress")
-        undecided = state.filter(F.col("_status") == "undecided").drop("_status")
-
-
-def register_batch(batch: DataFrame, users: DataFrame) -> DataFrame:
+        e = state.groupBy(F.col("e").alias("_e")).agg(F.min("part").alias("_pe"))
+        n = state.groupBy(F.col("n").alias("_n")).agg(F.min("part").alias("_pn"))
+        low = state.join(e, F.col("e") == F.col("_e")).join(n, F.col("n") == F.col("_n")).withColumn("_p", F.least("_pe", "_pn"))
+        low = cut_lineage(low.select("ord", "e", "n", F.col("part").alias("_old"), F.col("_p").alias("part")))
+        label = low.select(F.col("ord").alias("_at"), F.col("part").alias("_up"))
+        jumped = low.join(label, F.col("part") == F.col("_at"))
+        state = cut_lineage(jumped.select("ord", "e", "n", F.col("_up").alias("part"), (F.col("_up") != F.col("_old")).alias("_moved")))
+        if not state.filter("_moved").head(1):
+            return state.select("ord", "e", "n", "part")
+        state = state.drop("_moved")
+
+
+def _decide(parts: DataFrame) -> DataFrame:
+    """First come, first served inside each ``part``, row by row in order."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        part, taken_e, taken_n = None, set(), set()
+        for batch in batches:
+            won: list[tuple] = []
+            for o, e, n, p in zip(*(batch.column(c).to_pylist() for c in ("ord", "e", "n", "part")), strict=True):
+                if p != part:
+                    part, taken_e, taken_n = p, set(), set()
+                if e not in taken_e and n not in taken_n:
+                    taken_e.add(e)
+                    taken_n.add(n)
+                    won.append((o, e, n))
+            cols = zip(*won, strict=True) if won else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["ord", "e", "n"])
+
+    return parts.repartition("part").sortWithinPartitions("part", "ord").select("ord", "e", "n", "part").mapInArrow(run, _ROW)
+
+
+def _accepted(cand: DataFrame, collation: str | None = None, at_once: int = AT_ONCE) -> DataFrame:
+    """Exact sequential "first come wins" on two unique keys: a row is accepted
+    unless an accepted row before it has its e-mail or its user name.
+
+    A few parallel rounds accept the rows that come first under both of their
+    keys and drop those that share a key with one of them.  What is undecided
+    then is decided in order: in one task if it is at most ``at_once`` rows of
+    three numbers, otherwise component by component of the conflict graph,
+    each in one task, and of a component beyond that size its first
+    ``at_once`` rows or so, which depend on no later one; then again.  So the
+    number of rounds does not follow the length of a chain of conflicts."""
+    rows, rounds = cut_lineage(_keyed(cand, collation)), 0
+    accepted: list[DataFrame] = []
+    while True:
+        left = rows.count()
+        if left <= at_once:
+            accepted.append(_decide(rows.withColumn("part", F.lit(0).cast("bigint"))))
+            break
+        rounds += 1
+        if rounds <= PEELS:
+            won, chosen = cut_lineage(_peel(rows)), None
+        else:
+            parts = _components(rows)
+            size = parts.groupBy("part").agg(F.count(F.lit(1)).alias("_size"))
+            large = parts.join(size.filter(F.col("_size") > at_once), "part")
+            until = _until(large, at_once)
+            chosen = cut_lineage(parts.join(until, "part", "left").filter(F.col("_until").isNull() | (F.col("ord") <= F.col("_until"))).select("ord", "e", "n", "part"))
+            won = cut_lineage(_decide(chosen))
+        accepted.append(won)
+        rest = rows if chosen is None else rows.join(chosen.select("ord"), "ord", "left_anti")
+        rest = rest.join(won.select("e"), "e", "left_anti").join(won.select("n"), "n", "left_anti")
+        rows = cut_lineage(rest.select("ord", "e", "n"))
+    ords = reduce(DataFrame.unionByName, accepted).select(F.col("ord").alias("_won"))
+    return cand.join(ords, F.col("ord") == F.col("_won"), "left_semi")
+
+
+def _until(large: DataFrame, at_once: int) -> DataFrame:
+    """(part, _until): about the ``at_once``-th ``ord`` of each large part, and
+    never before its first row, from counts over ranges of ``ord``; where
+    those lie close together no range holds over half of ``at_once`` rows."""
+    span = large.groupBy("part").agg(F.min("ord").alias("_a"), F.max("ord").alias("_z"), F.max("_size").alias("_size"))
+    step = F.greatest(F.lit(1), F.floor((F.col("_z") - F.col("_a") + 1) * (at_once / 2) / F.col("_size"))).cast("bigint")
+    cell = F.floor((F.col("ord") - F.col("_a")) / F.col("_step")).cast("bigint")
+    counted = large.drop("_size").join(span.withColumn("_step", step), "part").groupBy("part", "_a", "_step", cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("part").orderBy("_cell"))
+    fits = counted.withColumn("_upto", before).filter((F.col("_upto") <= at_once) | (F.col("_upto") == F.col("_n")))
+    return fits.groupBy("part").agg(F.max(F.col("_a") + (F.col("_cell") + 1) * F.col("_step") - 1).alias("_until"))
+
+
+def register_batch(batch: DataFrame, users: DataFrame, collation: str | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """H7: validate e-mails, drop rows clashing with existing users, resolve
-    in-batch clashes in arrival order (``ord``), and emit the new user rows
-    with role 'user' (the requested role is ignored, as in the reference) and
-    language defaulting to English."""
-    cand = reject_existing(batch.filter(email_ok("email")), users).select(
+    in-batch clashes in arrival order (``ord``, unique), and emit the new user
+    rows with role 'user' (the requested role is ignored, as in the reference)
+    and language defaulting to English.  A row without a user name is
+    rejected.  Keys are compared under ``collation`` if one is given."""
+    valid = batch.filter(email_ok("email") & F.col("username").isNotNull())
+    cand = reject_existing(valid, users, collation).select(
         "ord", "username", "email", F.coalesce("language_preference", F.lit(DEFAULT_LANGUAGE)).alias("language_preference")
     )
-    acc = _accept_rounds(cand)
+    acc = _accepted(cut_lineage(cand), collation, at_once)
     return acc.select("ord", "username", "email", "language_preference", F.lit(REGISTERED_ROLE).alias("role"))
 
 

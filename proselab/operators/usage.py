@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import collated
 from ..schemas import RECENT_LOGINS, TOP_MODEL_FALLBACK
 
 ALL_DIGITS = "^[0-9]+$"
@@ -35,15 +36,17 @@ def feedback_filter(feedback: DataFrame, kind: str | None) -> DataFrame:
     return feedback.filter(F.col("feedback_type") == F.lit(kind))
 
 
-def lookup_by_key(df: DataFrame, key: str, value) -> DataFrame:
-    """B3 single-key form (pushed down to the parquet scan as an equality)."""
-    return df.filter(F.col(key) == F.lit(value))
+def lookup_by_key(df: DataFrame, key: str, value, collation: str | None = None) -> DataFrame:
+    """B3 single-key form (pushed down to the parquet scan as an equality,
+    unless it is compared under a ``collation``)."""
+    return df.filter(collated(key, collation) == F.lit(value))
 
 
-def semi_join_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFrame:
-    """B3 batch form: rows whose ``key`` appears in a key set."""
-    k = keys.select(F.col(keys_col).alias("_k")).filter(F.col("_k").isNotNull())
-    return df.join(k, df[key] == k["_k"], "left_semi")
+def semi_join_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str, collation: str | None = None) -> DataFrame:
+    """B3 batch form: rows whose ``key`` appears in a key set, compared under
+    ``collation`` if one is given."""
+    k = keys.select(collated(keys_col, collation).alias("_k")).filter(F.col("_k").isNotNull())
+    return df.join(k, collated(df[key], collation) == k["_k"], "left_semi")
 
 
 # ------------------------------------------------------------------ joins --
@@ -98,14 +101,18 @@ def text_total(texts: DataFrame) -> DataFrame:
     return texts.agg(F.count(F.lit(1)).alias("total_texts"))
 
 
-def model_counts(texts: DataFrame) -> DataFrame:
-    """D3: usage count per model (numeric names excluded)."""
-    return exclude_numeric_models(texts).groupBy("model_used").agg(F.count(F.lit(1)).alias("usage_count"))
+def model_counts(texts: DataFrame, collation: str | None = None) -> DataFrame:
+    """D3: usage count per model (numeric names excluded).  Names that are
+    equal under ``collation`` are one model, shown by its least spelling."""
+    named, n = exclude_numeric_models(texts), F.count(F.lit(1)).alias("usage_count")
+    if not collation:
+        return named.groupBy("model_used").agg(n)
+    return named.groupBy(collated("model_used", collation).alias("_k")).agg(F.min("model_used").alias("model_used"), n).drop("_k")
 
 
-def model_usage(texts: DataFrame) -> DataFrame:
+def model_usage(texts: DataFrame, collation: str | None = None) -> DataFrame:
     """Usage count per model, descending."""
-    return model_counts(texts).orderBy(F.col("usage_count").desc(), F.col("model_used"))
+    return model_counts(texts, collation).orderBy(F.col("usage_count").desc(), F.col("model_used"))
 
 
 def top_model(texts: DataFrame) -> DataFrame:

@@ -31,13 +31,20 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query registered before, for another way to its rows."""
+    return _ORACLES[name]
+
+
 def _load_all() -> None:
     # Import for side effects: each module registers its queries.
     from . import (  # noqa: F401
         q_changes,
+        q_collated,
         q_evaluate,
         q_generate,
         q_metrics,
+        q_published,
         q_readability,
         q_text,
         q_usage,

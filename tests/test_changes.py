@@ -161,3 +161,58 @@ def test_append_keeps_one_of_equal_copies(spark):
     b = spark.createDataFrame([(3, None, None, datetime(2024, 1, 5))], s)
     out = sorted(r["id"] for r in CH.dedup_append(a, b, ["user_id", "content_text"], ["created_at", "id"]).collect())
     assert out == [1, 2]
+
+
+def _chain(n):
+    """Row k shares its e-mail with the row before and its name with the one after."""
+    return [(k, f"n{(k + 1) // 2}", f"e{k // 2}@x.org", "u", None) for k in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("n,at_once", [(10_000, 1_000_000), (3_000, 5_000), (700, 60)])
+def test_long_conflict_chains_take_few_rounds(spark, monkeypatch, n, at_once):
+    """A chain of n rows, in one step, as one component, and as a component
+    that is larger than what a task decides at once."""
+    batch = _chain(n) + [(n + 10 * k, f"m{k % 50}", f"f{k % 60}@x.org", "u", None) for k in range(1, 200)]
+    random.Random(n).shuffle(batch)
+    rounds = []
+    real = CH._peel, CH._components
+    monkeypatch.setattr(CH, "_peel", lambda rows: rounds.append("peel") or real[0](rows))
+    monkeypatch.setattr(CH, "_components", lambda rows: rounds.append("parts") or real[1](rows))
+    if at_once == 5_000:  # force the way by components
+        at_once = n - 500
+    got = CH.register_batch(spark.createDataFrame(batch, REG_SCHEMA), spark.createDataFrame([], USERS_SCHEMA), at_once=at_once)
+    assert sorted(r["ord"] for r in got.collect()) == _sequential(batch, [])
+    assert len(rounds) < 20
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_components_equal_sequential_under_any_bound(spark, seed):
+    rnd = random.Random(seed)
+    batch = [(3 * k, f"user{rnd.randint(0, 40)}", f"e{rnd.randint(0, 45)}@x.org", "u", None) for k in range(150)]
+    frame = spark.createDataFrame(batch, REG_SCHEMA)
+    for at_once in (1, 12):
+        got = CH.register_batch(frame, spark.createDataFrame([], USERS_SCHEMA), at_once=at_once)
+        assert sorted(r["ord"] for r in got.collect()) == _sequential(batch, [])
+
+
+def test_a_row_without_a_name_is_rejected(spark):
+    batch = [(1, None, "a@x.org", "u", None), (2, "b", "a@x.org", "u", None), (3, "c", None, "u", None)]
+    got = CH.register_batch(spark.createDataFrame(batch, REG_SCHEMA), spark.createDataFrame([], USERS_SCHEMA))
+    assert [r["ord"] for r in got.collect()] == [2]
+
+
+def test_keys_clash_in_any_case_only_when_collated(spark):
+    from proselab.operators import usage as U
+
+    users = spark.createDataFrame([(1, "Ann", "A@x.org", "English", "user")], USERS_SCHEMA)
+    batch = spark.createDataFrame([(1, "bob", "a@X.org", "u", None), (2, "ANN", "n@x.org", "u", None), (3, "Cy", "c@x.org", "u", None), (4, "cY", "d@x.org", "u", None)], REG_SCHEMA)
+    ords = lambda df: sorted(r["ord"] for r in df.collect())
+    for collation, taken, free, new in ((None, [], [1, 2, 3, 4], [1, 2, 3, 4]), ("UTF8_LCASE", [1, 2], [3, 4], [3])):
+        assert ords(CH.key_taken(batch, users, collation).filter("taken")) == taken
+        assert ords(CH.reject_existing(batch, users, collation)) == free
+        assert ords(CH.register_batch(batch, users, collation)) == new
+        assert U.lookup_by_key(users, "email", "a@X.org", collation).count() == len(taken) // 2
+        assert U.semi_join_keys(users, "email", batch, "email", collation).count() == len(taken) // 2
+        texts = spark.createDataFrame([("T5",), ("t5",), ("7",)], "model_used string")
+        got = [tuple(r) for r in U.model_usage(texts, collation).collect()]
+        assert got == ([("T5", 2)] if collation else [("T5", 1), ("t5", 1)])
