@@ -53,22 +53,47 @@ def f_measure(ov: Column, hyp_total: Column, ref_total: Column) -> Column:
 
 
 # ----------------------------------------------------------------- LCS --
-def lcs_length_py(a, b) -> int:
-    """Bit-parallel LCS length of two token sequences."""
+#: tokens of the shorter side in one stripe of the bit table
+STRIPE = 1 << 15
+
+
+def lcs_length_py(a, b, stripe: int = STRIPE) -> int:
+    """Bit-parallel LCS length of two token sequences.
+
+    The bit vector stands over the shorter side and is worked through in
+    stripes of ``stripe`` tokens.  All that one stripe owes the next is the
+    carry of its addition at each token of the longer side, a byte a token; the
+    masks are those of a single stripe.  So memory is the two sides and at most
+    ``stripe`` masks of ``stripe`` bits, however long the texts are."""
     if a is None or b is None or len(a) == 0 or len(b) == 0:
         return 0
     if len(a) < len(b):
         a, b = b, a
-    # bit masks over the positions of the shorter sequence b
-    masks: dict = {}
-    for i, t in enumerate(b):
-        masks[t] = masks.get(t, 0) | (1 << i)
-    full = (1 << len(b)) - 1
-    v = full
-    for t in a:
-        u = v & masks.get(t, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(b) - v.bit_count()
+    carries = bytearray(len(a)) if len(b) > stripe else None
+    found = 0
+    for at in range(0, len(b), stripe):
+        part = b[at : at + stripe]
+        # bit masks over the positions of this stripe
+        masks: dict = {}
+        for i, t in enumerate(part):
+            masks[t] = masks.get(t, 0) | (1 << i)
+        width = len(part)
+        full = (1 << width) - 1
+        v, get = full, masks.get
+        if carries is None:
+            for t in a:
+                u = v & get(t, 0)
+                v = ((v + u) | (v - u)) & full
+        else:
+            for k, t in enumerate(a):
+                m = get(t, 0)
+                if m or carries[k]:
+                    u = v & m
+                    total = v + u + carries[k]
+                    carries[k] = total >> width
+                    v = (total | (v - u)) & full
+        found += width - v.bit_count()
+    return found
 
 
 _ROUGE_COUNTS = ("hn", "rn", "ov1", "ov2", "lcs")
@@ -214,6 +239,31 @@ def _block_best(hp: pd.Series, hv: pd.Series, rp: pd.Series, rv: pd.Series) -> p
     return pd.Series(out, dtype=object)
 
 
+#: blocks along one side of a cell of the grid that a pair is cut into
+CELL = 8
+
+
+def _cells(token_vectors: DataFrame, block: int, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """(block pairs, blocks of one-sided pairs): every hypothesis block beside
+    every reference block of its pair.  A pair is a grid of blocks, cut into
+    cells of ``cell`` x ``cell``; blocks go to the cells of their row or column
+    and meet there, so what one key brings together is bounded whatever the
+    length of a pair."""
+    tv = token_vectors.select("pid", "side", F.col("pos").cast("long").alias("pos"), "vec")
+    blocks = (
+        tv.groupBy("pid", "side", F.floor(F.col("pos") / F.lit(block)).alias("_b"))
+        .agg(F.collect_list(F.struct("pos", _unit(F.col("vec")).alias("u"))).alias("_items"))
+        .withColumn("_own", F.floor(F.col("_b") / F.lit(cell)))
+    )
+    sides = blocks.groupBy("pid").agg(*(F.collect_set(F.when(F.col("side") == s, F.col("_own"))).alias(f"_{s}") for s in ("hyp", "ref")))
+    # one row a pair joins its blocks: AQE splits a pair of many blocks
+    other = blocks.join(sides.withColumnRenamed("pid", "_pid"), F.col("pid") == F.col("_pid"))
+    h = other.filter(F.col("side") == "hyp").select("pid", F.col("_own").alias("_i"), F.explode("_ref").alias("_j"), F.col("_items").alias("_h"))
+    r = other.filter(F.col("side") == "ref").select("pid", F.explode("_hyp").alias("_i"), F.col("_own").alias("_j"), F.col("_items").alias("_r"))
+    alone = other.filter((F.size("_hyp") == 0) | (F.size("_ref") == 0)).select("pid", "side", "_items")
+    return h.join(r, ["pid", "_i", "_j"]), alone
+
+
 def soft_match(token_vectors: DataFrame, block: int = 256) -> DataFrame:
     """J7 (re-aimed BERTScore): greedy soft matching of given token vectors.
 
@@ -223,19 +273,16 @@ def soft_match(token_vectors: DataFrame, block: int = 256) -> DataFrame:
     are 0, and it keeps its row.
 
     Input: pid, side ('hyp'/'ref'), pos (position of the occurrence within its
-    side), vec.  A side is cut into blocks of ``block`` positions (dealt on
-    pid, side and block, so a long pair is spread), and blocks are joined
-    block x block within the pair: one row per block pair, one bounded
-    similarity matrix with numpy inside the task, and one row per token and
-    block pair out of it, of which the maximum combines before the shuffle."""
-    tv = token_vectors.select("pid", "side", F.col("pos").cast("long").alias("pos"), "vec")
-    blocks = (
-        tv.groupBy("pid", "side", F.floor(F.col("pos") / F.lit(block)).alias("_b"))
-        .agg(F.collect_list(F.struct("pos", _unit(F.col("vec")).alias("u"))).alias("_items"))
-    )
-    h = blocks.filter(F.col("side") == "hyp").select("pid", F.col("_items").alias("_h"))
-    r = blocks.filter(F.col("side") == "ref").select("pid", F.col("_items").alias("_r"))
-    met = h.join(r, "pid", "full_outer").select("pid", _block_best(F.col("_h.pos"), F.col("_h.u"), F.col("_r.pos"), F.col("_r.u")).alias("_best"))
+    side), vec.  A side is cut into blocks of ``block`` positions, dealt on
+    pid, side and block, and the blocks of a pair meet in the cells of a grid
+    (``_cells``), dealt on pid, row and column, so one long pair is spread over
+    many tasks.  A block pair is one bounded similarity matrix with numpy
+    inside the task; of its one row a token the maximum combines before the
+    shuffle."""
+    pairs, alone = _cells(token_vectors, block)
+    met = pairs.select("pid", _block_best(F.col("_h.pos"), F.col("_h.u"), F.col("_r.pos"), F.col("_r.u")).alias("_best"))
+    nothing = F.transform("_items", lambda x: F.struct(F.col("side"), x["pos"].alias("pos"), F.lit(0.0).alias("best")))
+    met = met.union(alone.select("pid", nothing))
     per_block = met.select("pid", F.explode_outer("_best").alias("z")).filter(F.col("z").isNotNull())
     per_token = per_block.groupBy("pid", F.col("z.side").alias("side"), F.col("z.pos").alias("pos")).agg(F.max("z.best").alias("best"))
     p, q = (F.coalesce(F.avg(F.when(F.col("side") == s, F.col("best"))), F.lit(0.0)) for s in ("hyp", "ref"))

@@ -161,3 +161,50 @@ def test_stemmed_queries_match_brute_force(spark):
         exp = pyref.rouge(t["input_text"], t["content_text"], stem=True)
         r = got[t["id"]]
         assert (r["rouge1_f"], r["rouge2_f"], r["rougeL_f"]) == pytest.approx(exp, abs=1e-6)
+
+
+@given(st.lists(st.sampled_from("abcde"), max_size=40), st.lists(st.sampled_from("abcdef"), max_size=40), st.integers(1, 9))
+def test_striped_lcs_equals_dp(a, b, stripe):
+    assert M.lcs_length_py(a, b, stripe) == pyref.lcs_dp(a, b)
+
+
+def test_lcs_of_a_million_words_in_bounded_memory():
+    """100,000 distinct words in a million: one mask a word over the whole
+    text would take gigabytes."""
+    import random
+    import tracemalloc
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(100_000)]
+    kept = [rnd.choice(words) for _ in range(250_000)]
+    b = kept[:]
+    a = []
+    for w in kept:  # every fourth word is one of b's, in order; the others are strangers
+        a += [w, "x1", "x2", "x3"]
+    tracemalloc.start()
+    got = M.lcs_length_py(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(b) and len(a) == 1_000_000
+    assert peak < 300 << 20
+
+
+def test_soft_match_spreads_a_hot_pair(spark):
+    """One pair with most of the tokens: no cell holds more than CELL x CELL
+    block pairs, and the scores are those of the brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(1, s, i, rng.normal(size=4).tolist()) for s, n in (("hyp", 130), ("ref", 90)) for i in range(n)]
+    rows += [(2, "hyp", 0, [1.0, 0.0, 0.0, 0.0]), (2, "ref", 0, [1.0, 1.0, 0.0, 0.0]), (3, "hyp", 5, [1.0, 0.0, 0.0, 0.0]), (4, "ref", 1000, [0.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "pid long, side string, pos long, vec array<double>")
+    pairs, alone = M._cells(df, 2)
+    cells = {tuple(r)[:3]: r["n"] for r in pairs.groupBy("pid", "_i", "_j").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(cells.values()) <= M.CELL**2 and sum(v for k, v in cells.items() if k[0] == 1) == 65 * 45
+    assert len([k for k in cells if k[0] == 1]) == 9 * 6 and sorted(r["pid"] for r in alone.collect()) == [3, 4]
+    unit = {s: np.array([v for p, t, _, v in rows if p == 1 and t == s]) for s in ("hyp", "ref")}
+    unit = {s: v / np.linalg.norm(v, axis=1, keepdims=True) for s, v in unit.items()}
+    sim = unit["hyp"] @ unit["ref"].T
+    out = {r["pid"]: r for r in M.soft_match(df, block=2).collect()}
+    assert abs(out[1]["soft_p"] - sim.max(axis=1).mean()) < 1e-9 and abs(out[1]["soft_r"] - sim.max(axis=0).mean()) < 1e-9
+    assert (out[3]["soft_f"], out[4]["soft_f"]) == (0.0, 0.0) and len(out) == 4
