@@ -58,8 +58,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates.  Documents are
     told apart by a row id of their own, so rows that share a ``doc_id`` are
-    rows like any other."""
-    rows = saved(_aside(docs).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows like any other.  The id is a row's place in the scan: a stage's input
+    is a written table, whose splits and order are the same at every reading."""
+    rows = _aside(docs).withColumn("__row", F.monotonically_increasing_id())
     marks = minhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), SHINGLE, SIMILAR)
     groups = marks.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
     first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
