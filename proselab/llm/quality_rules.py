@@ -6,12 +6,18 @@ digits, repeated words ...).  Viterbi decoding labels the line sequence as
 content or boilerplate; a text is kept if it passes the base rules and at
 least ``min_content`` of its words stand on content lines.
 
-The field is fitted by gradient ascent on the conditional likelihood, on the
-lines of a bounded sample of labelled documents (``sample_docs``): lines of
-good documents count as content, lines of bad ones as boilerplate.
-
-Null and empty texts have no words, so they fail the base rules; without any
-labelled document the fixed prior weights are used.
+Only documents are labelled, so the labels of lines are latent: a line of a
+good document is content, and one of a bad document boilerplate, with odds of
+``EVIDENCE`` nats, and the field is fitted by gradient ascent on the likelihood
+of that evidence, summed over all labellings.  So prose in a bad document may
+be content, and a menu in a good one boilerplate.  Transitions stay within
+``STEP_CAP``, or one long document would settle all its lines alike.  Learning
+takes a bounded sample: at most about ``sample_docs`` documents, and of each the
+middle ``SAMPLE_LINES`` lines.  Every line of every text is labelled.
+
+Null and empty texts, and an empty table's none, have no words, so they fail
+the base rules; without any labelled document the fixed prior weights are used.
+Repeated rows are judged alike, one row each; further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +38,12 @@ MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent
 #: labelled documents that the field is fitted on, at most
 SAMPLE_DOCS = 1200
+#: lines of such a document, at most
+SAMPLE_LINES = 256
+#: log-odds that a line has the label of its document
+EVIDENCE = 1.5
+#: weights of transitions are at most this, and at least minus this
+STEP_CAP = 0.5
 MIN_CONTENT = 0.5
 #: shares of characters are taken times this, up to 1
 SHARE_SCALE = 5
@@ -220,49 +232,62 @@ def viterbi(features: np.ndarray, line_doc: np.ndarray, field: Field) -> np.ndar
     return labels
 
 
-def train(features: np.ndarray, line_doc: np.ndarray, label: np.ndarray, rounds: int = 300) -> Field:
-    """Maximum conditional likelihood with a quadratic prior, by Adam."""
+def marginals(features: np.ndarray, steps: list[np.ndarray], w: np.ndarray, t: np.ndarray, hint: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward: each line's probability of boilerplate, and the
+    expected number of each transition; ``hint`` is added to the scores."""
+    score = features @ w if hint is None else features @ w + hint
+    emit, trans = np.exp(np.clip(score, -30, 30)), np.exp(t)
+    alpha, beta = np.zeros((len(score), 2)), np.ones((len(score), 2))
+    for i, at in enumerate(steps):
+        alpha[at] = alpha[steps[i - 1][: len(at)]] @ trans if i else 1
+        alpha[at, 1] *= emit[at]
+        alpha[at] /= alpha[at].sum(axis=1, keepdims=True)
+    pairs = np.zeros((2, 2))
+    for i in range(len(steps) - 1, 0, -1):
+        at = steps[i]
+        before = steps[i - 1][: len(at)]
+        after = beta[at] * np.stack([np.ones(len(at)), emit[at]], axis=1)
+        both = alpha[before][:, :, None] * trans * after[:, None, :]
+        pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        beta[before] = after @ trans.T
+        beta[before] /= beta[before].sum(axis=1, keepdims=True)
+    post = alpha * beta
+    return post[:, 1] / post.sum(axis=1), pairs
+
+
+def train(
+    features: np.ndarray, line_doc: np.ndarray, label: np.ndarray, rounds: int = 300, evidence: float | None = None, cap: float = np.inf
+) -> Field:
+    """Maximum conditional likelihood with a quadratic prior, by Adam.
+
+    ``label`` holds the labels of the lines.  With ``evidence`` they are only
+    log-odds for one, and the likelihood sums over all labellings; ``cap``
+    bounds the transitions."""
     if not len(label) or len(np.unique(label)) < 2:
         return PRIOR
     steps = _steps(line_doc)
     n = len(label)
     w, t = np.zeros(features.shape[1]), np.zeros((2, 2))
     mean, var = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
-    pairs = np.zeros((2, 2))
+    given, pairs = label, np.zeros((2, 2))
     for a, b in zip(steps, steps[1:], strict=False):
         np.add.at(pairs, (label[a[: len(b)]], label[b]), 1)
+    hint = None if evidence is None else np.where(label == BOILERPLATE, evidence, -evidence)
     for k in range(1, rounds + 1):
-        emit = np.exp(np.clip(features @ w, -30, 30))
-        trans = np.exp(t)
-        alpha, beta = np.zeros((n, 2)), np.ones((n, 2))
-        for i, at in enumerate(steps):
-            if i:
-                alpha[at] = alpha[steps[i - 1][: len(at)]] @ trans
-            else:
-                alpha[at] = 1
-            alpha[at, 1] *= emit[at]
-            alpha[at] /= alpha[at].sum(axis=1, keepdims=True)
-        got = np.zeros((2, 2))
-        for i in range(len(steps) - 1, 0, -1):
-            at = steps[i]
-            before = steps[i - 1][: len(at)]
-            after = beta[at] * np.stack([np.ones(len(at)), emit[at]], axis=1)
-            both = alpha[before][:, :, None] * trans * after[:, None, :]
-            got += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            beta[before] = after @ trans.T
-            beta[before] /= beta[before].sum(axis=1, keepdims=True)
-        post = alpha * beta
-        post /= post.sum(axis=1, keepdims=True)
-        grad = np.r_[(features.T @ (label - post[:, 1])), (pairs - got).ravel()] / n - PENALTY * np.r_[w, t.ravel()]
+        if hint is not None:
+            given, pairs = marginals(features, steps, w, t, hint)
+        post, got = marginals(features, steps, w, t)
+        grad = np.r_[features.T @ (given - post), (pairs - got).ravel()] / n - PENALTY * np.r_[w, t.ravel()]
         mean, var = 0.9 * mean + 0.1 * grad, 0.999 * var + 0.001 * grad**2
         move = 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(var / (1 - 0.999**k)) + 1e-9)
-        w, t = w + move[: len(w)], t + move[len(w) :].reshape(2, 2)
+        w, t = w + move[: len(w)], np.clip(t + move[len(w) :].reshape(2, 2), -cap, cap)
     return Field(w, t)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
     """Fit on at most about ``sample_docs`` labelled documents, taken by a
-    hash of the id; only their lines' features reach the driver."""
+    hash of the id; only the features of at most ``SAMPLE_LINES`` lines of
+    each reach the driver."""
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = good.count()
     if not n:
@@ -273,7 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> F
     def fn(texts: list[str]) -> dict:
         c = count(texts)
         cut = np.searchsorted(c.line_doc, np.arange(len(texts) + 1))
-        return {"lines": [c.features[a:b].ravel() for a, b in zip(cut[:-1], cut[1:], strict=True)]}
+        spare = np.maximum(0, np.diff(cut) - SAMPLE_LINES)
+        begin, end = cut[:-1] + spare // 2, cut[1:] - (spare - spare // 2)
+        return {"lines": [c.features[a:b].ravel() for a, b in zip(begin, end, strict=True)]}
 
     rows = map_texts(sample, fn, "lines array<double>", ("doc_id", "quality")).orderBy("doc_id").collect()
     each = [np.array(r["lines"]).reshape(-1, len(FEATURES)) for r in rows]
@@ -281,7 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> F
         return PRIOR
     sizes = [len(x) for x in each]
     label = np.repeat([BOILERPLATE if r["quality"] == 0 else CONTENT for r in rows], sizes)
-    return train(np.concatenate(each), np.repeat(np.arange(len(each)), sizes), label)
+    return train(np.concatenate(each), np.repeat(np.arange(len(each)), sizes), label, evidence=EVIDENCE, cap=STEP_CAP)
 
 
 def judge(docs: DataFrame, field: Field, min_content: float = MIN_CONTENT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

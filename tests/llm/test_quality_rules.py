@@ -72,3 +72,75 @@ def test_clean_documents_stay_and_junk_goes(spark):
 def test_fit_without_labels(spark):
     docs = frame(spark, awkward_rows())
     assert Q.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is Q.PRIOR
+
+
+def test_marginals_equal_the_sum_over_all_labellings():
+    rng = np.random.default_rng(3)
+    doc = np.repeat(np.arange(4), [1, 5, 3, 4])
+    x, w, t, hint = rng.normal(size=(len(doc), 3)), rng.normal(size=3), rng.normal(size=(2, 2)), rng.normal(size=len(doc))
+    post, pairs = Q.marginals(x, Q._steps(doc), w, t, hint)
+    want, want_pairs = np.zeros(len(doc)), np.zeros((2, 2))
+    for d in range(4):
+        at = np.flatnonzero(doc == d)
+        all_y = list(itertools.product((0, 1), repeat=len(at)))
+        p = np.array([np.exp(sum((x[i] @ w + hint[i]) * k for i, k in zip(at, y, strict=True)) + sum(t[a, b] for a, b in itertools.pairwise(y))) for y in all_y])
+        for y, share in zip(all_y, p / p.sum(), strict=True):
+            want[at] += share * np.array(y)
+            for a, b in itertools.pairwise(y):
+                want_pairs[a, b] += share
+    assert np.allclose(post, want)
+    assert np.allclose(pairs, want_pairs)
+
+
+def test_latent_labels_differ_from_the_documents():
+    """One line in five of either kind of document is of the other kind."""
+    rng = np.random.default_rng(4)
+    doc, kind = np.repeat(np.arange(200), 10), np.repeat(rng.integers(0, 2, 200), 10)
+    line = np.where(np.tile(np.arange(10) < 2, 200), 1 - kind, kind)
+    x = np.stack([np.ones(2000), line + rng.normal(0, 0.15, 2000)], axis=1)
+    field = Q.train(x, doc, kind, evidence=Q.EVIDENCE, cap=Q.STEP_CAP)
+    assert (Q.viterbi(x, doc, field) == line).mean() > 0.98
+    assert np.abs(field.step).max() <= Q.STEP_CAP
+
+
+PROSE = "The river runs past the old mill and then through the quiet town.\nPeople walk along it in the evening when the light is soft.\nNobody there remembers who had built the bridge, or why it leans."
+MENU = "HOME!! NEWS!! SHOP!! CONTACT!! LOGIN!!\nhome | about | login | cart | help | terms |\nBUY!! NOW!! SALE!! SALE!! ENDS!! TODAY!!"
+
+
+def test_a_mixed_text_gets_two_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    field = Q.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    c = Q.count([f"{PROSE}\n{MENU}", f"{MENU}\n{PROSE}\n{MENU}"])
+    assert Q.viterbi(c.features, c.line_doc, field).tolist() == [0, 0, 0, 1, 1, 1] + [1, 1, 1, 0, 0, 0, 1, 1, 1]
+    out = Q.judge(spark.read.parquet(f"{sf}/documents.parquet"), field)
+    assert out.filter("content_share > 0 and content_share < 1").count() > 20
+
+
+def test_verdicts_equal_all_labellings(spark):
+    """content_share and kept of the awkward rows, text by text, with every
+    labelling of up to ten lines tried."""
+    texts = [t for _, t in awkward_rows() if t] + [PROSE, MENU, f"{MENU}\n{PROSE}", f"{PROSE}\n\n{MENU}\n{PROSE}"]
+    out = {r["doc_id"]: r for r in Q.judge(frame(spark, list(enumerate(texts))), Q.PRIOR).collect()}
+    for i, text in enumerate(texts):
+        c = Q.count([text])
+        score = c.features @ Q.PRIOR.weight
+
+        def value(y, score=score):
+            return score @ np.array(y) + sum(Q.PRIOR.step[a, b] for a, b in itertools.pairwise(y))
+
+        best = max(itertools.product((0, 1), repeat=len(score)), key=value)
+        share = sum(int(n) for n, k in zip(c.line_words, best, strict=True) if k == Q.CONTENT) / max(1, base(text)[0])
+        assert abs(out[i]["content_share"] - share) < 1e-12
+        assert out[i]["kept"] == (not base(text)[-1] and share >= Q.MIN_CONTENT)
+
+
+def test_long_documents_are_labelled_whole_and_sampled_in_part(spark):
+    """Over a million characters; learning takes SAMPLE_LINES of its lines."""
+    long = "\n".join([f"stone{i} river{i} cloud{i} winter{i} garden{i} simple{i} light{i}" for i in range(12000)] + [MENU] * 4000)
+    assert len(long) > 1_000_000
+    docs = frame(spark, [(1, long), (2, MENU), (3, None)])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert Q.fit(docs, labels).weight.shape == (len(Q.FEATURES),)
+    row = Q.judge(docs, Q.PRIOR).filter("doc_id = 1").first()
+    assert row["n_words"] == len(re.findall(BLANKS, long))
+    assert 0 < row["content_share"] < 1
