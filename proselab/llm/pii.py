@@ -8,15 +8,22 @@ carries, for every character it puts out, the source span it came from:
    Greek look-alikes, other decimal digits; invisible characters vanish;
 2. disguised addresses: ``[at]``, ``[@]``, ``(dot)``, ``[.]`` and the like, and
    `` at `` or a spaced ``@`` when a disguised dot follows; disguised dots
-   before the at as well;
-3. spelled digits: runs of at least eight digits or four dotted groups.
+   before the at as well; then the same with the Spanish, French and German
+   words, whose spaced dots count only next to one of their at words;
+3. dotted numbers: four groups of digits with a disguised dot between any two;
+4. spelled digits, in English, German, French and Spanish, ``double`` and
+   ``triple`` included: runs of at least eight digits or four dotted groups.
 
 The same detectors then run on the rewritten text.  A span is added when the
 rewriting touched it and no span found in the plain text contains it; the
 plain ones stay, so a span and its undisguised part may both be reported.
 
 Spans are ``kind:start:end`` in code points, end exclusive, sorted by kind
-(email, ip, card, phone) and start.  A null or empty text has none.
+(email, ip, card, phone) and start.  A null or empty text has none, an empty
+table gives no rows, repeated rows are searched alike, one row each.  Further
+columns are not read.  A text of any length is searched whole; every pattern
+is linear in it, and the source map takes 16 bytes a character while it is
+rewritten.
 """
 
 from __future__ import annotations
@@ -39,7 +46,6 @@ Span = tuple[int, int]
 
 # an address is found from its @: the local part is the run before it, so no
 # run is read twice; digits never begin inside a run of digits
-LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -144,20 +150,38 @@ def homoglyphs(m: Mapped) -> list[tuple[int, int, str]]:
     return [(x.start(), x.end(), new) for x in STRANGE.finditer(m.text) if (new := plain_letter(x.group())) != x.group()]
 
 
+#: fixed values: words for the signs; French dots are common words of prose
+AT_WORDS, DOT_WORDS = ("arroba", "arobase", "klammeraffe"), ("dot", "point", "punkt", "punto")
+_ATS, _DOTS = "|".join(AT_WORDS), "|".join(DOT_WORDS)
 _OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|\s{{1,3}}dot\s{{1,3}})"
-HIDDEN = re.compile(
-    rf"(?i)(?P<at>{_OPEN}(?:at|@){_CLOSE}|\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}})(?P<host>[a-z0-9-]+(?:(?:{_DOT}|\.)[a-z0-9-]+)+)"
-)
-DOT = re.compile(rf"(?i){_DOT}")
-DOT_BEFORE = re.compile(rf"(?i){_DOT}\Z")
+_IN_BRACKETS = rf"{_OPEN}(?:{_DOTS}|\.){_CLOSE}"
 #: characters of the longest disguised dot
-DOT_CHARS = 17
+DOT_CHARS = 14 + max(map(len, DOT_WORDS))
 BRACKET = re.compile(r"[\[({<]")
-HIDDEN_HINT = re.compile(r"(?i)[\[({<]\s{0,3}(?:at|dot|@|\.)\s{0,3}[\])}>]|\sdot\s")
 
 
-def dots_before(text: str, at: int, floor: int) -> list[tuple[int, int]]:
+class Disguise(NamedTuple):
+    """Patterns of a disguised address: the at with the host after it, and a
+    disguised dot, anywhere and at the end."""
+
+    hidden: re.Pattern
+    dot: re.Pattern
+    dot_before: re.Pattern
+
+    @classmethod
+    def of(cls, at: str, dot_words: str) -> Disguise:
+        dot = rf"(?:{_IN_BRACKETS}|\s{{1,3}}(?:{dot_words})\s{{1,3}})"
+        host = rf"(?P<host>[a-z0-9-]+(?:(?:{dot}|\.)[a-z0-9-]+)+)"
+        return cls(*(re.compile(f"(?i){x}") for x in (rf"(?P<at>{at}){host}", dot, rf"{dot}\Z")))
+
+
+ENGLISH = Disguise.of(rf"{_OPEN}(?:at|@){_CLOSE}|\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}}", "dot")
+OTHERS = Disguise.of(rf"{_OPEN}(?:{_ATS}){_CLOSE}|\s{{1,3}}(?:{_ATS})\s{{1,3}}", _DOTS)
+HIDDEN_HINT = re.compile(rf"(?i)[\[({{<]\s{{0,3}}(?:at|@|\.|{_DOTS})\s{{0,3}}[\])}}>]|\sdot\s")
+OTHERS_HINT = re.compile(rf"(?i)(?<![^\s\[({{<])(?:{_ATS})(?![^\s\])}}>])")
+
+
+def dots_before(text: str, at: int, floor: int, dot_before: re.Pattern) -> list[tuple[int, int]]:
     """Disguised dots in the local part that ends at ``at``, in order; what
     lies before ``floor`` belongs to another address."""
     out: list[tuple[int, int]] = []
@@ -165,7 +189,7 @@ def dots_before(text: str, at: int, floor: int) -> list[tuple[int, int]]:
         while at > floor and text[at - 1] in LOCAL_CHARS:
             at -= 1
         begin = max(floor, at - DOT_CHARS)
-        d = DOT_BEFORE.search(text[begin:at])
+        d = dot_before.search(text[begin:at])
         a = begin + d.start() if d else 0
         if not d or a <= floor or text[a - 1] not in LOCAL_CHARS:
             return out[::-1]
@@ -173,15 +197,15 @@ def dots_before(text: str, at: int, floor: int) -> list[tuple[int, int]]:
         at = a
 
 
-def addresses(m: Mapped) -> list[tuple[int, int, str]]:
+def addresses(m: Mapped, how: Disguise = ENGLISH) -> list[tuple[int, int, str]]:
     out, floor = [], 0
-    for x in HIDDEN.finditer(m.text):
-        at, dots = x["at"], [d.span() for d in DOT.finditer(m.text, *x.span("host"))]
+    for x in how.hidden.finditer(m.text):
+        at, dots = x["at"], [d.span() for d in how.dot.finditer(m.text, *x.span("host"))]
         before = m.text[x.start() - 1 : x.start()]
         if not (before and before in LOCAL_CHARS):
             continue
-        local = dots_before(m.text, x.start(), floor)
-        if not dots and not BRACKET.search(at) and not (local if at == "@" else any(BRACKET.search(m.text, *d) for d in local)):
+        local = dots_before(m.text, x.start(), floor, how.dot_before)
+        if how is ENGLISH and not dots and not BRACKET.search(at) and not (local if at == "@" else any(BRACKET.search(m.text, *d) for d in local)):
             continue  # a plain address, or the word "at" in prose
         out += [(*d, ".") for d in local]
         if at != "@":
@@ -191,25 +215,54 @@ def addresses(m: Mapped) -> list[tuple[int, int, str]]:
     return out
 
 
-#: fixed values
-DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]{{1,2}}|\+\s?)?(?:{_WORD}|[0-9]{{1,4}})(?:[\s,.-]{{1,2}}(?:{_WORD}|dot|point|[0-9]{{1,4}}))+(?!\w)")
-SPELLED_HINT = re.compile(rf"(?i)(?<!\w){_WORD}[\s,.-]{{1,2}}(?:{_WORD}|dot|point|[0-9])")
-TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[+.]")
+def other_addresses(m: Mapped) -> list[tuple[int, int, str]]:
+    return addresses(m, OTHERS)
+
+
+_ANY_DOT = rf"(?:{_IN_BRACKETS}|\s{{1,3}}(?:{_DOTS})\s{{1,3}})"
+DOTTED = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:{_ANY_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
+DOTTED_HINT = re.compile(rf"(?i)(?:{_IN_BRACKETS}|\s(?:{_DOTS})\s{{1,3}})[0-9]")
+ANY_DOT = re.compile(rf"(?i){_ANY_DOT}")
+
+
+def dotted(m: Mapped) -> list[tuple[int, int, str]]:
+    return [(*d.span(), ".") for x in DOTTED.finditer(m.text) for d in ANY_DOT.finditer(m.text, *x.span())]
+
+
+#: fixed values: number words by language, from zero
+DIGIT_WORDS = (
+    ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"),
+    ("null", "eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun"),
+    ("zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"),
+    ("cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"),
+)
+#: fixed values: other spellings, signs, and words that repeat the next digit
+OTHER_WORDS = {"oh": "0", "zwo": "2", "plus": "+", "más": "+", "mas": "+"} | dict.fromkeys(DOT_WORDS, ".")
+TIMES = {"double": 2, "doppel": 2, "doble": 2, "triple": 3}
+WORD_VALUE = OTHER_WORDS | {w: str(i) for words in DIGIT_WORDS for i, w in enumerate(words)}
+_WORD = "(?:" + "|".join(w for w, v in WORD_VALUE.items() if v.isdigit()) + ")"
+_UNIT = rf"(?:(?:{'|'.join(TIMES)})[\s-]{{1,2}})?(?:{_WORD}|[0-9]{{1,4}})(?!\w)"
+SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus|m[aá]s)[\s-]{{1,2}}|\+\s?)?{_UNIT}(?:[\s,.-]{{1,2}}(?:{_UNIT}|(?:{_DOTS})(?!\w)))+")
+SPELLED_HINT = re.compile(rf"(?i)(?<!\w){_WORD}[\s,.-]{{1,2}}(?:{_UNIT}|{_DOTS})")
+TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[+.]")
 
 
 def spelled(m: Mapped) -> list[tuple[int, int, str]]:
     out = []
     for x in SPELLED.finditer(m.text):
-        words, digits, dots = [], 0, 0
+        words, digits, dots, times, begin = [], 0, 0, 1, -1
         for t in TOKEN.finditer(x.group()):
             w = t.group().lower()
-            new = "+" if w == "plus" else "." if w in ("dot", "point") else "0" if w == "oh" else w
-            new = str(DIGIT_WORDS.index(w)) if w in DIGIT_WORDS else new
+            begin = x.start() + t.start() if begin < 0 else begin
+            if w in TIMES:
+                times = TIMES[w]
+                continue
+            new = WORD_VALUE.get(w, w)
+            new = new[0] * (times - 1) + new
             digits += new.isdigit() * len(new)
             dots += new == "."
-            words.append((x.start() + t.start(), x.start() + t.end(), new))
+            words.append((begin, x.start() + t.end(), new))
+            times, begin = 1, -1
         if digits < 8 and dots < 3:
             continue
         # one rewrite for each word and the separators after it
@@ -221,6 +274,8 @@ def spelled(m: Mapped) -> list[tuple[int, int, str]]:
 STEPS: tuple[tuple[re.Pattern, Callable[[Mapped], list]], ...] = (
     (STRANGE, homoglyphs),
     (HIDDEN_HINT, addresses),
+    (OTHERS_HINT, other_addresses),
+    (DOTTED_HINT, dotted),
     (SPELLED_HINT, spelled),
 )
 
@@ -312,11 +367,14 @@ def mask_text(text: str) -> str:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` masked, all other columns as they are; a null
-    text stays null."""
+    """``docs`` with ``text`` masked, all other columns as they are, whatever
+    their names; a null text stays null."""
     from pyspark.sql import functions as F
 
-    others = tuple(c for c in docs.columns if c != "text")
-    marked = docs.withColumn("__null", F.col("text").isNull())
-    out = map_texts(marked, lambda ts: {"masked": [mask_text(t) for t in ts]}, "masked string", (*others, "__null"))
-    return out.select(*(F.when(~F.col("__null"), F.col("masked")).alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    others = [c for c in docs.columns if c != "text"]
+    aside = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("others")] if others else []
+    packed = docs.select("text", F.struct(F.col("text").isNull().alias("none"), *aside).alias("aside"))
+    out = map_texts(packed, lambda ts: {"masked": [mask_text(t) for t in ts]}, "masked string", ("aside",))
+    aside = F.col("aside")
+    text = F.when(~aside["none"], F.col("masked")).alias("text")
+    return out.select(*(text if c == "text" else aside["others"][c].alias(c) for c in docs.columns))

@@ -115,3 +115,37 @@ def test_awkward_rows(spark):
     assert masked[800]["text"] == "<EMAIL> <EMAIL> <IP>, <CARD>, <PHONE>" and masked[800]["score"] == "x"
     assert masked[0]["text"] is None
     assert P.find(frame(spark, [])).collect() == [] and P.mask(frame(spark, [])).collect() == []
+
+
+def test_disguised_dots_in_numbers():
+    for t in ("192[.]168[.]1[.]10", "192 dot 168 dot 1 dot 10", "10(dot)0(dot)0(dot)1", "192.168[.]1.10", "10 punto 0 punto 0 punto 1", "10 { point } 0.0.1"):
+        assert found(f"host {t} is up") == {"ip": [t]}, t
+        assert P.mask_text(f"host {t} is up") == "host <IP> is up"
+    for t in ("version 1[.]2[.]3", "1 point 5 point 2", "300[.]1[.]1[.]1", "1 dot 2 dot 3", "1[.]2[.]3[.]4000"):
+        assert found(t) == {}, t
+
+
+def test_words_of_other_languages():
+    for t in ("ana arroba correo punto es", "jean point dupont arobase mail point fr", "max [klammeraffe] web [punkt] de", "ana (arroba) correo.es", "a.b [at] web [punkt] de"):
+        assert found(f"an: {t}, ok") == {"email": [t]}, t
+    for t in (
+        "plus four four double zero seven seven one two three four five", "plus vier neun drei null eins zwei drei vier fünf",
+        "plus trois trois un deux trois quatre cinq six sept", "más tres cuatro seis cero cero uno dos tres cuatro", "+4 triple zero 1234 zwo",
+    ):
+        assert found(f"({t})") == {"phone": [t]}, t
+    for t in (
+        "he arrived at this point and left", "at that point com", "una arroba de trigo", "un punto y aparte", "dos o tres casas, cuatro o cinco perros",
+        "un deux trois quatre cinq six sept huit", "der Punkt ist klar", "double or triple", "double six seven",
+    ):
+        assert found(t) == {}, t
+    for t in ("a punto " * 40_000 + "b arroba c punto d", "arroba " * 60_000, "1 dot " * 60_000, "double " * 60_000, "double one " * 30_000, "a[punkt]" * 40_000 + "b[arroba]c.d"):
+        P.find_all(t)
+
+
+def test_mask_keeps_columns_of_any_name(spark):
+    row = ("m", "n", "t", "o", 7, "a.b@c.de", "d")
+    df = spark.createDataFrame([row, (*row[:5], None, "d")], "masked string, `__null` string, `__text` string, aside string, others int, text string, `a.b` string")
+    out = P.mask(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(*row[:5], "<EMAIL>", "d"), (*row[:5], None, "d")], key=repr)
+    assert [tuple(r) for r in P.mask(df.select("text")).collect()] == [("<EMAIL>",), (None,)]
