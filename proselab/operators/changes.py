@@ -97,44 +97,103 @@ def _audit_table(
     return agg.selectExpr(f"'{table}' AS table_name", f"stack({len(out)}, {stack}) AS (rule, violations)")
 
 
+def _audit_rules() -> dict[str, dict[str, Column]]:
+    """The row rules of the three tables with declared DDL; each also has a
+    primary key ``id`` and a foreign key ``user_id``."""
+    nn = lambda c: F.col(c).isNull()
+    return {
+        "user_texts": {
+            "not_null_user_id": nn("user_id"),
+            "not_null_input_text": nn("input_text"),
+            "not_null_content_text": nn("content_text"),
+            "not_null_content_type": nn("content_type"),
+            "len_content_type": F.coalesce(F.length("content_type") > CONTENT_TYPE_MAX_LEN, F.lit(False)),
+            "len_model_used": F.coalesce(F.length("model_used") > MODEL_USED_MAX_LEN, F.lit(False)),
+        },
+        "user_feedback": {
+            "not_null_user_id": nn("user_id"),
+            "not_null_feedback_type": nn("feedback_type"),
+            "enum_feedback_type": F.coalesce(~F.col("feedback_type").isin(*FEEDBACK_TYPES), F.lit(False)),
+        },
+        "login_history": {},
+    }
+
+
 def constraint_audit(
     users: DataFrame, texts: DataFrame, feedback: DataFrame, logins: DataFrame
 ) -> DataFrame:
     """NOT NULL, ENUM domain, VARCHAR length, duplicate PK and FK
     orphan counts for the three application tables with declared DDL, one
     scan per table."""
-    nn = lambda c: F.col(c).isNull()
-    parts = [
-        _audit_table(
-            "user_texts",
-            texts,
-            "id",
-            {
-                "not_null_user_id": nn("user_id"),
-                "not_null_input_text": nn("input_text"),
-                "not_null_content_text": nn("content_text"),
-                "not_null_content_type": nn("content_type"),
-                "len_content_type": F.coalesce(F.length("content_type") > CONTENT_TYPE_MAX_LEN, F.lit(False)),
-                "len_model_used": F.coalesce(F.length("model_used") > MODEL_USED_MAX_LEN, F.lit(False)),
-            },
-            "user_id",
-            users,
-        ),
-        _audit_table(
-            "user_feedback",
-            feedback,
-            "id",
-            {
-                "not_null_user_id": nn("user_id"),
-                "not_null_feedback_type": nn("feedback_type"),
-                "enum_feedback_type": F.coalesce(~F.col("feedback_type").isin(*FEEDBACK_TYPES), F.lit(False)),
-            },
-            "user_id",
-            users,
-        ),
-        _audit_table("login_history", logins, "id", {}, "user_id", users),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    tables = {"user_texts": texts, "user_feedback": feedback, "login_history": logins}
+    return reduce(DataFrame.unionByName, [_audit_table(t, tables[t], "id", r, "user_id", users) for t, r in _audit_rules().items()])
+
+
+def _key_counts(changed: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """(key, before, after): how many rows of ``table`` have each key that a
+    change frame touches.  The table's rows meet only the touched keys (a
+    semi-join on one column), and null is a key like any other."""
+    net = changed.groupBy(F.col(key).alias("key")).agg(F.sum("change").alias("_net"))
+    touched = net.select(F.col("key").alias("_touched"))
+    old = table.select(F.col(key).alias("_key"))
+    old = old.join(touched, F.col("_key").eqNullSafe(F.col("_touched")), "left_semi").groupBy("_key").agg(F.count(F.lit(1)).alias("_old"))
+    before = F.coalesce("_old", F.lit(0))
+    return net.join(old, F.col("key").eqNullSafe(F.col("_key")), "left").select("key", before.alias("before"), (before + F.col("_net")).alias("after"))
+
+
+def _orphan_delta(child: DataFrame, changed: DataFrame, users: DataFrame, user_counts: DataFrame) -> DataFrame:
+    """Change of a child table's orphans, in two parts that add up: changed
+    rows against the users as they are afterwards, and the table as it was
+    against the users that came or went."""
+    net = changed.filter("user_id IS NOT NULL").groupBy("user_id").agg(F.sum("change").alias("_net")).filter("_net <> 0")
+    had = users.select(F.col("id").alias("_had")).join(net, F.col("_had") == F.col("user_id"), "left_semi").distinct()
+    after = user_counts.select(F.col("key").alias("_user"), (F.col("after") > 0).alias("_has"))
+    known = F.coalesce("_has", F.col("_had").isNotNull())
+    own = net.join(had, F.col("user_id") == F.col("_had"), "left").join(after, F.col("user_id") == F.col("_user"), "left")
+    own = own.filter(~known).select(F.col("_net").alias("violations"))
+    moved = user_counts.select(
+        F.col("key").alias("_user"), ((F.col("before") > 0).cast("long") - (F.col("after") > 0).cast("long")).alias("violations")
+    ).filter("violations <> 0 AND _user IS NOT NULL")
+    others = child.select("user_id").join(moved, F.col("user_id") == F.col("_user")).select("violations")
+    return own.unionByName(others).agg(F.sum("violations").alias("violations"))
+
+
+def audit_after(audit: DataFrame, before: dict[str, DataFrame], changes: dict[str, DataFrame]) -> DataFrame:
+    """B11 and C6 kept up to date: the audit of the tables after a change set,
+    from the ``audit`` before it.
+
+    ``before`` holds the tables as they were (``users`` and the three audited
+    ones), ``changes`` for any of them a frame of whole rows with ``change``
+    1 for a row that came and -1 for one that went (an update is both).  Rules
+    of single rows read the change frame only.  Keys read the old table's key
+    column, met with the touched keys alone; nothing else is scanned or
+    grouped, so the cost follows the change set.  A deleted row must be in its
+    table, repeated rows are deleted once for each -1, and a missing or empty
+    frame changes nothing."""
+    none = F.lit(None).cast("long")
+    parts = [audit.select("table_name", "rule", F.col("violations").cast("long").alias("violations"))]
+
+    def add(table: str, rule: str, delta: DataFrame) -> None:
+        parts.append(delta.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), F.col("violations").cast("long").alias("violations")))
+
+    users = before["users"]
+    moved = changes.get("users", users.limit(0).withColumn("change", none))
+    user_counts = _key_counts(moved, users, "id")
+    for table, rules in _audit_rules().items():
+        old = before[table]
+        changed = changes.get(table)
+        if changed is not None:
+            if rules:
+                sums = changed.agg(*[F.sum(F.when(c, F.col("change"))).alias(r) for r, c in rules.items()])
+                stack = ", ".join(f"'{r}', `{r}`" for r in rules)
+                parts.append(sums.selectExpr(f"'{table}' AS table_name", f"stack({len(rules)}, {stack}) AS (rule, violations)"))
+            twice = (F.col("after") > 1).cast("long") - (F.col("before") > 1).cast("long")
+            add(table, "duplicate_pk", _key_counts(changed, old, "id").agg(F.sum(twice).alias("violations")))
+        if changed is not None or "users" in changes:
+            rows = changed if changed is not None else old.limit(0).withColumn("change", none)
+            add(table, "fk_user_id", _orphan_delta(old, rows, users, user_counts))
+    total = F.sum(F.coalesce("violations", F.lit(0))).alias("violations")
+    return reduce(DataFrame.unionByName, parts).groupBy("table_name", "rule").agg(total)
 
 
 # --------------------------------------------------------------- updates --

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import changes as CH
 from ..sources import views as V
 from ..sources.views import with_views
-from .registry import register
+from .registry import oracle_of, register
 
 
 # Snapshots with every kind of violation planted: missing and overlong values,
@@ -96,6 +96,39 @@ def q_constraint_audit(spark, d):
     return CH.constraint_audit(V.users(spark, d), *_dirty(spark, d))
 
 
+# The audit after a change set: missing contents are filled in, the likes come
+# a second time, logins without a user go, and so do the admin accounts.
+_AFTER = """
+, after_users AS (SELECT id FROM users WHERE role <> 'admin'),
+after_texts AS (SELECT id, user_id, input_text, coalesce(content_text, input_text, '') AS content_text, content_type, model_used FROM dirty_texts),
+after_feedback AS (SELECT * FROM dirty_feedback UNION ALL SELECT * FROM dirty_feedback WHERE feedback_type = 'like'),
+after_logins AS (SELECT * FROM dirty_logins WHERE user_id IS NOT NULL)"""
+
+
+def _audit_after_sql() -> str:
+    tables, rules = oracle_of("constraint_audit").split("\n, r AS (", 1)
+    return tables + _AFTER + "\n, r AS (" + rules.replace("dirty_", "after_").replace("FROM users u", "FROM after_users u")
+
+
+@register("constraint_audit_after", _audit_after_sql())
+def q_constraint_audit_after(spark, d):
+    """The audit after a change set, from the one before and the
+    changed rows."""
+    users = V.users(spark, d)
+    texts, feedback, logins = _dirty(spark, d)
+    came, went = F.lit(1).alias("change"), F.lit(-1).alias("change")
+    gaps = texts.filter(F.col("content_text").isNull())
+    filled = gaps.withColumn("content_text", F.coalesce("input_text", F.lit("")))
+    changes = {
+        "users": users.filter(F.col("role") == "admin").select("*", went),
+        "user_texts": gaps.select("*", went).unionByName(filled.select("*", came)),
+        "user_feedback": feedback.filter(F.col("feedback_type") == "like").select("*", came),
+        "login_history": logins.filter(F.col("user_id").isNull()).select("*", went),
+    }
+    before = {"users": users, "user_texts": texts, "user_feedback": feedback, "login_history": logins}
+    return CH.audit_after(CH.constraint_audit(users, texts, feedback, logins), before, changes)
+
+
 @register(
     "fk_orphans",
     with_views(

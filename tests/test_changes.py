@@ -216,3 +216,40 @@ def test_keys_clash_in_any_case_only_when_collated(spark):
         texts = spark.createDataFrame([("T5",), ("t5",), ("7",)], "model_used string")
         got = [tuple(r) for r in U.model_usage(texts, collation).collect()]
         assert got == ([("T5", 2)] if collation else [("T5", 1), ("t5", 1)])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_audit_after_equals_the_full_audit(spark, seed):
+    """Random tables and change sets: nulls, repeated ids, users that come, go
+    and come back, rows deleted once of several."""
+    rng = random.Random(seed)
+    pick = lambda *x: rng.choice(x)
+    key = lambda n: pick(None, *range(n), *range(n))
+    rows = {
+        "users": ("id long, role string", lambda: (key(9), "user")),
+        "user_texts": (
+            "id long, user_id long, input_text string, content_text string, content_type string, model_used string",
+            lambda: (key(12), key(11), pick(None, "i"), pick(None, "c"), pick(None, "summary", "s" * 21), pick(None, "m", "m" * 101)),
+        ),
+        "user_feedback": ("id long, user_id long, feedback_type string", lambda: (key(12), key(11), pick(None, "like", "meh"))),
+        "login_history": ("id long, user_id long", lambda: (key(12), key(11))),
+    }
+    before, after, changes = {}, {}, {}
+    for name, (schema, row) in rows.items():
+        old = [row() for _ in range(30 if name != "users" else 8)]
+        gone = rng.sample(old, pick(0, 3, 6))
+        new = [row() for _ in range(pick(0, 3, 8))] + [x for x in gone if rng.random() < 0.3]
+        left = list(old)
+        for x in gone:
+            left.remove(x)
+        before[name] = spark.createDataFrame(old, schema)
+        after[name] = spark.createDataFrame(left + new, schema)
+        if name != "login_history" or seed:  # a table without a change frame
+            changes[name] = spark.createDataFrame([(*x, -1) for x in gone] + [(*x, 1) for x in new], schema + ", change int")
+        else:
+            after[name] = before[name]
+    names = ("users", "user_texts", "user_feedback", "login_history")
+    audit = CH.constraint_audit(*(before[n] for n in names))
+    got = sorted(map(tuple, CH.audit_after(audit, before, changes).collect()))
+    assert got == sorted(map(tuple, CH.constraint_audit(*(after[n] for n in names)).collect()))
+    assert sorted(map(tuple, CH.audit_after(audit, before, {}).collect())) == sorted(map(tuple, audit.collect()))
