@@ -177,8 +177,8 @@ class Disguise(NamedTuple):
 
 ENGLISH = Disguise.of(rf"{_OPEN}(?:at|@){_CLOSE}|\s{{1,3}}at\s{{1,3}}|\s{{0,3}}@\s{{0,3}}", "dot")
 OTHERS = Disguise.of(rf"{_OPEN}(?:{_ATS}){_CLOSE}|\s{{1,3}}(?:{_ATS})\s{{1,3}}", _DOTS)
-HIDDEN_HINT = re.compile(rf"(?i)[\[({{<]\s{{0,3}}(?:at|@|\.|{_DOTS})\s{{0,3}}[\])}}>]|\sdot\s")
-OTHERS_HINT = re.compile(rf"(?i)(?<![^\s\[({{<])(?:{_ATS})(?![^\s\])}}>])")
+HIDDEN_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:at|@|\.|{_DOTS})\s{{0,3}}[\])}}>]|\sdot\s")
+OTHERS_HINT = re.compile(_ATS)
 
 
 def dots_before(text: str, at: int, floor: int, dot_before: re.Pattern) -> list[tuple[int, int]]:
@@ -221,7 +221,7 @@ def other_addresses(m: Mapped) -> list[tuple[int, int, str]]:
 
 _ANY_DOT = rf"(?:{_IN_BRACKETS}|\s{{1,3}}(?:{_DOTS})\s{{1,3}})"
 DOTTED = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:{_ANY_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
-DOTTED_HINT = re.compile(rf"(?i)(?:{_IN_BRACKETS}|\s(?:{_DOTS})\s{{1,3}})[0-9]")
+DOTTED_HINT = re.compile(rf"(?:{_DOTS}|\.)(?:\s{{0,3}}[\])}}>]\s{{0,3}}|(?<!\.)\s{{1,3}})[0-9]")
 ANY_DOT = re.compile(rf"(?i){_ANY_DOT}")
 
 
@@ -243,7 +243,7 @@ WORD_VALUE = OTHER_WORDS | {w: str(i) for words in DIGIT_WORDS for i, w in enume
 _WORD = "(?:" + "|".join(w for w, v in WORD_VALUE.items() if v.isdigit()) + ")"
 _UNIT = rf"(?:(?:{'|'.join(TIMES)})[\s-]{{1,2}})?(?:{_WORD}|[0-9]{{1,4}})(?!\w)"
 SPELLED = re.compile(rf"(?i)(?<!\w)(?:(?:plus|m[aá]s)[\s-]{{1,2}}|\+\s?)?{_UNIT}(?:[\s,.-]{{1,2}}(?:{_UNIT}|(?:{_DOTS})(?!\w)))+")
-SPELLED_HINT = re.compile(rf"(?i)(?<!\w){_WORD}[\s,.-]{{1,2}}(?:{_UNIT}|{_DOTS})")
+SPELLED_HINT = re.compile(rf"{_WORD}[\s,.-]{{1,2}}(?:{_UNIT}|{_DOTS})")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[+.]")
 
 
@@ -271,6 +271,8 @@ def spelled(m: Mapped) -> list[tuple[int, int, str]]:
     return out
 
 
+#: hints are looked for in lower-cased text, without flags, so that a search
+#: skips to the letters that they can begin with
 STEPS: tuple[tuple[re.Pattern, Callable[[Mapped], list]], ...] = (
     (STRANGE, homoglyphs),
     (HIDDEN_HINT, addresses),
@@ -282,12 +284,13 @@ STEPS: tuple[tuple[re.Pattern, Callable[[Mapped], list]], ...] = (
 
 def deobfuscate(text: str) -> Mapped | None:
     """The rewritten text, or None if no transducer finds anything."""
-    m = None
+    m, low = None, text.lower()
     for hint, step in STEPS:
-        if hint.search(m.text if m else text):
+        if hint.search(low):
             here = m or Mapped.of(text)
             if found := step(here):
                 m = here.rewrite(found)
+                low = m.text.lower()
     return m
 
 
