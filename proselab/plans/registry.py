@@ -46,6 +46,7 @@ def _load_all() -> None:
         q_metrics,
         q_published,
         q_readability,
+        q_streamed,
         q_text,
         q_usage,
     )
