@@ -10,7 +10,7 @@ ALPHABET = "aeiouybcdfgklmnrstxz AEIOUY.!?,;\n\t-'0123é"
 
 # syllables of common English words (fixed values, from dictionary division)
 SYLLABLES = {
-    1: "the be this have from they say make like time just know take people's year good some could them see other than then now "
+    1: "the be this have from they say make like time just know take people's year good some could them see than then now "
     "look come its think back use two how work first way new want give day most us through change play move house age line turn "
     "called walked played used made makes eyes course state please large whole clothes judge blue league vague safe tree",
     2: "about other people into only also after over many before little table apple idea's under never always being going doing "
