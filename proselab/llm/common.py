@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
 from ..sources.tables import table_path
-from .vocab import forget
+from .vocab import forget, trim_memory
 
 #: bytes of text handled at once inside a task
 CHUNK_BYTES = 4 << 20
@@ -70,6 +70,7 @@ def map_texts(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         forget()
+        trim_memory()
         target = to_arrow_schema(out)
         for batch in batches:
             for part in pieces_of(batch, "__text"):
@@ -77,6 +78,7 @@ def map_texts(
                 cols = [part.column(c).cast(target.field(c).type) for c in names[:n_keep]]
                 cols += [pa.array(res[c], type=target.field(c).type) for c in names[n_keep:]]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        trim_memory()
 
     return src.mapInArrow(run, out)
 

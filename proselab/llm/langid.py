@@ -18,7 +18,6 @@ text when there is no labelled document to learn from.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -32,7 +31,7 @@ from pyspark.sql.window import Window
 
 from ..session import ship_package
 from .common import map_texts, pieces_of
-from .vocab import vocabulary_path
+from .vocab import kept, vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -87,7 +86,7 @@ class Trie(NamedTuple):
     klass: np.ndarray
 
 
-@functools.lru_cache(maxsize=2)
+@kept(2)
 def trie(vocab_folder: str | None = None) -> Trie:
     import sentencepiece
 

@@ -29,7 +29,6 @@ document as far as links go.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -40,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, saved
 from .graph import components
+from .vocab import kept, trim_memory
 
 CIRCLE = 1 << 20
 COORDINATES = 256
@@ -59,7 +59,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=2)
+@kept(2)
 def circle(coordinates: int = COORDINATES) -> np.ndarray:
     """Second permutation as windows: row p holds the ranks of the places
     p .. p + coordinates - 1 on the circle."""
@@ -164,6 +164,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 if both and 100 * both >= percent * (len(mine) + len(other) - both):
                     links.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*links, strict=True) if links else ((), ()))], names=["a", "b"])
+        trim_memory()
 
     t = texts.select(F.col("doc_id").alias("i"), "text")
     with_b = pairs.join(t.withColumnRenamed("text", "text_b"), F.col("b") == F.col("i")).drop("i")

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from ..session import ship_package
 from .common import pieces_of, saved
-from .vocab import library_cache
+from .vocab import library_cache, release, trim_memory
 
 CAPACITY = 2048
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, pid int, nth bigint"
@@ -43,6 +43,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, v
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release()
         pid, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         cache, end = library_cache(vocabulary, vocab_folder), np.uint32(end_id).tobytes()
         for batch in batches:
@@ -64,6 +65,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, v
                     [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "pid", "nth"],
                 )
+        trim_memory()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from .common import total_bytes
-from .vocab import forget
+from .vocab import forget, kept
 
 LENGTH = 50
 GRAM = 20
@@ -79,7 +79,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _table_of_powers(n) if n > KEPT_POWERS else _kept_powers()
 
 
-@functools.lru_cache(maxsize=1)
+@kept(1)
 def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
     return _table_of_powers(KEPT_POWERS)
 

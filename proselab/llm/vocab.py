@@ -37,6 +37,20 @@ CACHE_ENTRIES = 1_000_000
 CACHE_CHARS = 32 << 20
 
 
+#: tables that operators keep in a worker from task to task
+_KEPT: list = []
+
+
+def kept(maxsize: int) -> Callable:
+    """``lru_cache`` whose tables ``release`` drops."""
+
+    def wrap(f: Callable) -> Callable:
+        _KEPT.append(functools.lru_cache(maxsize=maxsize)(f))
+        return _KEPT[-1]
+
+    return wrap
+
+
 def vocabulary_path(name: str, folder: str | None = None) -> str:
     """Place of a public vocabulary file; ``folder`` overrides the package's."""
     if folder:
@@ -274,3 +288,19 @@ def forget() -> None:
     operators that encode nothing call this, so that the memory is theirs."""
     if library_cache.cache_info().currsize:
         library_cache.cache_clear()
+
+
+def trim_memory() -> None:
+    """Give freed memory back to the system.  Allocators keep it for their own
+    process, but an executor's workers, idle ones too, share one limit; so tasks
+    call this when they end."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
+def release() -> None:
+    """Drop the tables of the operators that ran here before, and give their
+    memory back; the segment caches stay."""
+    for table in _KEPT:
+        table.cache_clear()
+    trim_memory()

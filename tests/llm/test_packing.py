@@ -97,3 +97,14 @@ def test_awkward_rows(spark):
         assert at <= capacity
     assert len(bins) <= 1.1 * sum(r["length"] for r in out) / capacity + 1
     assert P.pack(frame(spark, []), NAME, 0).collect() == []
+
+
+def test_packing_starts_without_the_tables_of_earlier_operators():
+    """Python workers outlive their stages: what langid, minhash and
+    suffix_dedup keep in them is not packing's to carry."""
+    from proselab.llm import minhash, suffix_dedup, vocab
+
+    minhash.circle()
+    suffix_dedup._kept_powers()
+    vocab.release()
+    assert minhash.circle.cache_info().currsize == suffix_dedup._kept_powers.cache_info().currsize == 0
