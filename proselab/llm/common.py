@@ -16,9 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import trim_memory
 from ..session import checkpoint_dir, ship_package
 from ..sources.tables import table_path
-from .vocab import forget, trim_memory
+from .vocab import forget
 
 #: bytes of text handled at once inside a task
 CHUNK_BYTES = 4 << 20

@@ -37,9 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import trim_memory
 from .common import map_texts, saved
 from .graph import components
-from .vocab import kept, trim_memory
+from .vocab import kept
 
 CIRCLE = 1 << 20
 COORDINATES = 256

@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrow import trim_memory
 from ..session import ship_package
 from .common import pieces_of, saved
-from .vocab import library_cache, release, trim_memory
+from .vocab import library_cache, release
 
 CAPACITY = 2048
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, pid int, nth bigint"

@@ -20,6 +20,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
+from ..functions.arrow import trim_memory
+
 #: Unicode White_Space, the set the tokenizers' patterns mean by ``\s``
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: as the byte-level pattern: a blank goes with the word after it
@@ -290,14 +292,6 @@ def forget() -> None:
         library_cache.cache_clear()
 
 
-def trim_memory() -> None:
-    """Give freed memory back to the system.  Allocators keep it for their own
-    process, but an executor's workers, idle ones too, share one limit; so tasks
-    call this when they end."""
-    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
-        pool.release_unused()
-
-
 def release() -> None:
     """Drop the tables of the operators that ran here before, and give their
     memory back; the segment caches stay."""

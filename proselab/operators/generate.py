@@ -32,11 +32,13 @@ from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
+from ..functions import arrow as A
 from ..functions import text as X
 
 Generator = Callable[[pd.DataFrame], pd.DataFrame]
@@ -195,27 +197,27 @@ def extract_summaries(text: str | None, lengths: list[tuple[int, int]]) -> list[
     return [_select(ranked, mx, mn) for mx, mn in lengths]
 
 
-@F.pandas_udf(T.StringType())
-def _extractive_udf(text: pd.Series, max_len: pd.Series, min_len: pd.Series) -> pd.Series:
-    return pd.Series(
-        [extract_summary(t, int(mx), int(mn)) for t, mx, mn in zip(text, max_len, min_len)], dtype=object
-    )
+@F.arrow_udf(T.StringType())
+def _extractive_udf(text: pa.Array, max_len: pa.Array, min_len: pa.Array) -> pa.Array:
+    lengths = zip(max_len.to_pylist(), min_len.to_pylist())
+    return A.one_by_one(pa.string(), (extract_summary(t, mx, mn) for t, (mx, mn) in zip(A.texts_of(text), lengths)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _extractive_candidates_udf(text: pd.Series, max_len: pd.Series, min_len: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series(
-        [extract_summaries(t, [(int(mx) * i, int(mn)) for i in range(1, int(k) + 1)]) for t, mx, mn, k in zip(text, max_len, min_len, n)],
-        dtype=object,
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _extractive_candidates_udf(text: pa.Array, max_len: pa.Array, min_len: pa.Array, n: pa.Array) -> pa.Array:
+    asked = zip(max_len.to_pylist(), min_len.to_pylist(), n.to_pylist())
+    return A.one_by_one(
+        pa.list_(pa.string()),
+        (extract_summaries(t, [(mx * i, mn) for i in range(1, k + 1)]) for t, (mx, mn, k) in zip(A.texts_of(text), asked)),
     )
 
 
 _PRESET_LENGTHS = [(m, n) for _p, m, n, _a, _b in S.SUMMARY_PRESETS]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _extractive_multi_udf(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: extract_summaries(t, _PRESET_LENGTHS))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _extractive_multi_udf(text: pa.Array) -> pa.Array:
+    return A.one_by_one(pa.list_(pa.string()), (extract_summaries(t, _PRESET_LENGTHS) for t in A.texts_of(text)))
 
 
 def extractive(
@@ -223,8 +225,8 @@ def extractive(
 ) -> DataFrame:
     """Run the deterministic extractive stand-in generator on each row.
 
-    Like a model call it is per text: an Arrow-batched pandas UDF, rows stay
-    in their partitions (no shuffle, no explode).  ``key`` names the
+    Like a model call it is per text: an Arrow UDF that holds one text of the
+    batch at a time, rows stay in their partitions (no shuffle, no explode).  ``key`` names the
     column(s) passed through; ``max_len``/``min_len`` are column names or
     ints.  One output row per input row."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -20,10 +20,12 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import arrow as A
 from ..functions.stem import stem_tokens_py
 
 ROUGE_TOKEN = re.compile("[a-z0-9]+")  # same tokens as: non [a-z0-9] -> space, split, drop empties
@@ -114,9 +116,10 @@ def _pair_counts(stem: bool, rouge: bool, lcs: bool, bleu: bool):
             out += (len(h), len(r), *(overlap(h, r, n) for n in BLEU_ORDERS))
         return out
 
-    @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in names]))
-    def counts(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(h, r) for h, r in zip(hyp, ref)], columns=list(names))
+    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in names]))
+    def counts(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+        kind = pa.struct([(n, pa.int64()) for n in names])
+        return A.one_by_one(kind, (dict(zip(names, one(h, r))) for h, r in zip(A.texts_of(hyp), A.texts_of(ref))))
 
     return counts
 
