@@ -73,14 +73,15 @@ def first_match(inputs: DataFrame, key: str, text_col: str, dataset: DataFrame,
 
     No text is ever a grouping, join or sort key: both sides are keyed by the
     SHA-256 of the stripped text, the dataset is reduced to the smallest
-    ``ord`` per digest (combined before the shuffle), inputs meet it on the
-    digest, and the matched rows' targets are fetched by ``ord``."""
+    ``ord`` per digest (combined before the shuffle), the firsts' targets are
+    fetched by ``ord``, and inputs meet them on the digest.  Inputs are never
+    dealt on ``ord``, which all the unmatched ones lack: they would go to one
+    task."""
     rows = dataset.select("ord", "input_text", "target_text").na.drop(subset=["input_text", "target_text"])
     firsts = rows.groupBy(F.sha2(X.strip_ws("input_text"), 256).alias("_d")).agg(F.min("ord").alias("_ord"))
     i = inputs.select(key, *keep, F.sha2(X.strip_ws(F.coalesce(text_col, F.lit(""))), 256).alias("_d"))
-    found = i.join(firsts, "_d", "left").drop("_d")
-    targets = rows.select(F.col("ord").alias("_o"), "target_text").join(firsts.select("_ord"), F.col("_o") == F.col("_ord"), "left_semi")
-    j = found.join(targets, F.col("_ord") == F.col("_o"), "left")
+    targets = firsts.join(rows.select(F.col("ord").alias("_o"), "target_text"), F.col("_ord") == F.col("_o"))
+    j = i.join(targets, "_d", "left")
     return j.select(
         key,
         *keep,
