@@ -49,6 +49,8 @@ APP_TABLES = {
 }
 #: files that each bucket is written in, by as many tasks
 FILES_PER_BUCKET = 4
+#: the tables hold each text twice
+CODEC = "zstd"
 #: a table whose largest bucket holds more than this many times the mean is
 #: read as plain files
 UNEVEN = 4.0
@@ -152,12 +154,12 @@ class Published:
         rows = with_defaults(rows, self.tables[name])
         layout = self.layouts.get(name)
         if not layout:
-            rows.write.parquet(folder)
+            rows.write.parquet(folder, compression=CODEC)
             return {"folder": folder, "even": True}
         key = "id" if "id" in rows.columns else layout.column
         bucket = F.pmod(F.hash(layout.column), F.lit(layout.buckets))
         dealt = rows.repartition(layout.buckets, bucket, F.pmod(F.xxhash64(key), F.lit(FILES_PER_BUCKET)))
-        dealt.write.format("parquet").bucketBy(layout.buckets, layout.column).option("path", folder).saveAsTable(self._catalog_name(folder))
+        dealt.write.format("parquet").option("compression", CODEC).bucketBy(layout.buckets, layout.column).option("path", folder).saveAsTable(self._catalog_name(folder))
         sizes = self._plain(name, [folder]).groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
         most, total = sizes.agg(F.max("n"), F.sum("n")).first()
         return {"folder": folder, "even": (most or 0) * layout.buckets <= UNEVEN * max(total or 0, layout.buckets)}

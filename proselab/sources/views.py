@@ -67,7 +67,8 @@ def user_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     did = F.col("d.doc_id")
     return (
         d.join(e, F.col("e.event_id") == did, "inner")
-        .join(n, F.col("n.doc_id") == did + 1, "left")
+        # the sum stands on the side of ``n``, so that the texts joined so far stay where they are
+        .join(n, F.try_subtract(F.col("n.doc_id"), F.lit(1)) == did, "left")
         .select(
             did.alias("id"),
             F.col("e.user_id").alias("user_id"),
